@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
 
 
@@ -21,5 +23,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_token_ids": op1_token_ids, "op8_simhash": op8_simhash}
 ORACLE_SQL: dict[str, str] = {}
