@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.llm import media
 from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
 
@@ -28,5 +29,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op8_simhash": op8_simhash}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_token_ids": op1_token_ids, "op8_simhash": op8_simhash, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
