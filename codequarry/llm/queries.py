@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import media
+from codequarry.llm import language, media
 from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
 
@@ -24,6 +24,12 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
+    found = language.predict(docs, language.train(docs.filter("not held_out")))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -33,5 +39,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op8_simhash": op8_simhash, "op10_media": op10_media}
+QUERIES = {"op1_token_ids": op1_token_ids, "op6_language_id": op6_language_id, "op8_simhash": op8_simhash, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
