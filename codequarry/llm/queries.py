@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import language, media
+from codequarry.llm import language, media, quality
 from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
 
@@ -24,6 +24,14 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~language.held_out())
+    network = quality.train(docs.join(labels, "doc_id"))
+    score = F.when(F.col("score") >= 0.3, 1).otherwise(0)
+    return quality.score(docs, network).select("doc_id", language.held_out().alias("held_out"), "score", score.alias("predicted"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
     found = language.predict(docs, language.train(docs.filter("not held_out")))
@@ -39,5 +47,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op6_language_id": op6_language_id, "op8_simhash": op8_simhash, "op10_media": op10_media}
+QUERIES = {"op1_token_ids": op1_token_ids, "op3_quality": op3_quality, "op6_language_id": op6_language_id, "op8_simhash": op8_simhash, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
