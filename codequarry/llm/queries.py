@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import language, lines, media, pii, quality
+from codequarry.llm import decontaminate, language, lines, media, pii, quality
 from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
 
@@ -36,6 +36,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", "last_word")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
     found = language.predict(docs, language.train(docs.filter("not held_out")))
@@ -56,5 +61,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op3_quality": op3_quality, "op4_pii": op4_pii, "op6_language_id": op6_language_id, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media}
+QUERIES = {"op1_token_ids": op1_token_ids, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media}
 ORACLE_SQL = {"op9_line_dedup": lines.ORACLE_SQL}
