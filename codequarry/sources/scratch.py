@@ -21,11 +21,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/codequarry/{label}-{uuid.uuid4().hex}"
 
 
+def write_once(df: DataFrame, path: str, *partitions: str) -> None:
+    """Write ``df`` as Parquet; its shuffle files go when the write has ended, as nothing else reads them."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: lineage ends here, lost executors don't matter."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    write_once(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
