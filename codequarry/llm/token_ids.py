@@ -1,6 +1,6 @@
 """Token-ID output: frequency-ranked ids in a byte-aligned variable-length code.
 
-Files are Parquet shards in ascending ``doc_id`` order. A row has the ids of one document as two
+Files are Parquet, one folder per shard; shards, and rows within one by ``shard_start``, ascend by ``doc_id``. A row has the ids of one document as two
 byte strings: ``control`` has two bits an id (bytes used less one, four ids a byte, the first in the
 low bits), ``data`` has the ids' ranks, little-endian, in one to four bytes. The rank of an id is its place
 by descending frequency over the whole corpus (ties: the lower id), so frequent ids take one byte.
@@ -8,12 +8,11 @@ Decoding looks the four lengths of each control byte up in a numpy table. Spark'
 the shards, so a lost executor's unfinished files never count.
 
 A null text is an empty one; every document gets the end id. Rows with the same ``doc_id`` are kept, in the
-order of their ids' checksum; a null ``doc_id`` comes first. Extra columns of the input are ignored.
+order of their texts' hashes; a null ``doc_id`` comes first. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.units import UnitEncoder, binary_column, slices
-from codequarry.sources.scratch import new_path, release, stage
+from codequarry.sources.scratch import new_path, release, stage, write_once
 
 _WORKER: dict[str, UnitEncoder] = {}
 #: Bytes that each of the four ids of a control byte takes.
@@ -86,11 +85,24 @@ def _unit_encoder(path: str) -> UnitEncoder:
     return _WORKER[path]
 
 
+def _id_type(path: str) -> str:
+    """The narrowest little-endian type that holds the vocabulary's ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4"
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` (little-endian uint32) of every whole text."""
+    """``doc_id``, ``shard`` (ascending ranges of ``doc_id``), ``shard_start`` (ids before it in the shard), ``n_tokens`` and ``ids`` of every whole text.
+
+    The texts are dealt out by range and sorted first, so ids never need a shuffle.
+    """
+    kind = _id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _unit_encoder(path)
+        from pyspark import TaskContext
+
+        encoder, shard, start = _unit_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             done = 0
             for texts in slices(batch.column("text")):
@@ -98,23 +110,24 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), pa.array(counts, pa.int64()), binary_column(ids, counts)], ["doc_id", "n_tokens", "ids"])
+                starts = start + np.cumsum(counts) - counts
+                start += int(counts.sum())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), pa.array(np.full(len(texts), shard), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), binary_column(ids.astype(kind), counts)], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
                 done += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keys = ("doc_id", F.xxhash64("text"))
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids binary")
 
 
-def frequencies(tokens: DataFrame) -> DataFrame:
+def frequencies(tokens: DataFrame, kind: str) -> DataFrame:
     """``id`` and its ``count`` over all documents: one row per id from each task, then a sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for cell in batch.column("ids"):
-                part = np.bincount(np.frombuffer(cell.as_py(), "<u4"))
-                if len(part) > len(total):
-                    total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
-                total[: len(part)] += part
+            part = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=len(total))
+            total = part + np.pad(total, (0, len(part) - len(total)))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
@@ -126,42 +139,28 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
 
     The rank table has one row per id that occurs; the vocabulary bounds it, so it may pass through the driver.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, _id_type(tokenizer_path)
     tokens = stage(tokenise(docs, tokenizer_path, end_id), "token-ids")
-    by_rank = [row.id for row in frequencies(tokens).orderBy(F.desc("count"), "id").select("id").collect()]
+    by_rank = [row.id for row in frequencies(tokens, kind).orderBy(F.desc("count"), "id").select("id").collect()]
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(by_rank)), "rank long, id long").coalesce(1).write.parquet(f"{out}/ranks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            counts = batch.column("n_tokens").to_numpy(zero_copy_only=False)
-            coded = [pack(rank_of[np.frombuffer(x.as_py(), "<u4")]) for x in batch.column("ids")]
-            starts = start + np.cumsum(counts) - counts
-            start += int(counts.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(counts), shard), pa.int32()), pa.array(starts, pa.int64()), batch.column("n_tokens"), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                ["doc_id", "shard", "shard_start", "n_tokens", "control", "data"],
-            )
-
-    (
-        tokens.withColumn("tie", F.crc32("ids"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
-        .drop("tie")
-        .mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, control binary, data binary")
-        .write.parquet(f"{out}/tokens")
-    )
+            coded = [pack(rank_of[np.frombuffer(x.as_py(), kind)]) for x in batch.column("ids")]
+            same = [batch.column(c) for c in ("doc_id", "shard", "shard_start", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["doc_id", "shard", "shard_start", "n_tokens", "control", "data"])
+
+    packed = tokens.mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, control binary, data binary")
+    write_once(packed.sortWithinPartitions("shard", "shard_start"), f"{out}/tokens", "shard")
     release(tokens)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` from the files at ``path``."""
+    """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (little-endian uint32) from the files at ``path``."""
     by_rank = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], "<u4")
-    files = spark.read.parquet(f"{path}/tokens")
+    files = spark.read.schema("doc_id long, shard_start long, n_tokens long, control binary, data binary, shard int").parquet(f"{path}/tokens")
     # One row per shard: as many as the writer had tasks.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -172,14 +171,10 @@ def read_token_files(spark, path: str) -> DataFrame:
             ids = [by_rank[unpack(c.as_py(), d.as_py(), n)].tobytes() for c, d, n in cells]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), batch.column("shard_start"), batch.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
 
-    decoded = files.mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids binary")
+    decoded = files.select("doc_id", "shard", "shard_start", "n_tokens", "control", "data").mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids binary")
     return decoded.join(F.broadcast(shards), "shard").select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
-def checksum(ids: bytes) -> int:
-    return zlib.crc32(ids)
-
-
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """Write the files, read them back, and digest each document's ids."""
     path = new_path(docs.sparkSession, "token-files")

@@ -19,7 +19,7 @@ _SPACE_BEFORE_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{20
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Texts are handled in slices of about so many bytes.
 SLICE_BYTES = 8 << 20
-#: Distinct units that a worker remembers; the memory starts anew beyond it.
+#: About so many distinct units, the first that come, are remembered by a worker; the frequent ones are among them.
 CACHE_UNITS = 600_000
 
 Encode = Callable[[list[str]], list[bytes]]
@@ -48,9 +48,8 @@ class UnitEncoder:
         missing = list(dict.fromkeys(u for u in units if u not in known))
         fresh = dict(zip(missing, self._encode(missing), strict=True)) if missing else {}
         values = [known[u] if u in known else fresh[u] for u in units]
-        if len(known) + len(fresh) > CACHE_UNITS:
-            known.clear()
-        known.update(fresh)
+        if len(known) < CACHE_UNITS:
+            known.update(fresh)
         return values
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
