@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontaminate, language, lines, media, pii, quality
+from codequarry.llm import byte_bpe, decontaminate, language, lines, media, pii, quality
 from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
 
@@ -24,6 +24,12 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~language.held_out())
@@ -61,5 +67,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media}
+QUERIES = {"op1_token_ids": op1_token_ids, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media}
 ORACLE_SQL = {"op9_line_dedup": lines.ORACLE_SQL}
