@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import byte_bpe, decontaminate, language, lines, media, pii, quality
+from codequarry.llm import byte_bpe, decontaminate, language, lines, media, pii, quality, token_counts
 from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
 
@@ -53,6 +53,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits mask mail addresses and long numbers."""
+    import public_tokenizers
+
+    edits = token_counts.masks(F.col("text"), pii.BASE["email"] + "|[0-9]{4,}+", "<masked>")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("text").rlike("@|[0-9]{4}"), edits).alias("edits"))
+    return token_counts.edited_counts(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -67,5 +76,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media}
+QUERIES = {"op1_token_ids": op1_token_ids, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media}
 ORACLE_SQL = {"op9_line_dedup": lines.ORACLE_SQL}
