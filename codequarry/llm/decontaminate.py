@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.rows import KEY, row_key
+from codequarry.sources.scratch import stage
+
 WORD = re.compile(r"[^\W_]+")
 #: Share of an item's words that may be edited.
 EDITS = 0.2
@@ -149,15 +152,15 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
                 if size > BLOCK or k == len(ids):
                     rows += [(ids[first + t], item_id, d, last, keys[first + t]) for t, it, d, last in index.matches(held) for item_id in index.ids[it]]
                     held, first, size = [], k, 0
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, distance int, last_word int, row_key long")
+    return docs.mapInArrow(run, "doc_id long, item_id long, distance int, last_word int, row_key string")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, slice_items: int = 100_000) -> DataFrame:
     """A row (``doc_id``, ``item_id``, ``distance`` in words, ``last_word``, ``row_key`` of the document) for each item that occurs in a document."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("row_key"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row_key"))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     count = -(-max(1, items.count()) // slice_items)
     found = None
@@ -171,5 +174,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slice_items: int = 100_0
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those in which a test item occurs."""
-    keys = contaminated(docs, benchmark).select("row_key").distinct()
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(keys, "row_key", "left_anti").select(*docs.columns)
+    keys = stage(contaminated(docs, benchmark).select(F.col("row_key").alias(KEY)).distinct(), "contaminated")
+    return docs.withColumn(KEY, row_key()).join(keys, KEY, "left_anti").drop(KEY)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: First and last code points of scripts.
 SCRIPTS = {
@@ -186,7 +187,7 @@ def _texts(batch: pa.RecordBatch, most: int = 400_000) -> Iterator[tuple[int, li
     import regex
 
     word, held, first, n = regex.compile(WORD), [], 0, 0
-    for k, text in enumerate(batch.column("text")):
+    for k, text in enumerate(batch.column(0)):
         held.append(word.findall(text.as_py() or ""))
         n += len(held[-1])
         if n > most:
@@ -196,8 +197,8 @@ def _texts(batch: pa.RecordBatch, most: int = 400_000) -> Iterator[tuple[int, li
         yield first, held
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (share of letters in that language) and ``spans``, the runs of words: language, first word, words."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to ``keep``, ``lang_pred``, ``score`` (share of letters in that language) and ``spans``, the runs of words: language, first word, words."""
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     spans_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))
 
@@ -225,10 +226,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 if k:
                     for at, n, label, t in zip((change - bounds[owner[change]]).tolist(), runs.tolist(), labels[change].tolist(), owner[change].tolist(), strict=True):
                         spans[t].append({"lang": model.langs[label], "first_word": at, "words": n})
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, spans_type)], ["doc_id", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[1:]), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, spans_type)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>")
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in keep))
+    out = StructType([*rows.schema.fields[1:], *StructType.fromDDL("lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>").fields])
+    names = out.fieldNames()
+    return rows.mapInArrow(run, out)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -6,7 +6,7 @@ sketch. Lines on at least ``min_sites`` sites are removed from every document, u
 ``max_share`` of its characters: such a document is a copy of another as a whole, which near-duplicate removal deals with.
 
 Lines under ``min_chars`` characters are kept. A null text stays null and has no lines; a null site is a site of its own (the empty
-one). Repeated rows are kept and treated alike. Extra columns are returned unchanged.
+one). Repeated rows are kept and treated alike. Extra columns are returned unchanged, but for ones named like the two new ones.
 """
 
 from __future__ import annotations
@@ -47,20 +47,20 @@ def spread_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 20) -> Da
 def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 20, max_share: float = 0.5) -> DataFrame:
     """``docs`` with cleaned ``text`` and two more columns, ``n_lines`` and ``n_removed``."""
     spread = stage(spread_lines(docs, min_sites, min_chars), "boilerplate")
-    on_lines = docs.select(_row_key().alias("row_key"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_clean(x))))).alias("h"))
-    found = on_lines.join(spread, "h").groupBy("row_key").agg(F.collect_set("h").alias("spread"))
+    on_lines = docs.select(_row_key().alias("__row_key"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_clean(x))))).alias("h"))
+    found = on_lines.join(spread, "h").groupBy("__row_key").agg(F.collect_set("h").alias("__spread"))
     lines = F.split("text", "\n")
-    clean = F.filter(lines, lambda x: ~F.array_contains("spread", F.xxhash64(_clean(x))))
-    marked = docs.withColumn("row_key", _row_key()).join(found, "row_key", "left").withColumn("kept", F.when(F.col("spread").isNotNull(), clean))
-    chars = F.aggregate("kept", F.lit(0), lambda n, x: n + F.length(x))
+    clean = F.filter(lines, lambda x: ~F.array_contains("__spread", F.xxhash64(_clean(x))))
+    marked = docs.withColumn("__row_key", _row_key()).join(found, "__row_key", "left").withColumn("__kept", F.when(F.col("__spread").isNotNull(), clean))
+    chars = F.aggregate("__kept", F.lit(0), lambda n, x: n + F.length(x))
     total = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
-    cut = F.col("kept").isNotNull() & (chars >= total * (1 - max_share))
+    cut = F.col("__kept").isNotNull() & (chars >= total * (1 - max_share))
     return (
-        marked.withColumn("cut", F.coalesce(cut, F.lit(False)))
+        marked.withColumn("__cut", F.coalesce(cut, F.lit(False)))
         .withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0))
-        .withColumn("n_removed", F.when(F.col("cut"), F.col("n_lines") - F.size("kept")).otherwise(0))
-        .withColumn("text", F.when(F.col("cut"), F.array_join("kept", "\n")).otherwise(F.col("text")))
-        .drop("row_key", "spread", "kept", "cut")
+        .withColumn("n_removed", F.when(F.col("__cut"), F.col("n_lines") - F.size("__kept")).otherwise(0))
+        .withColumn("text", F.when(F.col("__cut"), F.array_join("__kept", "\n")).otherwise(F.col("text")))
+        .drop("__row_key", "__spread", "__kept", "__cut")
     )
 
 

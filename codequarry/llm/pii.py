@@ -18,6 +18,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.llm.rows import row_key
 from codequarry.sources.scratch import stage
 
 #: Kinds in the order of the digest, and their patterns. The groups repeat possessively, and matches may only begin
@@ -51,7 +52,7 @@ def _pieces(kind: str, pattern: str) -> Column:
 
 def _candidates(docs: DataFrame) -> DataFrame:
     """All matches with their places: running lengths of the gaps and matches before them. One pass over the texts."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.monotonically_increasing_id().alias("copy"), "text").filter(F.col("text").rlike("[@0-9]"))
+    rows = docs.select(row_key().alias("row_key"), F.monotonically_increasing_id().alias("copy"), "text").filter(F.col("text").rlike("[@0-9]"))
     none = F.expr("cast(array() as array<struct<kind:string,i:int,gap:int,value:string,before:string>>)")
     pieces = F.concat(*(F.coalesce(_pieces(k, p), none) for k, p in (BASE | MORE).items()))
     found = rows.select("row_key", "copy", F.inline(pieces))
@@ -169,7 +170,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     spans = find_spans(docs).select("row_key", F.struct("start", rank.alias("rank"), "end", "kind").alias("span"))
     # One set of spans per document; rows that are copies of each other in id and text give the same set.
     listed = spans.groupBy("row_key").agg(F.sort_array(F.collect_set("span")).alias("spans"))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"))
+    rows = docs.select("doc_id", row_key().alias("row_key"))
     found = rows.join(listed, "row_key", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")))
 
     def text(only_base: bool) -> Column:

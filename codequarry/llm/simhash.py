@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.components import components
+from codequarry.llm.rows import KEY, row_key
 from codequarry.sources.scratch import stage
 
 BITS = 64
@@ -61,15 +62,16 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a long) of every whole text."""
+def fingerprints(docs: DataFrame, words: int = 4, *also: str) -> DataFrame:
+    """``doc_id``, ``fp`` (the fingerprint's bits as a long) and string columns to keep, of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py() or b"", words) for x in batch.column("text").cast(pa.binary())], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *(batch.column(c) for c in also)], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} string" for c in also)]))
 
 
 def _flips(positions: list[int], most: int) -> list[np.ndarray]:
@@ -177,12 +179,33 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def near_classes(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """``fp``, ``root`` (equal for linked fingerprints) and ``first`` (the least ``doc_id`` with the fingerprint) of each distinct fingerprint."""
+    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    root = components(links(nodes.select("fp"), radius))
+    return nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` reachable over links, for every row."""
     prints = stage(fingerprints(docs, words), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    root = components(links(nodes.select("fp"), radius))
-    classes = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = near_classes(prints, radius)
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = classes.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: the one with the least ``doc_id``, of several such the one with the least key of its text."""
+    rows = stage(fingerprints(docs.select("doc_id", "text", row_key().alias(KEY)), words, KEY), "fingerprints")
+    classes = near_classes(rows, radius)
+    of_row = rows.join(classes, "fp").select("root", F.struct(F.col("doc_id").isNull(), "doc_id", KEY).alias("row"))
+    counted = stage(of_row.groupBy("root", "row").count(), "rows")
+    least = counted.groupBy("root").agg(F.min("row").alias("first"))
+    judged = counted.join(least, "root")
+    losers = judged.filter("row <> first").select(f"row.{KEY}")
+    left = docs.withColumn(KEY, row_key()).join(losers, KEY, "left_anti")
+    twice = judged.filter("row = first and count > 1").select(f"row.{KEY}").distinct()
+    if not twice.isEmpty():  # repeated rows: equal in id and text, so equal in key
+        left = left.join(twice, KEY, "left_anti").union(left.join(twice, KEY, "left_semi").dropDuplicates([KEY]))
+    return left.drop(KEY)
