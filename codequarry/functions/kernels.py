@@ -34,6 +34,25 @@ PARSED = f"error string, functions array<struct<{FUNCTION}>>"
 CHANGED = f"error string, before array<struct<{FUNCTION}>>, after array<struct<{FUNCTION}>>"
 
 
+Kids = dict[ast.AST, list[ast.AST]]
+
+
+def family(root: ast.AST) -> tuple[list[ast.AST], Kids]:
+    """All nodes breadth first, and the children of each; looked up once for all measures."""
+    nodes, kids = [root], {}
+    for node in nodes:
+        kids[node] = list(ast.iter_child_nodes(node))
+        nodes += kids[node]
+    return nodes, kids
+
+
+def below(root: ast.AST, kids: Kids) -> list[ast.AST]:
+    nodes = [root]
+    for node in nodes:
+        nodes += kids[node]
+    return nodes
+
+
 def parse(text: str) -> tuple[ast.Module | None, str | None]:
     try:
         return ast.parse(text), None
@@ -104,24 +123,24 @@ def _double(value: float) -> float:
         return float("inf")
 
 
-def _within(scope: ast.AST) -> Iterator[ast.AST]:
+def _within(scope: ast.AST, kids: Kids) -> Iterator[ast.AST]:
     """Nodes of a scope from the first to the last; scopes inside it are leaves."""
-    todo = list(ast.iter_child_nodes(scope))[::-1]
+    todo = kids[scope][::-1]
     while todo:
         node = todo.pop()
         yield node
         if not isinstance(node, SCOPES):
-            todo.extend(list(ast.iter_child_nodes(node))[::-1])
+            todo += kids[node][::-1]
 
 
 def _names(node: ast.AST) -> set[str]:
     return {x.id for x in ast.walk(node) if isinstance(x, ast.Name)}
 
 
-def _taken_from_outside(scope: ast.AST) -> set[str]:
+def _taken_from_outside(scope: ast.AST, kids: Kids) -> set[str]:
     own = set().union(*(_names(g.target) for g in getattr(scope, "generators", [])))
     read: set[str] = set()
-    for node in _within(scope):
+    for node in _within(scope, kids):
         match node:
             case ast.arg(arg=name) | ast.Name(id=name, ctx=ast.Store()):
                 own.add(name)
@@ -130,15 +149,15 @@ def _taken_from_outside(scope: ast.AST) -> set[str]:
             case ast.Name(id=name, ctx=ast.Load()):
                 read.add(name)
             case _ if isinstance(node, SCOPES):
-                read |= _taken_from_outside(node)
+                read |= _taken_from_outside(node, kids)
     return read - own
 
 
-def unused_variables(function: ast.AST) -> list[int]:
+def unused_variables(function: ast.AST, kids: Kids) -> list[int]:
     """Lines of first assignments of locals that nothing reads and no idiom explains."""
     first: dict[str, int] = {}
     explained: set[str] = set()
-    for node in _within(function):
+    for node in _within(function, kids):
         match node:
             case ast.Name(id=name, ctx=ast.Store()):
                 first.setdefault(name, node.lineno)
@@ -153,32 +172,32 @@ def unused_variables(function: ast.AST) -> list[int]:
                     if isinstance(target, (ast.Tuple, ast.List)):
                         explained |= _names(target)
             case _ if isinstance(node, SCOPES):
-                explained |= _taken_from_outside(node)
+                explained |= _taken_from_outside(node, kids)
     return [line for name, line in first.items() if name not in explained and not name.startswith("_")]
 
 
-def dead_code(nodes: list[ast.AST]) -> list[dict]:
+def dead_code(nodes: list[ast.AST], kids: Kids) -> list[dict]:
     """Statements behind a jump in their block, then variables that nothing reads."""
     found = []
     for node in nodes:
-        for block in (getattr(node, f, None) for f in ("body", "orelse", "finalbody")):
+        for block in (getattr(node, f, None) for f in ("body", "orelse", "finalbody") if f in node._fields):
             if isinstance(block, list):
                 jump = next((k for k, s in enumerate(block) if isinstance(s, JUMPS)), len(block))
                 found += [{"type": "unreachable", "lineno": s.lineno} for s in block[jump + 1 :]]
     for node in nodes:
         if isinstance(node, DEFS):
-            found += [{"type": "unused_var", "lineno": line} for line in unused_variables(node)]
+            found += [{"type": "unused_var", "lineno": line} for line in unused_variables(node, kids)]
     return found
 
 
-def depth(root: ast.AST, kinds: tuple | type = ast.AST) -> int:
+def depth(root: ast.AST, kids: Kids, kinds: tuple | type = ast.AST) -> int:
     """Most nodes of some kinds on a way down from ``root``, itself included if it is of them."""
     deepest, todo = 0, [(root, 0)]
     while todo:
         node, level = todo.pop()
         level += isinstance(node, kinds)
         deepest = max(deepest, level)
-        todo.extend((c, level) for c in ast.iter_child_nodes(node))
+        todo += [(c, level) for c in kids[node]]
     return deepest
 
 
@@ -198,20 +217,20 @@ def measure(source: str) -> dict:
     tree, error = parse(source)
     if error:
         return out
-    nodes = list(ast.walk(tree))
+    nodes, kids = family(tree)
     first = next((n for n in nodes if isinstance(n, DEFS)), None)
     out |= {
         "parses": True,
-        "n_statements": sum(isinstance(n, ast.stmt) for n in ast.walk(first)) - 1 if first else 0,
-        "max_depth": depth(first or tree, NESTING),
+        "n_statements": sum(isinstance(n, ast.stmt) for n in below(first, kids)) - 1 if first else 0,
+        "max_depth": depth(first or tree, kids, NESTING),
         "magic": magic_numbers(nodes),
-        "dead": dead_code(nodes),
+        "dead": dead_code(nodes, kids),
         "called": sorted(called_in(nodes)),
     }
     if (top := top_level_function(tree)) is not None:
-        inside = list(ast.walk(top))
+        inside = below(top, kids)
         out["identifiers"] = sorted({n.id if isinstance(n, ast.Name) else n.attr for n in inside if isinstance(n, (ast.Name, ast.Attribute))})
-        out["shape"] = {"n_stmts": len(top.body), "n_params": n_params(top), "depth": depth(top) - 1, "n_returns": sum(isinstance(n, ast.Return) for n in inside)}
+        out["shape"] = {"n_stmts": len(top.body), "n_params": n_params(top), "depth": depth(top, kids) - 1, "n_returns": sum(isinstance(n, ast.Return) for n in inside)}
         out["nodes"] = len(inside)
     return out
 
@@ -261,8 +280,11 @@ def syntax_error(code: str | None) -> str | None:
     return parse(code or "")[1]
 
 
-def labels_of(node: ast.AST) -> tuple[list[str], list[int]]:
-    """Kinds of a tree's nodes in postorder, and for each the first node of its subtree."""
+#: Kinds of a tree's nodes in postorder, and for each the first node of its subtree.
+Labelled = tuple[list[str], list[int]]
+
+
+def labels_of(node: ast.AST) -> Labelled:
     labels: list[str] = []
     first: list[int] = []
     todo: list[tuple[ast.AST, int | None]] = [(node, None)]
@@ -277,11 +299,47 @@ def labels_of(node: ast.AST) -> tuple[list[str], list[int]]:
     return labels, first
 
 
-def tree_distance(one: tuple[list[str], list[int]], two: tuple[list[str], list[int]]) -> int:
-    """Least insertions, deletions and relabellings of nodes from one ordered tree to another (Zhang and Shasha), a numpy row at a time."""
-    if one == two:
-        return 0
+def _children(first: list[int], node: int) -> list[tuple[int, int]]:
+    """First and last node (postorder) of each child's subtree."""
+    spans, at = [], node - 1
+    while at >= first[node]:
+        spans.append((first[at], at))
+        at = first[at] - 1
+    return spans[::-1]
+
+
+def _equal(one: Labelled, x: tuple[int, int], two: Labelled, y: tuple[int, int]) -> bool:
     (a, la), (b, lb) = one, two
+    (i, m), (j, n) = x, y
+    return m - i == n - j and a[i : m + 1] == b[j : n + 1] and all(p - i == q - j for p, q in zip(la[i : m + 1], lb[j : n + 1], strict=True))
+
+
+def _differing(one: Labelled, two: Labelled) -> tuple[Labelled, Labelled]:
+    """Smaller trees of the same distance: equal roots, and equal trees at either end of what is below them, add nothing to it."""
+    xs, ys = [(0, len(one[0]) - 1)], [(0, len(two[0]) - 1)]
+    while True:
+        for end in (0, -1):
+            while xs and ys and _equal(one, xs[end], two, ys[end]):
+                xs.pop(end), ys.pop(end)
+        if len(xs) == len(ys) == 1 and one[0][xs[0][1]] == two[0][ys[0][1]]:
+            xs, ys = _children(one[1], xs[0][1]), _children(two[1], ys[0][1])
+        else:
+            break
+    out = []
+    for (labels, first), spans in ((one, xs), (two, ys)):
+        kept, begin = [], []
+        for i, m in spans:
+            begin += [f - i + len(kept) for f in first[i : m + 1]]
+            kept += labels[i : m + 1]
+        out.append(([*kept, ""], [*begin, 0]))
+    return out[0], out[1]
+
+
+def tree_distance(one: Labelled, two: Labelled) -> int:
+    """Least insertions, deletions and relabellings of nodes from one ordered tree to another: Zhang and Shasha's recurrence, a numpy row at a time."""
+    (a, la), (b, lb) = _differing(one, two)
+    if len(a) == 1 or len(b) == 1:
+        return len(a) + len(b) - 2
     numbers = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
     an, bn = (np.array([numbers[x] for x in labels]) for labels in (a, b))
     la_, lb_ = np.array(la), np.array(lb)
@@ -290,21 +348,19 @@ def tree_distance(one: tuple[list[str], list[int]], two: tuple[list[str], list[i
     for i in roots[0]:
         for j in roots[1]:
             i0, j0 = la[i], lb[j]
-            width = j - j0 + 1
-            step = np.arange(width + 1)
-            forest = np.zeros((i - i0 + 2, width + 1), np.int64)
+            step = np.arange(j - j0 + 2)
+            forest = np.zeros((i - i0 + 2, len(step)), np.int64)
             forest[0], forest[:, 0] = step, np.arange(i - i0 + 2)
-            whole_b = lb_[j0 : j + 1] == j0
-            back_b = lb_[j0 : j + 1] - j0
+            whole, back, here = lb_[j0 : j + 1] == j0, lb_[j0 : j + 1] - j0, slice(j0, j + 1)
             for x in range(i0, i + 1):
-                r = x - i0 + 1
-                along = forest[r - 1, :-1] + (an[x] != bn[j0 : j + 1])
-                apart = forest[la_[x] - i0, back_b] + trees[x, j0 : j + 1]
-                best = np.minimum(forest[r - 1, 1:] + 1, np.where(whole_b, along, apart) if la_[x] == i0 else apart)
-                row = np.concatenate([[forest[r, 0]], best])
-                forest[r] = np.minimum.accumulate(row - step) + step
+                row, done = forest[x - i0 + 1], trees[x, here]
+                best = forest[la_[x] - i0, back] + done
+                if la_[x] == i0:
+                    best = np.where(whole, forest[x - i0, :-1] + (an[x] != bn[here]), best)
+                row[1:] = np.minimum(forest[x - i0, 1:] + 1, best)
+                np.add(np.minimum.accumulate(row - step), step, out=row)
                 if la_[x] == i0:
-                    trees[x, j0 : j + 1] = np.where(whole_b, forest[r, 1:], trees[x, j0 : j + 1])
+                    done[whole] = row[1:][whole]
     return int(trees[-1, -1])
 
 
@@ -341,18 +397,19 @@ def pattern_input(code: str | None, function_name: str | None) -> dict:
     out = {"parses": error is None, "lines": len(code.splitlines())}
     if error:
         return out
-    by_name = {n.name: n for n in ast.walk(tree) if isinstance(n, DEFS)}
+    nodes, kids = family(tree)
+    by_name = {n.name: n for n in nodes if isinstance(n, DEFS)}
     wanted = [function_name, (function_name or "").rpartition(".")[2]]
     main = next((x for x in wanted if x in by_name), next(iter(by_name), None))
     arguments = {k: [a.arg for a in (*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs)] for k, f in by_name.items()}
     out |= {"functions": list(by_name), "main": main, "params": arguments, "n_params": {k: n_params(f) for k, f in by_name.items()}}
-    out["attributes"] = {k: sorted({n.attr for n in ast.walk(f) if isinstance(n, ast.Attribute)}) for k, f in by_name.items()}
+    out["attributes"] = {k: sorted({n.attr for n in below(f, kids) if isinstance(n, ast.Attribute)}) for k, f in by_name.items()}
     if main is not None:
-        inside = list(ast.walk(by_name[main]))
+        inside = below(by_name[main], kids)
         out["called"] = sorted(called_in(inside))
         out["names"] = sorted({n.id for n in inside if isinstance(n, ast.Name)})
         out["literals"] = sorted({_spelling(n.value) for n in inside if isinstance(n, ast.Constant) and isinstance(n.value, (int, float, str))})
-        out["depth"] = depth(by_name[main], NESTING)
+        out["depth"] = depth(by_name[main], kids, NESTING)
         out["guards"] = sum(isinstance(n, ast.If) and isinstance(n.body[-1], JUMPS) for n in inside)
     return out
 

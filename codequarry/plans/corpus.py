@@ -73,7 +73,7 @@ def modified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     q, j = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
     status = F.col("l_returnflag")
-    before = {"params": q % 9, "depth": j % 6, "literals": q % 4, "dead": q % 3, "filler": q}
+    before = {"params": q % 9, "depth": j % 6, "literals": q % 4, "dead": q % 3, "filler": F.when(q % 10 == 0, 32).otherwise(q % 5)}
 
     def after(name: str, c: Column) -> Column:
         return F.when(status == "R", F.lit(1 if name == "filler" else 0)).when(status == "A", F.floor(c / 2).cast("int")).otherwise(c)
