@@ -1,4 +1,6 @@
 """Registered queries and, where SQL expresses them, the same queries for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from codequarry.plans import code_queries, review_queries, table_queries
+
+QUERIES: dict = code_queries.QUERIES | table_queries.QUERIES | review_queries.QUERIES
+ORACLE_SQL: dict = code_queries.ORACLE_SQL | table_queries.ORACLE_SQL | review_queries.ORACLE_SQL

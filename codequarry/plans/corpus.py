@@ -70,6 +70,7 @@ def modified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as commits, each to one file, with the lines of the order as its functions before and after.
 
     Returned lines lose every smell, accepted ones some, the others stay as they are; returned lines whose number is odd get a helper.
+    Lines with one number are definitions of one name, of which the last counts.
     """
     q, j = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
     status = F.col("l_returnflag")
@@ -84,7 +85,8 @@ def modified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = function_source(base, *before.values(), none)
     new = function_source(base, *(after(n, c) for n, c in before.items()), none, helper)
     extra = F.when(helper.isNotNull(), F.concat(F.lit("\n\n\ndef "), helper, F.lit("(total):\n    return total + 1"))).otherwise("")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct(j.alias("j"), old.alias("old"), F.concat(new, extra).alias("new")).alias("line"))
+    place = [j.alias("j"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")]
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct(*place, old.alias("old"), F.concat(new, extra).alias("new")).alias("line"))
     files = lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     orders = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
