@@ -271,7 +271,8 @@ def both_sides(before: str | None, after: str | None, dedent: bool = False) -> d
     (error, old), (error_after, new) = listed(before, dedent), listed(after, dedent)
     if error or error_after:
         return {"error": error or error_after, "before": [], "after": []}
-    same = {(f["qualname"], f["source"]) for f in old} & {(f["qualname"], f["source"]) for f in new}
+    kept = [{(f["qualname"], f["source"]) for f in side if not f["shadowed"]} for side in (old, new)]
+    same = kept[0] & kept[1]
     sides = [[f if (f["qualname"], f["source"]) in same else f | measure(f["source"]) for f in side] for side in (old, new)]
     return {"error": None, "before": sides[0], "after": sides[1]}
 
