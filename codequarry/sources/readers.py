@@ -51,19 +51,15 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str, strict:
     A malformed line is an error if ``strict`` and is skipped otherwise; with ``key``, rows without it are skipped too. ``order`` adds ``line``, an
     order within a file that a later line is last in: where it begins in the file and where it comes in its part.
     """
-    reader = spark.read.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad")
+    place = [F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("line")] if order else []
     if strict:
         rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-        names = rows.columns
+        rows = rows.select(*rows.columns, *place)
     else:
-        # The column of bad lines is asked for, so that a line counts as bad whichever columns are used later.
-        rows = reader.option("mode", "PERMISSIVE").json(path)
-        names = [c for c in rows.columns if c != "__bad"]
-        rows = rows.filter("__bad is null")
-    if order:
-        rows = rows.select(*names, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("line"))
-    else:
-        rows = rows.select(*names)
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+        read = F.from_json("value", f"{schema}, __bad string", options).alias("row")
+        rows = spark.read.text(path).filter(F.trim("value") != "").select(read, *place).filter("row is not null and row.__bad is null")
+        rows = rows.select("row.*", *(["line"] if order else [])).drop("__bad")
     return rows.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "") if key else rows
 
 
