@@ -4,15 +4,18 @@ Script ranges narrow the languages that a word can have; a character n-gram mode
 with a penalty for each switch labels spans of words. A document's language is the one with most
 letters in its spans.
 
-Training counts n-grams with Spark over a bounded sample of labelled rows (``max_rows``, by hash of ``doc_id``),
+Training counts n-grams with Spark over a bounded sample of labelled rows (``max_rows``, by hash of ``doc_id``; ties beyond it at random),
 whole texts. A null text or one without a letter is ``und`` with score 0 and no spans. Rows are
 independent of each other; null labels are not learned from; extra columns are ignored. If nothing can be learned, every text is ``und``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +49,63 @@ WORD = r"\p{L}[\p{L}\p{M}]*"
 UNKNOWN = "und"
 
 
+@lru_cache(maxsize=4096)
 def script_of(char: str) -> int:
     point = ord(char)
     return next((k for k, ranges in enumerate(SCRIPTS.values()) if any(a <= point <= b for a, b in ranges)), OTHER)
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the one- to three-character grams of a word with its ends, and of the word itself."""
-    import xxhash
+#: Letters of texts that need no more than these, and what shows that a text may need others.
+_PLAIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+")
+_OTHERS = re.compile("[\u02b0-\u1fff\u2070-\u209f\u20c0-\U0010ffff]")
 
-    marked = f" {word[:64]} "
-    parts = [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)] + [marked]
-    return [xxhash.xxh64_intdigest(p, 7) % BUCKETS for p in parts]
+
+def words_of(text: str, general) -> list[str]:
+    """Matches of ``WORD``, which ``general`` is compiled from; most texts have letters that a plainer pattern finds faster."""
+    return general.findall(text) if _OTHERS.search(text) else _PLAIN.findall(text)
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+LONGEST = 64
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the one- to three-character grams of each word with its ends, and of the word itself, and the number of them by word.
+
+    A word counts up to its 64th character.
+    """
+    marked = [f" {w[:LONGEST]} " for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(points)) - start[owner]
+    powers = np.cumprod(np.full(LONGEST + 2, _MIX, np.uint64))
+    hashes, owners = [], []
+    for n in (1, 2, 3):
+        at = np.flatnonzero(place <= size[owner] - n)
+        value = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            value = value * _MIX + points[at + k]
+        hashes.append(value * np.uint64(n + 1))
+        owners.append(owner[at])
+    if words:
+        hashes.append(np.add.reduceat(points * powers[place], start))
+        owners.append(np.arange(len(words)))
+    value, of = np.concatenate(hashes), np.concatenate(owners)
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(32)
+    order = np.argsort(of, kind="stable")
+    return (value[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(of, minlength=len(words))
+
+
+class _Numbers(dict):
+    """Numbers for words, given as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 @dataclass
@@ -68,45 +116,60 @@ class Model:
     #: whether a language (column) occurs in a script (row)
     allowed: np.ndarray
     switch: float
-    _cache: dict = field(default_factory=dict, repr=False)
+    _numbers: _Numbers = field(default_factory=_Numbers, repr=False)
+    _scores: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_cache": {}}
+        return {**self.__dict__, "_numbers": _Numbers(), "_scores": None}
+
+    def _new_scores(self, words: list[str]) -> np.ndarray:
+        low = [w.lower() for w in words]
+        buckets, count = grams(low)
+        first = np.cumsum(count) - count
+        mean = np.add.reduceat(self.weights[buckets], first, axis=0) / count[:, None].astype(np.float32)
+        longer = np.sqrt(np.minimum(np.fromiter(map(len, low), np.int64, len(low)) + 2, 20)).astype(np.float32)
+        row = mean * longer[:, None]
+        allowed = self.allowed[[script_of(w[0]) for w in low]]
+        best = np.where(allowed, row, -np.inf).max(axis=1, keepdims=True)
+        none = ~allowed.any(axis=1, keepdims=True)
+        return np.where(none, 0, np.where(allowed, row - np.where(none, 0, best), -30)).astype(np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Rows of scores; a word whose script no language has counts for none."""
-        cache, rows = self._cache, []
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for word in words:
-            row = cache.get(word)
-            if row is None:
-                low = word.lower()
-                allowed = self.allowed[script_of(low[0])]
-                if allowed.any():
-                    row = self.weights[grams(low)].mean(axis=0) * min(len(low) + 2, 20) ** 0.5
-                    row = np.where(allowed, row - row[allowed].max(), -30.0)
-                else:
-                    row = np.zeros(len(self.langs))
-                cache[word] = row.astype(np.float32)
-                row = cache[word]
-            rows.append(row)
-        return np.array(rows, np.float32).reshape(-1, len(self.langs))
+        """Rows of scores; a word whose script no language has counts for none. Scores are remembered by word."""
+        numbers = self._numbers
+        if len(numbers) > CACHE_WORDS:
+            numbers.clear()
+        if not numbers:
+            self._scores = np.zeros((0, len(self.langs)), np.float32)
+        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        if len(numbers) > len(self._scores):
+            fresh = list(islice(numbers, len(self._scores), None))
+            self._scores = np.concatenate([self._scores, *(self._new_scores(fresh[k : k + 50_000]) for k in range(0, len(fresh), 50_000))])
+        return self._scores[at]
 
 
 def train(docs: DataFrame, max_rows: int = 4000, switch: float = 3.0) -> Model:
-    """Counts by Spark over at most ``max_rows`` labelled rows, those with the least hash of ``doc_id`` and text."""
-    sample = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(max_rows)
+    """Counts by Spark over at most ``max_rows`` labelled rows, whole texts: those with the least hash of ``doc_id``.
+
+    The bound on the hash is found from ids alone, so no text moves for it.
+    """
+    rows = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    last = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    sample = rows.filter(F.col("h") <= F.lit(last)).limit(max_rows)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("word"))
     counted = words.groupBy("lang", "word").count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "count")), strict=True):
+            langs, found, counts = (batch.column(c).to_pylist() for c in ("lang", "word", "count"))
+            for lang in set(langs):
+                own = [k for k, x in enumerate(langs) if x == lang]
                 row = totals.setdefault(lang, np.zeros(BUCKETS + OTHER + 1, np.int64))
-                np.add.at(row, grams(word), n)
-                row[BUCKETS + script_of(word[0])] += n
+                n = np.array([counts[k] for k in own], np.int64)
+                buckets, per_word = grams([found[k] for k in own])
+                np.add.at(row, buckets, np.repeat(n, per_word))
+                np.add.at(row, BUCKETS + np.array([script_of(found[k][0]) for k in own]), n)
         for lang, row in totals.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], ["lang", "feature", "n"])
@@ -188,7 +251,7 @@ def _texts(batch: pa.RecordBatch, most: int = 400_000) -> Iterator[tuple[int, li
 
     word, held, first, n = regex.compile(WORD), [], 0, 0
     for k, text in enumerate(batch.column(0)):
-        held.append(word.findall(text.as_py() or ""))
+        held.append(words_of(text.as_py() or "", word))
         n += len(held[-1])
         if n > most:
             yield first, held
