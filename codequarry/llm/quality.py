@@ -5,8 +5,8 @@ of every filter, and a document has the largest and the mean of its chunks' resp
 makes one probability. Inference adds up table rows: one row for each pair of neighbouring bytes and
 place in the filter, so no byte is ever expanded to a one-hot vector.
 
-Training takes at most ``max_rows`` labelled rows of at most ``max_bytes`` bytes, whole texts, those with the least
-hash. Null and empty texts are one chunk of padding. Rows are independent of each other; extra columns are
+Training takes at most ``max_rows`` labelled rows of at most ``max_bytes`` bytes, whole texts, those whose
+``doc_id`` has the least hash. Null and empty texts are one chunk of padding. Rows are independent of each other; extra columns are
 ignored. Without labels of both kinds every score is the share of label 1 (0.5 without any).
 """
 
@@ -137,10 +137,17 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
     return Network(params["filters"].astype(np.float32), params["bias"].astype(np.float32), params["out"].astype(np.float32), float(params["out_bias"][0]))
 
 
-def train(labelled: DataFrame, max_rows: int = 3000, max_bytes: int = 16_384) -> Network:
-    """From rows of ``doc_id``, ``text`` and ``quality``; the bounds keep what reaches the driver under ``max_rows * max_bytes``."""
-    rows = labelled.filter("quality in (0, 1)").withColumn("text", F.coalesce("text", F.lit(""))).filter(F.octet_length("text") <= max_bytes)
-    got = rows.select("quality", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "quality").limit(max_rows).toArrow()
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_bytes: int = 16_384) -> Network:
+    """From ``text`` of ``docs`` and ``quality`` (0 or 1; others don't count) of ``labels``, by ``doc_id``.
+
+    The labels are chosen first, so the join broadcasts ``max_rows`` ids at most and moves no text but theirs; both bounds keep what
+    reaches the driver under ``max_rows * max_bytes``.
+    """
+    rows = labels.filter("quality in (0, 1)").select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
+    last = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    chosen = rows.filter(F.col("h") <= F.lit(last)).limit(max_rows)
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
+    got = whole.join(F.broadcast(chosen), "doc_id").limit(max_rows).orderBy("h", "text", "quality").toArrow()
     texts = [x.as_py() for x in got.column("text").cast(pa.binary())]
     return fit(texts, got.column("quality").to_numpy().astype(np.float64))
 

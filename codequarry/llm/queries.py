@@ -33,7 +33,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~language.held_out())
-    network = quality.train(docs.join(labels, "doc_id"))
+    network = quality.train(docs, labels)
     score = F.when(F.col("score") >= 0.3, 1).otherwise(0)
     return quality.score(docs, network).select("doc_id", language.held_out().alias("held_out"), "score", score.alias("predicted"))
 

@@ -61,7 +61,7 @@ def test_byte_bpe(frame):
 
 
 def test_quality(frame):
-    network = quality.train(frame.selectExpr("doc_id", "text", "cast(doc_id % 2 as int) as quality"))
+    network = quality.train(frame, frame.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
     rows = quality.score(frame, network).collect()
     assert len(rows) == size(frame) and all(0 <= r.score <= 1 for r in rows)
 
