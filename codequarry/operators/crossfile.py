@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import kernels
 from codequarry.functions.columns import is_test_path, jaccard, shape_distance
 from codequarry.functions.rowwise import with_kernel
+from codequarry.sources.scratch import stage
 
 COMMIT = ["repo", "commit_hash"]
 
@@ -25,20 +26,19 @@ def gone_and_fresh(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     info = [*COMMIT, "parent_commit", "seq", "message", "msg_keywords"]
     listed = with_kernel(rows.filter(~is_test_path("file")).select(*info, "old_path", "new_path", "file", "before", "after"), "sides", _side, f"struct<{kernels.CHANGED}>", "before", "after")
 
-    def of(side: str, other: str, path: str, other_path: str) -> DataFrame:
+    def only(side: str, other: str, path: str, other_path: str) -> Column:
         # In most rows both paths are one, and functions of that name are already known not to have moved.
         names = F.transform(f"sides.{other}", lambda f: f["name"])
         same = F.col(path).eqNullSafe(F.col(other_path))
-        only = F.filter(f"sides.{side}", lambda f: ~(same & F.array_contains(names, f["name"])))
-        return listed.select(*info, F.coalesce(path, "file").alias("path"), F.explode(only).alias("f")).filter(F.col("f.shape").isNotNull())
+        kept = F.filter(f"sides.{side}", lambda f: f["shape"].isNotNull() & ~(same & F.array_contains(names, f["name"])))
+        return F.transform(kept, lambda f: F.struct(F.lit(side).alias("side"), F.coalesce(path, "file").alias("path"), f["name"].alias("name"), f.alias("f")))
 
-    old, new = of("before", "after", "old_path", "new_path"), of("after", "before", "new_path", "old_path")
-    key = [*COMMIT, "path", "f.name"]
-    keys = [side.select(*key) for side in (old, new)]
+    sides = F.concat(only("before", "after", "old_path", "new_path"), only("after", "before", "new_path", "old_path"))
+    # Written once: both sides are read twice, and parsing is what costs.
+    moved = stage(listed.select(*info, F.inline(sides)), "moved-functions")
+    old, new = (moved.filter(F.col("side") == side).drop("side") for side in ("before", "after"))
     on = [*COMMIT, "path", "name"]
-    gone = old.withColumn("name", F.col("f.name")).join(keys[1], on, "left_anti").drop("name")
-    fresh = new.withColumn("name", F.col("f.name")).join(keys[0], on, "left_anti").drop("name")
-    return gone, fresh
+    return tuple(one.join(other.select(*on), on, "left_anti").drop("name") for one, other in ((old, new), (new, old)))
 
 
 def candidate_pairs(gone: DataFrame, fresh: DataFrame, shape: float = 0.5, similarity: float = 0.7, overlap: float = 0.0) -> DataFrame:
