@@ -5,6 +5,7 @@ Both versions of a file come in one row, so parsing and pairing need no shuffle;
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,25 +86,31 @@ def candidates(rows: DataFrame) -> DataFrame:
     """
     sided = with_kernel(rows.filter("before is not null and after is not null"), "sides", kernels.both_sides, f"struct<{kernels.CHANGED}>", "before", "after")
     last = {side: F.filter(f"sides.{side}", lambda f: ~f["shadowed"]) for side in ("before", "after")}
-    named = sided.drop("before", "after").withColumns({"olds": last["before"], "news": last["after"]}).drop("sides")
-    named = named.withColumns({"by_old": _by_name(F.col("olds")), "by_new": _by_name(F.col("news"))})
-    added = F.filter("news", lambda f: ~F.map_contains_key("by_old", f["qualname"]))
-
-    def one(old: Column) -> Column:
-        return F.struct(old.alias("old"), F.element_at("by_new", old["qualname"]).alias("new"))
 
     def changed(pair: Column) -> Column:
         old, new = pair["old"], pair["new"]
         return new.isNotNull() & (old["source"] != new["source"]) & old["parses"] & new["parses"] & (stripped(old["source"]) != stripped(new["source"])) & (F.length(stripped(new["source"])) >= 10)
 
-    def with_helpers(pair: Column) -> Column:
-        called = pair["new"]["called"]
-        return F.struct(pair["old"].alias("old"), pair["new"].alias("new"), F.filter("added", lambda h: F.array_contains(called, h["name"])).alias("helpers"))
+    def matched(m: Column) -> Column:
+        pairs = F.filter(F.transform(m["olds"], lambda old: F.struct(old.alias("old"), F.element_at(m["by_new"], old["qualname"]).alias("new"))), changed)
+        added = F.filter(m["news"], lambda f: ~F.map_contains_key(m["by_old"], f["qualname"]))
+        return F.struct(pairs.alias("pairs"), added.alias("added"))
+
+    def with_helpers(m: Column) -> Column:
+        def one(pair: Column) -> Column:
+            called = pair["new"]["called"]
+            return F.struct(pair["old"].alias("old"), pair["new"].alias("new"), F.filter(m["added"], lambda h: F.array_contains(called, h["name"])).alias("helpers"))
+
+        return F.transform(m["pairs"], one)
+
+    named = F.struct(last["before"].alias("olds"), last["after"].alias("news"), _by_name(last["before"]).alias("by_old"), _by_name(last["after"]).alias("by_new"))
+    keys = [c for c in sided.columns if c not in ("before", "after", "sides")]
+    return sided.select(*keys, F.inline(_let(_let(named, matched), with_helpers)))
+
 
-    pairs = F.filter(F.transform("olds", one), changed)
-    kept = named.withColumns({"added": added, "pairs": pairs}).drop("olds", "news", "by_old", "by_new")
-    keys = [c for c in kept.columns if c not in ("added", "pairs")]
-    return kept.filter(F.size("pairs") > 0).withColumn("pairs", F.transform("pairs", with_helpers)).select(*keys, F.inline("pairs"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: the optimizer would otherwise put its expression at every place of use, lambdas included."""
+    return F.transform(F.array(value), use)[0]
 
 
 def verified(found: DataFrame, options: Options = Options()) -> DataFrame:
