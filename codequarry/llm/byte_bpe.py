@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,24 +108,44 @@ def pieces(docs: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVE
     return listed.select("doc_id", "copy", "piece", F.array_join("parts.text", "").alias("text"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id`` and ``ids`` (little-endian uint32) of every whole text."""
+Finish = Callable[[list[bytes]], list[pa.Array]]
+
+
+def _finished(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, result: str, finish: Finish) -> DataFrame:
+    """``doc_id`` and the columns ``result`` that ``finish`` makes of the ids of every whole text.
+
+    Texts of one chunk are encoded and finished by one Python worker, so that a task needs no second one.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > chunk
+    schema = f"doc_id long, {result}"
+    names = [field.split()[0] for field in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [encode_bytes(t.as_py(), path, pattern) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *finish(ids)], names)
+
+    def piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [n for n in batch.schema.names if n != "text"]
             ids = pa.array([encode_bytes(t.as_py(), path, pattern) for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), ids], [*rest, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "copy", "piece")), ids], ["doc_id", "copy", "piece", "ids"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *finish([x.as_py() for x in batch.column("ids")])], names)
 
-    short = rows.filter(~long).mapInArrow(run, "doc_id long, ids binary")
     numbered = rows.filter(long).select("doc_id", F.monotonically_increasing_id().alias("copy"), "text")
-    parts = pieces(numbered, pattern, chunk, overlap).mapInArrow(run, "doc_id long, copy long, piece long, ids binary")
+    parts = pieces(numbered, pattern, chunk, overlap).mapInArrow(piece, "doc_id long, copy long, piece long, ids binary")
     # A document's ids are one value in the result, so its pieces meet in one row.
     joined = parts.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
-    whole = joined.select("doc_id", F.aggregate("parts.ids", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
-    return short.union(whole)
+    stitched = joined.select("doc_id", F.aggregate("parts.ids", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
+    return rows.filter(~long).mapInArrow(whole, schema).union(stitched.mapInArrow(last, schema))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``doc_id`` and ``ids`` (little-endian uint32) of every whole text."""
+    return _finished(docs, path, pattern, chunk, overlap, "ids binary", lambda ids: [pa.array(ids, pa.binary())])
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -139,17 +159,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every whole text."""
+def digests(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` (of the bytes that the ids decode to) of every whole text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [x.as_py() for x in batch.column("ids")]
-            columns = [
-                pa.array([len(x) // 4 for x in cells], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in cells], pa.string()),
-                pa.array([hashlib.sha256(decode_bytes(x, path, pattern)).hexdigest() for x in cells], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode(docs, path, pattern).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def finish(cells: list[bytes]) -> list[pa.Array]:
+        return [
+            pa.array([len(x) // 4 for x in cells], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in cells], pa.string()),
+            pa.array([hashlib.sha256(decode_bytes(x, path, pattern)).hexdigest() for x in cells], pa.string()),
+        ]
+
+    return _finished(docs, path, pattern, chunk, overlap, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish)
