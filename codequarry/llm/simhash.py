@@ -182,7 +182,11 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
 def near_classes(prints: DataFrame, radius: int = 4) -> DataFrame:
     """``fp``, ``root`` (equal for linked fingerprints) and ``first`` (the least ``doc_id`` with the fingerprint) of each distinct fingerprint."""
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    root = components(links(nodes.select("fp"), radius))
+    return _classes(nodes, links(nodes.select("fp"), radius))
+
+
+def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    root = components(edges)
     return nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -198,7 +202,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the one with the least ``doc_id``, of several such the one with the least key of its text."""
     rows = stage(fingerprints(docs.select("doc_id", "text", row_key().alias(KEY)), words, KEY), "fingerprints")
-    classes = near_classes(rows, radius)
+    return _first_rows(docs, rows, near_classes(rows, radius))
+
+
+def one_of_each_copy(docs: DataFrame) -> DataFrame:
+    """Like ``one_of_each``, for components over near copies: pairs whose sets of five-word shingles have Jaccard similarity 0.8 or more."""
+    from codequarry.llm import near_copies
+
+    text = F.col("text").cast("string")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("fp"), row_key().alias(KEY))
+    rows = stage(named.drop("text"), "texts")
+    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-texts")
+    return _first_rows(docs, rows, _classes(nodes, near_copies.links(named.select("fp", "text"))))
+
+
+def _first_rows(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     of_row = rows.join(classes, "fp").select("root", F.struct(F.col("doc_id").isNull(), "doc_id", KEY).alias("row"))
     counted = stage(of_row.groupBy("root", "row").count(), "rows")
     least = counted.groupBy("root").agg(F.min("row").alias("first"))

@@ -160,6 +160,20 @@ def test_ball_hashing_finds_all_links(spark):
     assert len({root.get(p, p) for p in prints}) == len(set(expected))
 
 
+def test_pipeline_drops_copies_that_differ_in_many_bits(spark):
+    rng = np.random.default_rng(5)
+    rows, changed = [], 0
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        copy = [*words[:30], "new", *words[31:90], "other", *words[91:]]  # 106 of 126 shingles are in both
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(copy), "t")]
+        changed += (brute.fingerprint(rows[-1][1]) ^ brute.fingerprint(rows[-2][1])).bit_count() > 4
+    rows += [(500, " ".join(words[:100] + [f"x{x}" for x in range(40)]), "u")]  # 96 of 156 shingles
+    assert changed > 10
+    left = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert {r.doc_id for r in left.collect()} == {*range(0, 120, 2), 500}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_codes_come_back(ranks):
