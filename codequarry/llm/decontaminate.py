@@ -119,7 +119,8 @@ class Index:
         places, found = self.hits(numbers)
         item, first = self.owners[found].T
         owner = np.searchsorted(bounds, places, side="right") - 1
-        # Hits of an item on nearly one diagonal belong to one occurrence: their windows are searched as one.
+        # A window has a spare more words at its end than an occurrence needs: hits whose diagonal is at most a spare beyond
+        # the one that was searched are in its window. Diagonals are compared, as ends are cut at the end of the text.
         diagonal = places - first
         order = np.lexsort((diagonal, item, owner))
         best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -128,9 +129,9 @@ class Index:
             words = self.items[it]
             spare = budget(len(words))
             begin, end = max(int(bounds[text]), start - spare), min(int(bounds[text + 1]), start + len(words) + 2 * spare)
-            if searched[:2] == (text, it) and end <= searched[2] + spare:
+            if searched[:2] == (text, it) and start <= searched[2] + spare:
                 continue
-            searched = (text, it, end)
+            searched = (text, it, start)
             got = myers(words, numbers[begin:end].tolist(), spare)
             if got and ((text, it) not in best or got[0] < best[text, it][0]):
                 best[text, it] = (got[0], begin + got[1] - int(bounds[text]) - 1)

@@ -236,6 +236,17 @@ def test_myers_is_the_distance(item, text):
     assert (got[0] if got else None) == (least if least < len(item) else None)
 
 
+def test_occurrences_at_the_end_of_a_text_are_found():
+    rng = np.random.default_rng(11)
+    item = [f"i{k}" for k in range(50)]
+    index = decontaminate.Index.build([(1, " ".join(item))])
+    cases = [(30, 25, [2, 12, 22, 32])] + [(30, int(rng.integers(1, 60)), sorted(rng.choice(50, int(rng.integers(0, 11)), replace=False).tolist())) for _ in range(300)]
+    for before, gap, edits in cases:
+        text = [f"b{k}" for k in range(before)] + item[:4] + [f"c{k}" for k in range(gap)] + [f"e{k}" if k in edits else w for k, w in enumerate(item)]
+        least = brute.least_edits(item, text)
+        assert [m[2] for m in index.matches([text])] == ([least] if least <= 10 else [])
+
+
 def test_labelers_that_agree_are_trusted():
     counts = {(1, 1, 1, 0): 40, (-1, 0, -1, 0): 200, (1, 0, 0, 0): 5, (0, 0, 0, 0): 60}
     tables, belief = pii.reliabilities(counts)
