@@ -3,7 +3,9 @@
 A line, without spaces at its ends, is counted by the sites it is on: a HyperLogLog sketch per line hash, merged by
 aggregation. Lines whose estimate is near the threshold get an exact distinct count; the rest are decided by the
 sketch. Lines on at least ``min_sites`` sites are removed from every document, unless they make up more than
-``max_share`` of its characters: such a document is a copy of another as a whole, which near-duplicate removal deals with.
+``max_share`` of its characters, as the query's SQL says. Without a ``max_share`` (the pipeline) they are removed from
+every document but those that have no other line; and a text counts for one of its sites only, the first in order, so copies
+of a whole text don't make its lines boilerplate.
 
 Lines under ``min_chars`` characters are kept. A null text stays null and has no lines; a null site is a site of its own (the empty
 one). Repeated rows are kept and treated alike. Extra columns are returned unchanged, but for ones named like the two new ones.
@@ -28,6 +30,14 @@ def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def one_site_a_text(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows whose text is also on a site that comes before theirs."""
+    site, text = F.coalesce("source", F.lit("")), F.xxhash64("text")
+    sites = docs.select(text.alias("__text"), site.alias("__site")).groupBy("__text").agg(F.min("__site").alias("__first"), F.max("__site").alias("__last"))
+    copied = stage(sites.filter("__first <> __last").select("__text", "__first"), "copied-texts")
+    return docs.withColumn("__text", text).join(copied, "__text", "left").filter(F.col("__first").isNull() | (F.col("__first") == site)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def spread_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 20) -> DataFrame:
     """``h``, the hash of each line that is on at least ``min_sites`` sites."""
     lines = (
@@ -44,9 +54,9 @@ def spread_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 20) -> Da
     return sure.union(exact)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 20, max_share: float = 0.5) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 20, max_share: float | None = 0.5) -> DataFrame:
     """``docs`` with cleaned ``text`` and two more columns, ``n_lines`` and ``n_removed``."""
-    spread = stage(spread_lines(docs, min_sites, min_chars), "boilerplate")
+    spread = stage(spread_lines(docs if max_share is not None else one_site_a_text(docs.select("source", "text")), min_sites, min_chars), "boilerplate")
     on_lines = docs.select(_row_key().alias("__row_key"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_clean(x))))).alias("h"))
     found = on_lines.join(spread, "h").groupBy("__row_key").agg(F.collect_set("h").alias("__spread"))
     lines = F.split("text", "\n")
@@ -54,7 +64,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 20,
     marked = docs.withColumn("__row_key", _row_key()).join(found, "__row_key", "left").withColumn("__kept", F.when(F.col("__spread").isNotNull(), clean))
     chars = F.aggregate("__kept", F.lit(0), lambda n, x: n + F.length(x))
     total = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
-    cut = F.col("__kept").isNotNull() & (chars >= total * (1 - max_share))
+    left = F.exists("__kept", lambda x: _clean(x) != "") if max_share is None else chars >= total * (1 - max_share)
+    cut = F.col("__kept").isNotNull() & left
     return (
         marked.withColumn("__cut", F.coalesce(cut, F.lit(False)))
         .withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0))

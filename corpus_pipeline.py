@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are on many sites go, and ``n_chars`` follows the text."""
-    cleaned = lines.remove_boilerplate(docs).select(*_columns(docs))
+    cleaned = lines.remove_boilerplate(docs, max_share=None).select(*_columns(docs))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 

@@ -136,6 +136,15 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert found[20] == (line, 0)
 
 
+def test_pipeline_takes_long_boilerplate_from_short_pages(spark):
+    line, copied = "all rights reserved by everyone here", "a page that was copied as a whole to many sites"
+    rows = [(k, f"{line}\nshort {k}", f"s{k}") for k in range(9)] + [(20, line, "s1"), (21, f"\n{line}\r\n", None)]
+    rows += [(30 + k, f"{copied}\nwith this", f"s{k}") for k in range(9)] + [(50, f"{copied}\nand another end", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, "").collect()}
+    assert found == {k: f"short {k}" if k < 9 else text for k, text, _ in rows}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000)]
     rows = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
