@@ -4,6 +4,9 @@ Script ranges narrow the languages that a word can have; a character n-gram mode
 with a penalty for each switch labels spans of words. A document's language is the one with most
 letters in its spans.
 
+A word is a run of letters of one script, at most ``LONGEST`` of them: longer runs and runs of more scripts, as in texts
+without spaces, are consecutive words, so every letter is learned from, scored and labelled.
+
 Training counts n-grams with Spark over a bounded sample of labelled rows (``max_rows``, by hash of ``doc_id``; ties beyond it at random),
 whole texts. A null text or one without a letter is ``und`` with score 0 and no spans. Rows are
 independent of each other; null labels are not learned from; extra columns are ignored. If nothing can be learned, every text is ``und``.
@@ -12,6 +15,7 @@ independent of each other; null labels are not learned from; extra columns are i
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -55,32 +59,56 @@ def script_of(char: str) -> int:
     return next((k for k, ranges in enumerate(SCRIPTS.values()) if any(a <= point <= b for a, b in ranges)), OTHER)
 
 
-#: Letters of texts that need no more than these, and what shows that a text may need others.
-_PLAIN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+")
-_OTHERS = re.compile("[\u02b0-\u1fff\u2070-\u209f\u20c0-\U0010ffff]")
+LONGEST = 64
+#: Latin words, and what shows that a text may have others.
+_PLAIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{1,%d}" % LONGEST)
+_OTHERS = re.compile("[\u00b5\u0250-\u1fff\u2070-\u209f\u20c0-\U0010ffff]")
+
+
+def parts_of(run: str) -> list[str]:
+    """Words of a run of letters and their marks; a mark has the script of its letter."""
+    out, start, letter, own = [], 0, 0, script_of(run[0])
+    for k, char in enumerate(run[1:], 1):
+        mark = unicodedata.category(char)[0] == "M"
+        script = own if mark else script_of(char)
+        if script != own or k - start == LONGEST:
+            cut = letter if mark and letter > start else k
+            out.append(run[start:cut])
+            start, own = cut, script
+        if not mark:
+            letter = k
+    return [*out, run[start:]]
+
+
+@lru_cache(maxsize=1)
+def _uniform():
+    """Matches runs that are one word."""
+    import regex
+
+    classes = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) for ranges in SCRIPTS.values())
+    return regex.compile("|".join(f"[{c}][{c}\\p{{M}}]{{0,{LONGEST - 1}}}" for c in classes)).fullmatch
 
 
 def words_of(text: str, general) -> list[str]:
-    """Matches of ``WORD``, which ``general`` is compiled from; most texts have letters that a plainer pattern finds faster."""
-    return general.findall(text) if _OTHERS.search(text) else _PLAIN.findall(text)
+    """Words in runs that match ``WORD``, which ``general`` is compiled from; most texts have letters that a plainer pattern finds faster."""
+    if not _OTHERS.search(text):
+        return _PLAIN.findall(text)
+    one = _uniform()
+    return [w for run in general.findall(text) for w in ((run,) if one(run) else parts_of(run))]
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-LONGEST = 64
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the one- to three-character grams of each word with its ends, and of the word itself, and the number of them by word.
-
-    A word counts up to its 64th character.
-    """
-    marked = [f" {w[:LONGEST]} " for w in words]
+    """Buckets of the one- to three-character grams of each word with its ends, and of the word itself, and the number of them by word."""
+    marked = [f" {w} " for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     points = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
     start = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(words)), size)
     place = np.arange(len(points)) - start[owner]
-    powers = np.cumprod(np.full(LONGEST + 2, _MIX, np.uint64))
+    powers = np.cumprod(np.full(size.max(initial=0), _MIX, np.uint64))
     hashes, owners = [], []
     for n in (1, 2, 3):
         at = np.flatnonzero(place <= size[owner] - n)
@@ -162,7 +190,8 @@ def train(docs: DataFrame, max_rows: int = 4000, switch: float = 3.0) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, found, counts = (batch.column(c).to_pylist() for c in ("lang", "word", "count"))
+            parts = [(lang, w, n) for lang, run, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "count")), strict=True) for w in parts_of(run)]
+            langs, found, counts = zip(*parts, strict=True) if parts else ((), (), ())
             for lang in set(langs):
                 own = [k for k, x in enumerate(langs) if x == lang]
                 row = totals.setdefault(lang, np.zeros(BUCKETS + OTHER + 1, np.int64))

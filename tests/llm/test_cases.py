@@ -145,6 +145,19 @@ def test_pipeline_takes_long_boilerplate_from_short_pages(spark):
     assert found == {k: f"short {k}" if k < 9 else text for k, text, _ in rows}
 
 
+def test_language_of_texts_without_spaces(spark):
+    rng = np.random.default_rng(2)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    schema = "doc_id long, text string, lang string"
+    docs = [(3 * k + j, text, lang) for k in range(40) for j, (text, lang) in enumerate([(run("กขคงจฉชซ", 300), "th"), (run("abcdefgh", 300), "en"), (run("ijklmnop", 300), "xx")])]
+    model = language.train(spark.createDataFrame(docs, schema))
+    asked = [(0, "abc" + run("กขคงจฉชซ", 200), None), (1, run("abcdefgh", 70) + run("ijklmnop", 400), None), (2, run("abcdefgh", 70) + run("กขคงจฉชซ", 70), None)]
+    rows = {r.doc_id: r for r in language.predict(spark.createDataFrame(asked, schema), model).collect()}
+    assert [rows[k].lang_pred for k in (0, 1)] == ["th", "xx"] and rows[0].score == 200 / 203
+    assert {s.lang for s in rows[2].spans} == {"en", "th"} and rows[2].score == 0.5
+    assert language.parts_of("e\u0301" * 40) == ["e\u0301" * 32, "e\u0301" * 8]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000)]
     rows = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
