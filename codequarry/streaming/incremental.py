@@ -12,18 +12,18 @@ from codequarry.sources.sinks import PairTable
 CHANGE = "repo string, commit_hash string, parent_commit string, seq long, committed_at timestamp, message string, is_merge boolean, old_path string, new_path string, before string, after string"
 
 
-def follow(spark: SparkSession, folder: str, table: PairTable, options: mining.Options = mining.Options(), checkpoint: str | None = None, late: str = "30 days") -> StreamingQuery:
+def follow(spark: SparkSession, folder: str, table: PairTable, options: mining.Options = mining.Options(), checkpoint: str | None = None) -> StreamingQuery:
     """Mine what has come to ``folder`` since the last run with the same ``checkpoint``, then stop.
 
-    Files come in once; a commit's file that is delivered twice within ``late`` is dropped by state, which the watermark bounds, and
-    later than that its pairs only replace themselves. A batch that is run again after a failure gives the same table.
+    Files come in once; a commit's file that is delivered twice is dropped within a batch, and in a later one its pairs only replace
+    themselves. There is no watermark, so commits of any age are mined whenever they come. A batch that is run again after a failure gives the same table.
     """
-    changes = spark.readStream.schema(CHANGE).parquet(folder).withWatermark("committed_at", late)
-    once = changes.dropDuplicatesWithinWatermark(["repo", "commit_hash", "old_path", "new_path"])
+    changes = spark.readStream.schema(CHANGE).parquet(folder)
 
     def merge(batch: DataFrame, _: int) -> None:
-        pairs = mining.mine(batch, options)
+        once = batch.dropDuplicates(["repo", "commit_hash", "old_path", "new_path"])
+        pairs = mining.mine(once, options)
         table.merge(pairs)
 
-    writer = once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or new_path(spark, "stream"))
+    writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or new_path(spark, "stream"))
     return writer.trigger(availableNow=True).start()

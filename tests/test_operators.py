@@ -118,6 +118,15 @@ def test_stream_merges_once(spark, tmp_path):
     assert sorted(r.function_name for r in table.read().collect()) == ["f", "g"]
 
 
+def test_stream_mines_commits_that_come_late(spark, tmp_path):
+    folder, table, mark = str(tmp_path / "in"), sinks.PairTable(spark, str(tmp_path / "pairs")), str(tmp_path / "mark")
+    for name, when in (("f", "2024-06-01"), ("g", "2020-01-01")):
+        batch = changes(spark, (name, "refactor", f"{name}.py", f"{name}.py", MANY.format(name), ONE.format(name)))
+        batch.withColumn("committed_at", F.to_timestamp(F.lit(when))).write.mode("append").parquet(folder)
+        incremental.follow(spark, folder, table, checkpoint=mark).awaitTermination()
+    assert sorted(r.function_name for r in table.read().collect()) == ["f", "g"]
+
+
 def test_files(spark, tmp_path):
     for name in ("a.py", "sub/b.py", "build/c.py", "d.txt"):
         path = tmp_path / "src" / name
