@@ -1,16 +1,19 @@
-"""Command line: ``scan``, ``smells``, ``mine``, ``check``, ``split``, ``blocks``, ``catalogue`` over files that Spark reads."""
+"""Command line over files that Spark reads; ``--help`` lists the commands."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.functions import behaviour
 from codequarry.functions.columns import REFACTORINGS, SMELLS
-from codequarry.operators import detect, mining, quality, review
+from codequarry.functions.rowwise import with_kernel
+from codequarry.operators import crossfile, curation, detect, mining, quality, review, sample
 from codequarry.sources import readers, sinks
+from codequarry.sources.scratch import release, stage
 
 VERSION = "0.1.0"
 
@@ -21,16 +24,19 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
     if files.isEmpty():
         print("no Python files", file=sys.stderr)
         return 2
-    found = detect.findings(detect.functions(files, a.dedent), a.smell)
+    parsed = stage(detect.parsed(files, a.dedent), "parsed")
+    for r in detect.parse_errors(parsed).orderBy("path").limit(50).collect():
+        print(f"{r.path}: {r.error}", file=sys.stderr)
+    found = stage(detect.findings(parsed.select("path", F.inline("functions")), a.smell), "findings")
     counts = {r.smell: r.n for r in detect.counts_by_smell(found, a.smell).collect()}
     if a.out:
-        report = detect.report(files, a.smell)
-        (report.write.mode("overwrite").json if a.json else found.write.mode("overwrite").csv)(a.out)
+        (detect.report_of(parsed, a.smell).write.mode("overwrite").json if a.json else found.write.mode("overwrite").csv)(a.out)
     for smell, n in counts.items():
         print(f"{smell} {SMELLS[smell]}: {n}")
     if a.show:
         for r in found.orderBy("path", "lineno", "smell").limit(a.show).collect():
             print(f"{r.path}:{r.lineno} {r.qualname} {r.smell} {r.evidence}")
+    release(parsed, found)
     return int(bool(a.fail_on_detect and any(counts.values())))
 
 
@@ -46,7 +52,12 @@ def _mine(spark: SparkSession, a: argparse.Namespace) -> int:
         caps=dict.fromkeys(SMELLS, a.cap) if a.cap else {}, cross_file=a.cross_file_threshold, identifier_overlap=a.identifier_overlap_threshold, source=a.source, merges=a.merges,
     )
     only = readers.json_lines(spark, a.only, "commit_hash string") if a.only else None
-    counts = sinks.PairTable(spark, a.out).merge(mining.mine(spark.read.parquet(a.changes), options, only))
+    windows = spark.read.option("multiLine", "true").schema("repo string, since string, to string").json(a.windows).withColumnRenamed("to", "until") if a.windows else None
+    changes = spark.read.parquet(a.changes)
+    pairs = mining.mine_by_rule(changes) if a.by_rule else mining.mine(changes, options, only, windows)
+    if a.total_cap:
+        pairs = mining.within_budgets(stage(pairs, "mined"), a.total_cap)
+    counts = sinks.PairTable(spark, a.out).merge(pairs)
     for smell, n in sorted(counts.items()):
         print(f"{smell}: {n}")
     return 0
@@ -62,19 +73,34 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
         pairs = pairs.filter(F.col("source") == a.source)
     if a.smell:
         pairs = detect.keep_smells(pairs, a.smell)
-    checks = quality.checked(pairs)
+    checks = stage(quality.checked(pairs).select("issues"), "checks")
     row = quality.summary(checks).first()
     print(f"{row.total} pairs: {row.clean} clean, {row.warn} doubtful, {row.fail} failed")
     for r in quality.issue_counts(checks).collect():
         print(f"{r.severity} {r.rule}: {r.n}")
+    release(checks)
     return int(row.fail > 0 or (a.fail_on_warn and row.warn > 0))
 
 
 def _split(spark: SparkSession, a: argparse.Namespace) -> int:
-    checked = review.schema_errors(sinks.PairTable(spark, a.pairs).read())
+    return _validated(review.schema_errors(sinks.PairTable(spark, a.pairs).read()), a)
+
+
+def _curate(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Verdicts applied to files of pairs, then validation and splits."""
+    found = curation.read_curated(spark, a.raw, a.reviews, allow_unreviewed=a.allow_unreviewed, use_assignment=not a.no_assignment)
+    if found.kappa is not None:
+        for r in found.kappa.orderBy("block").collect():
+            print(f"{r.block}: kappa {r.kappa} over {r.n}")
+    return _validated(review.schema_errors(found.pairs), a)
+
+
+def _validated(rows: DataFrame, a: argparse.Namespace) -> int:
+    checked = stage(rows, "validated")
     print(review.validation_report(checked).first())
     valid = checked.filter(F.size("errors") == 0).drop("errors")
     sinks.write_splits(review.split_by_repo(valid, a.val, a.test, a.seed), a.out, a.force)
+    release(checked)
     return 0
 
 
@@ -85,7 +111,91 @@ def _blocks(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _catalogue(spark: SparkSession, a: argparse.Namespace) -> int:
-    sinks.write_json(readers.catalogue_csv(spark, a.csv), a.out, a.force)
+    """Entries of a catalogue, of a folder of example files, or both."""
+    parts = [readers.catalogue_csv(spark, a.csv)] if a.csv else []
+    parts += [readers.example_entries(readers.python_files(spark, a.examples), a.examples_repo)] if a.examples else []
+    if not parts:
+        print("a catalogue or a folder of examples is needed", file=sys.stderr)
+        return 2
+    sinks.write_json(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True), a.out, a.force)
+    return 0
+
+
+def _requests(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Saved answers of a forge into a cache of requests, and the hashes to mine of each repository."""
+    new = readers.requests(spark.read.option("multiLine", "true").json(a.pages))
+    old = spark.read.parquet(a.cache) if a.cache else new.limit(0)
+    rows = stage(sinks.newest_requests(old, new), "requests")
+    rows.write.mode("overwrite" if a.force else "errorifexists").parquet(a.out)
+    print(f"{rows.count()} requests of {readers.hashes_by_repo(rows).count()} repositories")
+    release(rows)
+    return 0
+
+
+def _backfill(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A source for the pairs that have none; the table is written beside the old one."""
+    pairs = sinks.PairTable(spark, a.pairs).read()
+    row = sinks.backfill_counts(pairs, "source").first()
+    sinks.PairTable(spark, a.out).merge(sinks.backfill(pairs, "source", a.source))
+    print(f"{row.total} pairs: {row.already} had a source, {row.updated} were given one")
+    return 0
+
+
+def _html(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Pages of diffs, the first pairs of each smell by id."""
+    pairs = sinks.PairTable(spark, a.pairs).read(a.smell)
+    if pairs is None:
+        print("no pairs of these smells", file=sys.stderr)
+        return 0
+    blocks = stage(sample.diff_html(sample.first_of_smell(pairs, a.limit, ["id"])), "html")
+    for r in sinks.write_html(blocks, a.out, a.force).orderBy("smell_type").collect():
+        print(f"{r.smell_type}: {r.pairs} pairs of {r.repos} repositories")
+    release(blocks)
+    return 0
+
+
+def _judge(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Answers of a judge (``id``, ``smell_type``, ``response`` as JSON lines) that aren't in ``--done`` yet, parsed and counted."""
+    answers = readers.json_lines(spark, a.answers, "id string, smell_type string, response string", key="id")
+    if a.done:
+        answers = sample.judged_batch(answers, readers.json_lines(spark, a.done, "id string", key="id"), a.pilot)
+    verdicts = stage(sample.judged(answers), "verdicts")
+    verdicts.write.mode("append").json(a.out)
+    for r in sample.yields(verdicts).orderBy("smell_type").collect():
+        print(f"{r.smell_type}: {r.real} of {r.judged} real ({r.percent} %)")
+    release(verdicts)
+    return 0
+
+
+def _sample(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A sample of the pairs judged real, by whether the code changed as the refactoring changes it, and the rates of that."""
+    real = sample.judged_real(sinks.PairTable(spark, a.pairs).read(), readers.annotations(spark, a.annotations))
+    sized = real.withColumns({f"lines_{s}": F.col(f"metrics_{s}.nloc") for s in ("before", "after")})
+    flagged = stage(quality.pattern_matches(sized).withColumnRenamed("pattern_match", "flag"), "flagged")
+    sinks.write_sample(sample.stratified_sample(flagged, seed=a.seed), sample.base_rates(flagged), a.out, a.force)
+    release(flagged)
+    return 0
+
+
+def _calibrate(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The smallest similarity of moved functions whose sampled pairs behave alike often enough. Runs the mined code: see ``functions.behaviour``."""
+    if not a.run_code:
+        print("this runs mined code in limited processes: give --run-code to allow it", file=sys.stderr)
+        return 2
+    changes = spark.read.parquet(a.changes)
+    least = min(a.thresholds)
+    moved = stage(crossfile.moved_functions(mining.commits(changes, mining.Options(require_keyword=False)), similarity=least), "moved")
+    checks = None
+    for t in a.thresholds:
+        named = moved.filter(F.col("similarity") >= t).withColumns({"id": F.concat_ws("|", "repo", "commit_hash", "file", F.col("old.source")), "before": F.col("old.source"), "after": F.col("new.source")})
+        run = with_kernel(sample.uniform_sample(named.select("id", "before", "after"), a.sample, a.seed), "r", behaviour.compared, behaviour.RESULT, "before", "after")
+        rows = run.select(F.lit(t).alias("threshold"), "r.equivalent", "r.samples", "r.error")
+        checks = rows if checks is None else checks.union(rows)
+    precisions = stage(sample.behaviour_precision(checks), "precisions")
+    for r in precisions.orderBy("threshold").collect():
+        print(f"{r.threshold}: {r.equiv} alike, {r.diff} not, {r.inconclusive} unknown of {r.sampled}")
+    print(f"chosen: {sample.least_precise_enough(precisions, a.precision).first().threshold}")
+    release(moved, precisions)
     return 0
 
 
@@ -108,11 +218,19 @@ def parser() -> argparse.ArgumentParser:
     command(
         "mine", _mine, arg("changes"), out, arg("--since"), arg("--to"), arg("--no-require-keyword", action="store_true"), arg("--merges", action="store_true"), arg("--max-commits", type=int), arg("--cap", type=int),
         arg("--partial-threshold", type=float), arg("--cross-file-threshold", type=float), arg("--identifier-overlap-threshold", type=float, default=0.0), arg("--only"), arg("--source", default="mined_commit"),
+        arg("--windows"), arg("--by-rule", action="store_true"), arg("--total-cap", type=int),
     )
     command("check", _check, arg("pairs"), arg("--source"), smell, arg("--fail-on-warn", action="store_true"))
     command("split", _split, arg("pairs"), out, force, seed, arg("--val", type=float, default=0.1), arg("--test", type=float, default=0.1))
     command("blocks", _blocks, arg("pairs"), out, force, seed, arg("--reviewers", nargs=3, required=True))
-    command("catalogue", _catalogue, arg("csv"), out, force)
+    command("curate", _curate, arg("raw"), arg("reviews"), out, force, seed, arg("--allow-unreviewed", action="store_true"), arg("--no-assignment", action="store_true"), arg("--val", type=float, default=0.1), arg("--test", type=float, default=0.1))
+    command("catalogue", _catalogue, arg("csv", nargs="?"), out, force, arg("--examples"), arg("--examples-repo", default=""))
+    command("requests", _requests, arg("pages"), out, force, arg("--cache"))
+    command("backfill", _backfill, arg("pairs"), out, arg("--source", default="mined_commit"))
+    command("html", _html, arg("pairs"), out, force, smell, arg("--limit", type=int, default=50))
+    command("judge", _judge, arg("answers"), out, arg("--done"), arg("--pilot", type=int))
+    command("sample", _sample, arg("pairs"), arg("annotations"), out, force, seed)
+    command("calibrate", _calibrate, arg("changes"), seed, arg("--thresholds", type=float, nargs="+", default=[0.5, 0.6, 0.7, 0.8, 0.9]), arg("--sample", type=int, default=50), arg("--precision", type=float, default=0.7), arg("--run-code", action="store_true"))
     return top
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SMELLS = {"R1": "long_method", "R2": "long_param_list", "R3": "magic_numbers", "R4": "deep_nesting", "R5": "dead_code"}
 REFACTORINGS = {"R1": "Extract Method", "R2": "Introduce Parameter Object", "R3": "Replace with Named Constant", "R4": "Guard Clauses", "R5": "Remove Dead Code"}
 
+#: Code of the smell that a file of pairs, named after it, holds.
+CODE_OF_FILE = {name: code for code, name in SMELLS.items()}
+
 # Phrases of commit messages, in order.
 KEYWORDS = [
     "extract method", "extract function", "split method", "split function",
@@ -112,7 +115,7 @@ def null_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-#: Addresses of commits on a public forge.
+# Addresses of commits on a public forge, and what catalogues write before a file.
 COMMIT_URL = r"^https?://github\.com/([^/]+)/([^/]+)/commit/([0-9a-f]+)"
 
 

@@ -10,6 +10,7 @@ import io
 import textwrap
 import token
 import tokenize
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -29,7 +30,7 @@ MEASURES = (
     "dead array<struct<type:string,lineno:int>>, called array<string>, identifiers array<string>, "
     "shape struct<n_stmts:int,n_params:int,depth:int,n_returns:int>, nodes int"
 )
-FUNCTION = "qualname string, name string, owner_class string, ordinal int, shadowed boolean, lineno int, end_lineno int, source string, params array<string>, " + MEASURES
+FUNCTION = "qualname string, name string, owner_class string, ordinal int, shadowed boolean, lineno int, end_lineno int, source string, params array<string>, owner_bases array<string>, " + MEASURES
 PARSED = f"error string, functions array<struct<{FUNCTION}>>"
 CHANGED = f"error string, before array<struct<{FUNCTION}>>, after array<struct<{FUNCTION}>>"
 
@@ -245,15 +246,16 @@ def listed(text: str | None, dedent: bool = False) -> tuple[str | None, list[dic
     if error:
         return error, []
     lines = (text or "").splitlines()
-    places = [(None, n) for n in tree.body] + [(c.name, n) for c in tree.body if isinstance(c, ast.ClassDef) for n in c.body]
+    places = [(None, [], n) for n in tree.body]
+    places += [(c.name, bases, n) for c in tree.body if isinstance(c, ast.ClassDef) for bases in [list(map(ast.unparse, c.bases))] for n in c.body]
     found, last = [], {}
-    for owner, node in places:
+    for owner, bases, node in places:
         if not isinstance(node, DEFS):
             continue
         source = "\n".join(lines[node.lineno - 1 : node.end_lineno])
         qualname = f"{owner}.{node.name}" if owner else node.name
         row = {"qualname": qualname, "name": node.name, "owner_class": owner, "ordinal": len(found), "shadowed": False}
-        row |= {"lineno": node.lineno, "end_lineno": node.end_lineno, "source": textwrap.dedent(source) if dedent else source, "params": params_of(node)}
+        row |= {"lineno": node.lineno, "end_lineno": node.end_lineno, "source": textwrap.dedent(source) if dedent else source, "params": params_of(node), "owner_bases": bases}
         if qualname in last:
             last[qualname]["shadowed"] = True
         last[qualname] = row
@@ -336,6 +338,22 @@ def _differing(one: Labelled, two: Labelled) -> tuple[Labelled, Labelled]:
     return out[0], out[1]
 
 
+def _repeated(labels: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """The different subtrees that the recurrence is for, smallest first: the nodes on the leftmost way of each occurrence, and the last node of the first one.
+
+    Code repeats itself, so distances are found once for each pair of different subtrees and written to all their occurrences.
+    """
+    known: dict[tuple[bytes, bytes], list[int]] = {}
+    for start, last in {f: k for k, f in enumerate(first.tolist())}.items():
+        known.setdefault((labels[start : last + 1].tobytes(), (first[start : last + 1] - start).tobytes()), []).append(last)
+    out = []
+    for ends in sorted(known.values(), key=lambda e: e[0] - first[e[0]]):
+        start = first[ends[0]]
+        way = np.flatnonzero(first[start : ends[0] + 1] == start)
+        out.append((first[ends][:, None] + way[None, :], ends[0]))
+    return out
+
+
 def tree_distance(one: Labelled, two: Labelled) -> int:
     """Least insertions, deletions and relabellings of nodes from one ordered tree to another: Zhang and Shasha's recurrence, a numpy row at a time."""
     (a, la), (b, lb) = _differing(one, two)
@@ -344,15 +362,16 @@ def tree_distance(one: Labelled, two: Labelled) -> int:
     numbers = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
     an, bn = (np.array([numbers[x] for x in labels]) for labels in (a, b))
     la_, lb_ = np.array(la), np.array(lb)
-    roots = [sorted({first: k for k, first in enumerate(ls)}.values()) for ls in (la, lb)]
     trees = np.zeros((len(a), len(b)), np.int64)
-    for i in roots[0]:
-        for j in roots[1]:
+    shapes = [_repeated(labels, first) for labels, first in ((an, la_), (bn, lb_))]
+    for rows, i in shapes[0]:
+        for cols, j in shapes[1]:
             i0, j0 = la[i], lb[j]
             step = np.arange(j - j0 + 2)
             forest = np.zeros((i - i0 + 2, len(step)), np.int64)
             forest[0], forest[:, 0] = step, np.arange(i - i0 + 2)
             whole, back, here = lb_[j0 : j + 1] == j0, lb_[j0 : j + 1] - j0, slice(j0, j + 1)
+            found = []
             for x in range(i0, i + 1):
                 row, done = forest[x - i0 + 1], trees[x, here]
                 best = forest[la_[x] - i0, back] + done
@@ -362,6 +381,9 @@ def tree_distance(one: Labelled, two: Labelled) -> int:
                 np.add(np.minimum.accumulate(row - step), step, out=row)
                 if la_[x] == i0:
                     done[whole] = row[1:][whole]
+                    found.append(row[1:][whole])
+            if rows.size > len(found) or cols.size > len(found[0]):
+                trees[np.ix_(rows.ravel(), cols.ravel())] = np.tile(np.array(found), (len(rows), len(cols)))
     return int(trees[-1, -1])
 
 
@@ -374,6 +396,17 @@ def tree_similarity(before: str | None, after: str | None) -> float | None:
     return max(0.0, 1.0 - tree_distance(one, two) / max(len(one[0]), len(two[0])))
 
 
+def tree_similarity_from(before: str | None, after: str | None, least: float) -> float | None:
+    """``tree_similarity`` where it may be ``least`` or more, else null: sizes, and kinds of nodes of which each edit changes two counts at most, often show that it can't be."""
+    tops = [top_level_function(parse(x or "")[0]) for x in (before, after)]
+    if None in tops:
+        return None
+    one, two = map(labels_of, tops)
+    kinds, size = [Counter(x[0]) for x in (one, two)], max(len(one[0]), len(two[0]))
+    apart = max(abs(len(one[0]) - len(two[0])), -(-((kinds[0] - kinds[1]).total() + (kinds[1] - kinds[0]).total()) // 2))
+    return max(0.0, 1.0 - tree_distance(one, two) / size) if 1.0 - apart / size >= least else None
+
+
 def first_function_source(code: str) -> str | None:
     top = top_level_function(parse(code)[0])
     return ast.get_source_segment(code, top) if top is not None else None

@@ -12,23 +12,43 @@ from pyspark.sql.types import DataType, StructField, StructType
 #: Rows whose results are in memory at once.
 SLICE = 128
 
+#: Name of the new column, kernel, type of its result, and the columns that it takes.
+Kernel = tuple[str, Callable, str, tuple[str, ...]]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over at least as many tasks as the cluster runs at once.
+
+    A kernel takes milliseconds a row whose bytes are few, so partitions that are merged by bytes, as adaptive execution and
+    small files give, would leave the work to a few tasks. A given number of partitions is not merged again.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
 
-def with_kernel(df: DataFrame, name: str, kernel: Callable, result: str, *inputs: str) -> DataFrame:
-    """``df`` and a column of ``kernel(*inputs)``.
+
+def with_kernels(df: DataFrame, *kernels: Kernel) -> DataFrame:
+    """``df`` and a column for each kernel, all computed in one step over rows that are spread evenly.
 
     The step is opaque to the optimizer, so a kernel runs once a row even under later filters; put filters that need
     no kernel, and the selection of columns, before it.
     """
-    result_type = DataType.fromDDL(result)
-    schema = StructType([*df.schema.fields, StructField(name, result_type)])
-    arrow, names = to_arrow_type(result_type), schema.fieldNames()
-    places = [df.columns.index(c) for c in inputs]
+    types = [DataType.fromDDL(result) for _, _, result, _ in kernels]
+    schema = StructType([*df.schema.fields, *(StructField(k[0], t) for k, t in zip(kernels, types, strict=True))])
+    names, arrow = schema.fieldNames(), [to_arrow_type(t) for t in types]
+    calls = [(kernel, [df.columns.index(c) for c in inputs]) for _, kernel, _, inputs in kernels]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), SLICE):
                 part = batch.slice(at, SLICE)
-                values = [kernel(*row) for row in zip(*(part.column(k).to_pylist() for k in places), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, arrow)], names)
+                made = []
+                for (kernel, places), kind in zip(calls, arrow, strict=True):
+                    made.append(pa.array([kernel(*row) for row in zip(*(part.column(k).to_pylist() for k in places), strict=True)], kind))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+
+    return spread(df).mapInArrow(run, schema)
 
-    return df.mapInArrow(run, schema)
+
+def with_kernel(df: DataFrame, name: str, kernel: Callable, result: str, *inputs: str) -> DataFrame:
+    """``df`` and one column of ``kernel(*inputs)``."""
+    return with_kernels(df, (name, kernel, result, inputs))

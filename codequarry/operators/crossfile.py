@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def candidate_pairs(gone: DataFrame, fresh: DataFrame, shape: float = 0.5, simil
     shared = jaccard(F.col("old.identifiers"), F.col("new.identifiers"))
     cheap = near.filter((sizes >= similarity) & (shape_distance(F.col("old.shape"), F.col("new.shape")) <= shape)).withColumn("identifier_overlap", shared).filter(F.col("identifier_overlap") >= overlap)
     sources = cheap.withColumns({"one": F.col("old.source"), "two": F.col("new.source")})
-    scored = with_kernel(sources, "similarity", kernels.tree_similarity, "double", "one", "two").drop("one", "two", "band")
+    scored = with_kernel(sources, "similarity", partial(kernels.tree_similarity_from, least=similarity), "double", "one", "two").drop("one", "two", "band")
     return scored.filter(F.col("similarity") >= similarity)
 
 

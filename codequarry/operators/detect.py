@@ -115,7 +115,7 @@ def counts_by_smell(found: DataFrame, smells: list[str] | None = None) -> DataFr
     spark = found.sparkSession
     wanted = spark.createDataFrame([(s,) for s in selected(smells)], "smell string")
     counted = found.groupBy("smell").agg(F.count("*").alias("n"))
-    return F.broadcast(wanted).join(counted, "smell", "left").select("smell", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return wanted.join(counted, "smell", "left").select("smell", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def scan_totals(files: DataFrame, thresholds: Thresholds = DEFAULT) -> DataFrame:
@@ -148,6 +148,11 @@ def sweep(found: DataFrame, grid: dict[str, Thresholds]) -> DataFrame:
 
 
 def report(files: DataFrame, smells: list[str] | None = None, thresholds: Thresholds = DEFAULT) -> DataFrame:
+    """``report_of`` for files that aren't parsed yet."""
+    return report_of(parsed(files), smells, thresholds)
+
+
+def report_of(parsed_files: DataFrame, smells: list[str] | None = None, thresholds: Thresholds = DEFAULT) -> DataFrame:
     """``path``, ``error`` and ``json``, the findings of a file by function, for files with a finding or an error."""
     chosen = selected(smells)
 
@@ -155,7 +160,7 @@ def report(files: DataFrame, smells: list[str] | None = None, thresholds: Thresh
         each = [F.when(has_smell(s, f, thresholds), F.struct(F.lit(s).alias("smell"), evidence(s, f).alias("evidence"))) for s in chosen]
         return F.struct(f["qualname"].alias("function"), f["lineno"].alias("line"), F.array_compact(F.array(*each)).alias("findings"))
 
-    rows = parsed(files).withColumn("found", F.filter(F.transform("functions", of_function), lambda f: F.size(f["findings"]) > 0))
+    rows = parsed_files.withColumn("found", F.filter(F.transform("functions", of_function), lambda f: F.size(f["findings"]) > 0))
     return rows.filter("error is not null or size(found) > 0").select("path", "error", F.to_json("found").alias("json"))
 
 

@@ -5,9 +5,10 @@ Both versions of a file come in one row, so parsing and pairing need no shuffle;
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +40,33 @@ class Options:
 #: Commits given by a list, whatever their message; the same for merged requests.
 LISTED = Options(require_keyword=False, partial_threshold=0.1, source="adjacent_oracle", merges=True)
 REQUESTS = Options(require_keyword=False, partial_threshold=0.1, source="mined_pr", merges=True)
-
-
-def commits(changes: DataFrame, options: Options = Options(), only: DataFrame | None = None) -> DataFrame:
-    """The files that a run looks at, with ``file`` and ``msg_keywords``: all filters are native and reach the scan where they can."""
+#: Commits whose message names a linter's rule.
+BY_RULE = Options(require_keyword=False, partial_threshold=0.1, source="rule_id_mined", merges=True)
+# What is searched for in messages, by smell; all words of a query have to occur.
+RULE_QUERIES = {
+    "R2": ["PLR0913 dataclass", "PLR0913 extract", "R0913 dataclass", "PLR0913 parameter"],
+    "R3": ["PLR2004 constant", "PLR2004 extract", "R2004 constant", "PLR2004 magic"],
+    "R4": ["PLR1702 guard", "PLR1702 early return", "R1702 nested", "PLR1702 refactor"],
+}
+
+
+def searched(changes: DataFrame, queries: list[str]) -> DataFrame:
+    """Changes of commits whose message has all words of some query, without regard to case."""
+    low = F.lower(F.coalesce("message", F.lit("")))
+    hit = F.lit(False)
+    for query in queries:
+        every = F.lit(True)
+        for word in query.lower().split():
+            every = every & F.contains(low, F.lit(word))
+        hit = hit | every
+    return changes.filter(hit)
+
+
+def commits(changes: DataFrame, options: Options = Options(), only: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
+    """The files that a run looks at, with ``file`` and ``msg_keywords``: all filters are native and reach the scan where they can.
+
+    ``windows`` (``repo``, ``since``, ``until``) limits each repository to a time of its own; others aren't looked at.
+    """
     file = F.coalesce("new_path", "old_path")
     rows = changes.withColumn("file", file).filter(F.endswith("file", F.lit(".py")))
     if not options.merges:
@@ -51,6 +75,9 @@ def commits(changes: DataFrame, options: Options = Options(), only: DataFrame |
         rows = rows.filter(F.col("committed_at") >= F.lit(options.since).cast("timestamp"))
     if options.until:
         rows = rows.filter(F.col("committed_at") <= F.lit(options.until).cast("timestamp"))
+    if windows is not None:
+        times = windows.select("repo", F.col("since").cast("timestamp").alias("__since"), F.col("until").cast("timestamp").alias("__until"))
+        rows = rows.join(times, "repo").filter(F.col("committed_at").between(F.col("__since"), F.col("__until"))).drop("__since", "__until")
     if only is not None:
         rows = rows.join(only.select("commit_hash").distinct(), "commit_hash", "left_semi")
     rows = rows.withColumn("msg_keywords", matched_keywords("message"))
@@ -175,11 +202,10 @@ def capped(pairs: DataFrame, caps: dict[str, int], all_smells: bool = False) ->
     return kept.drop("limit", "place")
 
 
-def mine(changes: DataFrame, options: Options = Options(), only: DataFrame | None = None) -> DataFrame:
+def mine(changes: DataFrame, options: Options = Options(), only: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
     """Verified pairs of the commits in ``changes``."""
-    rows = commits(changes, options, only)
-    searched = rows.filter(~is_test_path("file"))
-    pairs = verified(candidates(searched), options)
+    rows = commits(changes, options, only, windows)
+    pairs = verified(candidates(rows.filter(~is_test_path("file"))), options)
     if options.cross_file is not None:
         moved = moved_functions(rows, similarity=options.cross_file, overlap=options.identifier_overlap)
         again = verified(moved, Options(partial_threshold=options.partial_threshold, source="cross_file", thresholds=options.thresholds))
@@ -187,6 +213,13 @@ def mine(changes: DataFrame, options: Options = Options(), only: DataFrame | Non
     return capped(pairs, options.caps, all_smells=True) if options.caps else first_of_each_id(pairs)
 
 
+def mine_by_rule(changes: DataFrame, queries: dict[str, list[str]] = RULE_QUERIES, options: Options = BY_RULE) -> DataFrame:
+    """Pairs of commits found by the names of rules, by the looser file filter (``changes`` has ``author`` too); keywords aren't recorded."""
+    rows = files_by_rule(searched(changes, [q for some in queries.values() for q in some]))
+    rows = rows.withColumns({"file": F.coalesce("new_path", "old_path"), "msg_keywords": F.array().cast("array<string>")})
+    return first_of_each_id(verified(candidates(rows), options))
+
+
 def counts(pairs: DataFrame) -> DataFrame:
     """Distinct pairs of each smell in this run."""
     return pairs.groupBy("smell_type").agg(F.countDistinct("id").alias("n"))
@@ -197,21 +230,38 @@ def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["repo", "commit_hash"]).join(seen.select("repo", "commit_hash"), ["repo", "commit_hash"], "left_anti")
 
 
-def budgets(per_repo: DataFrame, cap: int) -> DataFrame:
+def budgets(per_repo: DataFrame, cap: int | dict[str, int]) -> DataFrame:
     """How many pairs each repository may give of a smell, so that the total comes near ``cap``: the rest of the cap shared by the repositories left.
 
-    ``per_repo`` has ``smell_type``, ``place`` (order of the repositories) and ``available``. What a repository doesn't use goes to those after it, so the
-    rule runs through the repositories in order: one small number for each, folded per smell.
+    ``per_repo`` has ``smell_type``, ``place`` (order of the repositories), ``repo`` and ``available``. What a repository doesn't use goes to those after it, so
+    a smell's repositories are run through in order; rows stream by, and only a running total is kept.
     """
-    item = F.struct("place", "repo", "available")
-    lists = per_repo.groupBy("smell_type").agg(F.sort_array(F.collect_list(item)).alias("repos"))
-    kept = F.struct(F.lit(0).cast("long").alias("total"), F.expr("cast(array() as array<struct<repo:string,budget:bigint,taken:bigint>>)").alias("rows"))
-    count = F.size("repos")
-
-    def step(state: Column, repo: Column) -> Column:
-        left = (count - F.size(state["rows"])).cast("long")
-        budget = F.greatest(F.lit(0), F.ceil((F.lit(cap) - state["total"]) / left)).cast("long")
-        taken = F.least(budget, repo["available"].cast("long"))
-        return F.struct((state["total"] + taken).alias("total"), F.concat(state["rows"], F.array(F.struct(repo["repo"].alias("repo"), budget.alias("budget"), taken.alias("taken")))).alias("rows"))
-
-    return lists.select("smell_type", F.inline(F.aggregate("repos", kept, step)["rows"]))
+    caps = F.lit(cap) if isinstance(cap, int) else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in cap.items() for x in item]), F.col("smell_type")), F.lit(1 << 62))
+    sizes = per_repo.groupBy("smell_type").agg(F.count("*").alias("repos"))
+    rows = per_repo.join(sizes, "smell_type").select("smell_type", "place", "repo", F.col("available").cast("long").alias("available"), "repos", caps.cast("long").alias("cap"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smell, total, left = None, 0, 0
+        for batch in batches:
+            made: list[tuple] = []
+            for name, repo, available, repos, most in zip(*(batch.column(c).to_pylist() for c in ("smell_type", "repo", "available", "repos", "cap")), strict=True):
+                if name != smell:
+                    smell, total, left = name, 0, repos
+                budget = max(0, -(-(most - total) // left))
+                taken = min(budget, available)
+                total, left = total + taken, left - 1
+                made.append((name, repo, budget, taken))
+            columns = zip(*made, strict=True) if made else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["smell_type", "repo", "budget", "taken"])
+
+    ordered = rows.repartition("smell_type").sortWithinPartitions("smell_type", "place", "repo")
+    return ordered.mapInArrow(run, "smell_type string, repo string, budget long, taken long")
+
+
+def within_budgets(pairs: DataFrame, cap: int | dict[str, int]) -> DataFrame:
+    """The first pairs by ``seq`` of each repository and smell, as many as ``budgets`` allows; repositories are taken in order of their names."""
+    unique = first_of_each_id(pairs)
+    available = unique.groupBy("smell_type", "repo").agg(F.count("*").alias("available")).withColumn("place", F.col("repo"))
+    allowed = budgets(available, cap).select("smell_type", "repo", "budget")
+    order = Window.partitionBy("repo", "smell_type").orderBy("seq", "id")
+    return unique.withColumn("place", F.row_number().over(order)).join(allowed, ["smell_type", "repo"]).filter(F.col("place") <= F.col("budget")).drop("place", "budget")

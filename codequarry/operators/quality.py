@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import kernels
 from codequarry.functions.columns import SMELLS, nonblank_lines
-from codequarry.functions.rowwise import with_kernel
+from codequarry.functions.rowwise import with_kernel, with_kernels
 
 #: Tree similarities below which a pair fails or is doubtful, the fewest lines, and the least reduction of a partial pair.
 FAIL_BELOW, WARN_BELOW, FEW_LINES, TRIVIAL_REDUCTION = 0.10, 0.30, 3, 0.05
@@ -50,6 +50,26 @@ def checked(pairs: DataFrame) -> DataFrame:
     return rows.withColumns({"similarity": sim, "issues": issues}).drop("gate")
 
 
+# What detectors of different ages call the size of a smell, the first that is there counts.
+EVIDENCE_KEYS = {
+    "R1": ["lines_of_code", "lines_fallback"],
+    "R2": ["parametros", "n_params"],
+    "R3": ["magic_numbers_count"],
+    "R4": ["max_depth", "profundidade"],
+    "R5": ["dead_count", "dead_vars"],
+}
+
+
+def magnitude_of_evidence(smell: Column | str, evidence: Column | str) -> Column:
+    """The size of a smell from a detector's evidence as JSON text; a zero counts as absent, as do other keys; null where there is none."""
+    smell = F.col(smell) if isinstance(smell, str) else smell
+    fields = {s: F.coalesce(*(F.nullif(F.get_json_object(evidence, f"$.{k}").try_cast("double"), F.lit(0.0)) for k in keys)) for s, keys in EVIDENCE_KEYS.items()}
+    out = F.lit(None).cast("double")
+    for s, value in fields.items():
+        out = F.when(smell == s, value).otherwise(out)
+    return out
+
+
 def status(issues: Column | str = "issues") -> Column:
     has = lambda level: F.exists(issues, lambda i: i["severity"] == level)
     return F.when(has("fail"), "fail").when(has("warn"), "warn").otherwise("clean")
@@ -76,9 +96,7 @@ def pattern_matches(pairs: DataFrame) -> DataFrame:
 
     Needs ``smell_type``, ``before_code``, ``after_code``, ``function_name``; ``lines_before`` and ``lines_after`` (lines of code) are used where they are given.
     """
-    rows = pairs
-    for side in ("before", "after"):
-        rows = with_kernel(rows, f"in_{side}", kernels.pattern_input, f"struct<{kernels.PATTERN_INPUT}>", f"{side}_code", "function_name")
+    rows = with_kernels(pairs, *((f"in_{side}", kernels.pattern_input, f"struct<{kernels.PATTERN_INPUT}>", (f"{side}_code", "function_name")) for side in ("before", "after")))
     old, new = F.col("in_before"), F.col("in_after")
     added = F.array_except(new["functions"], old["functions"])
     both_mains = old["main"].isNotNull() & new["main"].isNotNull()

@@ -28,6 +28,22 @@ def judged(answers: DataFrame) -> DataFrame:
     return answers.withColumns({"verdict": verdict, "confidence": confidence, "reason": reason})
 
 
+def judged_real(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Pairs whose annotation (``id``, ``veredito``) says that they are real."""
+    return pairs.join(verdicts.filter("veredito = 'real'").select("id").distinct(), "id", "left_semi")
+
+
+def judged_batch(pairs: DataFrame, done: DataFrame, most: int | None = None) -> DataFrame:
+    """The next pairs to judge, at most ``most`` in order of their ids: those without a verdict. Answers are appended to ``done`` after each batch."""
+    rows = pending(pairs, done)
+    return rows if most is None else rows.orderBy("id").limit(most)
+
+
+def distinct_repos(pairs: DataFrame) -> DataFrame:
+    """One row: pairs and their distinct repositories, a missing one taken as an empty name."""
+    return pairs.agg(F.count("*").alias("pairs"), F.countDistinct(F.coalesce("repo", F.lit(""))).alias("repos"))
+
+
 def pending(pairs: DataFrame, done: DataFrame) -> DataFrame:
     return pairs.join(done.select("id"), "id", "left_anti")
 
@@ -107,7 +123,7 @@ TASKS = {
         "Remove all statements that can never be executed: code after an unconditional return/raise, variables assigned but never read, branches whose condition is always false, and commented-out code blocks. Do not remove intentional no-ops or logging. Do not change observable behaviour.",
     ),
 }
-SYSTEM = ("You are a Python refactoring assistant. Your task is to ", ".\nApply the refactoring strictly: ", "\nReturn ONLY the refactored code, no explanations.")
+SYSTEM = "You are a Python refactoring assistant. Your task is to {}.\nApply the refactoring strictly: {}\nReturn ONLY the refactored code, no explanations."
 
 
 def _said(role: str, content: Column) -> Column:
@@ -117,12 +133,8 @@ def _said(role: str, content: Column) -> Column:
 def messages(smell: Column | str, before: Column | str, after: Column | str | None = None) -> Column:
     """Chat turns of a pair: system, user and, unless ``after`` is none or null, assistant. An unknown smell is an error."""
     before = F.col(before) if isinstance(before, str) else before
-    code = smell_code(smell)
-
-    def of(part: int) -> Column:
-        return F.element_at(F.create_map(*[F.lit(x) for s in SMELLS for x in (s, TASKS[s][part])]), code)
-
-    asked = F.array(_said("system", F.concat(F.lit(SYSTEM[0]), of(0), F.lit(SYSTEM[1]), of(1), F.lit(SYSTEM[2]))), _said("user", before))
+    told = F.create_map(*[F.lit(x) for s in SMELLS for x in (s, SYSTEM.format(*TASKS[s]))])
+    asked = F.array(_said("system", F.element_at(told, smell_code(smell))), _said("user", before))
     if after is None:
         return asked
     after = F.col(after) if isinstance(after, str) else after

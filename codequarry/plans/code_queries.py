@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import kernels
 from codequarry.functions.columns import jaccard, shape_distance
-from codequarry.functions.rowwise import with_kernel
+from codequarry.functions.rowwise import with_kernel, with_kernels
 from codequarry.operators import crossfile, detect, mining, quality, sample
 from codequarry.plans import corpus
 
@@ -176,17 +176,14 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sides(spark, sf_dir)
-    for side in ("before", "after"):
-        rows = with_kernel(rows, side, kernels.measure, f"struct<{kernels.MEASURES}>", f"{side}_code")
+    rows = with_kernels(_sides(spark, sf_dir), *((side, kernels.measure, f"struct<{kernels.MEASURES}>", (f"{side}_code",)) for side in ("before", "after")))
     distance = shape_distance(F.col("before.shape"), F.col("after.shape"))
     return rows.select("k", F.col("before.shape.n_stmts").cast("long").alias("statements"), F.col("before.shape.n_params").cast("long").alias("params"), F.col("before.shape.n_returns").cast("long").alias("returns"), F.round(distance, 6).alias("distance"))
 
 
 def identifier_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.part_functions(spark, sf_dir).select("k", "source", F.regexp_replace("source", "dead_", "gone_").alias("other"))
-    for side in ("source", "other"):
-        rows = with_kernel(rows, f"m_{side}", kernels.measure, f"struct<{kernels.MEASURES}>", side)
+    rows = with_kernels(rows, *((f"m_{side}", kernels.measure, f"struct<{kernels.MEASURES}>", (side,)) for side in ("source", "other")))
     return rows.select("k", F.round(jaccard(F.col("m_source.identifiers"), F.col("m_other.identifiers")), 6).alias("overlap"))
 
 
@@ -199,15 +196,23 @@ def tree_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_file_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part's function moves, without its dead variables, to a new file and name; every tenth key is a commit."""
-    rows = corpus.part_functions(spark, sf_dir)
-    k = F.col("k").cast("string")
-    moved = corpus.function_source(F.concat(F.lit("g_"), k), *(F.col(c) for c in ("params", "depth", "literals")), F.lit(0), F.col("filler"), F.lit(0))
-    commit = [F.lit("repo").alias("repo"), k.alias("commit_hash"), F.lit(None).cast("string").alias("parent_commit"), F.col("k").cast("long").alias("seq"), F.lit("move").alias("message"), F.array(F.lit("move")).alias("msg_keywords")]
-    none = F.lit(None).cast("string")
-    old = rows.select(*commit, F.lit("old.py").alias("old_path"), none.alias("new_path"), F.lit("old.py").alias("file"), F.col("source").alias("before"), none.alias("after"))
-    new = rows.select(*commit, none.alias("old_path"), F.lit("new.py").alias("new_path"), F.lit("new.py").alias("file"), none.alias("before"), moved.alias("after"))
-    found = crossfile.moved_functions(old.union(new))
+    """Five parts, of sizes apart, are a commit that moves their functions, without dead code, to a new file and name.
+
+    Beside each stand a longer function, less alike, and for even keys the same function again in a file that comes later.
+    """
+    rows = corpus.part_functions(spark, sf_dir).withColumn("filler", F.element_at(F.array(*map(F.lit, (8, 14, 24, 40, 68))), F.col("k") % 5 + 1))
+    k, shape = F.col("k").cast("string"), [F.col(c) for c in ("params", "depth", "literals")]
+    moved = lambda prefix, more: corpus.function_source(F.concat(F.lit(prefix), k), *shape, F.lit(0), F.col("filler") + more, F.lit(0))
+    old = corpus.function_source(F.concat(F.lit("f_"), k), *shape, F.col("dead"), F.col("filler"), F.col("unreachable"))
+    files = {"old.py": old, "new.py": F.concat(moved("g_", 0), F.lit("\n\n\n"), moved("h_", 4)), "zew.py": F.when(F.col("k") % 2 == 0, moved("g_", 0))}
+    listed = rows.select(F.floor(F.col("k") / 5).cast("long").alias("seq"), F.inline(F.array(*(F.struct(F.lit(n).alias("file"), F.struct("k", t.alias("text")).alias("one")) for n, t in files.items()))))
+    texts = listed.filter("one.text is not null").groupBy("seq", "file").agg(F.sort_array(F.collect_list("one")).alias("all")).withColumn("text", F.array_join("all.text", "\n\n\n"))
+    gone = F.col("file") == "old.py"
+    changes = texts.select(
+        F.lit("repo").alias("repo"), F.col("seq").cast("string").alias("commit_hash"), F.lit(None).cast("string").alias("parent_commit"), "seq", F.lit("move").alias("message"), F.array(F.lit("move")).alias("msg_keywords"),
+        F.when(gone, F.col("file")).alias("old_path"), F.when(~gone, F.col("file")).alias("new_path"), "file", F.when(gone, F.col("text")).alias("before"), F.when(~gone, F.col("text")).alias("after"),
+    )
+    found = crossfile.moved_functions(changes)
     pairs = mining.verified(found.drop("file_before", "similarity", "identifier_overlap"), mining.Options(source="cross_file"))
     return pairs.select("seq", "file", "function_name", "smell_type", "source")
 
@@ -297,6 +302,12 @@ _QUALITY = (
   UNION ALL SELECT k, 4, 'fail:smell_invalid' FROM q WHERE d = 4
   UNION ALL SELECT k, 5, 'warn:r1_no_helper' FROM q WHERE d > 1 AND smell_type = 'R1' AND k % 3 <> 0
   UNION ALL SELECT k, 6, 'warn:trivial_reduction' FROM q WHERE d > 1 AND k % 4 = 0 AND (k % 12) / 100.0 < 0.05
+), sizes AS (
+  SELECT k, d, params - greatest(params - dead, 0) AS fewer, 9 + params + (filler + literals) * 8 + dead * 5 + CASE WHEN depth > 0 THEN depth * 6 + 8 ELSE 0 END + unreachable * 4 AS n FROM q WHERE d = 2 OR d > 3
+), sims AS (  -- of four nodes three are alike; two sums of eight nodes are inserted and parameters taken away
+  SELECT k, CASE WHEN d = 2 THEN 3.0 / n ELSE 1 - (16 + fewer) / CAST(n + 16 - fewer AS DOUBLE) END AS sim FROM sizes
+), alike AS (
+  SELECT k, 'fail:similarity_too_low' AS issue FROM sims WHERE sim < 0.1 UNION ALL SELECT k, 'warn:similarity_borderline' FROM sims WHERE sim >= 0.1 AND sim < 0.3
 )
 """
 )
@@ -352,9 +363,11 @@ SELECT k, CAST(n AS BIGINT) AS statements, CAST(params AS BIGINT) AS params, CAS
     "tree_similarity": _SIDES
     + f"""SELECT k, round(1.0 - 2.0 * {_SUM_NODES} / (2 + params + 4 + (filler + 2 + literals) * {_SUM_NODES} + dead * 5
   + CASE WHEN depth > 0 THEN depth * 6 + {_SUM_NODES} ELSE 0 END + 3 + unreachable * 4), 6) AS similarity FROM f""",
-    "cross_file_best": _SIDES
-    + """, s AS (SELECT *, filler + literals + dead + depth + CAST(depth > 0 AS INT) + 3 + unreachable AS nloc FROM f)
-SELECT CAST(k AS BIGINT) AS seq, 'new.py' AS file, 'g_' || k AS function_name, 'R5' AS smell_type, 'cross_file' AS source FROM s WHERE dead + unreachable > 0""",
+    "cross_file_best": _SIDES + "SELECT CAST(k // 5 AS BIGINT) AS seq, 'new.py' AS file, 'g_' || k AS function_name, 'R5' AS smell_type, 'cross_file' AS source FROM f WHERE dead + unreachable > 0",
+    "quality_summary": _QUALITY
+    + """, s AS (SELECT q.k, bool_or(issue LIKE 'fail%') AS failed, count(issue) AS n FROM q LEFT JOIN (SELECT k, issue FROM issues UNION ALL SELECT k, issue FROM alike) i USING (k) GROUP BY 1)
+SELECT count(*) AS total, count(*) FILTER (n = 0) AS clean, count(*) FILTER (n > 0 AND NOT failed) AS warn, count(*) FILTER (n > 0 AND failed) AS fail, round(100.0 * count(*) FILTER (n = 0) / count(*), 1) AS clean_percent FROM s""",
+    "quality_issues": _QUALITY + "SELECT split_part(issue, ':', 1) AS severity, split_part(issue, ':', 2) AS rule, count(*) AS n FROM (SELECT issue FROM issues UNION ALL SELECT issue FROM alike) GROUP BY 1, 2",
     "quality_checks": _QUALITY + "SELECT q.k, coalesce(string_agg(issue, ',' ORDER BY place), '') AS issues FROM q LEFT JOIN issues USING (k) GROUP BY 1",
     "pattern_proxies": """
 SELECT CAST(p_partkey AS INT) AS k, 'R' || (p_partkey % 5 + 1) AS smell_type,

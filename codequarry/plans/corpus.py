@@ -107,3 +107,21 @@ def modified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("lines.old", "\n\n\n").alias("before"),
         F.array_join("lines.new", "\n\n\n").alias("after"),
     )
+
+
+def rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function for each part with what ``part_files`` lacks: loops, ``elif``, ``try``, defaults, comprehensions, a decorator, ``async``, all kinds of parameters."""
+    k = F.col("p_partkey").cast("int")
+    when = lambda test, text: F.when(test, F.lit(text)).otherwise("")
+    text = F.concat(
+        when(k % 2 == 0, "@decorated(86400)\n"), when(k % 5 == 0, "async "), F.lit("def r_"), k.cast("string"), F.lit("(a, /, b=7, *rest, c=3, **more):\n"),
+        when(k % 3 == 0, '    """Says nothing,\n    on two lines."""\n'),
+        F.lit("    # a remark\n\n    total = [x * 5 for x in b if x and a]\n    if a == 0:\n        total = 0\n"),
+        F.repeat(F.lit("    elif a == 1:\n        total = 1\n"), k % 4),
+        when(k % 2 == 1, "    try:\n        total = a.b\n    except KeyError:\n        total = None\n    finally:\n        more.clear()\n"),
+        when(k % 3 == 1, "    for i in b:\n        while i:\n            with c:\n                break\n"),
+        when(k % 5 == 1, "    spare = a\n"),
+        F.lit("    return total\n"),
+        when(k % 7 == 0, "    return c\n"),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/r_"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("text"))

@@ -44,8 +44,8 @@ def repo_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    old = orders.filter("id % 3 <> 0").withColumn("run", F.lit("old"))
-    new = orders.filter("id % 2 = 0").withColumn("run", F.lit("new"))
+    old = orders.withColumn("run", F.lit("old"))
+    new = orders.filter("price > 150000").withColumn("run", F.lit("new"))
     return sinks.merged(old, new, ["id"])
 
 
@@ -57,7 +57,7 @@ def unseen_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), (F.col("event_id") % 100).alias("pr_number"), F.col("event_id"), F.col("event_type").alias("label"))
     newest = lambda rows: rows.groupBy("repo", "pr_number").agg(F.max_by("label", "event_id").alias("label"), F.max("event_id").alias("event_id"))
-    return sinks.newest_requests(newest(events.filter("event_id % 2 = 0")), newest(events.filter("event_id % 3 = 0")))
+    return sinks.newest_requests(newest(events), newest(events.filter("label = 'purchase'")))
 
 
 def commits_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +73,9 @@ def small_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many orders each priority and year has, by shards."""
-    shards = readers.shards(spark, ["1-URGENT", "2-HIGH", "5-LOW"], list(range(1992, 1999)))
+    shards = readers.shards(spark, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], list(range(1992, 1999)))
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
-    return F.broadcast(shards).join(orders, ["label", "year"], "left").select("place", "label", "year", F.coalesce("n", F.lit(0)).alias("n"))
+    return shards.join(orders, ["label", "year"], "left").select("place", "label", "year", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def catalogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,18 +262,18 @@ r AS (
   FROM r JOIN n ON n.smell_type = r.smell_type AND n.i = r.i + 1
 )
 SELECT smell_type, 'repo_' || place AS repo, budget, taken FROM r""",
-    "keyed_merge": "SELECT o_orderkey AS id, o_totalprice AS price, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS run FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0",
+    "keyed_merge": "SELECT o_orderkey AS id, o_totalprice AS price, CASE WHEN o_totalprice > 150000 THEN 'new' ELSE 'old' END AS run FROM orders",
     "unseen_commits": "SELECT DISTINCT o_custkey AS repo, o_orderkey % 7 AS commit_hash FROM orders WHERE o_orderkey % 7 <> 3",
     "request_cache": """
-WITH e AS (SELECT user_id AS repo, event_id % 100 AS pr_number, event_id, event_type AS label FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0)
+WITH e AS (SELECT user_id AS repo, event_id % 100 AS pr_number, event_id, event_type AS label FROM events)
 SELECT repo, pr_number, label, event_id FROM e
-QUALIFY row_number() OVER (PARTITION BY repo, pr_number ORDER BY event_id % 3 = 0 DESC, event_id DESC) = 1""",
+QUALIFY row_number() OVER (PARTITION BY repo, pr_number ORDER BY label = 'purchase' DESC, event_id DESC) = 1""",
     "commits_by_repo": """
 WITH o AS (SELECT DISTINCT o_custkey % 100 AS repo, left(sha1(CAST(o_orderkey AS VARCHAR)), 4) AS h FROM orders WHERE o_orderkey % 9 <> 0)
 SELECT repo, count(*) AS n, md5(string_agg(h, ',' ORDER BY h)) AS commits FROM o GROUP BY 1""",
     "small_requests": "SELECT o_custkey AS repo, o_orderkey AS pr_number, o_orderkey % 8 AS changed_files FROM orders WHERE o_orderkey % 8 <= 3 ORDER BY o_orderdate DESC, o_custkey, o_orderkey LIMIT 50",
     "request_shards": """
-WITH s AS (SELECT CAST(7 * l.p + y.p AS INT) AS place, label, CAST(1992 + y.p AS INT) AS year FROM (VALUES (0, '1-URGENT'), (1, '2-HIGH'), (2, '5-LOW')) l(p, label), range(7) y(p))
+WITH s AS (SELECT CAST(7 * l.p + y.p AS INT) AS place, label, CAST(1992 + y.p AS INT) AS year FROM (VALUES (0, '1-URGENT'), (1, '2-HIGH'), (2, '3-MEDIUM'), (3, '4-NOT SPECIFIED'), (4, '5-LOW')) l(p, label), range(7) y(p))
 SELECT place, label, s.year, count(o_orderkey) AS n FROM s LEFT JOIN orders ON o_orderpriority = label AND year(o_orderdate) = s.year GROUP BY 1, 2, 3""",
     "catalogue_rows": """
 SELECT (['Extract Method', 'Inline Method', 'Rename Method'])[page_id % 4 + 1] AS external_refactoring_type, (['TP', 'FP', 'CTP', 'unknown', 'unknown'])[page_id % 5 + 1] AS validation,

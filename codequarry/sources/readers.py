@@ -37,7 +37,7 @@ def python_files(spark: SparkSession, *paths: str) -> DataFrame:
     if found is None:
         raise ValueError("no path is given")
     rows = found if len(paths) == 1 else found.dropDuplicates(["path"])
-    return rows.select("path", F.decode("content", "UTF-8").alias("text"))
+    return rows.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -131,6 +131,23 @@ def example_entries(files: DataFrame, repo: str) -> DataFrame:
     return rows.select(F.lit("sourcery").alias("source_dataset"), F.lit("unknown").alias("validation"), F.lit(repo).alias("repo"), F.col("path").alias("file"), F.explode("names").alias("function_name"))
 
 
+def contents(answers: DataFrame) -> DataFrame:
+    """``answers`` of a forge for a file (``encoding``, ``content``) with ``text``: base64 as UTF-8, bytes that aren't are replaced; null for other encodings and for what isn't base64."""
+    raw = F.try_to_binary(F.regexp_replace("content", r"\s", ""), F.lit("base64"))
+    return answers.withColumn("text", F.when(F.col("encoding") == "base64", F.make_valid_utf8(raw.cast("string"))))
+
+
+ANNOTATION = "struct<veredito:string,confianca:string,justificativa:string,smell:string,ts:string>"
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Judges' verdicts from a JSON object keyed by pair id, under ``anotacoes`` or at the top: ``id`` and its fields."""
+    text = spark.read.text(path, wholetext=True)
+    whole = F.from_json("value", f"anotacoes map<string,{ANNOTATION}>", {"mode": "PERMISSIVE"})["anotacoes"]
+    plain = F.from_json("value", f"map<string,{ANNOTATION}>", {"mode": "PERMISSIVE"})
+    return text.select(F.explode(F.coalesce(whole, plain)).alias("id", "a")).select("id", "a.*")
+
+
 def requests(pages: DataFrame) -> DataFrame:
     """Merged requests from saved answers of a forge: ``label``, ``year`` and ``nodes``; nodes without a merge commit are dropped."""
     node = pages.select("label", "year", F.explode("nodes").alias("n"))
@@ -159,10 +176,18 @@ def small_requests(rows: DataFrame, most_files: int, n: int) -> DataFrame:
 
 def test_counts(results: DataFrame) -> DataFrame:
     """``results`` (``xml``) with ``total`` and ``passed``: sums over the suites, skipped ones left out; null where the XML isn't valid."""
-    suites = lambda a: F.transform(F.xpath("xml", F.lit(f"/testsuites/testsuite/@{a} | /testsuite/@{a}")), lambda x: x.cast("int"))
-    total = lambda a: F.aggregate(suites(a), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    attributes = ("tests", "skipped", "failures", "errors")
+    own = ", ".join(f"_{a} int" for a in attributes)
+    some = results.filter(F.coalesce(F.trim("xml"), F.lit("")) != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    read = some.withColumn("__read", F.from_xml("xml", f"struct<{own}, testsuite array<struct<{own}>>, __bad string>".replace(" int", ":int").replace(" array", ":array").replace(" string", ":string"), options))
+    several = F.col("xml").rlike(r"^\s*(?:<\?[^>]*>\s*|<!--.*?-->\s*)*<testsuites[\s/>]")
+    suites = F.when(several, F.coalesce("__read.testsuite", F.array().cast(f"array<struct<{', '.join(f'_{a}:int' for a in attributes)}>>"))).otherwise(F.array(F.struct(*(F.col(f"__read._{a}") for a in attributes))))
+    total = lambda a: F.aggregate(F.col("__suites"), F.lit(0), lambda s, x: s + F.coalesce(x[f"_{a}"], F.lit(0)))
+    valid = F.col("__read").isNotNull() & F.col("__read.__bad").isNull()
     counted = total("tests") - total("skipped")
-    return results.filter(F.coalesce(F.trim("xml"), F.lit("")) != "").withColumns({"total": counted, "passed": counted - total("failures") - total("errors")})
+    found = read.withColumn("__suites", F.when(valid, suites))
+    return found.withColumns({"total": counted, "passed": counted - total("failures") - total("errors")}).drop("__read", "__suites")
 
 
 def test_counts_from_text(output: Column | str) -> tuple[Column, Column]:

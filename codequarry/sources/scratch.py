@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Without one there is no folder that all executors see, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="codequarry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("intermediate tables need a folder that the driver and all executors share: set spark.checkpoint.dir when the session is made")
     return root.rstrip("/")
 
 
@@ -37,12 +38,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     write_once(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[out] = path
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a staged table whose readers have all finished."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete tables made by ``stage`` whose readers have all finished; others are left alone."""
+    for df in staged:
+        if (path := _PATH_OF.pop(df, None)) is not None:
+            delete(df.sparkSession, path)

@@ -1,10 +1,16 @@
-"""Sinks: keyed merges that don't read what they write, backfills, splits and assignments."""
+"""Sinks: keyed merges that don't read what they write, backfills, splits, assignments, appended results and reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codequarry.functions.columns import smell_code
+from codequarry.operators.review import latest
+from codequarry.sources.scratch import release, stage
+
 
 def merged(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """All rows of ``new``, and those of ``existing`` whose key isn't in ``new``."""
@@ -12,10 +18,11 @@ def merged(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 class PairTable:
-    """Pairs in folders by smell, in numbered versions; a pointer file names the current one.
+    """Pairs in folders by run and smell; numbered pointer files name the folder that each smell is in.
 
-    A merge writes a new version beside the old and moves the pointer last, so a lost executor or driver leaves the old version whole.
-    Only the smells of the new rows are read and rewritten; those of the others stay where they are.
+    A merge writes the smells that it touches to a folder of its own and then a pointer with the next number, which a rename
+    brings into place whole. Nothing is deleted or written over, so a driver or executor that is lost at any moment leaves
+    the last pointer and all that it names. Only the smells of the new rows are read and rewritten. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -25,39 +32,50 @@ class PairTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> dict[str, int]:
-        """The current version of each smell's folder."""
-        fs, path = self._fs("current")
-        if not fs.exists(path):
+    def _newest(self) -> int:
+        """Number of the newest pointer; 0 before the first merge. Unfinished ones have names that aren't numbers."""
+        fs, path = self._fs("_pointers")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def versions(self) -> dict[str, str]:
+        """The folder of each smell."""
+        newest = self._newest()
+        if not newest:
             return {}
-        rows = self.spark.read.text(f"{self.root}/current").collect()
-        return {smell: int(version) for smell, version in (r.value.split(" ") for r in rows)}
+        rows = self.spark.read.text(f"{self.root}/_pointers/{newest}").collect()
+        return dict(r.value.split(" ") for r in rows)
 
     def read(self, smells: list[str] | None = None) -> DataFrame | None:
         """Rows of the table, or of some smells; None before the first merge. Other smells' folders aren't opened."""
-        paths = [f"{self.root}/{s}/{v}" for s, v in sorted(self.versions().items()) if smells is None or s in smells]
+        paths = [f"{self.root}/{folder}/of={name}" for name, folder in sorted(self.versions().items()) if smells is None or name in smells]
         return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
 
-    def merge(self, new: DataFrame, key: str = "id", smell: str = "smell_type") -> dict[str, int]:
-        """Put ``new`` in place of rows with its keys; returns the distinct keys of this run by smell."""
-        found = {r[smell]: r.n for r in new.groupBy(smell).agg(F.countDistinct(key).alias("n")).collect()}
-        now = self.versions()
-        for name in found:
-            rows = new.filter(F.col(smell) == name).dropDuplicates([key])
-            old = self.read([name])
-            rows = rows if old is None else merged(old, rows, [key])
-            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{now.get(name, 0) + 1}")
-        self._point({**now, **{name: now.get(name, 0) + 1 for name in found}})
+    def merge(self, new: DataFrame, key: str = "id", smell: str = "smell_type", order: list[str] | None = None) -> dict[str, int]:
+        """Put ``new`` in place of rows with its keys; returns the distinct keys of this run by smell.
+
+        Of rows with one key in ``new`` the last by ``order`` (by default ``seq``, where there is one) counts. ``new`` is computed once.
+        """
+        order = order if order is not None else [c for c in ("seq",) if c in new.columns]
+        rows = stage(latest(new, [smell, key], order), "merge")
+        found = {r[smell]: r["count"] for r in rows.groupBy(smell).count().collect()}
+        if found:
+            newest, now, folder = self._newest(), self.versions(), f"run-{uuid.uuid4().hex}"
+            old = self.read(list(found))
+            whole = rows if old is None else old.join(rows.select(smell, key), [smell, key], "left_anti").select(*old.columns).unionByName(rows, allowMissingColumns=True)
+            whole.withColumn("of", F.col(smell)).write.partitionBy("of").parquet(f"{self.root}/{folder}")
+            self._point(newest + 1, {**now, **dict.fromkeys(found, folder)})
+        release(rows)
         return found
 
-    def _point(self, versions: dict[str, int]) -> None:
-        fs, path = self._fs("current")
-        _, fresh = self._fs("current.new")
-        out = fs.create(fresh, True)
-        out.write(bytearray("\n".join(f"{s} {v}" for s, v in sorted(versions.items())).encode()))
+    def _point(self, number: int, folders: dict[str, str]) -> None:
+        fs, fresh = self._fs(f"_pointers/unfinished-{uuid.uuid4().hex}")
+        out = fs.create(fresh, False)
+        out.write(bytearray("\n".join(f"{s} {f}" for s, f in sorted(folders.items())).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+        _, path = self._fs(f"_pointers/{number}")
+        if not fs.rename(fresh, path):
+            raise RuntimeError(f"another writer has made pointer {number} of {self.root}")
 
 
 def backfill(rows: DataFrame, column: str, value: str) -> DataFrame:
@@ -70,13 +88,52 @@ def backfill_counts(rows: DataFrame, column: str) -> DataFrame:
 
 
 def newest_requests(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """A cache of requests by (``repo``, ``pr_number``), in that order; new rows come before old."""
-    return merged(existing, new.dropDuplicates(["repo", "pr_number"]), ["repo", "pr_number"]).orderBy("repo", "pr_number")
+    """A cache of requests by (``repo``, ``pr_number``), in that order; new rows come before old. Of new rows with one key the last by merge time counts."""
+    order = [c for c in ("merged_at",) if c in new.columns]
+    return merged(existing, latest(new, ["repo", "pr_number"], order), ["repo", "pr_number"]).orderBy("repo", "pr_number")
 
 
 def write_splits(rows: DataFrame, path: str, force: bool = False) -> None:
     rows.write.mode("overwrite" if force else "errorifexists").partitionBy("split").parquet(path)
 
 
+def first_of_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, others dropped; rows equal in both are told apart by their hash. A hot key is reduced before the shuffle."""
+    place = F.struct(*order, F.xxhash64(*rows.columns).alias("tie"))
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), place).alias("row")).select(*key, "row.*").select(*rows.columns)
+
+
+def append_by_code(rows: DataFrame, path: str, smell: str = "smell_type") -> None:
+    """Add rows as JSON lines to a folder for each smell code; what is there stays, so a key may come twice (``read_appended`` keeps one)."""
+    rows.withColumn("code", smell_code(smell)).write.mode("append").partitionBy("code").json(path)
+
+
+def read_appended(spark: SparkSession, path: str, schema: str, key: str = "id", order: tuple[str, ...] = ()) -> DataFrame:
+    """What ``append_by_code`` has written, one row a key: the first by ``order``."""
+    return first_of_key(spark.read.schema(f"{schema}, code string").json(path), [key], list(order))
+
+
+def write_sample(sample: DataFrame, rates: DataFrame, path: str, force: bool = False) -> None:
+    """A numbered sample and the base rates it was drawn from, beside each other."""
+    write_json(sample, f"{path}/sample", force)
+    write_json(rates, f"{path}/rates", force)
+
+
+def write_html(blocks: DataFrame, path: str, force: bool = False) -> DataFrame:
+    """Blocks (``smell_type``, ``number``, ``html``, ``repo``) as one text per smell, in order of their numbers; returns blocks and distinct repositories by smell.
+
+    A missing repository counts as one of its own. Reports hold a limited number of blocks (``sample.first_of_smell``), so a smell is one file.
+    """
+    pages = blocks.repartition("smell_type").sortWithinPartitions("smell_type", "number")
+    pages.select("smell_type", F.concat(F.lit("<!-- "), F.col("number").cast("string"), F.lit(" -->"), F.col("html")).alias("value")).write.mode("overwrite" if force else "errorifexists").partitionBy("smell_type").text(path)
+    return blocks.groupBy("smell_type").agg(F.count("*").alias("pairs"), F.countDistinct(F.coalesce("repo", F.lit(""))).alias("repos"))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``item``, ``#1`` and so on within each group. For reports: a group is sorted in one task, so limit it first."""
+    return rows.withColumn("item", F.concat(F.lit("#"), F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("string")))
+
+
 def write_json(rows: DataFrame, path: str, force: bool = False) -> None:
     rows.write.mode("overwrite" if force else "errorifexists").json(path)

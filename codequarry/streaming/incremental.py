@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from codequarry.operators import mining
-from codequarry.sources.scratch import new_path
 from codequarry.sources.sinks import PairTable
 
 CHANGE = "repo string, commit_hash string, parent_commit string, seq long, committed_at timestamp, message string, is_merge boolean, old_path string, new_path string, before string, after string"
@@ -16,7 +15,7 @@ def follow(spark: SparkSession, folder: str, table: PairTable, options: mining.O
     """Mine what has come to ``folder`` since the last run with the same ``checkpoint``, then stop.
 
     Files come in once; a commit's file that is delivered twice is dropped within a batch, and in a later one its pairs only replace
-    themselves. There is no watermark, so commits of any age are mined whenever they come. A batch that is run again after a failure gives the same table.
+    themselves. Without a ``checkpoint`` the place is kept beside the table, so a later call goes on from there. There is no watermark, so commits of any age are mined whenever they come. A batch that is run again after a failure gives the same table.
     """
     changes = spark.readStream.schema(CHANGE).parquet(folder)
 
@@ -25,5 +24,5 @@ def follow(spark: SparkSession, folder: str, table: PairTable, options: mining.O
         pairs = mining.mine(once, options)
         table.merge(pairs)
 
-    writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or new_path(spark, "stream"))
+    writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or f"{table.root}/_stream")
     return writer.trigger(availableNow=True).start()

@@ -107,6 +107,68 @@ def test_pair_table_merges(spark, tmp_path):
     assert table.read(["R2"]).count() == 1
 
 
+def test_pair_table_keeps_the_last_and_computes_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    rows = [(str(k % 10), f"R{k % 2 + 1}", k) for k in range(50)]
+    new = spark.createDataFrame(rows, "id string, smell_type string, seq long").mapInArrow(seen, "id string, smell_type string, seq long")
+    table = sinks.PairTable(spark, str(tmp_path / "pairs"))
+    for n in (1, 2):
+        assert table.merge(new) == {"R1": 5, "R2": 5}
+        assert calls.value == 50 * n
+    assert sorted(r.seq for r in table.read().collect()) == list(range(40, 50))
+
+
+@pytest.mark.parametrize("step", ["create", "rename"])
+def test_pair_table_survives_a_lost_driver(spark, tmp_path, step):
+    rows = lambda ids: spark.createDataFrame([(i, "R1") for i in ids], "id string, smell_type string")
+    table = sinks.PairTable(spark, str(tmp_path / "pairs"))
+    table.merge(rows("12"))
+    whole = table._fs
+
+    class Lost(Exception):
+        pass
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == step:
+                raise Lost
+            return getattr(self.fs, name)
+
+    table._fs = lambda name: (Broken(whole(name)[0]), whole(name)[1])
+    with pytest.raises(Lost):
+        table.merge(rows("9"))
+    table._fs = whole
+    assert sorted(r.id for r in table.read().collect()) == ["1", "2"]
+    table.merge(rows("9"))
+    assert sorted(r.id for r in table.read().collect()) == ["1", "2", "9"]
+
+
+def test_kernels_run_on_many_tasks(spark):
+    files = spark.createDataFrame([(f"{k}.py", "def f(a):\n    return a") for k in range(200)], "path string, text string").coalesce(1)
+    tasks = detect.functions(files).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    from codequarry.sources import scratch
+
+    class Nothing:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_root(Nothing)
+
+
 def test_stream_merges_once(spark, tmp_path):
     folder, table, mark = str(tmp_path / "in"), sinks.PairTable(spark, str(tmp_path / "pairs")), str(tmp_path / "mark")
     batch = changes(spark, ("a", "refactor", "a.py", "a.py", MANY.format("f"), ONE.format("f")))
@@ -169,8 +231,9 @@ def test_requests(spark):
 
 
 def test_test_files(spark):
-    xml = spark.createDataFrame([('<testsuite tests="3" failures="1" errors="0" skipped="1"/>',), ("",), (None,)], "xml string")
-    assert [(r.total, r.passed) for r in readers.test_counts(xml).collect()] == [(2, 1)]
+    texts = ['<testsuite tests="3" failures="1" errors="0" skipped="1"/>', "", None, '<testsuite tests="3"', '<testsuites><testsuite tests="4" errors="1"/><testsuite tests="2"/></testsuites>', "<testsuites></testsuites>", '<?xml version="1.0"?><testsuites><testsuite tests="1"><testcase/></testsuite></testsuites>']
+    xml = spark.createDataFrame([(t,) for t in texts], "xml string")
+    assert [(r.total, r.passed) for r in readers.test_counts(xml).collect()] == [(2, 1), (None, None), (6, 5), (0, 0), (1, 1)]
 
 
 def test_example_functions(spark):
@@ -232,6 +295,47 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["blocks", str(tmp_path / "pairs"), "--out", str(tmp_path / "blocks"), "--reviewers", "a", "b", "c"], spark) == 0
 
 
+def test_other_commands(spark, tmp_path, capsys):
+    path, pairs = str(tmp_path / "changes"), str(tmp_path / "pairs")
+    rows = [("a", "refactor", f"{k}.py", f"{k}.py", MANY.format(f"f{k}"), ONE.format(f"f{k}")) for k in range(6)]
+    changes(spark, *rows).withColumn("repo", F.concat(F.lit("r"), F.element_at(F.split("new_path", r"\."), 1))).write.parquet(path)
+    assert cli.main(["mine", path, "--out", pairs, "--total-cap", "5"], spark) == 0
+    assert sinks.PairTable(spark, pairs).read().count() == 5
+    (tmp_path / "w.json").write_text('[{"repo": "r1", "since": "2020-01-01", "to": "2020-12-31"}]')
+    assert cli.main(["mine", path, "--out", str(tmp_path / "windowed"), "--windows", str(tmp_path / "w.json")], spark) == 0
+    assert [r.repo for r in sinks.PairTable(spark, str(tmp_path / "windowed")).read().collect()] == ["r1"]
+    assert cli.main(["backfill", pairs, "--out", str(tmp_path / "filled")], spark) == 0
+    assert cli.main(["html", pairs, "--out", str(tmp_path / "html")], spark) == 0
+    assert "R2: 5 pairs of 5 repositories" in capsys.readouterr().out
+    ids = [r.id for r in sinks.PairTable(spark, pairs).read().collect()]
+    (tmp_path / "answers.jsonl").write_text("".join(json.dumps({"id": i, "smell_type": "R2", "response": "REAL\nalta\nok"}) + "\n" for i in ids))
+    assert cli.main(["judge", str(tmp_path / "answers.jsonl"), "--out", str(tmp_path / "verdicts")], spark) == 0
+    assert "TOTAL: 5 of 5 real (100 %)" in capsys.readouterr().out
+    (tmp_path / "annotations.json").write_text(json.dumps({"anotacoes": {i: {"veredito": "real"} for i in ids[:3]}}))
+    assert cli.main(["sample", pairs, str(tmp_path / "annotations.json"), "--out", str(tmp_path / "sample")], spark) == 0
+    assert spark.read.json(str(tmp_path / "sample" / "sample")).count() == 3
+    assert cli.main(["calibrate", path], spark) == 2
+    assert cli.main(["calibrate", path, "--run-code", "--thresholds", "0.5"], spark) == 0
+    assert cli.main(["catalogue", "--out", str(tmp_path / "c")], spark) == 2
+    raw, reviews = tmp_path / "raw", tmp_path / "reviews"
+    raw.mkdir(), reviews.mkdir()
+    code = [{"id": str(k), "repo": f"r{k % 5}", "commit_hash": "c", "smell_type": "R2", "before_code": "x = 1", "after_code": "x = 2"} for k in range(10)]
+    (raw / "long_param_list.jsonl").write_text("".join(json.dumps(r) + "\n" for r in code))
+    with pytest.raises(FileNotFoundError, match="verdicts"):
+        cli.main(["curate", str(raw), str(reviews), "--out", str(tmp_path / "split")], spark)
+    assert cli.main(["curate", str(raw), str(reviews), "--out", str(tmp_path / "split"), "--allow-unreviewed"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 10
+
+
+def test_behaviour_of_code_that_does_not_stop():
+    from codequarry.functions.behaviour import compared
+
+    assert compared("def f():\n    return open('/tmp/x', 'w')", "def f():\n    return 1")["equivalent"] is False
+    assert compared("x = 1", "def f(): pass")["error"]
+    found = compared("def f(a):\n    while True:\n        pass", "def f(a):\n    return a", 1, 0.2)
+    assert (found["equivalent"], found["one_raised"]) == (False, 1)
+
+
 def test_the_entry_works_without_the_optional_part(tmp_path):
     script = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; import json; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
     out = subprocess.run([sys.executable, "-c", script], cwd=ROOT, capture_output=True, text=True, timeout=120)
