@@ -5,8 +5,9 @@ boundary at the same place, after a character that is no white space, they have
 a place on both would go on alike, and the look-ahead of the pattern can't reach across it. The pieces
 between stitches are encoded in parallel, and a document's ids are those of its pieces in order. Decoding concatenates the bytes of the ids.
 
-Texts of one chunk, nearly all, need no stitching and no shuffle. A chunk that doesn't resynchronise within the overlap is joined to its
-predecessor, with what follows it, so that ids are right for any text. A null text is an empty one. Rows with equal ``doc_id`` are
+This is done twice with one rule: texts of over ``CHUNK`` characters are dealt out to tasks in such chunks, and every text or piece is
+stitched from chunks of ``PART`` characters inside its task, without a shuffle. A chunk that doesn't resynchronise within the overlap is joined to its
+predecessor (one that is dealt out: with what follows it), so that ids are right for any text. A null text is an empty one. Rows with equal ``doc_id`` are
 kept; extra columns are ignored.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: The same inside a task.
+PART, PART_OVERLAP = 1 << 10, 1 << 7
 _WORKER: dict[tuple[str, str], tuple] = {}
 
 
@@ -36,13 +39,32 @@ def _codec(path: str, pattern: str) -> tuple:
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        _WORKER[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table
+        import regex
+
+        _WORKER[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table, regex.compile(pattern)
     return _WORKER[path, pattern]
 
 
-def encode_bytes(text: str, path: str, pattern: str) -> bytes:
-    """Ids of a text as little-endian uint32."""
-    return np.array(_codec(path, pattern)[0].encode_ordinary(text), "<u4").tobytes()
+def stitched(text: str, pattern, part: int = PART, overlap: int = PART_OVERLAP) -> list[str]:
+    """Pieces of a text between places at which neighbouring chunks, pre-tokenised apart, have resynchronised; ``pattern`` is compiled."""
+    cuts, tail, at, size = [0], set(), 0, part
+    while at < len(text):
+        end = at + size
+        found = [at + x for x in boundaries(text[at : end + overlap], pattern, 0, size + overlap)]
+        if at and (both := [x for x in found if x < at + overlap and x in tail]):
+            cuts.append(both[0])
+            size = part
+        elif at:  # not in step: the chunk before goes on to this one's end, and the next is twice as long
+            found = [cuts[-1] + x for x in boundaries(text[cuts[-1] : end + overlap], pattern, at - cuts[-1], end + overlap - cuts[-1])]
+            size *= 2
+        tail, at = {x for x in found if x >= end}, end
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def encode_bytes(text: str, path: str, pattern: str, part: int = PART, overlap: int = PART_OVERLAP) -> bytes:
+    """Ids of a text as little-endian uint32, from its stitched pieces."""
+    encoding, _, compiled = _codec(path, pattern)
+    return b"".join(np.array(encoding.encode_ordinary(piece), "<u4").tobytes() for piece in stitched(text, compiled, part, overlap))
 
 
 def decode_bytes(ids: bytes, path: str, pattern: str) -> bytes:

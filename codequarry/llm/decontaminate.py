@@ -5,7 +5,7 @@ that, so at least one piece stays whole in any such match. Exact hits of the pie
 rolling hashes of word numbers; each hit gives a window of the text, and Myers' bit-parallel distance, over words, verifies it.
 
 Words are runs of letters and digits, in lower case. The index of pieces is broadcast, so its size is bounded: a benchmark
-of more than ``slice_items`` items is taken in slices, one pass over the documents for each. Items with the same words are
+of more than ``slice_words`` words is taken in slices of about so many, one pass over the documents for each; only an item that is longer by itself makes a larger one. Items with the same words are
 searched once and reported under each ``item_id``. Null texts and texts or items without words match nothing. Repeated rows are
 searched and reported each. Extra columns are ignored.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.rows import KEY, row_key
+from codequarry.llm.rows import KEY, keyed, row_key, unkeyed
 from codequarry.sources.scratch import stage
 
 WORD = re.compile(r"[^\W_]+")
@@ -159,11 +159,12 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, item_id long, distance int, last_word int, row_key string")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, slice_items: int = 100_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, slice_words: int = 5_000_000) -> DataFrame:
     """A row (``doc_id``, ``item_id``, ``distance`` in words, ``last_word``, ``row_key`` of the document) for each item that occurs in a document."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row_key"))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    count = -(-max(1, items.count()) // slice_items)
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    count = -(-max(1, words) // slice_words)
     found = None
     for k in range(count):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else items
@@ -176,4 +177,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slice_items: int = 100_0
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those in which a test item occurs."""
     keys = stage(contaminated(docs, benchmark).select(F.col("row_key").alias(KEY)).distinct(), "contaminated")
-    return docs.withColumn(KEY, row_key()).join(keys, KEY, "left_anti").drop(KEY)
+    return unkeyed(keyed(docs).join(keys, KEY, "left_anti"), docs.columns)

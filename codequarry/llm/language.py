@@ -7,8 +7,8 @@ letters in its spans.
 A word is a run of letters of one script, at most ``LONGEST`` of them: longer runs and runs of more scripts, as in texts
 without spaces, are consecutive words, so every letter is learned from, scored and labelled.
 
-Training counts n-grams with Spark over a bounded sample of labelled rows (``max_rows``, by hash of ``doc_id``; ties beyond it at random),
-whole texts. A null text or one without a letter is ``und`` with score 0 and no spans. Rows are
+Training counts n-grams with Spark over a bounded sample of labelled rows (``max_rows``, by hash of ``doc_id`` and text), whole texts; rows equal in id, text
+and label are learned from once. A null text or one without a letter is ``und`` with score 0 and no spans. Rows are
 independent of each other; null labels are not learned from; extra columns are ignored. If nothing can be learned, every text is ``und``.
 """
 
@@ -49,6 +49,8 @@ BUCKETS = 1 << 16
 CACHE_WORDS = 200_000
 #: Words of a text that one step of the search takes at once.
 SEGMENT = 128
+#: Words at once times languages squared: the ways back that the search remembers.
+WAYS = 1 << 25
 WORD = r"\p{L}[\p{L}\p{M}]*"
 UNKNOWN = "und"
 
@@ -181,9 +183,9 @@ def train(docs: DataFrame, max_rows: int = 4000, switch: float = 3.0) -> Model:
 
     The bound on the hash is found from ids alone, so no text moves for it.
     """
-    rows = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    rows = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("h"))
     last = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    sample = rows.filter(F.col("h") <= F.lit(last)).limit(max_rows)
+    sample = rows.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("word"))
     counted = words.groupBy("lang", "word").count()
 
@@ -274,7 +276,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return out
 
 
-def _texts(batch: pa.RecordBatch, most: int = 400_000) -> Iterator[tuple[int, list[list[tuple[int, str]]]]]:
+def _texts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, list[list[tuple[int, str]]]]]:
     """First row and words (with their places) of texts, about ``most`` words at a time."""
     import regex
 
@@ -298,7 +300,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         model = broadcast.value
         k = len(model.langs)
         for batch in batches:
-            for first, texts in _texts(batch):
+            for first, texts in _texts(batch, max(SEGMENT, min(400_000, WAYS // max(1, k * k)))):
                 bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
                 words = [w for t in texts for w in t]
                 labels = viterbi(model.word_scores(words), bounds, model.switch) if k else np.zeros(len(words), np.int64)

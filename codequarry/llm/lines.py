@@ -2,13 +2,11 @@
 
 A line, without spaces at its ends, is counted by the sites it is on: a HyperLogLog sketch per line hash, merged by
 aggregation. Lines whose estimate is near the threshold get an exact distinct count; the rest are decided by the
-sketch. Lines on at least ``min_sites`` sites are removed from every document, unless they make up more than
-``max_share`` of its characters, as the query's SQL says. Without a ``max_share`` (the pipeline) they are removed from
-every document but those that have no other line; and a text counts for one of its sites only, the first in order, so copies
-of a whole text don't make its lines boilerplate.
+sketch. Lines on at least ``min_sites`` sites are removed from every document but those that have no other line. A text counts for one of its
+sites only, the first in order, so copies of a whole text don't make its lines boilerplate.
 
 Lines under ``min_chars`` characters are kept. A null text stays null and has no lines; a null site is a site of its own (the empty
-one). Repeated rows are kept and treated alike. Extra columns are returned unchanged, but for ones named like the two new ones.
+one). Repeated rows are kept and treated alike. Extra columns are returned unchanged, whatever their names, but for ones named like the two new ones.
 """
 
 from __future__ import annotations
@@ -54,49 +52,41 @@ def spread_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 20) -> Da
     return sure.union(exact)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 20, max_share: float | None = 0.5) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_chars: int = 20) -> DataFrame:
     """``docs`` with cleaned ``text`` and two more columns, ``n_lines`` and ``n_removed``."""
-    spread = stage(spread_lines(docs if max_share is not None else one_site_a_text(docs.select("source", "text")), min_sites, min_chars), "boilerplate")
-    on_lines = docs.select(_row_key().alias("__row_key"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_clean(x))))).alias("h"))
-    found = on_lines.join(spread, "h").groupBy("__row_key").agg(F.collect_set("h").alias("__spread"))
-    lines = F.split("text", "\n")
-    clean = F.filter(lines, lambda x: ~F.array_contains("__spread", F.xxhash64(_clean(x))))
-    marked = docs.withColumn("__row_key", _row_key()).join(found, "__row_key", "left").withColumn("__kept", F.when(F.col("__spread").isNotNull(), clean))
-    chars = F.aggregate("__kept", F.lit(0), lambda n, x: n + F.length(x))
-    total = F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
-    left = F.exists("__kept", lambda x: _clean(x) != "") if max_share is None else chars >= total * (1 - max_share)
-    cut = F.col("__kept").isNotNull() & left
-    return (
-        marked.withColumn("__cut", F.coalesce(cut, F.lit(False)))
-        .withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0))
-        .withColumn("n_removed", F.when(F.col("__cut"), F.col("n_lines") - F.size("__kept")).otherwise(0))
-        .withColumn("text", F.when(F.col("__cut"), F.array_join("__kept", "\n")).otherwise(F.col("text")))
-        .drop("__row_key", "__spread", "__kept", "__cut")
-    )
+    spread = stage(spread_lines(one_site_a_text(docs.select("source", "text")), min_sites, min_chars), "boilerplate")
+    lines, extra = F.split("text", "\n"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    hashes = F.transform(lines, lambda x: F.xxhash64(_clean(x)))
+    on_lines = docs.select(_row_key().alias("key"), F.explode(F.array_distinct(hashes)).alias("h"))
+    found = on_lines.join(spread, "h").groupBy("key").agg(F.collect_set("h").alias("bad"))
+    # Columns of the caller's are in a struct of their own, so none of their names can clash with one of these.
+    rows = docs.select(_row_key().alias("key"), "doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(extra))).alias("rest"))
+    marked = rows.join(found, "key", "left").withColumn("kept", F.when(F.col("bad").isNotNull(), F.filter(lines, lambda x: ~F.array_contains("bad", F.xxhash64(_clean(x))))))
+    cut = F.coalesce(F.exists("kept", lambda x: _clean(x) != ""), F.lit(False))
+    n_lines = F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0)
+    named = {"doc_id": F.col("doc_id"), "text": F.when(cut, F.array_join("kept", "\n")).otherwise(F.col("text"))} | {c: F.col(f"rest.c{k}") for k, c in enumerate(extra)}
+    named |= {"n_lines": n_lines, "n_removed": F.when(cut, n_lines - F.size("kept")).otherwise(0)}
+    return marked.select(*(named[c].alias(c) for c in [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]))
 
 
 #: The same for DuckDB over the documents table, exact counts throughout; digests stand for texts.
 ORACLE_SQL = """
-WITH lines AS (
-  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
-         unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos
-  FROM documents
-), spread AS (
-  SELECT trim(line, ' ' || chr(9) || chr(13)) AS line FROM lines
+WITH one AS (SELECT text, min(coalesce(source, '')) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
+spread AS (
+  SELECT trim(line, ' ' || chr(9) || chr(13)) AS line FROM (SELECT site, unnest(string_split(text, chr(10))) AS line FROM one)
   WHERE length(trim(line, ' ' || chr(9) || chr(13))) >= 20
   GROUP BY 1 HAVING count(DISTINCT site) >= 8
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents
 ), marked AS (
-  SELECT l.*, s.line IS NOT NULL AS bad
+  SELECT l.*, trim(l.line, ' ' || chr(9) || chr(13)) AS clean, s.line IS NOT NULL AS bad
   FROM lines l LEFT JOIN spread s ON trim(l.line, ' ' || chr(9) || chr(13)) = s.line
 ), docs AS (
-  SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS n_bad,
-         sum(CASE WHEN bad THEN 0 ELSE length(line) END) >= sum(length(line)) * 0.5 AS cut,
-         string_agg(line, chr(10) ORDER BY pos) AS whole,
-         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '') AS kept
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, bool_or(bad) AND bool_or(NOT bad AND clean <> '') AS cut,
+         string_agg(line, chr(10) ORDER BY pos) AS whole, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT bad), '') AS kept
   FROM marked GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
-       CAST(CASE WHEN cut THEN n_bad ELSE 0 END AS BIGINT) AS n_removed,
-       md5(CASE WHEN cut AND n_bad > 0 THEN kept WHEN n_lines IS NULL THEN NULL ELSE whole END) AS text_md5
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(CASE WHEN cut THEN n_bad ELSE 0 END AS BIGINT) AS n_removed,
+       md5(CASE WHEN cut THEN kept WHEN n_lines IS NULL THEN NULL ELSE whole END) AS text_md5
 FROM documents d LEFT JOIN docs USING (doc_id)
 """

@@ -7,6 +7,9 @@ accumulates the scans of any progressive JPEG with Huffman coding and 8-bit samp
 code and extra bits always take the same width, as those of ``encode`` do, are looked up by numpy in one step.
 The inverse transform works on integers held in float64, so equal files give equal tensors on any machine.
 
+``store`` makes the files and ``tensors`` the full-resolution RGB of stored files; ``digests`` writes both to the shared folder and takes its figures
+from what it reads back. Tensors take three to four bytes a byte of text, so they are written, read and released in ``SLICES`` parts.
+
 A null text is an empty one. Rows are independent of each other; extra columns are ignored.
 """
 
@@ -24,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.sources.scratch import delete, new_path, release, stage, write_once
+
 #: The payload is a multiple of so many bytes.
 UNIT = 576
 MCU = 6 * 64
-#: Bytes of media in one Arrow batch between the two steps.
+#: Bytes of media or tensors in one Arrow batch.
 BATCH_BYTES = 8 << 20
+#: Parts in which tensors are written and read back.
+SLICES = 6
 
 
 def _zigzag() -> np.ndarray:
@@ -407,31 +414,59 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, media binary")
 
 
+TENSORS = "doc_id long, payload_bytes long, n_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, rgb binary"
+
+
 def tensors(media: DataFrame) -> DataFrame:
-    """``doc_id``, ``height``, ``width`` and ``rgb``, the full-resolution tensor in row order."""
+    """What files hold: digests of the payload and the file, ``height``, ``width`` and ``rgb``, the full-resolution tensor in row order."""
+    names = [field.split()[0] for field in TENSORS.split(", ")]
+    types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def taken() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         for batch in batches:
-            for k, file in enumerate(batch.column("media")):
-                rgb = decode(file.as_py()).rgb()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), pa.array([rgb.shape[0]], pa.int32()), pa.array([rgb.shape[1]], pa.int32()), pa.array([rgb.tobytes()], pa.binary())], ["doc_id", "height", "width", "rgb"])
+            for doc_id, file in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+                file = file.as_py()
+                image = decode(file)
+                payload, rgb = image.payload(), image.rgb()
+                rows.append((doc_id, len(payload), len(payload.rstrip(b"\xff")), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), rgb.shape[0], rgb.shape[1], rgb.tobytes()))
+                size += rgb.size
+                if size > BATCH_BYTES:
+                    yield taken()
+                    rows, size = [], 0
+        if rows:
+            yield taken()
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return media.select("doc_id", "media").mapInArrow(run, TENSORS)
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold, read back: payload, checksums and features of the tensor."""
+def with_features(stored: DataFrame) -> DataFrame:
+    """Rows of ``tensors`` with ``feature`` in place of the tensor."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, file in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-                file = file.as_py()
-                image = decode(file)
-                payload = image.payload()
-                rows.append((doc_id, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature(image.rgb())))
-            types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names)
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            cells = zip(batch.column("rgb"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)
+            found = [feature(np.frombuffer(rgb.as_buffer(), np.uint8).reshape(h, w, 3)) for rgb, h, w in cells]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(found, pa.string())], names)
+
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def digests(docs: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Files and tensors of every whole text, written to the shared folder and read back: payload, checksums and features of the stored tensor."""
+    spark = docs.sparkSession
+    path, out = new_path(spark, "media"), new_path(spark, "media-digests")
+    part = F.pmod(F.xxhash64("doc_id", F.length("media")), F.lit(slices)).cast("int")
+    write_once(store(docs).withColumn("part", part), path, "part")
+    schema = "doc_id long, media binary, part int"
+    for k in range(slices):
+        stored = stage(tensors(spark.read.schema(schema).parquet(path).filter(F.col("part") == k)), "tensors")
+        with_features(stored).write.mode("append").parquet(out)
+        release(stored)
+    delete(spark, path)
+    return spark.read.parquet(out)

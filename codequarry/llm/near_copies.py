@@ -1,16 +1,19 @@
-"""Near copies by exact Jaccard similarity of word shingles; candidates come from MinHash bands.
+"""Near copies by Jaccard similarity of word shingles: ball hashing over several SimHash fingerprints, then exact comparison.
 
-A text's set has the hashes of its runs of ``WORDS`` words (of all its words, if they are fewer). Each of ``BANDS`` bands of
-``ROWS`` least hashes gives a key; texts with a common key are candidates, unless the sizes of their sets rule the similarity
-out, and only pairs that an exact comparison of the whole sets confirms are linked. A pair at similarity 0.8 misses all
-bands with probability 0.000007, a more similar one with less. A key of up to ``WHOLE`` different texts gives all their pairs; in a larger one each text
-is compared with the next ``NEXT`` in one order common to all bands, so that a group's pairs grow with its size and not its square.
+The similarity of two sets of shingles decides how many bits of their fingerprints differ on average: a share of ``acos(2 s / (1 + s)) / pi``, which for 0.8 is
+0.15. One long fingerprint within a few bits misses most such pairs, so each text has many short ones, of independent hashes. A pair at the similarity asked for is within
+``RADIUS`` bits in at least one of them but for a chance of ``MISS``; more similar pairs are missed far more rarely. Every short fingerprint emits its variants within half
+the radius, and texts with a common variant are candidates. Bits grow with the logarithm of the number of texts, so chance candidates stay a few a text. Candidates
+are compared by all bits, and those left by their exact sets.
 
-Texts without words are copies of each other. Equal texts are one node, so their number doesn't matter.
+In a group of texts with one variant each is compared with the first in an order that all groups share, so pairs grow with a group's size and not its square. Where that comparison
+fails, the pair of texts could still be linked to others of its group: in a second round all pairs of such groups that are in different components and haven't been compared are.
+So every pair of candidates is compared, or is in one component already. Equal texts are one node, so their number doesn't matter. Texts without words are copies of each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.components import components
+from codequarry.llm.rows import join_skewed
 from codequarry.llm.simhash import _SPACE, PIECE
-from codequarry.sources.scratch import stage
+from codequarry.sources.scratch import release, stage
 
-WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS = 30, 5
-WHOLE, NEXT = 32, 4
-#: Shingles whose hashes under all functions are in memory at once.
-BLOCK = 2048
+RADIUS, MISS = 2, 5e-4
+#: Bits of a short fingerprint beyond the logarithm of the number of texts, and the fewest and most.
+SPARE, FEWEST, MOST = 12, 20, 46
+#: Texts of a key's rows, and variants that are sorted at once.
+ROWS, SORTED = 1 << 21, 1 << 22
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_RNG = np.random.default_rng(42)
-_XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -37,8 +39,8 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """The set of a text's shingles, as sorted hashes."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes; of a text of fewer words, all of them are its one shingle."""
     import xxhash
 
     parts, at = [], 0
@@ -56,14 +58,39 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(value))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), BLOCK):
-        np.minimum(least, ((found[at : at + BLOCK, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
-    least, key = least.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mixed(key * _BASE + least[:, k])
-    return key.view(np.int64)
+def signature(found: np.ndarray, n: int) -> np.ndarray:
+    """``n`` words of 64 bits: a bit is 1 if it is in over half the hashes, which are drawn anew for each word."""
+    seeds = _mixed(np.arange(1, n + 1, dtype=np.uint64) * _BASE)
+    total = np.zeros(64 * n, np.int64)
+    for at in range(0, len(found), 255):
+        hashes = _mixed((found[at : at + 255, None] ^ seeds) * _BASE)
+        bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(found), bitorder="little").view("<u8")
+
+
+def bands(words: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """The short fingerprints of signatures (rows): consecutive runs of bits."""
+    at = np.arange(count) * bits
+    word, low = at // 64, (at % 64).astype(np.uint64)
+    high = np.minimum(word + 1, words.shape[1] - 1)
+    value = words[:, word] >> low
+    over = low + np.uint64(bits) > np.uint64(64)
+    value = np.where(over, value | words[:, high] << (np.uint64(64) - low) % np.uint64(64), value)
+    return value & np.uint64((1 << bits) - 1)
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which the fingerprints of sets of one size differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan(n: int, similarity: float) -> tuple[int, int]:
+    """Short fingerprints and the bits of each, for ``n`` texts."""
+    bits = min(MOST, max(FEWEST, math.ceil(math.log2(max(2, n))) + SPARE))
+    p = differing_share(similarity)
+    hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-hit))), bits
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -71,65 +98,169 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _pairs(key: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among rows in order of ``key``, whole keys."""
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-    key, n, fp = key[new], n[new], fp[new]
-    first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-    size = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, min(WHOLE, len(key))):
-        i = np.flatnonzero((key[d:] == key[:-d]) & ((size[d:] <= WHOLE) | (d <= NEXT)))
-        i = i[np.minimum(n[i], n[i + d]) >= SIMILAR * np.maximum(n[i], n[i + d])]
-        left.append(np.minimum(fp[i], fp[i + d]))
-        right.append(np.maximum(fp[i], fp[i + d]))
-    return np.concatenate(left), np.concatenate(right)
+def groups(values: np.ndarray, bits: int, left: np.ndarray | None = None, positions: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows with a common variant: numbers of rows, and where each group begins among them. ``left``: flips that a row may still spend on ``positions``."""
+    left = np.ones(len(values), np.int64) if left is None else left
+    positions = list(range(bits)) if positions is None else positions
+    if len(values) < 2:
+        return
+    if len(values) * (1 + len(positions)) > SORTED and len(positions) > 8:
+        taken, rest = positions[:4], positions[4:]
+        own = sum(((values >> np.uint64(p)) & np.uint64(1)) << np.uint64(k) for k, p in enumerate(taken))
+        for value in range(16):
+            spent = np.bitwise_count(own ^ np.uint64(value)).astype(np.int64)
+            some = np.flatnonzero(spent <= left)
+            for rows, begin in groups(values[some], bits, left[some] - spent[some], rest):
+                yield some[rows], begin
+        return
+    mask = np.uint64(sum(1 << p for p in positions))
+    flips = np.array([1 << p for p in positions], np.uint64)
+    more = np.flatnonzero(left > 0)
+    variants = np.concatenate([values & mask, ((values[more] & mask)[:, None] ^ flips).ravel()])
+    owners = np.concatenate([np.arange(len(values)), np.repeat(more, len(flips))])
+    order = np.argsort(variants, kind="stable")
+    begin = np.flatnonzero(np.diff(variants[order], prepend=variants[order[:1]] ^ np.uint64(1)))
+    size = np.diff(np.append(begin, len(order)))
+    shared = np.repeat(size > 1, size)
+    begin, size = begin[size > 1], size[size > 1]
+    yield owners[order[shared]], np.cumsum(size) - size
+
+
+def firsts(rows: np.ndarray, begin: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text of a group with the group's first, and whether the group has others."""
+    if not len(begin):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+    size = np.diff(np.append(begin, len(rows)))
+    least = np.repeat(np.minimum.reduceat(fp[rows], begin), size)
+    return least, fp[rows], np.repeat(size > 2, size)
+
+
+def across(rows: np.ndarray, begin: np.ndarray, fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a group that are of different roots."""
+    ends = np.append(begin[1:], len(rows))
+    mixed = np.flatnonzero(np.minimum.reduceat(root[rows], begin) != np.maximum.reduceat(root[rows], begin)) if len(begin) else []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in mixed:
+        own = rows[begin[k] : ends[k]]
+        own = own[np.argsort(root[own], kind="stable")]
+        cut = np.append(np.flatnonzero(np.diff(root[own])) + 1, len(own))
+        for low, high in zip(cut[:-1], cut[1:], strict=True):  # every text of a root with all of the roots before
+            a.append(np.tile(fp[own[:low]], high - low))
+            b.append(np.repeat(fp[own[low:high]], low))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The rows of each key in turn, from batches sorted by key."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        for some in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1):
+            if not len(some):
+                continue
+            if held and held[0][0] != keys[some[0]]:
+                yield [np.concatenate(c) for c in zip(*(h[1] for h in held), strict=True)]
+                held = []
+            held.append((keys[some[0]], [batch.column(c).to_numpy()[some] for c in columns]))
+    if held:
+        yield [np.concatenate(c) for c in zip(*(h[1] for h in held), strict=True)]
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Edges ``a``, ``b`` between the numbers ``fp`` of ``texts`` (``fp``, ``text``; rows with equal ``fp`` have equal texts) that are near copies."""
+def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Edges ``a``, ``b`` that connect the numbers ``fp`` of ``texts`` (``fp``, ``text``; rows with equal ``fp`` have equal texts) as near copies do."""
+    distinct = stage(texts.groupBy("fp").agg(F.first(F.coalesce("text", F.lit(""))).alias("text")), "texts")
+    n = distinct.count()
+    count, bits = plan(n, similarity)
+    n_words = -(-count * bits // 64)
+    p = differing_share(similarity)
+    far = 64 * n_words * p + 6 * math.sqrt(64 * n_words * p * (1 - p))
+    key_bits = max(0, math.ceil(math.log2(max(1, n) / ROWS)))
+    low = np.uint64((1 << key_bits) - 1)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py() or b"") for x in batch.column("text").cast(pa.binary())] if len(batch) else []
-            if sets:
-                keys = np.stack([band_keys(s) for s in sets])
-                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                columns = [keys.ravel(), *(np.repeat(c, BANDS) for c in (keys[:, 0], sizes, batch.column("fp").to_numpy()))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "place", "n", "fp"])
+            cells = [signature(shingles(x.as_py(), words), n_words).tobytes() for x in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(cells, pa.binary())], ["fp", "sig"])
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each short fingerprint and each value that its variants have in the key bits."""
+        flips = np.array([0, *(1 << k for k in range(key_bits))], np.uint64)
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u8").reshape(len(part), n_words)
+                value = bands(sigs, count, bits)
+                key = ((value & low)[:, :, None] ^ flips) | (np.arange(count, dtype=np.uint64) << np.uint64(key_bits))[None, :, None]
+                each = count * len(flips)
+                columns = [key.ravel().view(np.int64), np.repeat(value.ravel(), len(flips)).view(np.int64), *(np.repeat(part.column(c).to_numpy(), each) for c in names[2:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    def collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, fp in _by_key(batches, ("value", "fp")):
+            for rows, begin in groups(value.view(np.uint64), bits):
+                a, b, more = firsts(rows, begin, fp)
+                yield from _distinct(a, b, more)
 
-        def solved(rows: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in _pairs(*rows)], ["a", "b"])
+    def collided_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, fp, root in _by_key(batches, ("value", "fp", "root")):
+            for rows, begin in groups(value.view(np.uint64), bits):
+                yield from _distinct(*across(rows, begin, fp, root), None)
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("key", "n", "fp")]
-            if not len(batch):
-                continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
-            if held and (cut or held[-1][0][-1] != rows[0][0]):
-                held.append([c[:cut] for c in rows])
-                yield solved([np.concatenate(c) for c in zip(*held, strict=True)])
-                held = []
-            elif cut:
-                yield solved([c[:cut] for c in rows])
-            held.append([c[cut:] for c in rows])
-        if held:
-            yield solved([np.concatenate(c) for c in zip(*held, strict=True)])
+            if len(batch):
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(len(batch), n_words) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(one ^ two).sum(axis=1) <= far))
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("ta").cast(pa.binary()), batch.column("tb").cast(pa.binary())
-            good = [jaccard(shingles(x.as_py()), shingles(y.as_py())) >= SIMILAR for x, y in zip(a, b, strict=True)]
+            one, two = (batch.column(c).cast(pa.binary()) for c in ("ta", "tb"))
+            good = [jaccard(shingles(x.as_py(), words), shingles(y.as_py(), words)) >= similarity for x, y in zip(one, two, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    rows = texts.mapInArrow(sketch, "key long, place long, n long, fp long")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "place", "fp").mapInArrow(candidates, "a long, b long")
-    found = stage(pairs.distinct(), "candidates")
-    nodes = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
-    whole = stage(texts.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.first(F.coalesce("text", F.lit(""))).alias("text")), "candidate-texts")
-    side = lambda name: whole.select(F.col("fp").alias(name), F.col("text").alias(f"t{name}"))
-    return found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(verified, "a long, b long")
+    def sided(pairs: DataFrame, of: DataFrame, what: str, short: str) -> DataFrame:
+        """``pairs`` with ``what`` of both sides; a text may be in any number of pairs."""
+        total = pairs.count()
+        for side in ("a", "b"):
+            right = of.select(F.col("fp").alias(side), F.col(what).alias(short + side))
+            pairs = join_skewed(pairs, right, side, pairs.groupBy(side).agg(F.count("*").alias("n")), total)
+        return pairs
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = stage(sided(pairs, sigs, "sig", "s").select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long"), "close")
+        ends = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
+        whole = stage(distinct.join(ends, "fp", "left_semi"), "candidate-texts")
+        return stage(sided(near, whole, "text", "t").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "links")
+
+    sigs = stage(distinct.mapInArrow(sketch, "fp long, sig binary"), "signatures")
+    names = ["key", "value", "fp"]
+    rows = sigs.mapInArrow(dealt, "key long, value long, fp long")
+    tried = stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(collided, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "tried")
+    found = confirmed(tried.select("a", "b"))
+    if tried.filter("more").join(found, ["a", "b"], "left_anti").isEmpty():
+        release(distinct, sigs, tried)
+        return found
+    root = components(found).withColumnRenamed("node", "fp")
+    rooted = stage(sigs.join(root, "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    names = ["key", "value", "fp", "root"]
+    again = rooted.mapInArrow(dealt, "key long, value long, fp long, root long").repartition("key").sortWithinPartitions("key")
+    new = stage(again.mapInArrow(collided_across, "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "untried")
+    both = found.union(confirmed(new))
+    release(distinct, sigs, tried, rooted, new)
+    return both
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, more: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Pairs once each, the lesser number first."""
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+    keep = pairs[:, 0] != pairs[:, 1]
+    pairs = pairs[keep]
+    if more is None:
+        pairs = np.unique(pairs, axis=0)
+        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+    else:
+        more = more[keep]
+        pairs, where = np.unique(np.column_stack([pairs, more.astype(np.int64)]), axis=0, return_index=True)
+        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(more[where])]
+    if len(pairs):
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b"] if more is None else ["a", "b", "more"])

@@ -5,8 +5,8 @@ of every filter, and a document has the largest and the mean of its chunks' resp
 makes one probability. Inference adds up table rows: one row for each pair of neighbouring bytes and
 place in the filter, so no byte is ever expanded to a one-hot vector.
 
-Training takes at most ``max_rows`` labelled rows of at most ``max_bytes`` bytes, whole texts, those whose
-``doc_id`` has the least hash. Null and empty texts are one chunk of padding. Rows are independent of each other; extra columns are
+Training takes at most ``max_rows`` labelled rows, whole texts, those whose ``doc_id`` has the least hash; of rows that repeat an id those with the
+least texts. Responses of long texts are made block by block, so memory for them is bounded. Null and empty texts are one chunk of padding. Rows are independent of each other; extra columns are
 ignored. Without labels of both kinds every score is the share of label 1 (0.5 without any).
 """
 
@@ -88,6 +88,21 @@ class Network:
         return 1 / (1 + np.exp(-(features @ self.out + self.out_bias)))
 
 
+def largest(filters: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of the largest response of each filter in each chunk."""
+    where, best, at = [], [], 0
+    while at < len(start):
+        last = max(at + 1, int(np.searchsorted(stop, start[at] + BLOCK, side="right")))
+        base, end = int(start[at]), int(stop[last - 1])
+        total = sum(filters[w][data[base + w : end + w]] for w in range(WIDTH))
+        for a, b in zip(start[at:last] - base, stop[at:last] - base, strict=True):
+            top = total[a:b].argmax(axis=0)
+            where.append(base + a + top)
+            best.append(total[a + top, np.arange(total.shape[1])])
+        at = last
+    return np.stack(where), np.stack(best)
+
+
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
     """Adam on the mean log-loss; gradients reach the byte at each pooled maximum."""
     rng = np.random.default_rng(seed)
@@ -109,9 +124,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
             sizes = np.array([len(texts[i]) for i in some])
             data = np.concatenate([cases[i] for i in some])
             start, stop, owner = chunk_bounds(sizes)
-            total = sum(net.filters[w][data[w : len(data) - WIDTH + 1 + w]] for w in range(WIDTH))
-            where = np.stack([a + total[a:b].argmax(axis=0) for a, b in zip(start, stop, strict=True)])
-            best = np.take_along_axis(total, where, axis=0) + net.bias
+            where, best = largest(net.filters, data, start, stop)
+            best = best + net.bias
             hidden = np.maximum(best, 0)
             chunks = np.bincount(owner, minlength=len(some))
             begin = np.cumsum(chunks) - chunks
@@ -137,17 +151,17 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
     return Network(params["filters"].astype(np.float32), params["bias"].astype(np.float32), params["out"].astype(np.float32), float(params["out_bias"][0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_bytes: int = 16_384) -> Network:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Network:
     """From ``text`` of ``docs`` and ``quality`` (0 or 1; others don't count) of ``labels``, by ``doc_id``.
 
-    The labels are chosen first, so the join broadcasts ``max_rows`` ids at most and moves no text but theirs; both bounds keep what
-    reaches the driver under ``max_rows * max_bytes``.
+    The labels are chosen first, so the join broadcasts ``max_rows`` ids at most and moves no text but theirs; ``max_rows`` bounds the rows that
+    reach the driver.
     """
     rows = labels.filter("quality in (0, 1)").select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
-    last = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    chosen = rows.filter(F.col("h") <= F.lit(last)).limit(max_rows)
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes)
-    got = whole.join(F.broadcast(chosen), "doc_id").limit(max_rows).orderBy("h", "text", "quality").toArrow()
+    chosen = rows.distinct().orderBy("h", "doc_id", "quality").limit(max_rows)
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = ["h", F.xxhash64("text"), "text", "quality"]
+    got = whole.join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(max_rows).toArrow()
     texts = [x.as_py() for x in got.column("text").cast(pa.binary())]
     return fit(texts, got.column("quality").to_numpy().astype(np.float64))
 

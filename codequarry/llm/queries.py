@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from codequarry.llm import byte_bpe, decontaminate, language, lines, media, pii, quality, token_counts
 from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
+from codequarry.sources.scratch import new_path
+
+
+#: What op7's edits mask.
+MAIL, NUMBER = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "[0-9]{4,}"
 
 
 def _tokenizer(name: str) -> str:
@@ -54,12 +59,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edits mask mail addresses and long numbers."""
+    """Trees of all documents are kept; a first batch of edits masks mail addresses, a second one long numbers in the texts that the first has left."""
     import public_tokenizers
 
-    edits = token_counts.masks(F.col("text"), pii.BASE["email"] + "|[0-9]{4,}+", "<masked>")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("text").rlike("@|[0-9]{4}"), edits).alias("edits"))
-    return token_counts.edited_counts(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    trees = token_counts.TreeTable(spark, new_path(spark, "trees"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    trees.build(table(spark, sf_dir, "documents"))
+    trees.edit(token_counts.masked(MAIL, "<mail>"), F.contains("text", F.lit("@")))
+    trees.edit(token_counts.masked(NUMBER, "<number>"), F.col("text").rlike("[0-9]{4}"))
+    return token_counts.counts_over_versions(trees)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +80,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.store(table(spark, sf_dir, "documents")))
+    return media.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_token_ids": op1_token_ids, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media}

@@ -1,14 +1,35 @@
-"""Names for rows that have no unique column."""
+"""Names for rows that have no unique column, columns of the caller's out of the way, and joins on keys of any frequency."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Column of the key in tables that also have columns of the caller's.
-KEY = "__row_key"
+#: Column of the key in tables that are an operator's own.
+KEY = "row_key"
+#: A key is hot if it has more than one in so many of a table's rows: so there are at most so many hot keys.
+HOT = 1000
 
 
 def row_key() -> Column:
     """128 bits of ``doc_id`` and ``text``: equal for rows equal in both (null and empty texts count as equal)."""
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``row_key`` and ``row``, all columns of the caller's under names that can't clash with an operator's."""
+    return docs.select(row_key().alias(KEY), F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row"))
+
+
+def unkeyed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)))
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key``; ``sizes`` has the rows ``n`` of ``left`` by key, ``total`` their sum.
+
+    Rows of hot keys, of which there are at most ``HOT``, meet their row of ``right`` by broadcast; the others are shuffled, in parts that no key dominates.
+    """
+    hot = sizes.filter(F.col("n") > total // HOT).select(key)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    return left.join(few, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))

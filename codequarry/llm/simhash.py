@@ -8,6 +8,8 @@ number of key bits grows with the number of distinct fingerprints, so a task's m
 that is still too large is split by further bits. Links of a task are reduced to a forest
 before they leave it, and components come from randomised contraction.
 
+``one_of_each`` finds near copies by Jaccard similarity with the same ball hashing over several shorter fingerprints: see ``near_copies``.
+
 Null texts and texts without words have fingerprint zero and are linked like any other. Rows with equal ``doc_id`` are kept; a
 null ``doc_id`` is a document too (a component of only such has a null id). Extra columns are ignored.
 """
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.components import components
-from codequarry.llm.rows import KEY, row_key
-from codequarry.sources.scratch import stage
+from codequarry.llm.rows import KEY, join_skewed, keyed, row_key, unkeyed
+from codequarry.sources.scratch import release, stage
 
 BITS = 64
 #: Bytes of text whose words are in memory at once.
@@ -62,16 +64,15 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, *also: str) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint's bits as a long) and string columns to keep, of every whole text."""
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """``doc_id`` and ``fp`` (the fingerprint's bits as a long) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py() or b"", words) for x in batch.column("text").cast(pa.binary())], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *(batch.column(c) for c in also)], ["doc_id", "fp", *also])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
-    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} string" for c in also)]))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _flips(positions: list[int], most: int) -> list[np.ndarray]:
@@ -179,51 +180,40 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_classes(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """``fp``, ``root`` (equal for linked fingerprints) and ``first`` (the least ``doc_id`` with the fingerprint) of each distinct fingerprint."""
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    return _classes(nodes, links(nodes.select("fp"), radius))
-
-
-def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    root = components(edges)
-    return nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` reachable over links, for every row."""
     prints = stage(fingerprints(docs, words), "fingerprints")
-    classes = near_classes(prints, radius)
+    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    classes = stage(_classes(nodes, links(nodes.select("fp"), radius)), "classes")
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = classes.join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = join_skewed(classes.select("fp", "root"), least, "root", classes.groupBy("root").agg(F.count("*").alias("n")), nodes.count()).select("fp", "component_id")
+    found = join_skewed(prints, of_print, "fp", nodes.select("fp", "n"), prints.count())
+    return found.select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: the one with the least ``doc_id``, of several such the one with the least key of its text."""
-    rows = stage(fingerprints(docs.select("doc_id", "text", row_key().alias(KEY)), words, KEY), "fingerprints")
-    return _first_rows(docs, rows, near_classes(rows, radius))
+def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with ``root``, equal for nodes that ``edges`` connect."""
+    root = components(edges)
+    return nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
 
 
-def one_of_each_copy(docs: DataFrame) -> DataFrame:
-    """Like ``one_of_each``, for components over near copies: pairs whose sets of five-word shingles have Jaccard similarity 0.8 or more."""
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component over near copies, pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    The row with the least ``doc_id`` stays, of several such the one with the least key of its text; a null id comes last.
+    """
     from codequarry.llm import near_copies
 
     text = F.col("text").cast("string")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("fp"), row_key().alias(KEY))
-    rows = stage(named.drop("text"), "texts")
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-texts")
-    return _first_rows(docs, rows, _classes(nodes, near_copies.links(named.select("fp", "text"))))
-
-
-def _first_rows(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    of_row = rows.join(classes, "fp").select("root", F.struct(F.col("doc_id").isNull(), "doc_id", KEY).alias("row"))
-    counted = stage(of_row.groupBy("root", "row").count(), "rows")
-    least = counted.groupBy("root").agg(F.min("row").alias("first"))
-    judged = counted.join(least, "root")
-    losers = judged.filter("row <> first").select(f"row.{KEY}")
-    left = docs.withColumn(KEY, row_key()).join(losers, KEY, "left_anti")
-    twice = judged.filter("row = first and count > 1").select(f"row.{KEY}").distinct()
+    rows = stage(named.groupBy("fp", KEY).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "rows")
+    nodes = stage(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first")), "distinct-texts")
+    first = _classes(nodes, near_copies.links(named.select("fp", "text"), words, similarity)).groupBy("root").agg(F.min("first").alias("first"))
+    stays = stage(first.select(f"first.{KEY}"), "stays")
+    goes = stage(rows.join(stays, KEY, "left_anti").select(KEY), "goes")
+    left = keyed(docs).join(goes, KEY, "left_anti")
+    twice = stage(rows.filter("n > 1").join(stays, KEY, "left_semi").select(KEY), "twice")
     if not twice.isEmpty():  # repeated rows: equal in id and text, so equal in key
-        left = left.join(twice, KEY, "left_anti").union(left.join(twice, KEY, "left_semi").dropDuplicates([KEY]))
-    return left.drop(KEY)
+        left = left.join(twice, KEY, "left_anti").union(left.join(twice, KEY, "left_semi").groupBy(KEY).agg(F.any_value("row").alias("row")))
+    release(rows, nodes, stays)
+    return unkeyed(left, docs.columns)

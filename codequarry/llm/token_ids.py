@@ -7,6 +7,7 @@ by descending frequency over the whole corpus (ties: the lower id), so frequent
 Decoding looks the four lengths of each control byte up in a numpy table. Spark's writer commits
 the shards, so a lost executor's unfinished files never count.
 
+The strings of the tokenizer's added tokens are those tokens wherever a text has them, as the library encodes them by default.
 A null text is an empty one; every document gets the end id. Rows with the same ``doc_id`` are kept, in the
 order of their texts' hashes; a null ``doc_id`` comes first. Extra columns of the input are ignored.
 """
@@ -59,7 +60,7 @@ def _unit_encoder(path: str) -> UnitEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         vocab = tokenizer.get_vocab()
         width = np.zeros(max(vocab.values()) + 1, np.int64)
         width[list(vocab.values())] = [len(x) for x in vocab]
@@ -67,7 +68,7 @@ def _unit_encoder(path: str) -> UnitEncoder:
         def encode(units: list[str]) -> list[bytes]:
             """Units that begin with a space and end in none are encoded many at a time and split by their bytes."""
             out: list[bytes] = [b""] * len(units)
-            joined = [i for i, u in enumerate(units) if u[:1] == " " and not u[-1].isspace()]
+            joined = [i for i, u in enumerate(units) if u[:1] == " " and not u[-1].isspace() and not any(a in u for a in added)]
             alone = sorted(set(range(len(units))) - set(joined)) if len(joined) < len(units) else []
             for i, e in zip(alone, tokenizer.encode_batch_fast([units[i] for i in alone], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, "<u4").tobytes()
@@ -81,7 +82,7 @@ def _unit_encoder(path: str) -> UnitEncoder:
                     out[i], last = raw[last:cut], cut
             return out
 
-        _WORKER[path] = UnitEncoder(encode)
+        _WORKER[path] = UnitEncoder(encode, added)
     return _WORKER[path]
 
 

@@ -2,7 +2,7 @@
 
 A unit starts at a space that follows a non-space character: no match of the pre-tokeniser's
 pattern crosses such a place, and its look-ahead only inspects white space before the place. The
-ids of a text are therefore the ids of its units in order.
+ids of a text are therefore the ids of its units in order. Texts with one of the tokenizer's added tokens are units of their own.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ _SPACE_BEFORE_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{20
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Texts are handled in slices of about so many bytes.
 SLICE_BYTES = 8 << 20
-#: About so many distinct units, the first that come, are remembered by a worker; the frequent ones are among them.
-CACHE_UNITS = 600_000
+#: Units of at most so many characters, the first that come, are remembered by a worker, with their ids in about so many bytes; the frequent ones are among them.
+CACHE_CHARS, CACHE_BYTES = 64, 96 << 20
 
 Encode = Callable[[list[str]], list[bytes]]
 
@@ -39,23 +39,30 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
 class UnitEncoder:
     """Ids of whole texts from ``encode``, which gives each unit's ids as little-endian uint32 bytes."""
 
-    def __init__(self, encode: Encode):
+    def __init__(self, encode: Encode, whole: list[str] | None = None):
+        """Texts that contain one of the strings ``whole`` aren't cut."""
         self._encode = encode
+        self._whole = "|".join(map(re.escape, whole or []))
         self._known: dict[str, bytes] = {}
+        self._room = CACHE_BYTES
 
     def _values(self, units: list[str]) -> list[bytes]:
         known = self._known
         missing = list(dict.fromkeys(u for u in units if u not in known))
         fresh = dict(zip(missing, self._encode(missing), strict=True)) if missing else {}
         values = [known[u] if u in known else fresh[u] for u in units]
-        if len(known) < CACHE_UNITS:
-            known.update(fresh)
+        if self._room > 0:
+            short = {u: ids for u, ids in fresh.items() if len(u) <= CACHE_CHARS}
+            known.update(short)
+            self._room -= sum(120 + len(u) + len(ids) for u, ids in short.items())
         return values
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` (null: empty) in order, and the number of ids of each text."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         odd = pc.match_substring_regex(texts, _SPACE_BEFORE_SPACE).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self._whole).to_numpy(zero_copy_only=False) if self._whole else np.zeros(len(texts), bool)
+        odd = odd | whole
         plain = pc.if_else(pa.array(odd), "", texts)
         parts = pc.split_pattern(plain, " ")
         offsets = parts.offsets.to_numpy()
@@ -63,7 +70,7 @@ class UnitEncoder:
         # The first part of a text has no space before it; odd texts are cut by the slower rule.
         later = [" " + x for x in coded.dictionary.to_pylist()]
         first = parts.flatten().take(pa.array(offsets[:-1])).to_pylist()
-        cut = {i: _CUT.split(texts[i].as_py()) for i in np.flatnonzero(odd)}
+        cut = {i: [texts[i].as_py()] if whole[i] else _CUT.split(texts[i].as_py()) for i in np.flatnonzero(odd)}
         for i, units in cut.items():
             first[i] = units[0]
         rest = [u for units in cut.values() for u in units[1:]]
