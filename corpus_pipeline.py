@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import byte_bpe, decontaminate, language, lines, simhash
+from codequarry.sources.scratch import release
 from codequarry.sources.scratch import stage as staged
 
 
@@ -18,7 +19,7 @@ def _columns(docs: DataFrame) -> list:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go; the others get the language that is found."""
+    """Documents without a language (null, empty or without a letter) go; the others get the language that is found. Repeated rows are kept."""
     model = language.train(docs.filter(~language.held_out()))
     plain = {c: f"c{k}" for k, c in enumerate(docs.columns)} | {"text": "text"}
     rows = docs.select(*(F.col(f"`{c}`").alias(plain[c]) for c in docs.columns))
@@ -27,23 +28,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are on many sites go, and ``n_chars`` follows the text."""
-    cleaned = lines.remove_boilerplate(docs, max_share=None).select(*_columns(docs))
+    """Lines that are on many sites go, and ``n_chars`` follows the text. Null and empty texts stay as they are; repeated rows are treated alike."""
+    cleaned = lines.remove_boilerplate(docs).select(*_columns(docs))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    return simhash.one_of_each_copy(docs)
+    """One document of each group of near copies stays: sets of five-word shingles, similarity 0.8 or more.
+
+    Null and empty texts are copies of each other, as are texts with equal words; repeated rows stay once. Columns of any name are returned unchanged.
+    """
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item go."""
+    """Documents with a benchmark item go. Null and empty texts have none; repeated rows go or stay together."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded bytes of what is left, as digests."""
+    """Ids and decoded bytes of what is left, as digests; a row each for repeated rows, and no ids for null and empty texts."""
     import public_tokenizers
 
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -61,9 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"stage-{k}")
+            if before is not None:
+                release(before)
+            before = docs
     return docs
