@@ -35,7 +35,7 @@ MCU = 6 * 64
 #: Bytes of media or tensors in one Arrow batch.
 BATCH_BYTES = 8 << 20
 #: Parts in which tensors are written and read back.
-SLICES = 6
+SLICES = 12
 
 
 def _zigzag() -> np.ndarray:
