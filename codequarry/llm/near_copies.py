@@ -31,6 +31,8 @@ RADIUS, MISS = 2, 5e-4
 SPARE, FEWEST, MOST = 12, 20, 46
 #: Texts of a key's rows, and variants that are sorted at once.
 ROWS, SORTED = 1 << 21, 1 << 22
+#: Shingles that are remembered while pairs are compared.
+KEPT = 1 << 21
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -215,7 +217,21 @@ def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (batch.column(c).cast(pa.binary()) for c in ("ta", "tb"))
-            good = [jaccard(shingles(x.as_py(), words), shingles(y.as_py(), words)) >= similarity for x, y in zip(one, two, strict=True)]
+            a, b, sets, room, good = batch.column("a").to_pylist(), batch.column("b").to_pylist(), {}, KEPT, []
+
+            def of(fp: int, text: pa.Scalar) -> np.ndarray:
+                """A text of several pairs is cut once while there is room."""
+                nonlocal room
+                if (found := sets.get(fp)) is None:
+                    found = shingles(text.as_py(), words)
+                    if (room := room - len(found)) > 0:
+                        sets[fp] = found
+                return found
+
+            for x, y, tx, ty in zip(a, b, one, two, strict=True):
+                left, right = of(x, tx), of(y, ty)
+                possible = min(len(left), len(right)) >= similarity * max(len(left), len(right))
+                good.append(possible and jaccard(left, right) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def sided(pairs: DataFrame, of: DataFrame, what: str, short: str) -> DataFrame:
