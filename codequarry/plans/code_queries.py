@@ -196,16 +196,16 @@ def tree_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_file_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five parts, of sizes apart, are a commit that moves their functions, without dead code, to a new file and name.
+    """Three parts, of sizes apart, are a commit that moves their functions, without dead code, to a new file and name.
 
     Beside each stand a longer function, less alike, and for even keys the same function again in a file that comes later.
     """
-    rows = corpus.part_functions(spark, sf_dir).withColumn("filler", F.element_at(F.array(*map(F.lit, (8, 14, 24, 40, 68))), F.col("k") % 5 + 1))
+    rows = corpus.part_functions(spark, sf_dir).withColumn("filler", F.element_at(F.array(*map(F.lit, (4, 18, 48))), F.col("k") % 3 + 1))
     k, shape = F.col("k").cast("string"), [F.col(c) for c in ("params", "depth", "literals")]
     moved = lambda prefix, more: corpus.function_source(F.concat(F.lit(prefix), k), *shape, F.lit(0), F.col("filler") + more, F.lit(0))
     old = corpus.function_source(F.concat(F.lit("f_"), k), *shape, F.col("dead"), F.col("filler"), F.col("unreachable"))
     files = {"old.py": old, "new.py": F.concat(moved("g_", 0), F.lit("\n\n\n"), moved("h_", 4)), "zew.py": F.when(F.col("k") % 2 == 0, moved("g_", 0))}
-    listed = rows.select(F.floor(F.col("k") / 5).cast("long").alias("seq"), F.inline(F.array(*(F.struct(F.lit(n).alias("file"), F.struct("k", t.alias("text")).alias("one")) for n, t in files.items()))))
+    listed = rows.select(F.floor(F.col("k") / 3).cast("long").alias("seq"), F.inline(F.array(*(F.struct(F.lit(n).alias("file"), F.struct("k", t.alias("text")).alias("one")) for n, t in files.items()))))
     texts = listed.filter("one.text is not null").groupBy("seq", "file").agg(F.sort_array(F.collect_list("one")).alias("all")).withColumn("text", F.array_join("all.text", "\n\n\n"))
     gone = F.col("file") == "old.py"
     changes = texts.select(
@@ -363,7 +363,7 @@ SELECT k, CAST(n AS BIGINT) AS statements, CAST(params AS BIGINT) AS params, CAS
     "tree_similarity": _SIDES
     + f"""SELECT k, round(1.0 - 2.0 * {_SUM_NODES} / (2 + params + 4 + (filler + 2 + literals) * {_SUM_NODES} + dead * 5
   + CASE WHEN depth > 0 THEN depth * 6 + {_SUM_NODES} ELSE 0 END + 3 + unreachable * 4), 6) AS similarity FROM f""",
-    "cross_file_best": _SIDES + "SELECT CAST(k // 5 AS BIGINT) AS seq, 'new.py' AS file, 'g_' || k AS function_name, 'R5' AS smell_type, 'cross_file' AS source FROM f WHERE dead + unreachable > 0",
+    "cross_file_best": _SIDES + "SELECT CAST(k // 3 AS BIGINT) AS seq, 'new.py' AS file, 'g_' || k AS function_name, 'R5' AS smell_type, 'cross_file' AS source FROM f WHERE dead + unreachable > 0",
     "quality_summary": _QUALITY
     + """, s AS (SELECT q.k, bool_or(issue LIKE 'fail%') AS failed, count(issue) AS n FROM q LEFT JOIN (SELECT k, issue FROM issues UNION ALL SELECT k, issue FROM alike) i USING (k) GROUP BY 1)
 SELECT count(*) AS total, count(*) FILTER (n = 0) AS clean, count(*) FILTER (n > 0 AND NOT failed) AS warn, count(*) FILTER (n > 0 AND failed) AS fail, round(100.0 * count(*) FILTER (n = 0) / count(*), 1) AS clean_percent FROM s""",
