@@ -236,7 +236,7 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_TASKS = " ".join(f"WHEN {k} THEN {_sql_text(sample.SYSTEM[0] + a + sample.SYSTEM[1] + b + sample.SYSTEM[2])}" for k, (a, b) in enumerate(sample.TASKS.values()))
+_TASKS = " ".join(f"WHEN {k} THEN {_sql_text(sample.SYSTEM.format(a, b))}" for k, (a, b) in enumerate(sample.TASKS.values()))
 
 ORACLE_SQL = {
     "test_paths": """
