@@ -6,15 +6,17 @@ The similarity of two sets of shingles decides how many bits of their fingerprin
 the radius, and texts with a common variant are candidates. Bits grow with the logarithm of the number of texts, so chance candidates stay a few a text. Candidates
 are compared by all bits, and those left by their exact sets.
 
-In a group of texts with one variant each is compared with the first in an order that all groups share, so pairs grow with a group's size and not its square. Where that comparison
-fails, the pair of texts could still be linked to others of its group: in a second round all pairs of such groups that are in different components and haven't been compared are.
-So every pair of candidates is compared, or is in one component already. Equal texts are one node, so their number doesn't matter. Texts without words are copies of each other.
+For each short fingerprint a text is compared with one other, the first of its groups in an order drawn for that fingerprint, so these pairs grow with the number of texts,
+whatever the sizes of groups. Texts that then share a variant with a text of another component, by a word of further bits, are dealt out anew with all their bits:
+once more each is compared with one of another component, and at last all pairs of different components that are near by all bits are. So every pair of candidates is
+compared, or is in one component already. Equal texts are one node, so their number doesn't matter. Texts without words are copies of each other.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,12 @@ from codequarry.sources.scratch import release, stage
 RADIUS, MISS = 2, 5e-4
 #: Bits of a short fingerprint beyond the logarithm of the number of texts, and the fewest and most.
 SPARE, FEWEST, MOST = 12, 20, 46
-#: Texts of a key's rows, and variants that are sorted at once.
-ROWS, SORTED = 1 << 21, 1 << 22
+#: Texts of a key's rows, without and with all bits, and variants that are sorted at once.
+ROWS, WIDE_ROWS, SORTED = 1 << 21, 1 << 18, 1 << 22
+#: Bits of the further word in which near copies differ at most: five standard deviations above the mean at 0.8, short texts' ties included.
+CHECK = 24
+#: Pairs that are looked at together.
+PAIRS = 1 << 18
 #: Shingles that are remembered while pairs are compared.
 KEPT = 1 << 21
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -87,6 +93,12 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def far(n_bits: int, similarity: float, size: np.ndarray) -> np.ndarray:
+    """Bits of ``n_bits`` in which near copies, the smaller with ``size`` shingles, differ at most: four standard deviations above the mean, which ties raise in small sets."""
+    p = np.minimum(0.5, differing_share(similarity) + 0.08 / np.sqrt(np.maximum(1, size)))
+    return n_bits * p + 4 * np.sqrt(n_bits * p * (1 - p))
+
+
 def plan(n: int, similarity: float) -> tuple[int, int]:
     """Short fingerprints and the bits of each, for ``n`` texts."""
     bits = min(MOST, max(FEWEST, math.ceil(math.log2(max(2, n))) + SPARE))
@@ -128,44 +140,85 @@ def groups(values: np.ndarray, bits: int, left: np.ndarray | None = None, positi
     yield owners[order[shared]], np.cumsum(size) - size
 
 
-def firsts(rows: np.ndarray, begin: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text of a group with the group's first, and whether the group has others."""
+def leaders(value: np.ndarray, check: np.ndarray, order: np.ndarray, bits: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of texts and of the first text, by ``order``, that any of their groups begins with and whose further bits are near; of another root, if roots are given."""
+    best, lead = order.copy(), np.arange(len(value))
+    for rows, begin in groups(value, bits):
+        if not len(begin):
+            continue
+        size, own = np.diff(np.append(begin, len(rows))), order[rows]
+        least = np.repeat(np.minimum.reduceat(own, begin), size)
+        first = np.repeat(rows[own == least], size)
+        near = np.bitwise_count(check[rows] ^ check[first]) <= CHECK
+        if root is not None:
+            near &= root[rows] != root[first]
+        rows, least, first = rows[near], least[near], first[near]
+        np.minimum.at(best, rows, least)
+        won = best[rows] == least
+        lead[rows[won]] = first[won]
+    some = np.flatnonzero(lead != np.arange(len(value)))
+    return some, lead[some]
+
+
+def across(rows: np.ndarray, begin: np.ndarray, check: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of a group's pairs that are of different roots and whose further bits are near, a limited number at a time."""
     if not len(begin):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
-    size = np.diff(np.append(begin, len(rows)))
-    least = np.repeat(np.minimum.reduceat(fp[rows], begin), size)
-    return least, fp[rows], np.repeat(size > 2, size)
-
-
-def across(rows: np.ndarray, begin: np.ndarray, fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a group that are of different roots."""
+        return
     ends = np.append(begin[1:], len(rows))
-    mixed = np.flatnonzero(np.minimum.reduceat(root[rows], begin) != np.maximum.reduceat(root[rows], begin)) if len(begin) else []
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    two = begin[ends - begin == 2]
+    i, j = rows[two], rows[two + 1]
+    near = (root[i] != root[j]) & (np.bitwise_count(check[i] ^ check[j]) <= CHECK)
+    a, b, held = [i[near]], [j[near]], int(near.sum())
+    mixed = np.flatnonzero((ends - begin > 2) & (np.minimum.reduceat(root[rows], begin) != np.maximum.reduceat(root[rows], begin)))
     for k in mixed:
         own = rows[begin[k] : ends[k]]
         own = own[np.argsort(root[own], kind="stable")]
         cut = np.append(np.flatnonzero(np.diff(root[own])) + 1, len(own))
         for low, high in zip(cut[:-1], cut[1:], strict=True):  # every text of a root with all of the roots before
-            a.append(np.tile(fp[own[:low]], high - low))
-            b.append(np.repeat(fp[own[low:high]], low))
-    return np.concatenate(a), np.concatenate(b)
+            step = max(1, PAIRS // (high - low))
+            for at in range(0, low, step):
+                before = own[at : min(at + step, low)]
+                x, y = np.nonzero(np.bitwise_count(check[before][:, None] ^ check[own[low:high]]) <= CHECK)
+                a.append(before[x])
+                b.append(own[low + y])
+                held += len(x)
+                if held > PAIRS:
+                    yield np.concatenate(a), np.concatenate(b)
+                    a, b, held = [], [], 0
+    if held:
+        yield np.concatenate(a), np.concatenate(b)
+
+
+def drawn(fp: np.ndarray, seed: int) -> np.ndarray:
+    """An order of texts for each ``seed``."""
+    return _mixed(fp.view(np.uint64) ^ _mixed(np.array([seed + 1], np.int64).view(np.uint64) * _BASE))
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """The rows of each key in turn, from batches sorted by key."""
-    held: list[list[np.ndarray]] = []
+def _words(column: pa.Array) -> np.ndarray:
+    """Numbers, or a row of words for each binary value."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+    return column.to_numpy()
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each key in turn with its rows, from batches sorted by key."""
+    held: list[tuple[int, list[np.ndarray]]] = []
+
+    def rows() -> tuple[int, list[np.ndarray]]:
+        return int(held[0][0]), [np.concatenate(c) for c in zip(*(h[1] for h in held), strict=True)]
+
     for batch in batches:
         keys = batch.column("key").to_numpy()
         for some in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1):
             if not len(some):
                 continue
             if held and held[0][0] != keys[some[0]]:
-                yield [np.concatenate(c) for c in zip(*(h[1] for h in held), strict=True)]
+                yield rows()
                 held = []
-            held.append((keys[some[0]], [batch.column(c).to_numpy()[some] for c in columns]))
+            held.append((keys[some[0]], [_words(batch.column(c))[some] for c in columns]))
     if held:
-        yield [np.concatenate(c) for c in zip(*(h[1] for h in held), strict=True)]
+        yield rows()
 
 
 def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -174,45 +227,76 @@ def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     n = distinct.count()
     count, bits = plan(n, similarity)
     n_words = -(-count * bits // 64)
-    p = differing_share(similarity)
-    far = 64 * n_words * p + 6 * math.sqrt(64 * n_words * p * (1 - p))
-    key_bits = max(0, math.ceil(math.log2(max(1, n) / ROWS)))
-    low = np.uint64((1 << key_bits) - 1)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [signature(shingles(x.as_py(), words), n_words).tobytes() for x in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(cells, pa.binary())], ["fp", "sig"])
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each short fingerprint and each value that its variants have in the key bits."""
-        flips = np.array([0, *(1 << k for k in range(key_bits))], np.uint64)
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
-                sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u8").reshape(len(part), n_words)
-                value = bands(sigs, count, bits)
-                key = ((value & low)[:, :, None] ^ flips) | (np.arange(count, dtype=np.uint64) << np.uint64(key_bits))[None, :, None]
-                each = count * len(flips)
-                columns = [key.ravel().view(np.int64), np.repeat(value.ravel(), len(flips)).view(np.int64), *(np.repeat(part.column(c).to_numpy(), each) for c in names[2:])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    def collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, fp in _by_key(batches, ("value", "fp")):
+            sets = [shingles(x.as_py(), words) for x in batch.column("text").cast(pa.binary())]
+            cells = [signature(x, n_words + 1) for x in sets]
+            columns = [pa.array([x[:-1].tobytes() for x in cells], pa.binary()), pa.array([int(x[-1].view(np.int64)) for x in cells], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), *columns], ["fp", "sig", "check", "size"])
+
+    def dealt(of: DataFrame, most: int, carried: list[str]) -> tuple[DataFrame, int]:
+        """A row for each short fingerprint and each value that its variants have in the key bits, of which there are enough that a key has ``most`` rows; by key."""
+        key_bits = max(0, math.ceil(math.log2(max(1, of.count()) / most)))
+        low, flips = np.uint64((1 << key_bits) - 1), np.array([0, *(1 << k for k in range(key_bits))], np.uint64)
+        each = count * len(flips)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 4096):
+                    part = batch.slice(at, 4096)
+                    value = bands(_words(part.column("sig")), count, bits)
+                    key = ((value & low)[:, :, None] ^ flips) | (np.arange(count, dtype=np.uint64) << np.uint64(key_bits))[None, :, None]
+                    again = pa.array(np.repeat(np.arange(len(part)), each))
+                    columns = [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(value.ravel(), len(flips)).view(np.int64)), *(part.column(c).take(again) for c in carried)]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "value", *carried])
+
+        schema = ", ".join(["key long", "value long", *(f"{c} {'binary' if c == 'sig' else 'long'}" for c in carried)])
+        return of.mapInArrow(run, schema).repartition("key").sortWithinPartitions("key"), key_bits
+
+    def near(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """Whether sizes allow for the similarity and all bits are near."""
+        least, most = np.minimum(na, nb), np.maximum(na, nb)
+        return (least >= similarity * most) & (np.bitwise_count(sa ^ sb).sum(axis=1) <= far(64 * n_words, similarity, least))
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (value, fp, check) in _by_key(batches, ["value", "fp", "check"]):
+            rows, first = leaders(value.view(np.uint64), check.view(np.uint64), drawn(fp, key), bits)
+            yield from _distinct(fp[rows], fp[first])
+
+    def led_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (value, fp, check, root, size, sig) in _by_key(batches, ["value", "fp", "check", "root", "size", "sig"]):
+            rows, first = leaders(value.view(np.uint64), check.view(np.uint64), drawn(fp, ~key), bits, root)
+            some = near(sig[rows], sig[first], size[rows], size[first])
+            yield from _distinct(fp[rows[some]], fp[first[some]])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (value, fp, check, root) in _by_key(batches, ["value", "fp", "check", "root"]):
+            seen = np.zeros(len(fp), bool)
             for rows, begin in groups(value.view(np.uint64), bits):
-                a, b, more = firsts(rows, begin, fp)
-                yield from _distinct(a, b, more)
+                for i, j in across(rows, begin, check.view(np.uint64), root):
+                    seen[i] = seen[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(fp[seen])], ["fp"])
 
-    def collided_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, fp, root in _by_key(batches, ("value", "fp", "root")):
+    def near_apart(key_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Near pairs of different roots, each at the first short fingerprint that finds it."""
+        for key, (value, fp, check, root, size, sig) in _by_key(batches, ["value", "fp", "check", "root", "size", "sig"]):
             for rows, begin in groups(value.view(np.uint64), bits):
-                yield from _distinct(*across(rows, begin, fp, root), None)
+                for i, j in across(rows, begin, check.view(np.uint64), root):
+                    i, j = np.divmod(np.unique(np.minimum(i, j) * len(fp) + np.maximum(i, j)), len(fp))
+                    for at in range(0, len(i), PAIRS // 8):
+                        x, y = i[at : at + PAIRS // 8], j[at : at + PAIRS // 8]
+                        some = near(sig[x], sig[y], size[x], size[y])
+                        x, y = x[some], y[some]
+                        found_by = np.bitwise_count(bands(sig[x], count, bits) ^ bands(sig[y], count, bits)) <= RADIUS
+                        own = found_by.argmax(axis=1) == key >> key_bits
+                        yield from _distinct(fp[x[own]], fp[y[own]])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(len(batch), n_words) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(one ^ two).sum(axis=1) <= far))
+                good = near(*(_words(batch.column(c)) for c in ("sa", "sb", "na", "nb")))
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,49 +318,49 @@ def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
                 good.append(possible and jaccard(left, right) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def sided(pairs: DataFrame, of: DataFrame, what: str, short: str) -> DataFrame:
-        """``pairs`` with ``what`` of both sides; a text may be in any number of pairs."""
+    def sided(pairs: DataFrame, of: DataFrame, **names: str) -> DataFrame:
+        """``pairs`` with columns of both sides, under short names; a text may be in any number of pairs."""
         total = pairs.count()
         for side in ("a", "b"):
-            right = of.select(F.col("fp").alias(side), F.col(what).alias(short + side))
+            right = of.select(F.col("fp").alias(side), *(F.col(c).alias(short + side) for c, short in names.items()))
             pairs = join_skewed(pairs, right, side, pairs.groupBy(side).agg(F.count("*").alias("n")), total)
         return pairs
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = stage(sided(pairs, sigs, "sig", "s").select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long"), "close")
-        ends = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
+        """Those of near ``pairs`` (a table) that are links by their sets."""
+        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         whole = stage(distinct.join(ends, "fp", "left_semi"), "candidate-texts")
-        return stage(sided(near, whole, "text", "t").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "links")
-
-    sigs = stage(distinct.mapInArrow(sketch, "fp long, sig binary"), "signatures")
-    names = ["key", "value", "fp"]
-    rows = sigs.mapInArrow(dealt, "key long, value long, fp long")
-    tried = stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(collided, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "tried")
-    found = confirmed(tried.select("a", "b"))
-    if tried.filter("more").join(found, ["a", "b"], "left_anti").isEmpty():
-        release(distinct, sigs, tried)
+        found = stage(sided(pairs, whole, text="t").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "links")
+        release(whole)
         return found
-    root = components(found).withColumnRenamed("node", "fp")
-    rooted = stage(sigs.join(root, "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
-    names = ["key", "value", "fp", "root"]
-    again = rooted.mapInArrow(dealt, "key long, value long, fp long, root long").repartition("key").sortWithinPartitions("key")
-    new = stage(again.mapInArrow(collided_across, "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "untried")
-    both = found.union(confirmed(new))
-    release(distinct, sigs, tried, rooted, new)
-    return both
-
 
-def _distinct(a: np.ndarray, b: np.ndarray, more: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def with_roots(of: DataFrame, edges: DataFrame) -> DataFrame:
+        root = components(edges).withColumnRenamed("node", "fp")
+        return stage(of.join(root, "fp", "left").select(*of.columns, F.coalesce("root", "fp").alias("root")), "rooted")
+
+    sigs = stage(distinct.mapInArrow(sketch, "fp long, sig binary, check long, size long"), "signatures")
+    by_key, _ = dealt(sigs, ROWS, ["fp", "check"])
+    led_pairs = stage(by_key.mapInArrow(led, "a long, b long").distinct(), "led")
+    tried = stage(sided(led_pairs, sigs, sig="s", size="n").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(close, "a long, b long"), "tried")
+    found = confirmed(tried)
+    rooted = with_roots(sigs, found)
+    by_key, _ = dealt(rooted, ROWS, ["fp", "check", "root"])
+    others = stage(by_key.mapInArrow(apart, "fp long").distinct(), "apart")
+    wide = stage(rooted.join(others, "fp", "left_semi"), "wide")
+    by_key, _ = dealt(wide, WIDE_ROWS, ["fp", "check", "root", "size", "sig"])
+    again = stage(by_key.mapInArrow(led_apart, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "led-apart")
+    found = found.union(confirmed(again))
+    rest = with_roots(wide.drop("root"), found)
+    by_key, key_bits = dealt(rest, WIDE_ROWS, ["fp", "check", "root", "size", "sig"])
+    new = by_key.mapInArrow(partial(near_apart, key_bits), "a long, b long").distinct()
+    untried = stage(new.join(tried.union(again), ["a", "b"], "left_anti"), "untried")
+    found = found.union(confirmed(untried))
+    release(distinct, sigs, led_pairs, tried, rooted, others, wide, again, rest, untried)
+    return found
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs once each, the lesser number first."""
-    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-    keep = pairs[:, 0] != pairs[:, 1]
-    pairs = pairs[keep]
-    if more is None:
-        pairs = np.unique(pairs, axis=0)
-        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
-    else:
-        more = more[keep]
-        pairs, where = np.unique(np.column_stack([pairs, more.astype(np.int64)]), axis=0, return_index=True)
-        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(more[where])]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     if len(pairs):
-        yield pa.RecordBatch.from_arrays(columns, ["a", "b"] if more is None else ["a", "b", "more"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
