@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import byte_bpe, decontaminate, language, lines, media, pii, quality, token_counts
+from codequarry.llm import byte_bpe, decontaminate, language, lines, media, phrases, pii, quality, resample, sharding, token_counts
 from codequarry.llm.simhash import near_duplicates
 from codequarry.llm.token_ids import token_output
 from codequarry.sources.scratch import new_path
@@ -83,5 +83,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media}
-ORACLE_SQL = {"op9_line_dedup": lines.ORACLE_SQL}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.places(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_token_ids": op1_token_ids, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_decontaminate": op5_decontaminate, "op6_language_id": op6_language_id, "op7_token_counts": op7_token_counts, "op8_simhash": op8_simhash, "op9_line_dedup": op9_line_dedup, "op10_media": op10_media, "op11_phrases": op11_phrases, "op12_resample": op12_resample, "op13_shards": op13_shards}
+ORACLE_SQL = {"op9_line_dedup": lines.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL}
