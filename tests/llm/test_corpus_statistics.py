@@ -35,6 +35,14 @@ ROWS = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def several_ranges(spark):
+    """Small ranges aren't merged, so that orders and stacks go over several tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(scope="module", params=["rows", "no rows"])
 def frame(request, spark):
     rows = [(i, t, lang, source, 1, 1, 2, 3, 4, "w", 5, "p", 6, 7, 8, 9, 10) for i, t, lang, source in ROWS] if request.param == "rows" else []
