@@ -12,7 +12,6 @@ name are left alone.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ UNKNOWN = "und"
 #: ASCII letters in lower case, tabs as spaces, what ends a piece as line ends.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 #: Bytes of text whose suffixes are counted at once; a longer piece is counted whole.
-STRETCH = 4 << 20
+STRETCH = 8 << 20
 #: Parts that a first word is dealt into.
 DEAL = 64
 
@@ -49,8 +48,17 @@ def _stretches(texts: Iterator[str | None]) -> Iterator[bytes]:
         yield b"".join(waiting)
 
 
-def _suffixes(stretch: bytes, max_words: int) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
-    """The distinct suffixes of a stretch: their first, second .. words (null behind the end), how often each is there, and the part it is dealt to."""
+def _escaped(text: str) -> str:
+    """``text`` without the separator of keys and in the same order."""
+    return text.replace("\x01", "\x01\x02").replace("\0", "\x01\x01")
+
+
+def _plain(text: str) -> str:
+    return text.replace("\x01\x01", "\0").replace("\x01\x02", "\x01")
+
+
+def _suffixes(stretch: bytes, max_words: int, lang: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys of the distinct suffixes of a stretch, and how often each is there."""
     parts = pc.split_pattern(pa.array([stretch.replace(b"\n", b" \n ").decode()]), " ").flatten().dictionary_encode()
     words, codes = parts.dictionary, parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     place = {w: k for k, w in enumerate(words.to_pylist())}
@@ -65,21 +73,20 @@ def _suffixes(stretch: bytes, max_words: int) -> tuple[list[pa.Array], np.ndarra
         columns.append(np.where(ended, -1, column))
     columns = [c[begins] for c in columns]
     if not len(columns[0]):
-        return [words.slice(0, 0)] * max_words, np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
     # Numbers of distinct prefixes, a word longer each time, stay below the number of suffixes.
     number = columns[0]
     for column in columns[1:]:
         _, number = np.unique(number * (len(words) + 1) + column + 1, return_inverse=True)
     _, first, n = np.unique(number, return_index=True, return_counts=True)
-    crc = np.array([zlib.crc32(w.encode()) for w in place] + [0], np.uint32)
-    deal = crc[columns[0][first]] + (crc[columns[1][first]] % DEAL if max_words > 1 else 0) * np.uint32(2654435761)
+    if any("\0" in w or "\x01" in w for w in place):
+        words = pa.array([_escaped(w) for w in place], pa.string())
     taken = [words.take(pa.array(c[first], mask=c[first] < 0)) for c in columns]
-    return taken, n, deal.astype(np.uint32).view(np.int32)
+    return pc.binary_join_element_wise(_escaped(lang), *taken, "\0", null_handling="skip"), n
 
 
 def suffix_counts(docs: DataFrame, max_words: int = 3) -> DataFrame:
-    """``lang``, ``deal``, ``w0``, ``w1`` .. and ``n``: the suffixes of each task's stretches with their numbers."""
-    schema = f"lang string, deal int, {', '.join(f'w{k} string' for k in range(max_words))}, n long"
+    """``key`` (language and words, each ended by a zero but the last) and ``n``: the suffixes of each task's stretches with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +94,17 @@ def suffix_counts(docs: DataFrame, max_words: int = 3) -> DataFrame:
             for lang in pc.unique(langs).to_pylist():
                 texts = batch.column("text").filter(pc.equal(langs, lang))
                 for stretch in _stretches(t.as_py() for some in slices(texts) for t in some):
-                    words, n, deal = _suffixes(stretch, max_words)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.array(deal), *words, pa.array(n)], ["lang", "deal", *(f"w{k}" for k in range(max_words)), "n"])
+                    keys, n = _suffixes(stretch, max_words, lang)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(n)], ["key", "n"])
 
-    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key string, n long")
+
+
+def dealt(suffixes: DataFrame) -> DataFrame:
+    """Suffixes by language and first word, each first word in up to ``DEAL`` parts by its second word."""
+    two = F.substring_index("key", "\0", 3)
+    part = F.pmod(F.hash(F.substring_index(two, "\0", -1)), F.lit(DEAL))
+    return suffixes.repartition(F.substring_index("key", "\0", 2), part)
 
 
 def _differs(column: pa.Array) -> np.ndarray:
@@ -100,6 +114,11 @@ def _differs(column: pa.Array) -> np.ndarray:
     return other.to_numpy(zero_copy_only=False)
 
 
+def _named(langs: pa.Array, phrases: pa.Array, words: int, f: np.ndarray) -> pa.RecordBatch:
+    texts = [pa.array([_plain(x) for x in c.to_pylist()], pa.string()) if pc.any(pc.match_substring(c, "\x01")).as_py() else c for c in (langs, phrases)]
+    return pa.RecordBatch.from_arrays([*texts, pa.array(np.full(len(f), words, np.int32)), pa.array(f)], ["lang", "phrase", "words", "f"])
+
+
 def count_prefixes(suffixes: DataFrame, min_count: int, max_words: int = 3) -> DataFrame:
     """``lang``, ``phrase``, ``words`` and ``f`` of every prefix: phrases with at least ``min_count``, and single words, in several parts, with any."""
 
@@ -110,12 +129,15 @@ def count_prefixes(suffixes: DataFrame, min_count: int, max_words: int = 3) -> D
 
         def closed(depth: int) -> Iterator[pa.RecordBatch]:
             if (top := stack[depth]) is not None and (depth == 0 or top[2] >= min_count):
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (top[0], top[1])] + [pa.array([depth + 1], pa.int32()), pa.array([top[2]], pa.int64())], names)
+                yield _named(pa.array([top[0]]), pa.array([top[1]]), depth + 1, np.array([top[2]], np.int64))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(c) for c in ("lang", *(f"w{k}" for k in range(max_words)))]
+            # Language and words; null behind the end of a suffix.
+            split = pc.split_pattern(batch.column("key"), "\0")
+            ends, begin = split.offsets.to_numpy()[1:], split.offsets.to_numpy()[:-1]
+            keys = [split.values.take(pa.array(begin + k, mask=begin + k >= ends)) for k in range(max_words + 1)]
             n, new = batch.column("n").to_numpy(), np.zeros(batch.num_rows, bool)
             for depth in range(max_words):
                 for k in (0, 1) if depth == 0 else (depth + 1,):
@@ -129,17 +151,16 @@ def count_prefixes(suffixes: DataFrame, min_count: int, max_words: int = 3) -> D
                     continue
                 sums = np.add.reduceat(counted, starts)
                 yield from closed(depth)
-                rows = pa.array(starts[:-1][sums[:-1] >= (min_count if depth else 1)])
+                keep = sums[:-1] >= (min_count if depth else 1)
+                rows = pa.array(starts[:-1][keep])
                 phrase = pc.binary_join_element_wise(*(c.take(rows) for c in keys[1 : depth + 2]), " ")
-                yield pa.RecordBatch.from_arrays([keys[0].take(rows), phrase, pa.array(np.full(len(rows), depth + 1, np.int32)), pa.array(sums[:-1][sums[:-1] >= (min_count if depth else 1)])], names)
+                yield _named(keys[0].take(rows), phrase, depth + 1, sums[:-1][keep])
                 stack[depth] = [keys[0][starts[-1]].as_py(), " ".join(c[starts[-1]].as_py() for c in keys[1 : depth + 2]), int(sums[-1])]
             last = [c[batch.num_rows - 1].as_py() for c in keys]
         for depth in range(max_words):
             yield from closed(depth)
 
-    names = ["lang", "phrase", "words", "f"]
-    order = [F.col("w0").desc(), F.col("lang"), *(F.col(f"w{k}").desc_nulls_last() for k in range(1, max_words))]
-    return suffixes.repartition("lang", "deal").sortWithinPartitions(*order).mapInArrow(run, "lang string, phrase string, words int, f long")
+    return dealt(suffixes).sortWithinPartitions(F.col("key").desc()).mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
 def _words(phrase: Column, start: Column, n: Column) -> Column:

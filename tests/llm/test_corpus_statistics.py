@@ -112,9 +112,10 @@ def test_scores_pass_64_bits(spark):
 def test_suffixes_of_a_hot_word_are_dealt_out(spark):
     """A first word before every other one is in many parts, and its suffixes are merged in their task."""
     text = " ".join(f"the w{k % 500}" for k in range(20000))
-    rows = phrases.suffix_counts(spark.createDataFrame([(text, "en")], "text string, lang string")).filter("w0 = 'the'").collect()
-    assert len(rows) <= 1001 and len({r.deal for r in rows}) == phrases.DEAL
-    assert sum(r.n for r in rows) == 20000
+    suffixes = phrases.suffix_counts(spark.createDataFrame([(text, "en")], "text string, lang string"))
+    rows = phrases.dealt(suffixes).select("key", "n", F.spark_partition_id().alias("p")).filter(F.startswith("key", F.lit("en\0the\0"))).collect()
+    assert len(rows) <= 1001 and sum(r.n for r in rows) == 20000
+    assert len({r.p for r in rows}) == 4
 
 
 def plain_words(text) -> list[bytes]:
