@@ -9,7 +9,8 @@ from codequarry.functions import kernels
 from codequarry.functions.columns import jaccard, shape_distance
 from codequarry.functions.rowwise import with_kernel, with_kernels
 from codequarry.operators import crossfile, detect, mining, quality, sample
-from codequarry.plans import corpus
+from codequarry.plans import corpus, git_corpus
+from codequarry.sources import git
 
 #: The functions of ``part_files`` and what each measures.
 FUNCTIONS = """
@@ -138,6 +139,13 @@ def mine_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mined(spark, sf_dir).select("repo", "seq", "file", "function_name", "smell_type", F.size("msg_keywords").cast("long").alias("keywords"), F.col("n_functions_after").cast("long").alias("functions"))
 
 
+def mine_git(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same commits as bare repositories, read by the git source; the number of the change is in the last line of a message."""
+    rows = mining.mine(git.changes(spark, git_corpus.repositories(spark, sf_dir), ref="all"))
+    seq = F.regexp_extract("commit_msg", "change ([0-9]+)$", 1).cast("long")
+    return rows.select("repo", seq.alias("seq"), "file", "function_name", "smell_type", F.size("msg_keywords").cast("long").alias("keywords"), F.col("n_functions_after").cast("long").alias("functions"))
+
+
 def mine_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _mined(spark, sf_dir, require_keyword=False, partial_threshold=0.1)
     return rows.select("repo", "seq", "function_name", "smell_type", "partial", F.col("magnitude_before").cast("long").alias("before"), F.col("magnitude_after").cast("long").alias("after"))
@@ -276,7 +284,7 @@ def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_counts, scan_findings, scan_totals, scan_report, threshold_sweep, commit_recall, first_commits, changed_functions, new_helpers, mine_strict, mine_partial, mine_listed,
+        scan_counts, scan_findings, scan_totals, scan_report, threshold_sweep, commit_recall, first_commits, changed_functions, new_helpers, mine_strict, mine_git, mine_partial, mine_listed,
         mine_capped, mine_until_full, mine_counts, shapes, identifier_overlap, tree_similarity, cross_file_best, quality_checks, quality_summary, quality_issues, pattern_proxies, diff_stats,
     )
 } | {"detector_r1": detector_r1, "detector_r2": detector_r2, "detector_r3": detector_r3, "detector_r4": detector_r4, "detector_r5": detector_r5}
@@ -305,13 +313,16 @@ _QUALITY = (
 ), sizes AS (
   SELECT k, d, params - greatest(params - dead, 0) AS fewer, 9 + params + (filler + literals) * 8 + dead * 5 + CASE WHEN depth > 0 THEN depth * 6 + 8 ELSE 0 END + unreachable * 4 AS n FROM q WHERE d = 2 OR d > 3
 ), sims AS (  -- of four nodes three are alike; two sums of eight nodes are inserted and parameters taken away
-  SELECT k, CASE WHEN d = 2 THEN 3.0 / n ELSE 1 - (16 + fewer) / CAST(n + 16 - fewer AS DOUBLE) END AS sim FROM sizes
+  SELECT k, CASE WHEN d = 2 THEN 1 - (n - 3) / CAST(n AS DOUBLE) ELSE 1 - (16 + fewer) / CAST(n + 16 - fewer AS DOUBLE) END AS sim FROM sizes
 ), alike AS (
   SELECT k, 'fail:similarity_too_low' AS issue FROM sims WHERE sim < 0.1 UNION ALL SELECT k, 'warn:similarity_borderline' FROM sims WHERE sim >= 0.1 AND sim < 0.3
 )
 """
 )
 
+_MINED = """SELECT repo, seq, file, function_name, smell_type, CAST(CASE seq % 5 WHEN 0 THEN 1 WHEN 2 THEN 3 ELSE 2 END AS BIGINT) AS keywords,
+         CAST(CASE WHEN smell_type = 'R1' THEN 2 ELSE 1 END AS BIGINT) AS functions FROM strict WHERE keyword"""
+
 ORACLE_SQL = {
     "scan_counts": FUNCTIONS + "SELECT s.smell, count(found.smell) AS n FROM (VALUES ('R1'), ('R2'), ('R3'), ('R4'), ('R5')) s(smell) LEFT JOIN found USING (smell) GROUP BY 1",
     "scan_findings": FUNCTIONS + "SELECT path, qualname, smell, CAST(magnitude AS INT) AS magnitude FROM found",
@@ -341,9 +352,8 @@ FROM orders WHERE o_orderkey % 5 IN (0, 2, 4) AND o_orderkey % 13 <> 0 AND o_ord
 QUALIFY row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) <= 100""",
     "changed_functions": CHANGES + "SELECT repo, seq, file, function_name, CAST(helper AS BIGINT) AS helpers FROM changes WHERE NOT is_merge",
     "new_helpers": CHANGES + "SELECT repo, seq, function_name, 'h_' || j AS helper FROM changes WHERE NOT is_merge AND helper",
-    "mine_strict": CHANGES
-    + """SELECT repo, seq, file, function_name, smell_type, CAST(CASE seq % 5 WHEN 0 THEN 1 WHEN 2 THEN 3 ELSE 2 END AS BIGINT) AS keywords,
-         CAST(CASE WHEN smell_type = 'R1' THEN 2 ELSE 1 END AS BIGINT) AS functions FROM strict WHERE keyword""",
+    "mine_strict": CHANGES + _MINED,
+    "mine_git": CHANGES + _MINED,
     "mine_partial": CHANGES + "SELECT repo, seq, function_name, smell_type, partial, CAST(grave AS BIGINT) AS before, CAST(grave2 AS BIGINT) AS after FROM partials WHERE NOT is_merge",
     "mine_listed": CHANGES + "SELECT repo, seq, function_name, smell_type, partial, 'adjacent_oracle' AS source FROM partials WHERE o IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "mine_capped": CHANGES
