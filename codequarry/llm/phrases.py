@@ -17,9 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.ranks import in_order, within
 from codequarry.llm.units import slices
 from codequarry.sources.scratch import stage
 
@@ -195,10 +196,11 @@ def collocations(docs: DataFrame, min_count: int = 10, max_words: int = 3, top:
     inside = inner.groupBy("lang", _words(F.col("phrase"), F.col("at"), F.col("m")).alias("phrase")).agg(F.max("a").alias("most"))
     kept = least.join(inside, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (F.lit(100) * F.col("most") < F.lit(covered) * F.col("a")))
 
-    best = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    first = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # Languages of any size are sorted in ranges; no task ranks a language alone.
+    best = stage(kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), "candidates")
+    placed = within(in_order(best, F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase"), label="ranked-phrases"), "lang")
+    first = placed.withColumn("rank", F.col("place") - F.col("first") + 1).filter(F.col("rank") <= top)
+    return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 #: The same for DuckDB over the documents table, with exact integers of 128 bits.

@@ -29,3 +29,13 @@ def in_order(rows: DataFrame, *order: Column, label: str = "in-order") -> DataFr
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     moved = sizes.select("part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     return written.join(F.broadcast(moved), "part").withColumn("place", F.col("__id") + F.col("__before")).drop("__id", "__before")
+
+
+def within(placed: DataFrame, group: str) -> DataFrame:
+    """Rows of ``in_order``, whose order begins with ``group``, with ``first``, the least place of the group, and ``size``, its number of rows.
+
+    A group has at most one row for each range in what is joined, and a range's rows of a group are at most the range: neither is hot.
+    """
+    pieces = placed.groupBy(group, "part").agg(F.min("place").alias("__first"), F.count("*").alias("__n"))
+    whole = Window.partitionBy(group)
+    return placed.join(pieces.select(group, "part", F.min("__first").over(whole).alias("first"), F.sum("__n").over(whole).alias("size")), [group, "part"])

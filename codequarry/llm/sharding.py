@@ -11,10 +11,10 @@ Null sources count as the source ''. Null texts have no bytes; repeated rows and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.ranks import in_order, numbered
+from codequarry.llm.ranks import in_order, numbered, within
 from codequarry.sources.scratch import release, stage, write_once
 
 #: Bytes that a row takes besides its text.
@@ -52,14 +52,11 @@ def _cut(rows: DataFrame, shards: int, seed: int) -> DataFrame:
         raise ValueError("there must be a shard")
     shuffled = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", F.lit(seed))
     by_source = in_order(rows.withColumn("__h", shuffled), F.col("source"), F.col("__h"), F.col("row"), label="by-source").drop("__h")
-    # A source has at most one row here for each range, and a range's rows of a source are at most the range: neither is hot.
-    pieces = by_source.groupBy("source", "part").agg(F.min("place").alias("__first"), F.count("*").alias("__n"))
-    whole = Window.partitionBy("source")
-    sources = pieces.select("source", "part", F.min("__first").over(whole).alias("__first"), F.sum("__n").over(whole).alias("__n"))
     # Multiples of the golden ratio, without their whole part: those of sources in a row are evenly spread.
-    part_of_one = F.expr(f"(((__first % {1 << 31}L) * {GOLDEN}L) % {1 << 32}L) / {1 << 32}D")
-    at = (F.col("place") - F.col("__first") + part_of_one) / F.col("__n")
-    ranked = by_source.join(sources, ["source", "part"]).select(*rows.columns, at.alias("__at"))
+    part_of_one = F.expr(f"(((first % {1 << 31}L) * {GOLDEN}L) % {1 << 32}L) / {1 << 32}D")
+    at = (F.col("place") - F.col("first") + part_of_one) / F.col("size")
+    by_source = within(by_source.withColumnRenamed("size", "bytes"), "source")
+    ranked = by_source.select(*(F.col("bytes" if c == "size" else c).alias(c) for c in rows.columns), at.alias("__at"))
     mixed = in_order(stage(ranked, "fractional-ranks"), F.col("__at"), F.xxhash64("source", F.lit(seed)), F.col("row"), label="interleaved")
     total = rows.count()
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
