@@ -39,11 +39,11 @@ def lenient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with quotes and line ends, as CSV."""
+    """Whole texts, null ones as empty, with quotes and line ends, as CSV."""
     path = new_path(spark, "raw") + ".csv"
-    docs = table(spark, sf_dir, "documents").filter("text is not null and text <> ''")
-    docs.select("doc_id", F.concat(F.lit('"'), F.left("text", F.lit(60)), F.lit('"\nend')).alias("code")).write.option("header", "true").option("escape", '"').csv(path)
-    return readers.raw(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), F.length("code").cast("long").alias("n"), F.endswith("code", F.lit('"\nend')).alias("whole"))
+    code = F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"\nend'))
+    table(spark, sf_dir, "documents").select("doc_id", code.alias("code")).write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
+    return readers.raw(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), F.length("code").cast("long").alias("n"), F.md5("code").alias("code_md5"))
 
 
 def example_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +134,16 @@ def mine_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs into a table of pairs: returned lines, then those with odd numbers in place of theirs, and what the table holds in the end."""
+    """All lines into a table of pairs, then those that weren't returned of three smells, then odd ones of all smells after a compaction; superseded folders are deleted before it is read."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("R"), (F.col("l_orderkey") % 5 + 1).cast("string")).alias("smell_type"), F.col("l_returnflag").alias("flag"), (F.col("l_linenumber") % 2).alias("odd"), F.col("l_partkey").cast("long").alias("seq"),
     )
     out = sinks.PairTable(spark, new_path(spark, "pair-table"))
-    out.merge(lines.filter("flag = 'R' or odd = 0").withColumn("run", F.lit(1)))
+    out.merge(lines.withColumn("run", F.lit(1)))
     out.merge(lines.filter("flag <> 'R' and smell_type in ('R1', 'R2', 'R3')").withColumn("run", F.lit(2)))
+    out.compact()
+    out.merge(lines.filter("odd = 1").withColumn("run", F.lit(3)))
+    out.vacuum(older_than_hours=0)
     return out.read().groupBy("smell_type", "run").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum("seq").alias("seqs"))
 
 
@@ -253,7 +256,7 @@ _R2_TO_R5 = "'R' || (p_partkey % 5 + 1)"
 ORACLE_SQL = {
     "strict_lines": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
     "lenient_lines": "SELECT doc_id, 'k' || doc_id AS id, lower(lang) AS lang FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0",
-    "raw_csv": "SELECT doc_id, CAST(least(length(text), 60) + 6 AS BIGINT) AS n, TRUE AS whole FROM documents WHERE text <> ''",
+    "raw_csv": """SELECT doc_id, CAST(length(coalesce(text, '')) + 6 AS BIGINT) AS n, md5('"' || coalesce(text, '') || '"' || chr(10) || 'end') AS code_md5 FROM documents""",
     "example_functions": FUNCTIONS + "SELECT 'src/m_' || file || '.py' AS file, 'f_' || k AS function_name, 'sourcery' AS source_dataset FROM m",
     "request_pages": """SELECT 'o/' || o_custkey AS repo, o_orderkey AS pr_number, sha1(CAST(o_orderkey AS VARCHAR)) AS merge_commit_sha, o_orderpriority AS label, CAST(year(CAST(o_orderdate AS DATE)) AS INT) AS year
 FROM orders WHERE o_orderkey % 9 <> 0""",
@@ -293,9 +296,9 @@ fold AS (
 ), ranked AS (SELECT repo, smell_type, seq, row_number() OVER (PARTITION BY repo, smell_type ORDER BY seq, function_name) AS r FROM strict WHERE keyword)
 SELECT repo, smell_type, count(*) AS n, max(seq) AS last FROM ranked JOIN (SELECT repo, smell_type, budget FROM fold) USING (repo, smell_type) WHERE r <= budget GROUP BY 1, 2""",
     "pair_table": """WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS id, 'R' || (l_orderkey % 5 + 1) AS smell_type, l_returnflag AS flag, l_linenumber % 2 AS odd, CAST(l_partkey AS BIGINT) AS seq FROM lineitem),
-one AS (SELECT smell_type, id, max(seq) AS seq, 1 AS run FROM l WHERE flag = 'R' OR odd = 0 GROUP BY 1, 2),
-two AS (SELECT smell_type, id, max(seq) AS seq, 2 AS run FROM l WHERE flag <> 'R' AND smell_type IN ('R1', 'R2', 'R3') GROUP BY 1, 2),
-merged AS (SELECT * FROM two UNION ALL SELECT * FROM one WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.id = one.id AND two.smell_type = one.smell_type))
+runs AS (
+  SELECT smell_type, id, seq, 1 AS run FROM l UNION ALL SELECT smell_type, id, seq, 2 FROM l WHERE flag <> 'R' AND smell_type IN ('R1', 'R2', 'R3') UNION ALL SELECT smell_type, id, seq, 3 FROM l WHERE odd = 1
+), merged AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY smell_type, id ORDER BY run DESC, seq DESC) = 1)
 SELECT smell_type, run, count(*) AS n, count(DISTINCT id) AS ids, CAST(sum(seq) AS BIGINT) AS seqs FROM merged GROUP BY 1, 2""",
     "appended_results": f"SELECT CAST(p_partkey AS VARCHAR) AS id, CASE p_partkey % 5 WHEN 0 THEN 'long_method' WHEN 1 THEN 'long_param_list' WHEN 2 THEN 'magic_numbers' WHEN 3 THEN 'deep_nesting' ELSE 'dead_code' END AS smell_type, 1 AS run, {_R2_TO_R5} AS code FROM part",
     "real_pairs": f"SELECT CAST(p_partkey AS VARCHAR) AS id, {_R2_TO_R5} AS smell_type FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 4 <> 0",

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions.columns import smell_code
 from codequarry.operators.review import latest
-from codequarry.sources.scratch import release, stage
 
 
 def merged(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -18,38 +19,68 @@ def merged(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 class PairTable:
-    """Pairs in folders by run and smell; numbered pointer files name the folder that each smell is in.
+    """Pairs in folders by run and smell; numbered pointer files name the folders of each smell, oldest first.
 
-    A merge writes the smells that it touches to a folder of its own and then a pointer with the next number, which a rename
-    brings into place whole. Nothing is deleted or written over, so a driver or executor that is lost at any moment leaves
-    the last pointer and all that it names. Only the smells of the new rows are read and rewritten. One writer at a time.
+    A merge writes its own rows to a folder of their own, and then a pointer with the next number, which a rename brings into place whole; it reads and
+    rewrites nothing that is there. A reader takes for each key the row of the newest folder: smells in one folder are read as they are, and of the others only
+    the keys of later folders are compared. When a smell has more than ``most_folders``, its later folders become one, or all do where
+    those have a quarter of the first one's rows, so a row is rewritten a few times in all. Nothing is deleted or written over but by ``vacuum``, so a
+    driver or executor that is lost at any moment leaves the last pointer and all that it names. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, most_folders: int = 8):
+        if most_folders < 2:
+            raise ValueError("a smell has a folder and what was merged since")
+        self.spark, self.root, self.most_folders = spark, root.rstrip("/"), most_folders
 
     def _fs(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _newest(self) -> int:
-        """Number of the newest pointer; 0 before the first merge. Unfinished ones have names that aren't numbers."""
-        fs, path = self._fs("_pointers")
-        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-        return max((int(n) for n in names if n.isdigit()), default=0)
+    def _names(self, folder: str) -> dict[str, int]:
+        """What is in a folder, with the times of its last changes in milliseconds."""
+        fs, path = self._fs(folder)
+        return {f.getPath().getName(): f.getModificationTime() for f in fs.listStatus(path)} if fs.exists(path) else {}
 
-    def versions(self) -> dict[str, str]:
-        """The folder of each smell."""
-        newest = self._newest()
-        if not newest:
+    def _numbers(self) -> list[int]:
+        """Numbers of the pointers, newest last. Unfinished ones have names that aren't numbers."""
+        return sorted(int(n) for n in self._names("_pointers") if n.isdigit())
+
+    def folders(self, number: int | None = None) -> dict[str, list[tuple[str, int]]]:
+        """The folders of each smell with their rows, oldest first; those of the newest pointer, or of an earlier one."""
+        number = number or max(self._numbers(), default=0)
+        if not number:
             return {}
-        rows = self.spark.read.text(f"{self.root}/_pointers/{newest}").collect()
-        return dict(r.value.split(" ") for r in rows)
+        lines = [r.value.split(" ") for r in self.spark.read.text(f"{self.root}/_pointers/{number}").collect()]
+        return {smell: [(f, int(n)) for f, n in (x.split(":") for x in rest)] for smell, *rest in lines}
 
     def read(self, smells: list[str] | None = None) -> DataFrame | None:
         """Rows of the table, or of some smells; None before the first merge. Other smells' folders aren't opened."""
-        paths = [f"{self.root}/{folder}/of={name}" for name, folder in sorted(self.versions().items()) if smells is None or name in smells]
-        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+        rows = self._keyed({s: f for s, f in self.folders().items() if smells is None or s in smells})
+        return rows if rows is None else rows.drop("__smell", "__key")
+
+    def _keyed(self, folders: dict[str, list[tuple[str, int]]]) -> DataFrame | None:
+        """One row a key, with the key as the table compares it. Folders in the same place of their smells are read together, so there are at most ``most_folders`` reads."""
+        if not folders:
+            return None
+        reads, plain = [], [f"{self.root}/{f[0][0]}/of={s}" for s, f in sorted(folders.items()) if len(f) == 1]
+        several = {s: f for s, f in folders.items() if len(f) > 1}
+        for place in range(max(map(len, several.values()), default=0)):
+            paths = [f"{self.root}/{f[place][0]}/of={s}" for s, f in sorted(several.items()) if place < len(f)]
+            reads.append(self._parquet(paths).withColumn("__place", F.lit(place)))
+        out = self._parquet(plain) if plain else None
+        if reads:
+            key = ["__smell", "__key"]
+            later = [r.select(*key, "__place") for r in reads[1:]]
+            newest = reduce(DataFrame.unionByName, later).groupBy(*key).agg(F.max("__place").alias("__newest"))
+            kept = [reads[0].join(newest.select(*key), key, "left_anti")]
+            kept += [r.join(newest, key).filter("__place = __newest").drop("__newest") for r in reads[1:]]
+            whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept).drop("__place")
+            out = whole if out is None else out.unionByName(whole, allowMissingColumns=True)
+        return out
+
+    def _parquet(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
 
     def merge(self, new: DataFrame, key: str = "id", smell: str = "smell_type", order: list[str] | None = None) -> dict[str, int]:
         """Put ``new`` in place of rows with its keys; returns the distinct keys of this run by smell.
@@ -57,21 +88,64 @@ class PairTable:
         Of rows with one key in ``new`` the last by ``order`` (by default ``seq``, where there is one) counts. ``new`` is computed once.
         """
         order = order if order is not None else [c for c in ("seq",) if c in new.columns]
-        rows = stage(latest(new, [smell, key], order), "merge")
-        found = {r[smell]: r["count"] for r in rows.groupBy(smell).count().collect()}
+        folder = f"run-{uuid.uuid4().hex}"
+        rows = latest(new, [smell, key], order).withColumns({"__smell": F.col(smell).cast("string"), "__key": F.col(key).cast("string"), "of": F.col(smell)})
+        rows.write.partitionBy("of").parquet(f"{self.root}/{folder}")
+        # An empty run has no folders of smells and leaves the table as it is.
+        wrote = [n for n in self._names(folder) if n.startswith("of=")]
+        found = {r["__smell"]: r["count"] for r in self._parquet([f"{self.root}/{folder}/{n}" for n in wrote]).groupBy("__smell").count().collect()} if wrote else {}
         if found:
-            newest, now, folder = self._newest(), self.versions(), f"run-{uuid.uuid4().hex}"
-            old = self.read(list(found))
-            whole = rows if old is None else old.join(rows.select(smell, key), [smell, key], "left_anti").select(*old.columns).unionByName(rows, allowMissingColumns=True)
-            whole.withColumn("of", F.col(smell)).write.partitionBy("of").parquet(f"{self.root}/{folder}")
-            self._point(newest + 1, {**now, **dict.fromkeys(found, folder)})
-        release(rows)
+            now = self.folders()
+            self._point({**now, **{s: [*now.get(s, []), (folder, n)] for s, n in found.items()}})
+            self._fold({s for s in found if len(now.get(s, [])) >= self.most_folders})
         return found
 
-    def _point(self, number: int, folders: dict[str, str]) -> None:
+    def _fold(self, smells: set[str]) -> None:
+        """Make one folder of the later ones, or of all."""
+        now = self.folders()
+        whole = {s for s in smells if 4 * sum(n for _, n in now[s][1:]) >= now[s][0][1]}
+        if whole:
+            self.compact(sorted(whole))
+        if smells - whole:
+            self._rewrite({s: now[s][1:] for s in smells - whole})
+
+    def compact(self, smells: list[str] | None = None) -> None:
+        """Bring every smell that has several folders, or some smells, into one."""
+        self._rewrite({s: f for s, f in self.folders().items() if len(f) > 1 and (smells is None or s in smells)})
+
+    def _rewrite(self, parts: dict[str, list[tuple[str, int]]]) -> None:
+        """Write the newest rows of some folders of each smell to one that takes their place."""
+        if not parts:
+            return
+        folder = f"run-{uuid.uuid4().hex}"
+        keyed = self._keyed(parts)
+        keyed.withColumn("of", F.col("__smell")).write.partitionBy("of").parquet(f"{self.root}/{folder}")
+        rows = {r["__smell"]: r["count"] for r in self._parquet([f"{self.root}/{folder}/of={s}" for s in parts]).groupBy("__smell").count().collect()}
+        now = self.folders()
+        for s, old in parts.items():
+            at = now[s].index(old[0])
+            now[s][at : at + len(old)] = [(folder, rows[s])]
+        self._point(now)
+
+    def vacuum(self, keep: int = 1, older_than_hours: float = 24) -> int:
+        """Delete folders that the newest ``keep`` pointers don't name, and older pointers; returns how many folders went.
+
+        What has changed within ``older_than_hours`` stays, for readers and a writer that are still at work.
+        """
+        numbers = self._numbers()
+        named = {f for n in numbers[-keep:] for folders in self.folders(n).values() for f, _ in folders}
+        before = time.time() * 1000 - older_than_hours * 3_600_000
+        gone = [n for n, at in self._names("").items() if n.startswith("run-") and n not in named and at <= before]
+        for name in [f"_pointers/{n}" for n in numbers[:-keep]] + gone:
+            fs, path = self._fs(name)
+            fs.delete(path, True)
+        return len(gone)
+
+    def _point(self, folders: dict[str, list[tuple[str, int]]]) -> None:
+        number = max(self._numbers(), default=0) + 1
         fs, fresh = self._fs(f"_pointers/unfinished-{uuid.uuid4().hex}")
         out = fs.create(fresh, False)
-        out.write(bytearray("\n".join(f"{s} {f}" for s, f in sorted(folders.items())).encode()))
+        out.write(bytearray("\n".join(" ".join([s, *(f"{f}:{n}" for f, n in some)]) for s, some in sorted(folders.items())).encode()))
         out.close()
         _, path = self._fs(f"_pointers/{number}")
         if not fs.rename(fresh, path):

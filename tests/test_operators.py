@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 import subprocess
 import sys
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +343,83 @@ def test_the_entry_works_without_the_optional_part(tmp_path):
     out = subprocess.run([sys.executable, "-c", script], cwd=ROOT, capture_output=True, text=True, timeout=120)
     queries, sql = json.loads(out.stdout.strip().splitlines()[-1])
     assert "scan_counts" in queries and not any(q.startswith("op") for q in queries) and set(sql) <= set(queries)
+
+
+def small_rows(spark, ids, smell="R1", value="a"):
+    return spark.createDataFrame([(str(i), smell, value, f"code {i}") for i in ids], "id string, smell_type string, source string, code string")
+
+
+def written(folder) -> dict[str, int]:
+    """Rows of each run's folder."""
+    return {p.name: sum(pq.ParquetFile(f).metadata.num_rows for f in p.rglob("*.parquet")) for p in folder.glob("run-*")}
+
+
+def test_a_merge_writes_its_own_rows_alone(spark, tmp_path):
+    table = sinks.PairTable(spark, str(tmp_path / "pairs"))
+    table.merge(small_rows(spark, range(500)).unionByName(small_rows(spark, range(500), "R2")))
+    first = written(tmp_path / "pairs")
+    assert table.merge(small_rows(spark, [3, 600], value="b")) == {"R1": 2}
+    assert sorted(written(tmp_path / "pairs").values()) == [2, 1000] and written(tmp_path / "pairs").items() > first.items()
+    rows = {(r.smell_type, r.id): r.source for r in table.read().collect()}
+    assert len(rows) == 1001 and rows["R1", "3"] == rows["R1", "600"] == "b" and rows["R2", "3"] == "a"
+    plan = table.read(["R2"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert table.merge(small_rows(spark, [])) == {} and len(table._numbers()) == 2
+
+
+def test_readers_compare_keys_not_rows(spark, tmp_path):
+    """What is shuffled or sent to find the newest rows has keys alone; rows of the first folder are only filtered."""
+    table = sinks.PairTable(spark, str(tmp_path / "pairs"))
+    table.merge(small_rows(spark, range(300)))
+    for k in range(3):
+        table.merge(small_rows(spark, range(k, 300, 100), value=str(k)))
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.split("\n") if "Exchange" in line]
+    assert exchanged and not any("code" in line for line in exchanged)
+
+
+@pytest.mark.parametrize("most", [2, 3, 8])
+def test_many_merges_are_the_last_rows(spark, tmp_path, most):
+    table, want, draw = sinks.PairTable(spark, str(tmp_path / "pairs"), most_folders=most), {}, random.Random(most)
+    for run in range(7):
+        ids = draw.sample(range(40), 40 if run == 0 else 6)
+        smell = "R1" if run % 3 else "R2"
+        table.merge(small_rows(spark, ids, smell, str(run)))
+        want |= {(smell, str(i)): str(run) for i in ids}
+        assert {(r.smell_type, r.id): r.source for r in table.read().collect()} == want and table.read().count() == len(want)
+        assert all(len(f) <= most for f in table.folders().values())
+        assert {s: sum(k[0] == s for k in want) for s in table.folders()} == {s: table.read([s]).count() for s in table.folders()}
+    before = written(tmp_path / "pairs")
+    table.compact()
+    assert all(len(f) == 1 for f in table.folders().values()) and written(tmp_path / "pairs").items() >= before.items()
+    assert table.vacuum() == 0
+    table.vacuum(older_than_hours=0)
+    named = {f for some in table.folders().values() for f, _ in some}
+    assert set(written(tmp_path / "pairs")) == named and {(r.smell_type, r.id): r.source for r in table.read().collect()} == want
+
+
+def test_later_folders_become_one_before_the_first_is_rewritten(spark, tmp_path):
+    table = sinks.PairTable(spark, str(tmp_path / "pairs"), most_folders=3)
+    table.merge(small_rows(spark, range(400)))
+    base = table.folders()["R1"][0]
+    for k in range(4):
+        table.merge(small_rows(spark, [k, k + 1], value=f"v{k}"))
+    assert table.folders()["R1"][0] == base and [n for _, n in table.folders()["R1"]][1] == 4
+    table.merge(small_rows(spark, range(200), value="w"))
+    table.merge(small_rows(spark, [1], value="x"))
+    assert table.folders()["R1"][0] != base and [n for _, n in table.folders()["R1"]] == [400, 1]
+
+
+def test_vacuum_keeps_what_earlier_pointers_name_and_columns_may_come_later(spark, tmp_path):
+    table = sinks.PairTable(spark, str(tmp_path / "pairs"))
+    table.merge(small_rows(spark, range(5)))
+    old = table.folders()
+    table.merge(small_rows(spark, range(2), value="b").withColumn("more", F.lit(1)))
+    table.compact()
+    assert table.vacuum(keep=3, older_than_hours=0) == 0 and table.vacuum(keep=2, older_than_hours=0) == 0
+    assert table.vacuum(keep=1, older_than_hours=0) == 2 and table.folders() != old
+    assert sorted((r.id, r.more) for r in table.read().collect()) == [("0", 1), ("1", 1), ("2", None), ("3", None), ("4", None)]
+    lost = tmp_path / "pairs" / "run-lost"
+    lost.mkdir()
+    (lost / "part").write_text("x")
+    assert table.vacuum() == 0 and table.vacuum(older_than_hours=0) == 1 and not lost.exists()
