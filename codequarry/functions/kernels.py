@@ -387,24 +387,165 @@ def tree_distance(one: Labelled, two: Labelled) -> int:
     return int(trees[-1, -1])
 
 
+def _nearest(xs: np.ndarray, ys: np.ndarray) -> tuple[int, int, int]:
+    """Of two rising sequences the places of the closest two values, and how far they are apart."""
+    right = np.searchsorted(ys, xs).clip(0, len(ys) - 1)
+    left = (right - 1).clip(0)
+    gaps = np.stack([np.abs(ys[left] - xs), np.abs(ys[right] - xs)])
+    side, k = np.unravel_index(gaps.argmin(), gaps.shape)
+    return int(k), int((left, right)[side][k]), int(gaps[side, k])
+
+
+def tree_distance_within(one: Labelled, two: Labelled, most: int) -> int | None:
+    """``tree_distance`` if it is at most ``most``, else None, in memory of the nodes times ``most``.
+
+    Edits move a node by at most their number in postorder, so distances of subtrees are kept for a strip of places, and those of forests only in
+    a band around their diagonal, which is narrower the further two subtrees are apart. A band that is beyond ``most`` in a whole row ends its forest.
+    """
+    (a, la), (b, lb) = _differing(one, two)
+    n, m = len(a), len(b)
+    if abs(n - m) > most or _kinds_apart(a, b) > most:
+        return None
+    if n == 1 or m == 1:
+        return n + m - 2
+    if 2 * most + 1 >= min(n, m) and n * m <= SMALL_TREES:
+        whole = tree_distance(one, two)
+        return whole if whole <= most else None
+    numbers = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+    an, bn = (np.array([numbers[x] for x in labels]) for labels in (a, b))
+    la_, lb_ = np.array(la), np.array(lb)
+    far = most + 1
+    wide = 2 * most + 1 >= m
+    strip = np.full((n, m if wide else 2 * most + 1), far, np.int16 if far < 16000 else np.int32)
+    shapes = [[(rows[np.argsort(rows[:, 0])], end) for rows, end in _repeated(labels, first)] for labels, first in ((an, la_), (bn, lb_))]
+    for rows, end in shapes[0]:
+        for cols, end2 in shapes[1]:
+            r, c, apart = _nearest(rows[:, 0], cols[:, 0])
+            if (band := most - apart) < 0:
+                continue
+            found = _forest(rows[r], cols[c], an, bn, la_, lb_, strip, wide, most, band)
+            if found is None:
+                if end == n - 1 and end2 == m - 1:
+                    return None
+                continue
+            # Every two occurrences within the strip get what was found; a block of them at a time.
+            step = max(1, (1 << 20) // cols.size)
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                # Only occurrences of the other tree that begin within the strip.
+                near = cols[np.searchsorted(cols[:, 0], some[0, 0] - most) : np.searchsorted(cols[:, 0], some[-1, 0] + most, "right")]
+                if not len(near):
+                    continue
+                x, y = some.ravel()[:, None], near.ravel()[None, :]
+                place = y - x * (not wide) + most * (not wide)
+                inside = (place >= 0) & (place < strip.shape[1])
+                values = np.tile(found, (len(some), len(near)))
+                strip[np.broadcast_to(x, place.shape)[inside], place[inside]] = values[inside]
+    least = int(strip[n - 1, m - 1 if wide else m - n + most])
+    return least if least <= most else None
+
+
+def _forest(way: np.ndarray, way2: np.ndarray, an: np.ndarray, bn: np.ndarray, la: np.ndarray, lb: np.ndarray, strip: np.ndarray, wide: bool, most: int, band: int) -> np.ndarray | None:
+    """Distances of the trees on two leftmost ways, above ``band`` as ``most + 1``; None where all are. Row ``x`` of the table has the columns ``x - band .. x + band``, or all if those are more."""
+    i0, i, j0, j = int(way[0]), int(way[-1]), int(way2[0]), int(way2[-1])
+    s, t, far = i - i0 + 1, j - j0 + 1, most + 1
+    slope = int(2 * band < t)
+    table = np.full((s + 1, 2 * band + 1 if slope else t + 1), far, strip.dtype)
+    zero = band * slope
+    table[0, zero : zero + min(t, band) + 1] = np.arange(min(t, band) + 1)
+    found = np.full((len(way), len(way2)), far, strip.dtype)
+    on_way, back = lb[j0 : j + 1] == j0, lb[j0 : j + 1] - j0
+    rank = np.cumsum(on_way) - 1
+    way_rows = {int(x): k for k, x in enumerate(way)}
+    for dx in range(1, s + 1):
+        low, high = max(0, dx - band), min(t, dx + band)
+        if low > t:
+            break
+        before, x = table[dx - 1], i0 + dx - 1
+        row = np.full(high - low + 1, far, strip.dtype)
+        if low == 0:
+            row[0] = dx
+        # Taking the node away: the same column in the row before, a place further in its band.
+        reach = min(high, dx - 1 + band)
+        if reach >= low:
+            shift = zero - slope * (dx - 1)
+            part = before[low + shift : reach + shift + 1] + 1
+            row[: len(part)] = np.minimum(row[: len(part)], part)
+        y0 = max(low, 1)
+        if y0 <= high:
+            ys, rx = np.arange(y0, high + 1), int(la[x]) - i0
+            there = _clipped(strip[x], j0 + y0 - 1 + (0 if wide else most - x), len(ys), far)
+            place = back[ys - 1] + zero - slope * rx
+            fits = (place >= 0) & (place < table.shape[1])
+            best = np.where(fits, table[rx, place.clip(0, table.shape[1] - 1)] + there, far)
+            if rx == 0:
+                # Both nodes have all before them in their trees: put one in place of the other.
+                put = before[ys - 1 + zero - slope * (dx - 1)] + (an[x] != bn[j0 + ys - 1])
+                best = np.where(on_way[ys - 1], put, best)
+            row[y0 - low :] = np.minimum(row[y0 - low :], best)
+        step = np.arange(len(row))
+        row = np.minimum(np.minimum.accumulate(row - step) + step, far).astype(strip.dtype)
+        table[dx, low + zero - slope * dx : high + zero - slope * dx + 1] = row
+        if x in way_rows and y0 <= high:
+            mine = on_way[ys - 1]
+            found[way_rows[x], rank[ys - 1][mine]] = row[y0 - low :][mine]
+        if row.min() >= far:
+            break
+    return found if found.min() < far else None
+
+
+def _clipped(values: np.ndarray, start: int, n: int, far: int) -> np.ndarray:
+    """``n`` values from ``start`` on; ``far`` where there is none."""
+    out = np.full(n, far, values.dtype)
+    a, b = max(0, start), min(len(values), start + n)
+    if a < b:
+        out[a - start : b - start] = values[a:b]
+    return out
+
+
+def _kinds_apart(a: list[str], b: list[str]) -> int:
+    """Edits that the numbers of nodes of each kind ask for: one changes at most two of them."""
+    one, two = Counter(a), Counter(b)
+    return -(-((one - two).total() + (two - one).total()) // 2)
+
+
+#: Up to so many pairs of nodes the whole recurrence is the quicker way; beyond it distances are searched in strips.
+SMALL_TREES = 1 << 20
+
+
+def _distance(one: Labelled, two: Labelled) -> int:
+    """``tree_distance`` in memory that follows the nodes times the distance: strips of twice the width until one holds it."""
+    most = max(16, abs(len(one[0]) - len(two[0])), _kinds_apart(one[0], two[0]))
+    if len(one[0]) * len(two[0]) <= SMALL_TREES:
+        return tree_distance(one, two)
+    while (found := tree_distance_within(one, two, most)) is None:
+        most *= 2
+    return found
+
+
 def tree_similarity(before: str | None, after: str | None) -> float | None:
     """One less the share of nodes that differ between the first functions of two sources; null where there is none."""
     tops = [top_level_function(parse(x or "")[0]) for x in (before, after)]
     if None in tops:
         return None
     one, two = map(labels_of, tops)
-    return max(0.0, 1.0 - tree_distance(one, two) / max(len(one[0]), len(two[0])))
+    return max(0.0, 1.0 - _distance(one, two) / max(len(one[0]), len(two[0])))
 
 
 def tree_similarity_from(before: str | None, after: str | None, least: float) -> float | None:
-    """``tree_similarity`` where it may be ``least`` or more, else null: sizes, and kinds of nodes of which each edit changes two counts at most, often show that it can't be."""
+    """``tree_similarity`` where it is ``least`` or more, else null: only so many edits are looked for."""
     tops = [top_level_function(parse(x or "")[0]) for x in (before, after)]
     if None in tops:
         return None
     one, two = map(labels_of, tops)
-    kinds, size = [Counter(x[0]) for x in (one, two)], max(len(one[0]), len(two[0]))
-    apart = max(abs(len(one[0]) - len(two[0])), -(-((kinds[0] - kinds[1]).total() + (kinds[1] - kinds[0]).total()) // 2))
-    return max(0.0, 1.0 - tree_distance(one, two) / size) if 1.0 - apart / size >= least else None
+    size = max(len(one[0]), len(two[0]))
+    most = min(size, int((1.0 - least) * size) + 1) if least > 0 else 2 * size
+    while most >= 0 and least > 0 and 1.0 - most / size < least:
+        most -= 1
+    if most < 0:
+        return None
+    found = tree_distance_within(one, two, most)
+    return None if found is None else max(0.0, 1.0 - found / size)
 
 
 def first_function_source(code: str) -> str | None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import random
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -169,6 +171,80 @@ def test_tree_distance_is_the_definition(p, q):
     assert kernels.tree_distance(a, a) == 0
 
 
+def _labelled(draw: random.Random, n: int) -> kernels.Labelled:
+    kids: dict[int, list[int]] = {k: [] for k in range(n)}
+    for k in range(1, n):
+        kids[draw.randrange(max(0, k - draw.choice([1, 2, 5, 50])), k)].append(k)
+    labels: list[str] = []
+    first: list[int] = []
+
+    def go(k: int) -> None:
+        begin = len(labels)
+        for x in kids[k]:
+            go(x)
+        labels.append(draw.choice("abc"))
+        first.append(begin)
+
+    go(0)
+    return labels, first
+
+
+def _edited(draw: random.Random, tree: kernels.Labelled, n: int) -> kernels.Labelled:
+    labels, first = list(tree[0]), list(tree[1])
+    for _ in range(n):
+        k = draw.randrange(len(labels))
+        if draw.random() < 0.5 and 2 < len(labels) != k + 1:
+            labels.pop(k), first.pop(k)
+            first = [x - (x > k) for x in first]
+        else:
+            labels[k] = draw.choice("abcd")
+    return labels, first
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounded_distance_is_the_whole_recurrence_under_its_bound(monkeypatch, seed):
+    monkeypatch.setattr(kernels, "SMALL_TREES", 0)
+    draw = random.Random(seed)
+    for _ in range(150):
+        one = _labelled(draw, draw.randrange(1, 28))
+        two = _edited(draw, one, draw.randrange(6)) if draw.random() < 0.5 else _labelled(draw, draw.randrange(1, 28))
+        plain = kernels.tree_distance(one, two)
+        for most in (0, 1, 2, 3, 5, 9, 17, 60):
+            assert kernels.tree_distance_within(one, two, most) == (plain if plain <= most else None)
+        assert kernels._distance(one, two) == plain
+
+
+def _long(lines: int, *inserted: int) -> str:
+    draw = random.Random(1)
+    forms = ["    x{0} = a + b * {1}", "    g(a, x, {1})", "    y = [a[{1}], b.c]", "    if a > {1}:\n        b = a", "    z = h(x)(y)"]
+    code = ["def f(a, b):", "    first = 1", *(draw.choice(forms).format(k % 7, k % 5) for k in range(lines)), "    return a"]
+    for k in inserted:
+        code.insert(k, "    more = a")
+    return "\n".join(code)
+
+
+def test_bounded_distance_of_ten_thousand_nodes_in_little_memory():
+    one, two = (kernels.labels_of(ast.parse(x).body[0]) for x in (_long(900), _long(900, 2, 450, 902).replace("    first = 1", "    first = [1]").replace("return a", "return [a]")))
+    assert len(one[0]) > 10_000
+    tracemalloc.start()
+    try:
+        # Four nodes for each line, and a list around each of two values, with the mark of its use.
+        assert kernels.tree_distance_within(one, two, 40) == 3 * 5 + 2 * 2
+        assert kernels.tree_distance_within(one, two, 10) is None
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_similarity_from_a_bound_is_the_similarity():
+    one = _long(30)
+    for two in (_long(30, 3), _long(30, 3, 9, 14), _long(8), _long(1)):
+        exact = kernels.tree_similarity(one, two)
+        for least in (0.0, 0.3, 0.7, 0.9, exact, exact + 1e-9):
+            assert kernels.tree_similarity_from(one, two, least) == (exact if exact >= least else None)
+    assert kernels.tree_similarity_from(one, "x = 1", 0.5) is None
+
+
 def test_line_changes():
     ops = kernels.line_changes("a\nb\nc", "a\nx\nc\nd")
     assert [(o["tag"], o["i1"], o["i2"], o["j1"], o["j2"]) for o in ops] == [("equal", 0, 1, 0, 1), ("replace", 1, 2, 1, 2), ("equal", 2, 3, 2, 3), ("insert", 3, 3, 3, 4)]
