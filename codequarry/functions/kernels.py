@@ -302,6 +302,12 @@ def labels_of(node: ast.AST) -> Labelled:
     return labels, first
 
 
+def kinds_of(source: str) -> Counter:
+    """Nodes of the first function of a source, by kind."""
+    top = top_level_function(parse(source)[0])
+    return Counter(labels_of(top)[0] if top is not None else ())
+
+
 def _children(first: list[int], node: int) -> list[tuple[int, int]]:
     """First and last node (postorder) of each child's subtree."""
     spans, at = [], node - 1

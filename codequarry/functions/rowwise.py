@@ -17,13 +17,18 @@ Kernel = tuple[str, Callable, str, tuple[str, ...]]
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly over at least as many tasks as the cluster runs at once.
+    """Rows in at least as many tasks as the cluster runs at once; a plan that has so many partitions is left as it is.
 
-    A kernel takes milliseconds a row whose bytes are few, so partitions that are merged by bytes, as adaptive execution and
-    small files give, would leave the work to a few tasks. A given number of partitions is not merged again.
+    A kernel takes milliseconds a row whose bytes are few. A small input comes in a few partitions of many rows, so it is dealt out; its rows are few, and so is what is
+    shuffled. A large scan keeps its own splits: nothing is shuffled, however many there are, and ``spark.sql.files.maxPartitionBytes`` makes them smaller. Where
+    the number is open until a shuffle has run, rows go to the partitions that are asked for, which adaptive execution then doesn't merge.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if not plan.toString().startswith("AdaptiveSparkPlan") and plan.execute().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores))
 
 
 def with_kernels(df: DataFrame, *kernels: Kernel) -> DataFrame:

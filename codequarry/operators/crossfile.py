@@ -1,8 +1,10 @@
-"""Functions moved between files of one commit: blocking by size, cheap distance first, tree distance on what is left."""
+"""Functions moved between files of one commit: a prefix-filtered join on kinds of nodes, cheap distances next, tree distance on what is left."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,53 +16,102 @@ from codequarry.functions.rowwise import with_kernel
 from codequarry.sources.scratch import stage
 
 COMMIT = ["repo", "commit_hash"]
+_FUNCTION = f"{kernels.FUNCTION}, kinds map<string,int>"
+#: Nodes of one kind in a function beyond so many are equally rare.
+DEEP = 63
 
 
-def _side(before: str | None, after: str | None) -> dict:
-    """Functions that a file's change took away or added; a side that doesn't parse has none."""
+def _side(before: str | None, after: str | None, old_path: str | None, new_path: str | None) -> dict:
+    """Functions that a file's change took away or added, with the numbers of their nodes by kind; a side that doesn't parse has none.
+
+    In a file that keeps its path those of one name on both sides haven't moved and aren't measured.
+    """
     old, new = ([f for f in kernels.listed(x)[1] if not f["owner_class"] and not f["shadowed"]] for x in (before, after))
-    return {"error": None, "before": [f | kernels.measure(f["source"]) for f in old], "after": [f | kernels.measure(f["source"]) for f in new]}
+    stayed = {f["name"] for f in old} & {f["name"] for f in new} if old_path == new_path else set()
+    measured = [[f | kernels.measure(f["source"]) | {"kinds": list(kernels.kinds_of(f["source"]).items())} for f in side if f["name"] not in stayed] for side in (old, new)]
+    return {"error": None, "before": measured[0], "after": measured[1]}
 
 
 def gone_and_fresh(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Top-level functions by (commit, file, name) that only the old, or only the new, state of a commit's files has."""
+    """Top-level functions by (commit, file, name) that only the old, or only the new, state of a commit's files has; ``uid`` tells them apart."""
     info = [*COMMIT, "parent_commit", "seq", "message", "msg_keywords"]
-    listed = with_kernel(rows.filter(~is_test_path("file")).select(*info, "old_path", "new_path", "file", "before", "after"), "sides", _side, f"struct<{kernels.CHANGED}>", "before", "after")
+    sides_type = f"struct<error string, before array<struct<{_FUNCTION}>>, after array<struct<{_FUNCTION}>>>"
+    listed = with_kernel(rows.filter(~is_test_path("file")).select(*info, "old_path", "new_path", "file", "before", "after"), "sides", _side, sides_type, "before", "after", "old_path", "new_path")
 
-    def only(side: str, other: str, path: str, other_path: str) -> Column:
-        # In most rows both paths are one, and functions of that name are already known not to have moved.
-        names = F.transform(f"sides.{other}", lambda f: f["name"])
-        same = F.col(path).eqNullSafe(F.col(other_path))
-        kept = F.filter(f"sides.{side}", lambda f: f["shape"].isNotNull() & ~(same & F.array_contains(names, f["name"])))
+    def only(side: str, path: str) -> Column:
+        kept = F.filter(f"sides.{side}", lambda f: f["shape"].isNotNull())
         return F.transform(kept, lambda f: F.struct(F.lit(side).alias("side"), F.coalesce(path, "file").alias("path"), f["name"].alias("name"), f.alias("f")))
 
-    sides = F.concat(only("before", "after", "old_path", "new_path"), only("after", "before", "new_path", "old_path"))
-    # Written once: both sides are read twice, and parsing is what costs.
-    moved = stage(listed.select(*info, F.inline(sides)), "moved-functions")
+    sides = F.concat(only("before", "old_path"), only("after", "new_path"))
+    # Written once: both sides are read several times, and parsing is what costs.
+    moved = stage(listed.select(*info, F.inline(sides)).withColumn("uid", F.monotonically_increasing_id()), "moved-functions")
     old, new = (moved.filter(F.col("side") == side).drop("side") for side in ("before", "after"))
     on = [*COMMIT, "path", "name"]
     return tuple(one.join(other.select(*on), on, "left_anti").drop("name") for one, other in ((old, new), (new, old)))
 
 
-def candidate_pairs(gone: DataFrame, fresh: DataFrame, shape: float = 0.5, similarity: float = 0.7, overlap: float = 0.0) -> DataFrame:
-    """Pairs of one commit but different files that pass, in this order, size, shape distance, shared identifiers and tree similarity.
+def rarity(kinds: DataFrame) -> list[tuple[str, int]]:
+    """Nodes of functions, as (kind, how many of the kind come before), in order of how few functions have them; at most ``DEEP + 1`` for each kind of the language's."""
+    entries = kinds.select(F.explode("kinds").alias("kind", "n")).groupBy("kind", F.least("n", F.lit(DEEP + 1)).alias("n")).count().collect()
+    functions: Counter[tuple[str, int]] = Counter()
+    for row in entries:
+        for k in range(row.n):
+            functions[row.kind, k] += row["count"]
+    return sorted(functions, key=lambda x: (functions[x], x))
+
 
-    Trees whose sizes differ by more than the similarity allows can't be similar enough, so functions meet only in neighbouring
-    bands of size; no candidate is lost by that.
+def prefix(kinds: Iterable[tuple[str, int]] | None, places: dict[tuple[str, int], int], similarity: float) -> list[int]:
+    """The rarest nodes of a function, so many that one as similar shares at least one of them.
+
+    Trees of similarity ``s`` have ``s`` times the nodes of the larger one, or more, of equal kinds. So the nodes of a function that are left when all
+    but one of that share are taken away, whichever they are, meet those of the other in one at least, if both sides take them in one order.
     """
+    counts = dict(kinds or ())
+    nodes = sorted(places[kind, min(k, DEEP)] * (1 << 32) + max(0, k - DEEP) for kind, n in counts.items() for k in range(n))
+    return nodes[: len(nodes) - math.ceil(similarity * len(nodes) - 1e-9) + 1]
+
+
+def shared_nodes(one: Column, two: Column) -> Column:
+    """How many nodes of equal kinds two functions have."""
+    return F.aggregate(F.map_entries(one), F.lit(0), lambda n, e: n + F.least(e["value"], F.coalesce(F.element_at(two, e["key"]), F.lit(0))))
 
-    def band(c: Column) -> Column:
-        return F.floor(F.log(c.cast("double")) / math.log(1 / similarity)).cast("int") if 0 < similarity < 1 else F.lit(0)
-
-    left = gone.select(*COMMIT, "parent_commit", "seq", "message", "msg_keywords", F.col("path").alias("file_before"), F.col("f").alias("old"))
-    left = left.withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band(F.col("old.nodes")) + d)) if 0 < similarity < 1 else F.lit(0))
-    right = fresh.select(*COMMIT, F.col("path").alias("file"), F.col("f").alias("new"), band(F.col("f.nodes")).alias("band"))
-    near = left.join(right, [*COMMIT, "band"]).filter(F.col("file_before") != F.col("file"))
-    sizes = F.least("old.nodes", "new.nodes") / F.greatest("old.nodes", "new.nodes")
-    shared = jaccard(F.col("old.identifiers"), F.col("new.identifiers"))
-    cheap = near.filter((sizes >= similarity) & (shape_distance(F.col("old.shape"), F.col("new.shape")) <= shape)).withColumn("identifier_overlap", shared).filter(F.col("identifier_overlap") >= overlap)
-    sources = cheap.withColumns({"one": F.col("old.source"), "two": F.col("new.source")})
-    scored = with_kernel(sources, "similarity", partial(kernels.tree_similarity_from, least=similarity), "double", "one", "two").drop("one", "two", "band")
+
+def near_pairs(gone: DataFrame, fresh: DataFrame, shape: float = 0.5, similarity: float = 0.7, overlap: float = 0.0) -> DataFrame:
+    """``old_uid``, ``new_uid`` and ``identifier_overlap`` of the pairs whose trees may be as similar; no other pair can be.
+
+    What is shuffled are numbers: sources don't move. Functions of one size meet only where they share a rare node.
+    """
+    slim = ["uid", *COMMIT, "path", F.col("f.shape").alias("shape"), F.col("f.kinds").alias("kinds"), F.col("f.identifiers").alias("identifiers")]
+    left, right = (side.select(*slim).withColumn("nodes", F.aggregate(F.map_values("kinds"), F.lit(0), lambda n, x: n + x)) for side in (gone, fresh))
+    if similarity > 0:
+        places = {node: k for k, node in enumerate(rarity(left.unionByName(right)))}
+        keyed = partial(prefix, places=places, similarity=similarity)
+        left, right = (with_kernel(side, "tokens", keyed, "array<long>", "kinds") for side in (left, right))
+    else:
+        left, right = (side.withColumn("tokens", F.array(F.lit(0).cast("long"))) for side in (left, right))
+    left, right = stage(left, "gone"), stage(right, "fresh")
+
+    def rows(side: DataFrame, name: str) -> DataFrame:
+        return side.select(*COMMIT, F.explode("tokens").alias("token"), F.struct("uid", "path", "nodes", "shape").alias(name))
+
+    met = rows(left, "a").join(rows(right, "b"), [*COMMIT, "token"])
+    sizes = F.least("a.nodes", "b.nodes") / F.greatest("a.nodes", "b.nodes")
+    met = met.filter((F.col("a.path") != F.col("b.path")) & (sizes >= similarity) & (shape_distance(F.col("a.shape"), F.col("b.shape")) <= shape))
+    pairs = met.select(F.col("a.uid").alias("old_uid"), F.col("b.uid").alias("new_uid")).distinct()
+    for side, name in ((left, "old"), (right, "new")):
+        pairs = pairs.join(side.select(F.col("uid").alias(f"{name}_uid"), *(F.col(c).alias(f"{name}_{c}") for c in ("kinds", "identifiers", "nodes"))), f"{name}_uid")
+    alike = shared_nodes(F.col("old_kinds"), F.col("new_kinds")) >= similarity * F.greatest("old_nodes", "new_nodes") - 1e-9
+    found = pairs.filter(alike).withColumn("identifier_overlap", jaccard(F.col("old_identifiers"), F.col("new_identifiers")))
+    return found.filter(F.col("identifier_overlap") >= overlap).select("old_uid", "new_uid", "identifier_overlap")
+
+
+def candidate_pairs(gone: DataFrame, fresh: DataFrame, shape: float = 0.5, similarity: float = 0.7, overlap: float = 0.0) -> DataFrame:
+    """Pairs of one commit but different files that pass, in this order, kinds of nodes, size, shape distance, shared identifiers and tree similarity."""
+    near = near_pairs(gone, fresh, shape, similarity, overlap)
+    old = gone.select(F.col("uid").alias("old_uid"), *COMMIT, "parent_commit", "seq", "message", "msg_keywords", F.col("path").alias("file_before"), F.col("f").dropFields("kinds").alias("old"))
+    new = fresh.select(F.col("uid").alias("new_uid"), F.col("path").alias("file"), F.col("f").dropFields("kinds").alias("new"))
+    sources = near.join(old, "old_uid").join(new, "new_uid").withColumns({"one": F.col("old.source"), "two": F.col("new.source")}).drop("old_uid", "new_uid")
+    scored = with_kernel(sources, "similarity", partial(kernels.tree_similarity_from, least=similarity), "double", "one", "two").drop("one", "two")
     return scored.filter(F.col("similarity") >= similarity)
 
 
