@@ -25,8 +25,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().executedPlan()
-    if not plan.toString().startswith("AdaptiveSparkPlan") and plan.execute().getNumPartitions() >= 2 * cores:
+    plan = None if df.isStreaming else df._jdf.queryExecution().executedPlan()
+    if plan is not None and not plan.toString().startswith("AdaptiveSparkPlan") and plan.execute().getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores))
 

@@ -10,7 +10,9 @@ from codequarry.functions.columns import jaccard, shape_distance
 from codequarry.functions.rowwise import with_kernel, with_kernels
 from codequarry.operators import crossfile, detect, mining, quality, sample
 from codequarry.plans import corpus, git_corpus
-from codequarry.sources import git
+from codequarry.sources import git, scratch, sinks
+from codequarry.sources.scratch import new_path
+from codequarry.streaming import incremental
 
 #: The functions of ``part_files`` and what each measures.
 FUNCTIONS = """
@@ -164,6 +166,18 @@ def mine_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("repo", "smell_type").agg(F.countDistinct("id").alias("n"), F.max("seq").alias("last"))
 
 
+def stream_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commits come in three parts by number, each as often as it likes: the last one again with the second. The stream stops and goes on in between."""
+    folder, caps = new_path(spark, "stream-in"), mining.Options(caps=dict.fromkeys(mining.SMELLS, 5))
+    out = sinks.PairTable(spark, new_path(spark, "stream-pairs"))
+    changes = scratch.stage(corpus.modified_files(spark, sf_dir), "stream-changes")
+    last = changes.agg(F.max("seq")).first()[0] or 0
+    for low, high in ((0, last // 3), (last // 4, 2 * last // 3), (last // 2, last + 1)):
+        changes.filter((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(folder)
+        incremental.follow_capped(spark, folder, out, caps).awaitTermination()
+    return out.read().groupBy("repo", "smell_type").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
 def mine_until_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Caps on two smells: a repository is read up to the commit that fills both."""
     rows = _mined(spark, sf_dir, caps={"R2": 3, "R4": 4})
@@ -285,7 +299,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_counts, scan_findings, scan_totals, scan_report, threshold_sweep, commit_recall, first_commits, changed_functions, new_helpers, mine_strict, mine_git, mine_partial, mine_listed,
-        mine_capped, mine_until_full, mine_counts, shapes, identifier_overlap, tree_similarity, cross_file_best, quality_checks, quality_summary, quality_issues, pattern_proxies, diff_stats,
+        mine_capped, stream_capped, mine_until_full, mine_counts, shapes, identifier_overlap, tree_similarity, cross_file_best, quality_checks, quality_summary, quality_issues, pattern_proxies, diff_stats,
     )
 } | {"detector_r1": detector_r1, "detector_r2": detector_r2, "detector_r3": detector_r3, "detector_r4": detector_r4, "detector_r5": detector_r5}
 
@@ -323,6 +337,9 @@ _QUALITY = (
 _MINED = """SELECT repo, seq, file, function_name, smell_type, CAST(CASE seq % 5 WHEN 0 THEN 1 WHEN 2 THEN 3 ELSE 2 END AS BIGINT) AS keywords,
          CAST(CASE WHEN smell_type = 'R1' THEN 2 ELSE 1 END AS BIGINT) AS functions FROM strict WHERE keyword"""
 
+_CAPPED = """SELECT repo, smell_type, count(*) AS n, max(seq) AS last
+FROM (SELECT * FROM strict WHERE keyword QUALIFY row_number() OVER (PARTITION BY repo, smell_type ORDER BY seq, function_name) <= 5) GROUP BY 1, 2"""
+
 ORACLE_SQL = {
     "scan_counts": FUNCTIONS + "SELECT s.smell, count(found.smell) AS n FROM (VALUES ('R1'), ('R2'), ('R3'), ('R4'), ('R5')) s(smell) LEFT JOIN found USING (smell) GROUP BY 1",
     "scan_findings": FUNCTIONS + "SELECT path, qualname, smell, CAST(magnitude AS INT) AS magnitude FROM found",
@@ -356,9 +373,8 @@ QUALIFY row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderkey) <= 1
     "mine_git": CHANGES + _MINED,
     "mine_partial": CHANGES + "SELECT repo, seq, function_name, smell_type, partial, CAST(grave AS BIGINT) AS before, CAST(grave2 AS BIGINT) AS after FROM partials WHERE NOT is_merge",
     "mine_listed": CHANGES + "SELECT repo, seq, function_name, smell_type, partial, 'adjacent_oracle' AS source FROM partials WHERE o IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
-    "mine_capped": CHANGES
-    + """SELECT repo, smell_type, count(*) AS n, max(seq) AS last
-FROM (SELECT * FROM strict WHERE keyword QUALIFY row_number() OVER (PARTITION BY repo, smell_type ORDER BY seq, function_name) <= 5) GROUP BY 1, 2""",
+    "mine_capped": CHANGES + _CAPPED,
+    "stream_capped": CHANGES + _CAPPED,
     "mine_until_full": CHANGES
     + """, ranked AS (SELECT *, CASE smell_type WHEN 'R2' THEN 3 WHEN 'R4' THEN 4 END AS cap, row_number() OVER (PARTITION BY repo, smell_type ORDER BY seq, function_name) AS place FROM strict WHERE keyword),
 stops AS (SELECT repo, max(seq) AS stop FROM ranked WHERE place = cap GROUP BY repo HAVING count(*) = 2)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+import heapq
+from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from codequarry.functions.columns import is_test_path
 from codequarry.operators import mining
 from codequarry.sources.sinks import PairTable
 
@@ -26,3 +31,81 @@ def follow(spark: SparkSession, folder: str, table: PairTable, options: mining.O
 
     writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or f"{table.root}/_stream")
     return writer.trigger(availableNow=True).start()
+
+
+#: Files of a commit are told apart by these.
+FILE = ["repo", "commit_hash", "old_path", "new_path"]
+
+
+def _place(row: Row) -> tuple:
+    """Order of pairs: by ``seq``, those without one last, then by id."""
+    return row.seq is None, row.seq or 0, row.id
+
+
+class _Capped(StatefulProcessor):
+    """The first pairs of a repository and smell, as many as its cap, over all batches; only the ids of those that were kept are remembered."""
+
+    def __init__(self, caps: dict[str, int]):
+        self._caps = caps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._kept = handle.getMapState("kept", "id string", "seq long")
+        self._n = handle.getValueState("n", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n = self._n.get()[0] if self._n.exists() else 0
+        room = self._caps[key[1]] - n
+        if room <= 0:
+            return
+        # Of a batch at most as many rows as there is room for are in memory. One id may come from several files of a batch.
+        first: dict[str, Row] = {}
+        for row in rows:
+            if row.id in first:
+                if _place(row) < _place(first[row.id]):
+                    first[row.id] = row
+                continue
+            if self._kept.containsKey((row.id,)):
+                continue
+            first[row.id] = row
+            if len(first) > 2 * room:
+                keep = heapq.nsmallest(room, first.values(), key=_place)
+                first = {r.id: r for r in keep}
+        kept = heapq.nsmallest(room, first.values(), key=_place)
+        for row in kept:
+            self._kept.updateValue((row.id,), (row.seq,))
+            yield row
+        if kept:
+            self._n.update((n + len(kept),))
+
+    def close(self) -> None:
+        pass
+
+
+def capped_pairs(changes: DataFrame, options: mining.Options) -> DataFrame:
+    """Pairs of a stream of changed files, at most ``options.caps`` of a smell from each repository over the whole life of the stream.
+
+    Files that have been seen, in any batch, aren't mined again. Within a batch the first pairs by ``seq`` count, and batches count in the order in which they come. Smells
+    without a cap aren't limited and keep no state. What is remembered is the key of each file and up to a cap's number of ids for each repository and smell.
+    """
+    once = changes.dropDuplicates(FILE)
+    rows = mining.commits(once, options)
+    pairs = mining.verified(mining.candidates(rows.filter(~is_test_path("file"))), options)
+    limited = F.col("smell_type").isin(*options.caps)
+    kept = pairs.filter(limited).groupBy("repo", "smell_type").transformWithState(_Capped(options.caps), pairs.schema, "Append", "None")
+    return kept.unionByName(pairs.filter(~limited)) if set(mining.SMELLS) - set(options.caps) else kept
+
+
+def follow_capped(spark: SparkSession, folder: str, table: PairTable, options: mining.Options, checkpoint: str | None = None) -> StreamingQuery:
+    """``follow`` with caps and seen files that hold over batches and restarts; both are in the stream's own state, beside the place it has come to."""
+    if not options.caps:
+        raise ValueError("without caps there is nothing to keep: use follow")
+    conf, key = spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    # A stream takes the settings that hold when it starts.
+    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        pairs = capped_pairs(spark.readStream.schema(CHANGE).parquet(folder), options)
+        writer = pairs.writeStream.foreachBatch(lambda batch, _: table.merge(batch) and None).option("checkpointLocation", checkpoint or f"{table.root}/_capped_stream")
+        return writer.outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)

@@ -423,3 +423,59 @@ def test_vacuum_keeps_what_earlier_pointers_name_and_columns_may_come_later(spar
     lost.mkdir()
     (lost / "part").write_text("x")
     assert table.vacuum() == 0 and table.vacuum(older_than_hours=0) == 1 and not lost.exists()
+
+
+def test_caps_and_seen_files_hold_over_batches_and_restarts(spark, tmp_path):
+    folder, table, options = str(tmp_path / "in"), sinks.PairTable(spark, str(tmp_path / "pairs")), mining.Options(caps={"R2": 3})
+    batches = [["a", "b"], ["b", "c", "d", "e"], ["f", "a"]]
+    numbers = {name: k for k, name in enumerate("abcdef")}
+    counts = []
+    for names in batches:
+        rows = changes(spark, *((n, "refactor", f"{n}.py", f"{n}.py", MANY.format(n) + "\n    return 86400", ONE.format(n)) for n in names))
+        numbered = rows.withColumn("seq", F.element_at(F.create_map(*[F.lit(x) for item in numbers.items() for x in item]), F.col("commit_hash")).cast("long"))
+        # Another repository has caps of its own.
+        numbered.unionByName(numbered.withColumn("repo", F.lit("other")).filter("commit_hash in ('d', 'f')")).write.mode("append").parquet(folder)
+        incremental.follow_capped(spark, folder, table, options).awaitTermination()
+        counts.append({(r.repo, r.smell_type): sorted(r.function_names) for r in table.read().groupBy("repo", "smell_type").agg(F.collect_list("function_name").alias("function_names")).collect()})
+    assert [c["r", "R2"] for c in counts] == [["a", "b"], ["a", "b", "c"], ["a", "b", "c"]]
+    assert [c.get(("other", "R2"), []) for c in counts] == [[], ["d"], ["d", "f"]]
+    # A smell without a cap isn't limited; what the same files gave before isn't found again.
+    assert counts[2]["r", "R5" if ("r", "R5") in counts[2] else "R3"] == list("abcdef")
+    with pytest.raises(ValueError, match="follow"):
+        incremental.follow_capped(spark, folder, table, mining.Options())
+
+
+def test_seen_files_are_not_mined_again(spark, tmp_path):
+    folder, options = str(tmp_path / "in"), mining.Options(caps={"R2": 9})
+    mark, tables = str(tmp_path / "mark"), [sinks.PairTable(spark, str(tmp_path / name)) for name in ("one", "two")]
+    row = changes(spark, ("a", "refactor", "a.py", "a.py", MANY.format("f"), ONE.format("f")))
+    for table in tables:
+        row.write.mode("append").parquet(folder)
+        incremental.follow_capped(spark, folder, table, options, checkpoint=mark).awaitTermination()
+    assert tables[0].read().count() == 1 and tables[1].read() is None
+
+
+def test_a_batch_gives_the_first_pairs_whatever_their_order():
+    from types import SimpleNamespace
+
+    class Map(dict):
+        containsKey, updateValue = dict.__contains__, dict.__setitem__  # noqa: N815
+
+    state = SimpleNamespace(value=None)
+    draw = random.Random(4)
+    for cap in (1, 3, 10):
+        capped, kept = incremental._Capped({"R1": cap}), Map()
+        state.value = None
+        capped._kept, capped._n = kept, SimpleNamespace(exists=lambda: state.value is not None, get=lambda: state.value, update=lambda v: setattr(state, "value", v))
+        want = []
+        for batch in range(4):
+            rows = [SimpleNamespace(id=str(draw.randrange(30)), seq=100 * batch + draw.randrange(40)) for _ in range(60 if batch != 1 else 2)]
+            got = [(r.id, r.seq) for r in capped.handleInputRows(("r", "R1"), iter(rows), None)]
+            best: dict[str, int] = {}
+            for r in rows:
+                if r.id not in dict(want):
+                    best[r.id] = min(r.seq, best.get(r.id, r.seq))
+            now = sorted(best.items(), key=lambda x: (x[1], x[0]))[: cap - len(want)]
+            assert got == now
+            want += now
+        assert len(want) == cap and set(kept) == {(i,) for i, _ in want}
