@@ -59,7 +59,8 @@ AGAINST = ["version", "page", "chapter", "isbn", "build", "commit", "sha", "hash
 FIRST_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen",
     "Anna", "Maria", "Peter", "Paul", "Hans", "Klaus", "Julia", "Laura", "Carlos", "Luis", "Ana", "Carmen", "Pierre", "Marie", "Jean", "Sophie", "Louis", "Emma", "Daniel", "Martin"]
 NOT_NAMES = ["The", "This", "That", "New", "North", "South", "East", "West", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "June", "July",
-    "August", "September", "October", "November", "December", "United", "University", "Open", "General", "Free", "License", "Privacy", "Terms", "Table"]
+    "August", "September", "October", "November", "December", "United", "University", "Open", "General", "Free", "License", "Privacy", "Terms", "Table",
+    "Apache", "Public", "Creative", "Commons", "Software", "Foundation", "Licence", "Agreement", "Copyright", "Rights", "Reserved", "Corporation", "Company", "Institute", "Library", "Version"]
 VOTES = ["shape", "gazetteer", "against", "context", "mixture"]
 #: Features besides the votes, and how many values each has.
 FEATURES = {"size": 6, "digits": 4, "variety": 3, "ahead": 3, "behind": 3}
@@ -179,7 +180,13 @@ def _voted(candidates: DataFrame) -> DataFrame:
 
 
 def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[list[dict[int, tuple[float, float]]], dict[tuple[int, ...], float]]:
-    """Expectation-maximisation: for each labeler the chance of each vote on false and true spans, and each pattern's probability of being true."""
+    """Expectation-maximisation: for each labeler the chance of each vote on false and true spans, and each pattern's probability of being true.
+
+    What a vote stands for is fixed, and only its weight is learned: where the counts would make a vote for a kind less likely on true spans than on false ones, or a
+    vote against one more likely, it has no weight. Without any vote for it no pattern of a kind is true.
+    """
+    if not any(1 in p for p in counts):
+        return [], dict.fromkeys(counts, 0.0)
     belief = {p: 1 / (1 + math.exp(-1.5 * (sum(p) - 0.5))) for p in counts}
     tables: list[dict[int, tuple[float, float]]] = []
     for _ in range(rounds):
@@ -191,7 +198,11 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50) -> tuple
             for p, n in counts.items():
                 seen[p[j]][0] += n * (1 - belief[p])
                 seen[p[j]][1] += n * belief[p]
-            tables.append({v: (a / (false + 2), b / (true + 2)) for v, (a, b) in seen.items()})
+            chance = {v: (a / (false + 2), b / (true + 2)) for v, (a, b) in seen.items()}
+            for v in (-1, 1):
+                if v * (chance[v][1] - chance[v][0]) < 0:
+                    chance[v] = (sum(seen[v]) / (false + true + 4),) * 2
+            tables.append(chance)
         for p in counts:
             odds = math.log(true / false) + sum(math.log(tables[j][v][1] / tables[j][v][0]) for j, v in enumerate(p))
             belief[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))

@@ -202,20 +202,28 @@ def _kept(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class TreeTable:
-    """Trees and texts of documents in ``root``: version 0 has all of them, later ones those that a batch of edits changed.
+    """Trees and texts of documents in ``root``: the first version has all of them, later ones those that a batch of edits changed.
 
-    A batch that isn't finished leaves no complete version behind: Spark marks those that are.
+    A batch that isn't finished leaves no complete version behind: Spark marks those that are. The next batch takes a number of its own, so what a lost run has left is
+    in nobody's way. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str, path: str, pattern: str):
         self.spark, self.root, self.path, self.pattern = spark, root.rstrip("/"), path, pattern
 
-    def versions(self) -> list[int]:
+    def _numbers(self, finished: bool) -> list[int]:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
         done = lambda n: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS"))
-        return sorted(int(n) for n in names if n.isdigit() and done(n))
+        return sorted(int(n) for n in names if n.isdigit() and (not finished or done(n)))
+
+    def versions(self) -> list[int]:
+        return self._numbers(finished=True)
+
+    def _free(self) -> int:
+        """A number above all that are there, those of lost runs among them."""
+        return max(self._numbers(finished=False), default=-1) + 1
 
     def version(self, number: int) -> DataFrame:
         return self.spark.read.schema(KEPT).parquet(f"{self.root}/{number}")
@@ -246,7 +254,9 @@ class TreeTable:
                     yield _kept(rows)
 
         rows = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        write_once(rows.mapInArrow(run, KEPT), f"{self.root}/0")
+        if self.versions():
+            raise ValueError(f"{self.root} has trees already")
+        write_once(rows.mapInArrow(run, KEPT), f"{self.root}/{self._free()}")
 
     def edit(self, edits: Column | Callable[[str], list[Edit]], needs: Column | None = None) -> int:
         """A batch of edits, as a column of the current rows (an array of ``start``, ``end``, ``text``) or a function of their texts; returns the new version.
@@ -273,7 +283,7 @@ class TreeTable:
                             out.append((key, doc_id, text, *tree.packed(), tree.total, len(some), pre.encoded))
                     yield _kept(out)
 
-        number = max(self.versions()) + 1
+        number = self._free()
         write_once(rows.mapInArrow(run, KEPT), f"{self.root}/{number}")
         return number
 
@@ -289,7 +299,7 @@ def masked(pattern: str, word: str) -> Callable[[str], list[Edit]]:
 
 def counts_over_versions(table: TreeTable) -> DataFrame:
     """A row for each document: ``doc_id``, ``n_tokens`` at first, ``n_edits``, ``n_tokens_after``, ``n_pre_tokens`` (encoded at first) and ``n_encoded_again``."""
-    first = table.version(0).select("key", "doc_id", "n_tokens", F.col("n_encoded").alias("n_pre_tokens"))
+    first = table.version(table.versions()[0]).select("key", "doc_id", "n_tokens", F.col("n_encoded").alias("n_pre_tokens"))
     later = None
     for number in table.versions()[1:]:
         rows = table.version(number).select("key", F.lit(number).alias("v"), "n_tokens", "n_edits", "n_encoded")

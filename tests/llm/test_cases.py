@@ -480,3 +480,37 @@ def test_labelers_that_agree_are_trusted():
     tables, belief = pii.reliabilities(counts)
     assert belief[1, 1, 1, 0] > 0.9 > 0.1 > belief[-1, 0, -1, 0]
     assert tables[0][1][1] > tables[0][1][0]
+
+
+def test_a_labeler_that_stands_against_is_no_evidence_for():
+    """License names: the gazetteer says no, a comma behind says yes, and there is nothing else."""
+    for counts in ({(0, -1, 0, 1, 0): 136, (0, -1, 0, 0, 0): 30}, {(0, -1, 0, 1, 0): 57, (0, 0, 0, -1, 0): 200}, {(0, -1, 0, 0, 0): 9, (0, 0, 0, 0, 0): 4}):
+        tables, belief = pii.reliabilities(counts)
+        assert all(b < 0.5 for p, b in belief.items() if p[1] == -1)
+        assert all(v * (t[v][1] - t[v][0]) >= -1e-12 for t in tables for v in (-1, 1))
+    assert pii.reliabilities({(0, 0, 0, 0, 0): 10, (-1, 0, 0, 0, 0): 3}) == ([], {(0, 0, 0, 0, 0): 0.0, (-1, 0, 0, 0, 0): 0.0})
+
+
+def test_no_name_in_license_lines_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    names = [texts[r.doc_id][int(a) : int(b)] for r in pii.personal_data(docs).collect() for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "name"]
+    assert not [n for n in names if "License" in n or "Public" in n or "Apache" in n], names
+
+
+@pytest.mark.parametrize("lost", [0, 1])
+def test_trees_can_be_edited_after_a_lost_run(spark, frame, tmp_path, lost):
+    root = tmp_path / "trees"
+    trees = token_counts.TreeTable(spark, str(root), PATH, PATTERN)
+    left = root / str(lost)
+    if lost:
+        trees.build(frame)
+    (left / "_temporary").mkdir(parents=True)
+    (left / "part-0.parquet").write_bytes(b"half")
+    if not lost:
+        trees.build(frame)
+    trees.edit(token_counts.masked("[0-9]+", "n"))
+    assert lost not in trees.versions() and len(trees.versions()) == 2
+    assert token_counts.counts_over_versions(trees).count() == size(frame) == trees.current().count()
+    with pytest.raises(ValueError, match="already"):
+        trees.build(frame)
