@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.functions import registry
 from codequarry.functions.columns import KEYWORDS, SMELLS, escape_html, is_test_path, matched_keywords, mentions_test, nonblank_lines, pair_id, smell_code, smell_name
 from codequarry.operators import detect, mining, sample
 from codequarry.plans.corpus import table
@@ -42,6 +43,26 @@ def repo_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.budgets(rows.withColumn("repo", F.concat(F.lit("repo_"), F.col("place").cast("string"))), cap=400)
 
 
+def budgets_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function, called from SQL."""
+    registry.register(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("codequarry_orders")
+    return spark.sql(
+        """WITH counted AS (SELECT o_orderpriority AS smell_type, CAST(o_custkey % 25 AS INT) AS place, concat('repo_', o_custkey % 25) AS repo, count(*) AS available FROM codequarry_orders GROUP BY ALL)
+           SELECT * FROM budgets(TABLE(SELECT *, count(*) OVER (PARTITION BY smell_type) AS repos FROM counted), 400)"""
+    )
+
+
+def capped_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first seven orders of each repository and priority by price, with columns of their own, by the table function."""
+    registry.register(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("codequarry_orders")
+    return spark.sql(
+        """SELECT id, repo, smell_type, status FROM capped(TABLE(
+             SELECT o_orderkey AS id, concat('repo_', o_custkey % 25) AS repo, o_orderpriority AS smell_type, o_totalprice AS seq, o_orderstatus AS status FROM codequarry_orders), 7)"""
+    )
+
+
 def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
     old = orders.withColumn("run", F.lit("old"))
@@ -212,7 +233,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        test_paths, keyword_recall, pair_ids, nonblank, repo_budget, keyed_merge, unseen_commits, request_cache, commits_by_repo, small_requests, request_shards, catalogue_rows, smell_lookup,
+        test_paths, keyword_recall, pair_ids, nonblank, repo_budget, budgets_in_sql, capped_in_sql, keyed_merge, unseen_commits, request_cache, commits_by_repo, small_requests, request_shards, catalogue_rows, smell_lookup,
         smell_rows, judge_parse, yield_report, pending_pairs, base_rates, stratified_sample, uniform_sample, first_of_smell, behaviour_precision, threshold_choice, chat_messages, backfill,
         backfill_counts, test_results, test_output, coverage,
     )
@@ -238,6 +259,18 @@ def _sql_text(text: str) -> str:
 
 _TASKS = " ".join(f"WHEN {k} THEN {_sql_text(sample.SYSTEM.format(a, b))}" for k, (a, b) in enumerate(sample.TASKS.values()))
 
+_BUDGETS = """
+WITH RECURSIVE c AS (SELECT o_orderpriority AS smell_type, CAST(o_custkey % 25 AS INT) AS place, count(*) AS available FROM orders GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY smell_type ORDER BY place) AS i, count(*) OVER (PARTITION BY smell_type) AS repos FROM c),
+r AS (
+  SELECT smell_type, i, place, CAST(ceil(400.0 / repos) AS BIGINT) AS budget, least(CAST(ceil(400.0 / repos) AS BIGINT), available) AS taken, least(CAST(ceil(400.0 / repos) AS BIGINT), available) AS total FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.smell_type, n.i, n.place, greatest(0, CAST(ceil((400.0 - r.total) / (n.repos - n.i + 1)) AS BIGINT)), least(greatest(0, CAST(ceil((400.0 - r.total) / (n.repos - n.i + 1)) AS BIGINT)), n.available),
+         r.total + least(greatest(0, CAST(ceil((400.0 - r.total) / (n.repos - n.i + 1)) AS BIGINT)), n.available)
+  FROM r JOIN n ON n.smell_type = r.smell_type AND n.i = r.i + 1
+)
+SELECT smell_type, 'repo_' || place AS repo, budget, taken FROM r"""
+
 ORACLE_SQL = {
     "test_paths": """
 WITH p AS (SELECT page_id, url || '/' || (['test_a.py', 'a_test.py', 'contest.py', 'latest/a.py', 'tests/a.py', 'test/b.py'])[page_id % 6 + 1] AS path FROM pages)
@@ -251,17 +284,9 @@ SELECT doc_id, array_to_string(found, ',') AS keywords FROM k WHERE len(found) >
     "nonblank": r"""
 SELECT doc_id, CAST(coalesce(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\x0b\f\r]'))), 0) AS BIGINT) AS lines,
        CAST(length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(replace(text, '<', ''))) + 3 * (length(text) - length(replace(text, '>', ''))) AS BIGINT) AS escaped FROM documents""",
-    "repo_budget": """
-WITH RECURSIVE c AS (SELECT o_orderpriority AS smell_type, CAST(o_custkey % 25 AS INT) AS place, count(*) AS available FROM orders GROUP BY 1, 2),
-n AS (SELECT *, row_number() OVER (PARTITION BY smell_type ORDER BY place) AS i, count(*) OVER (PARTITION BY smell_type) AS repos FROM c),
-r AS (
-  SELECT smell_type, i, place, CAST(ceil(400.0 / repos) AS BIGINT) AS budget, least(CAST(ceil(400.0 / repos) AS BIGINT), available) AS taken, least(CAST(ceil(400.0 / repos) AS BIGINT), available) AS total FROM n WHERE i = 1
-  UNION ALL
-  SELECT n.smell_type, n.i, n.place, greatest(0, CAST(ceil((400.0 - r.total) / (n.repos - n.i + 1)) AS BIGINT)), least(greatest(0, CAST(ceil((400.0 - r.total) / (n.repos - n.i + 1)) AS BIGINT)), n.available),
-         r.total + least(greatest(0, CAST(ceil((400.0 - r.total) / (n.repos - n.i + 1)) AS BIGINT)), n.available)
-  FROM r JOIN n ON n.smell_type = r.smell_type AND n.i = r.i + 1
-)
-SELECT smell_type, 'repo_' || place AS repo, budget, taken FROM r""",
+    "repo_budget": _BUDGETS,
+    "budgets_in_sql": _BUDGETS,
+    "capped_in_sql": "SELECT o_orderkey AS id, 'repo_' || (o_custkey % 25) AS repo, o_orderpriority AS smell_type, o_orderstatus AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 25, o_orderpriority ORDER BY o_totalprice, o_orderkey) <= 7",
     "keyed_merge": "SELECT o_orderkey AS id, o_totalprice AS price, CASE WHEN o_totalprice > 150000 THEN 'new' ELSE 'old' END AS run FROM orders",
     "unseen_commits": "SELECT DISTINCT o_custkey AS repo, o_orderkey % 7 AS commit_hash FROM orders WHERE o_orderkey % 7 <> 3",
     "request_cache": """

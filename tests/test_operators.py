@@ -479,3 +479,23 @@ def test_a_batch_gives_the_first_pairs_whatever_their_order():
             assert got == now
             want += now
         assert len(want) == cap and set(kept) == {(i,) for i, _ in want}
+
+
+def test_caps_and_budgets_called_from_sql(spark):
+    from codequarry.functions import registry
+
+    registry.register(spark)
+    draw = random.Random(2)
+    pairs = spark.createDataFrame([(str(k), f"R{draw.randrange(1, 4)}", f"r{draw.randrange(6)}", draw.randrange(50), "code") for k in range(300)], "id string, smell_type string, repo string, seq long, code string")
+    pairs.createOrReplaceTempView("some_pairs")
+    capped = spark.sql("SELECT * FROM capped(TABLE(some_pairs), 4)")
+    assert capped.schema == pairs.schema
+    want = mining.capped(pairs.withColumn("file", F.lit("f")), {"R1": 4, "R2": 4, "R3": 4}).drop("file")
+    assert sorted(map(tuple, capped.collect())) == sorted(map(tuple, want.select(*pairs.columns).collect()))
+    per = pairs.groupBy("smell_type", "repo").agg(F.count("*").alias("available")).withColumn("place", F.col("repo"))
+    per.createOrReplaceTempView("per_repo")
+    got = spark.sql("SELECT * FROM budgets(TABLE(SELECT *, count(*) OVER (PARTITION BY smell_type) AS repos FROM per_repo), 40)")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mining.budgets(per, 40).collect()))
+    assert spark.sql("SELECT * FROM capped(TABLE(SELECT * FROM some_pairs WHERE false), 4)").count() == 0
+    with pytest.raises(Exception, match="the table has no seq"):
+        spark.sql("SELECT * FROM capped(TABLE(SELECT id, repo, smell_type FROM some_pairs), 4)").collect()
