@@ -12,7 +12,7 @@ from codequarry.functions import behaviour
 from codequarry.functions.columns import REFACTORINGS, SMELLS
 from codequarry.functions.rowwise import with_kernel
 from codequarry.operators import crossfile, curation, detect, mining, quality, review, sample
-from codequarry.sources import readers, sinks
+from codequarry.sources import git, readers, sinks
 from codequarry.sources.scratch import release, stage
 
 VERSION = "0.1.0"
@@ -53,7 +53,11 @@ def _mine(spark: SparkSession, a: argparse.Namespace) -> int:
     )
     only = readers.json_lines(spark, a.only, "commit_hash string") if a.only else None
     windows = spark.read.option("multiLine", "true").schema("repo string, since string, to string").json(a.windows).withColumnRenamed("to", "until") if a.windows else None
-    changes = spark.read.parquet(a.changes)
+    given = [n for n in ("since", "to", "only", "windows", "cap", "partial_threshold", "max_commits", "cross_file_threshold") if getattr(a, n)]
+    if a.by_rule and given:
+        print(f"--by-rule looks at all commits by its own rules and takes no {', '.join('--' + n.replace('_', '-') for n in given)}", file=sys.stderr)
+        return 2
+    changes = git.changes(spark, a.changes, ref=a.ref) if a.git else spark.read.parquet(a.changes)
     pairs = mining.mine_by_rule(changes) if a.by_rule else mining.mine(changes, options, only, windows)
     if a.total_cap:
         pairs = mining.within_budgets(stage(pairs, "mined"), a.total_cap)
@@ -63,6 +67,15 @@ def _mine(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _compact(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Each smell of a table into one folder; with ``--vacuum-hours`` what no reader of that age needs is deleted."""
+    table = sinks.PairTable(spark, a.pairs)
+    table.compact()
+    if a.vacuum_hours is not None:
+        print(f"{table.vacuum(older_than_hours=a.vacuum_hours)} folders deleted")
+    return 0
+
+
 def _check(spark: SparkSession, a: argparse.Namespace) -> int:
     """2: no table; 0: no pairs, or all good; 1: a pair fails (or is doubtful, with ``--fail-on-warn``)."""
     pairs = sinks.PairTable(spark, a.pairs).read()
@@ -218,8 +231,9 @@ def parser() -> argparse.ArgumentParser:
     command(
         "mine", _mine, arg("changes"), out, arg("--since"), arg("--to"), arg("--no-require-keyword", action="store_true"), arg("--merges", action="store_true"), arg("--max-commits", type=int), arg("--cap", type=int),
         arg("--partial-threshold", type=float), arg("--cross-file-threshold", type=float), arg("--identifier-overlap-threshold", type=float, default=0.0), arg("--only"), arg("--source", default="mined_commit"),
-        arg("--windows"), arg("--by-rule", action="store_true"), arg("--total-cap", type=int),
+        arg("--windows"), arg("--by-rule", action="store_true"), arg("--total-cap", type=int), arg("--git", action="store_true"), arg("--ref", default="HEAD"),
     )
+    command("compact", _compact, arg("pairs"), arg("--vacuum-hours", type=float))
     command("check", _check, arg("pairs"), arg("--source"), smell, arg("--fail-on-warn", action="store_true"))
     command("split", _split, arg("pairs"), out, force, seed, arg("--val", type=float, default=0.1), arg("--test", type=float, default=0.1))
     command("blocks", _blocks, arg("pairs"), out, force, seed, arg("--reviewers", nargs=3, required=True))

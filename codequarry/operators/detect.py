@@ -94,10 +94,27 @@ class _Row:
 ROW = _Row()
 
 
-def findings(found: DataFrame, smells: list[str] | None = None, thresholds: Thresholds = DEFAULT) -> DataFrame:
-    """A row (``path``, ``qualname``, ``lineno``, ``smell``, ``magnitude``, ``evidence``) for each smell of each function."""
+def details(smell: str, f: Column) -> Column:
+    """What a detector has found in a function, as a VARIANT: its size under the usual key, and what it consists of."""
+    fields = {
+        "R1": {"lines_of_code": f["nloc"], "ccn": f["ccn"], "n_statements": f["n_statements"]},
+        "R2": {"n_params": F.size(f["params"]), "params": f["params"]},
+        "R3": {"magic_numbers_count": F.size(f["magic"]), "numbers": f["magic"]},
+        "R4": {"max_depth": f["max_depth"]},
+        "R5": {"dead_count": F.size(f["dead"]), "dead": f["dead"]},
+    }
+    return F.to_variant_object(F.struct(*(c.alias(n) for n, c in fields[smell].items())))
+
+
+def findings(found: DataFrame, smells: list[str] | None = None, thresholds: Thresholds = DEFAULT, typed: bool = False) -> DataFrame:
+    """A row (``path``, ``qualname``, ``lineno``, ``smell``, ``magnitude``, ``evidence``) for each smell of each function; with ``typed`` also ``details``."""
     chosen = selected(smells)
-    each = [F.when(has_smell(s, ROW, thresholds), F.struct(F.lit(s).alias("smell"), magnitude(F.lit(s), ROW).alias("magnitude"), evidence(s, ROW).alias("evidence"))) for s in chosen]
+
+    def one(s: str) -> Column:
+        more = [details(s, ROW).alias("details")] if typed else []
+        return F.struct(F.lit(s).alias("smell"), magnitude(F.lit(s), ROW).alias("magnitude"), evidence(s, ROW).alias("evidence"), *more)
+
+    each = [F.when(has_smell(s, ROW, thresholds), one(s)) for s in chosen]
     return found.select("path", "qualname", "lineno", F.inline(F.array_compact(F.array(*each))))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from codequarry.functions import kernels
 from codequarry.functions.columns import SMELLS, nonblank_lines
@@ -26,15 +27,24 @@ def _issue(severity: str, rule: str) -> Column:
     return F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"))
 
 
+def _size(pairs: DataFrame, side: str) -> Column:
+    """A smell's size on one side, from the evidence that is stored or else from its column."""
+    known = [F.col(f"magnitude_{side}").cast("double")] if f"magnitude_{side}" in pairs.columns else []
+    if f"detector_{side}" in pairs.columns:
+        kind = pairs.schema[f"detector_{side}"].dataType["evidence"].dataType
+        known.insert(0, magnitude_of_evidence("smell_type", f"detector_{side}.evidence", typed=isinstance(kind, VariantType)))
+    return F.coalesce(*known) if known else F.lit(None).cast("double")
+
+
 def checked(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``similarity`` and ``issues`` (severity and rule), in the order of the rules.
 
-    Needs ``before_code``, ``after_code``, ``smell_type``, ``n_functions_after``, ``partial``, ``magnitude_before``, ``magnitude_after``.
-    A pair without a change, or with a side that doesn't parse, gets no further rules.
+    Needs ``before_code``, ``after_code``, ``smell_type``, ``n_functions_after``, ``partial``, and the sizes of the smell: ``magnitude_before`` and ``magnitude_after``, or
+    the detectors' stored ``evidence`` (VARIANT or JSON text) in structs ``detector_before`` and ``detector_after``, which count where both are there. A pair without a change, or with a side that doesn't parse, gets no further rules.
     """
     rows = with_kernel(pairs, "gate", _gate, "struct<before_ok boolean, after_ok boolean, similarity double>", "before_code", "after_code")
     sim = F.col("gate.similarity")
-    old, new = F.col("magnitude_before"), F.col("magnitude_after")
+    old, new = (_size(pairs, side) for side in ("before", "after"))
     same = F.col("before_code") == F.col("after_code")
     reduced = (old - new) / old
     broken = [F.when(~F.col("gate.before_ok"), _issue("fail", "before_unparseable")), F.when(~F.col("gate.after_ok"), _issue("fail", "after_unparseable"))]
@@ -60,10 +70,15 @@ EVIDENCE_KEYS = {
 }
 
 
-def magnitude_of_evidence(smell: Column | str, evidence: Column | str) -> Column:
-    """The size of a smell from a detector's evidence as JSON text; a zero counts as absent, as do other keys; null where there is none."""
+def magnitude_of_evidence(smell: Column | str, evidence: Column | str, typed: bool = False) -> Column:
+    """The size of a smell from a detector's evidence as JSON text, or as a VARIANT if ``typed``; a zero counts as absent, as do other keys and values; null where there is none."""
     smell = F.col(smell) if isinstance(smell, str) else smell
-    fields = {s: F.coalesce(*(F.nullif(F.get_json_object(evidence, f"$.{k}").try_cast("double"), F.lit(0.0)) for k in keys)) for s, keys in EVIDENCE_KEYS.items()}
+
+    def number(key: str) -> Column:
+        found = F.try_variant_get(evidence, f"$.{key}", "double") if typed else F.get_json_object(evidence, f"$.{key}").try_cast("double")
+        return F.nullif(found, F.lit(0.0))
+
+    fields = {s: F.coalesce(*map(number, keys)) for s, keys in EVIDENCE_KEYS.items()}
     out = F.lit(None).cast("double")
     for s, value in fields.items():
         out = F.when(smell == s, value).otherwise(out)

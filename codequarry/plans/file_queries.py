@@ -12,7 +12,7 @@ from codequarry.operators import curation, detect, mining, quality, sample
 from codequarry.plans import corpus
 from codequarry.plans.code_queries import CHANGES, FUNCTIONS
 from codequarry.plans.corpus import table
-from codequarry.sources import readers, sinks
+from codequarry.sources import readers, scratch, sinks
 from codequarry.sources.scratch import new_path
 
 
@@ -197,6 +197,24 @@ def evidence_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", quality.magnitude_of_evidence("smell", "evidence").alias("magnitude"))
 
 
+def stored_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detectors find in each part's function, kept as VARIANT in a table and read back: as the size of the smell, and by the gate of partial pairs that come down by 0 to 11 %."""
+    functions = detect.functions(corpus.part_functions(spark, sf_dir).select(F.col("k").cast("string").alias("path"), F.col("source").alias("text")))
+    found = scratch.stage(detect.findings(functions, typed=True).select(F.col("path").cast("int").alias("k"), "smell", "details"), "evidence")
+    size = quality.magnitude_of_evidence("smell", "details", typed=True)
+    # What older detectors call the sizes.
+    old_keys = {"R1": "lines_fallback", "R2": "parametros", "R3": "magic_numbers_count", "R4": "profundidade", "R5": "dead_vars"}
+    key = F.element_at(F.create_map(*[F.lit(x) for item in old_keys.items() for x in item]), F.col("smell"))
+    left = F.parse_json(F.concat(F.lit('{"'), key, F.lit('": '), (size * (100 - F.col("k") % 12) / 100).cast("string"), F.lit("}")))
+    code = F.lit("def f(a):\n    b = a\n    return b")
+    pairs = found.select(
+        "k", F.col("smell").alias("smell_type"), size.alias("size"), code.alias("before_code"), F.replace(code, F.lit("b"), F.lit("c")).alias("after_code"), F.lit(2).alias("n_functions_after"), (F.col("k") % 3 > 0).alias("partial"),
+        F.struct(F.lit(True).alias("detected"), F.col("details").alias("evidence")).alias("detector_before"), F.struct(F.lit(True).alias("detected"), left.alias("evidence")).alias("detector_after"),
+    )
+    checked = quality.checked(scratch.stage(pairs, "evidence-pairs"))
+    return checked.select("k", "smell_type", "size", F.exists("issues", lambda i: i["rule"] == "trivial_reduction").alias("trivial"))
+
+
 def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Folders of pairs and of verdicts, a file for each of two smells: parts, and two reviewers' and an adjudicator's verdicts on them, the older ones first."""
     raw, reviews = new_path(spark, "raw"), new_path(spark, "reviews")
@@ -239,7 +257,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strict_lines, lenient_lines, raw_csv, example_functions, request_pages, decoded_files, evidence_text, rich_measures, method_bases, functions_in_sql, mine_requests, rule_files, mine_by_rule, mine_windows, mine_budgets,
-        pair_table, appended_results, real_pairs, report_repos, numbered_items, evidence_magnitude, curated_double, curated_kappa, behaviour_check,
+        pair_table, appended_results, real_pairs, report_repos, numbered_items, evidence_magnitude, stored_evidence, curated_double, curated_kappa, behaviour_check,
     )
 }
 
@@ -307,6 +325,15 @@ SELECT smell_type, count(*) AS pairs, count(DISTINCT repo) AS repos FROM (SELECT
 UNION ALL SELECT 'all', count(*), count(DISTINCT repo) FROM p""",
     "numbered_items": "SELECT p_partkey AS k, p_brand AS smell_type, '#' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS item FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 50",
     "evidence_magnitude": """SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN (p_partkey % 5, p_partkey % 7) IN ((0, 0), (1, 1), (1, 2), (2, 3), (3, 4), (4, 5)) THEN CAST(p_size AS DOUBLE) END AS magnitude FROM part""",
+    "stored_evidence": """WITH f AS (
+  SELECT CAST(p_partkey AS INT) AS k, CAST(p_partkey AS INT) % 9 AS params, CAST(p_partkey AS INT) % 6 AS depth, CAST(p_size AS INT) % 4 AS literals, (CAST(p_partkey AS INT) // 7) % 3 AS dead,
+         CAST(p_size AS INT) AS filler, CASE WHEN CAST(p_partkey AS INT) % 11 = 0 THEN 1 ELSE 0 END AS unreachable FROM part
+), m AS (SELECT *, filler + literals + dead + depth + CAST(depth > 0 AS INT) + 3 + unreachable AS nloc FROM f
+), found AS (
+  SELECT k, 'R1' AS smell_type, CAST(nloc AS DOUBLE) AS size FROM m WHERE nloc > 30 OR depth > 9 UNION ALL SELECT k, 'R2', params FROM m WHERE params > 5 UNION ALL SELECT k, 'R3', literals FROM m WHERE literals > 0
+  UNION ALL SELECT k, 'R4', depth FROM m WHERE depth > 3 UNION ALL SELECT k, 'R5', dead + unreachable FROM m WHERE dead + unreachable > 0
+)
+SELECT k, smell_type, size, k % 3 > 0 AND (size - size * CAST(100 - k % 12 AS DOUBLE) / 100.0::DOUBLE) / size < 0.05::DOUBLE AS trivial FROM found""",
     "curated_double": _VERDICTS
     + """SELECT id, smell_type, CAST(CASE WHEN v1 = 'clean' AND v2 = 'clean' THEN length('def f():' || chr(10) || '    return 0') WHEN v3 = 'noisy' THEN length('def f():' || chr(10) || '    pass') ELSE length('def f():' || chr(10) || '    return 0') END AS BIGINT) AS after
 FROM v WHERE v1 IS NOT NULL AND v2 IS NOT NULL AND ((v1 = 'clean' AND v2 = 'clean')

@@ -499,3 +499,40 @@ def test_caps_and_budgets_called_from_sql(spark):
     assert spark.sql("SELECT * FROM capped(TABLE(SELECT * FROM some_pairs WHERE false), 4)").count() == 0
     with pytest.raises(Exception, match="the table has no seq"):
         spark.sql("SELECT * FROM capped(TABLE(SELECT id, repo, smell_type FROM some_pairs), 4)").collect()
+
+
+def test_the_gate_reads_stored_evidence(spark, tmp_path):
+    rows = [(k, "R2", "def f(a):\n    b = a\n    return b", "def f(a):\n    c = a\n    return c", 1, True, before, after) for k, (before, after) in enumerate([
+        ('{"parametros": 100}', '{"parametros": 99}'), ('{"n_params": 100}', '{"n_params": 50}'), ('{"parametros": "many"}', '{"parametros": 1}'), (None, None), ('{"other": 3}', "[1]"),
+    ])]
+    text = spark.createDataFrame(rows, "k int, smell_type string, before_code string, after_code string, n_functions_after int, partial boolean, b string, a string")
+    trivial = lambda df: {r.k: any(i.rule == "trivial_reduction" for i in r.issues) for r in quality.checked(df).collect()}
+    want = {0: True, 1: False, 2: False, 3: False, 4: False}
+    sides = {"detector_before": "b", "detector_after": "a"}
+    assert trivial(text.withColumns({n: F.struct(F.lit(True).alias("detected"), F.col(c).alias("evidence")) for n, c in sides.items()})) == want
+    variant = text.withColumns({n: F.struct(F.lit(True).alias("detected"), F.parse_json(c).alias("evidence")) for n, c in sides.items()})
+    variant.write.parquet(str(tmp_path / "pairs"))
+    stored = spark.read.parquet(str(tmp_path / "pairs"))
+    assert trivial(stored) == want
+    # Without evidence the sizes of the row count, where it has them.
+    assert trivial(stored.withColumns({"magnitude_before": F.lit(100), "magnitude_after": F.lit(99)})) == want | {2: False, 3: True, 4: True}
+
+
+def test_mine_from_git_by_command_and_compact(spark, tmp_path, capsys):
+    import shutil
+
+    from tests.test_git import LINES, Repository
+
+    if shutil.which("git") is None:
+        pytest.skip("repositories are made with git")
+    repo = Repository(tmp_path / "repos" / "one")
+    for message, text in (("first", LINES["x"]), ("refactor", LINES["y"])):
+        repo.write("b.py", text)
+        repo.commit(message)
+    repos, out = str(tmp_path / "repos"), str(tmp_path / "pairs")
+    assert cli.main(["mine", repos, "--git", "--out", out], spark) == 0
+    assert cli.main(["mine", repos, "--git", "--out", out], spark) == 0
+    assert [(r.repo, r.smell_type, r.file) for r in sinks.PairTable(spark, out).read().collect()] == [("one", "R2", "b.py")]
+    assert cli.main(["compact", out, "--vacuum-hours", "0"], spark) == 0 and "2 folders deleted" in capsys.readouterr().out
+    assert sinks.PairTable(spark, out).read().count() == 1
+    assert cli.main(["mine", repos, "--git", "--by-rule", "--cap", "3", "--out", out], spark) == 2 and "--cap" in capsys.readouterr().err
