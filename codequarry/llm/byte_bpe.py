@@ -155,14 +155,14 @@ def _finished(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *finish([x.as_py() for x in batch.column("ids")])], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *finish([b"".join(x.as_py()) for x in batch.column("ids")])], names)
 
     numbered = rows.filter(long).select("doc_id", F.monotonically_increasing_id().alias("copy"), "text")
     parts = pieces(numbered, pattern, chunk, overlap).mapInArrow(piece, "doc_id long, copy long, piece long, ids binary")
     # A document's ids are one value in the result, so its pieces meet in one row.
     joined = parts.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
-    stitched = joined.select("doc_id", F.aggregate("parts.ids", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
-    return rows.filter(~long).mapInArrow(whole, schema).union(stitched.mapInArrow(last, schema))
+    stitched = joined.select("doc_id", F.col("parts.ids").alias("ids")).mapInArrow(last, schema)
+    return rows.filter(~long).mapInArrow(whole, schema).union(stitched)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

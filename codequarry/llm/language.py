@@ -179,9 +179,9 @@ class Model:
 
 
 def train(docs: DataFrame, max_rows: int = 4000, switch: float = 3.0) -> Model:
-    """Counts by Spark over at most ``max_rows`` labelled rows, whole texts: those with the least hash of ``doc_id``.
+    """Counts by Spark over at most ``max_rows`` labelled rows, whole texts: those with the least hash of the row.
 
-    The bound on the hash is found from ids alone, so no text moves for it.
+    Texts are read twice for it, once to hash them and once for the sample, but only those of the sample move.
     """
     rows = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("h"))
     last = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
