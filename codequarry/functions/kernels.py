@@ -414,7 +414,7 @@ def tree_distance_within(one: Labelled, two: Labelled, most: int) -> int | None:
         return None
     if n == 1 or m == 1:
         return n + m - 2
-    if 2 * most + 1 >= min(n, m) and n * m <= SMALL_TREES:
+    if n * m <= SMALL_TREES:
         whole = tree_distance(one, two)
         return whole if whole <= most else None
     numbers = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
