@@ -14,6 +14,7 @@ from codequarry.functions.rowwise import with_kernel
 from codequarry.operators import crossfile, curation, detect, mining, quality, review, sample
 from codequarry.sources import git, readers, sinks
 from codequarry.sources.scratch import release, stage
+from codequarry.streaming import judging
 
 VERSION = "0.1.0"
 
@@ -168,15 +169,33 @@ def _html(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _judge(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Answers of a judge (``id``, ``smell_type``, ``response`` as JSON lines) that aren't in ``--done`` yet, parsed and counted."""
+    """Answers of a judge (``id``, ``smell_type``, ``response`` as JSON lines) that aren't in ``--done`` yet, parsed and counted.
+
+    With ``--follow`` the answers are a folder that grows: what has come since the last call is added to a log in which each pair has one verdict.
+    """
+    if a.follow and (a.done or a.pilot):
+        print("--follow knows what is done, and takes all that has come: no --done or --pilot", file=sys.stderr)
+        return 2
+    if a.follow:
+        log = sinks.BatchLog(spark, a.out)
+        judging.follow(spark.readStream.schema(judging.ANSWER).json(a.answers), log, f"{a.out}/stream").awaitTermination()
+        if (verdicts := log.read()) is None:
+            print("no answers", file=sys.stderr)
+            return 0
+        return _yields(verdicts)
     answers = readers.json_lines(spark, a.answers, "id string, smell_type string, response string", key="id")
     if a.done:
         answers = sample.judged_batch(answers, readers.json_lines(spark, a.done, "id string", key="id"), a.pilot)
     verdicts = stage(sample.judged(answers), "verdicts")
     verdicts.write.mode("append").json(a.out)
+    _yields(verdicts)
+    release(verdicts)
+    return 0
+
+
+def _yields(verdicts: DataFrame) -> int:
     for r in sample.yields(verdicts).orderBy("smell_type").collect():
         print(f"{r.smell_type}: {r.real} of {r.judged} real ({r.percent} %)")
-    release(verdicts)
     return 0
 
 
@@ -196,14 +215,12 @@ def _calibrate(spark: SparkSession, a: argparse.Namespace) -> int:
         print("this runs mined code in limited processes: give --run-code to allow it", file=sys.stderr)
         return 2
     changes = spark.read.parquet(a.changes)
-    least = min(a.thresholds)
-    moved = stage(crossfile.moved_functions(mining.commits(changes, mining.Options(require_keyword=False)), similarity=least), "moved")
-    checks = None
-    for t in a.thresholds:
-        named = moved.filter(F.col("similarity") >= t).withColumns({"id": F.concat_ws("|", "repo", "commit_hash", "file", F.col("old.source")), "before": F.col("old.source"), "after": F.col("new.source")})
-        run = with_kernel(sample.uniform_sample(named.select("id", "before", "after"), a.sample, a.seed), "r", behaviour.compared, behaviour.RESULT, "before", "after")
-        rows = run.select(F.lit(t).alias("threshold"), "r.equivalent", "r.samples", "r.error")
-        checks = rows if checks is None else checks.union(rows)
+    moved = crossfile.moved_functions(mining.commits(changes, mining.Options(require_keyword=False)), similarity=min(a.thresholds))
+    sides = moved.select(F.sha2(F.concat_ws("|", "repo", "commit_hash", "file", "old.source", "new.source"), 256).alias("id"), "similarity", F.col("old.source").alias("before"), F.col("new.source").alias("after"))
+    moved = stage(sides.dropDuplicates(["id"]), "moved")
+    drawn = sample.nested_samples(moved, a.thresholds, a.sample, a.seed)
+    run = with_kernel(drawn.select("thresholds", "before", "after"), "r", behaviour.compared, behaviour.RESULT, "before", "after")
+    checks = run.select(F.explode("thresholds").alias("threshold"), "r.equivalent", "r.samples", "r.error")
     precisions = stage(sample.behaviour_precision(checks), "precisions")
     for r in precisions.orderBy("threshold").collect():
         print(f"{r.threshold}: {r.equiv} alike, {r.diff} not, {r.inconclusive} unknown of {r.sampled}")
@@ -242,7 +259,7 @@ def parser() -> argparse.ArgumentParser:
     command("requests", _requests, arg("pages"), out, force, arg("--cache"))
     command("backfill", _backfill, arg("pairs"), out, arg("--source", default="mined_commit"))
     command("html", _html, arg("pairs"), out, force, smell, arg("--limit", type=int, default=50))
-    command("judge", _judge, arg("answers"), out, arg("--done"), arg("--pilot", type=int))
+    command("judge", _judge, arg("answers"), out, arg("--done"), arg("--pilot", type=int), arg("--follow", action="store_true"))
     command("sample", _sample, arg("pairs"), arg("annotations"), out, force, seed)
     command("calibrate", _calibrate, arg("changes"), seed, arg("--thresholds", type=float, nargs="+", default=[0.5, 0.6, 0.7, 0.8, 0.9]), arg("--sample", type=int, default=50), arg("--precision", type=float, default=0.7), arg("--run-code", action="store_true"))
     return top

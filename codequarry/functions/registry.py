@@ -12,6 +12,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, Par
 
 from codequarry.functions import kernels
 from codequarry.functions.columns import SMELLS
+from codequarry.operators import review
 
 SHOWS = "struct<" + ", ".join(f"{name}: boolean" for name in SMELLS.values()) + ">"
 
@@ -30,6 +31,16 @@ def shows(source: str | None) -> dict[str, bool]:
     }
 
 
+_CELLS = "ARRAY<STRUCT<a: STRING, b: STRING, n: BIGINT>>"
+#: Functions in SQL alone: name, what it takes, what it gives, and how.
+KAPPA_FUNCTIONS = [
+    ("rated", "a STRING, b STRING", "STRING", review.RATED),
+    ("rating_cells", "counts ARRAY<STRUCT<item: STRING, count: BIGINT>>, total BIGINT", _CELLS, review.CELLS),
+    ("kappa_of_cells", f"cells {_CELLS}", "DOUBLE", review.KAPPA),
+    ("kappa_of", "counts ARRAY<STRUCT<item: STRING, count: BIGINT>>, total BIGINT", "DOUBLE", "kappa_of_cells(rating_cells(counts, total))"),
+]
+
+
 class FunctionsOf:
     """A row for each function and method of a source; none if it doesn't parse."""
 
@@ -86,7 +97,10 @@ class Budgets:
 
 
 def register(spark: SparkSession) -> None:
-    """``functions_of(source)`` as a table, ``smells_of(source)`` and a function for each detector by its name; ``capped(TABLE(pairs), n)`` and ``budgets(TABLE(counts), cap)``."""
+    """``functions_of(source)`` as a table, ``smells_of(source)`` and a function for each detector by its name; ``capped(TABLE(pairs), n)`` and ``budgets(TABLE(counts), cap)``.
+
+    ``kappa_of(approx_top_k(rated(a, b), 1000, 10000), count(*))`` is Cohen's kappa of a group: the first part is merged in parts, the rest is arithmetic on its few counts.
+    """
     spark.udtf.register("capped", F.udtf(Capped))
     spark.udtf.register("budgets", F.udtf(Budgets))
     spark.udtf.register("functions_of", F.udtf(FunctionsOf, returnType="qualname: string, lineno: int, end_lineno: int, params: array<string>, source: string"))
@@ -96,6 +110,8 @@ def register(spark: SparkSession) -> None:
         return pd.DataFrame([shows(s) for s in sources], columns=list(SMELLS.values()))
 
     spark.udf.register("smells_of", smells_of)
+    for name, takes, gives, body in KAPPA_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({takes}) RETURNS {gives} RETURN {body}")
     for name in SMELLS.values():
         spark.udf.register(name, _detector(name))
 

@@ -88,18 +88,29 @@ def double_review(pairs: DataFrame, reviews: DataFrame, blocks: DataFrame) -> Da
     return _with_cut(kept, "verdict").select(*pairs.columns)
 
 
+#: Ratings of two sides, ``a`` and ``b``, as one text; null if a side is missing.
+RATED = "CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN concat(hex(a), '/', hex(b)) END"
+#: How often each pair of ratings comes: a state of bounded size that is merged before and after the shuffle.
+CONFUSION = f"approx_top_k({RATED}, 1000, 10000)"
+#: The table of ``counts``, over ``total`` rows. A sketch of 10,000 places that has lost a pair has either 1,000 to give, or counts whose sum falls short of the rows, as each loss
+#: takes from 3,750 places at least; so fewer pairs with the right sum are exact, and everything else is an error.
+CELLS = """CASE WHEN size(counts) < 1000 AND aggregate(counts, 0L, (s, c) -> s + c.count) = total
+  THEN transform(filter(counts, c -> c.item IS NOT NULL), c -> named_struct('a', split(c.item, '/')[0], 'b', split(c.item, '/')[1], 'n', c.count))
+  ELSE raise_error('more than 999 pairs of ratings') END"""
+RATINGS = "aggregate(cells, 0L, (s, c) -> s + c.n)"
+_AGREED = "aggregate(cells, 0L, (s, c) -> s + IF(c.a = c.b, c.n, 0L))"
+_CHANCE = "aggregate(cells, 0D, (s, c) -> s + aggregate(cells, 0D, (t, d) -> t + IF(d.b = c.a, 1D * c.n * d.n, 0D)))"
+_LABELS = "size(array_distinct(concat(transform(cells, c -> c.a), transform(cells, c -> c.b))))"
+#: Cohen's kappa of ``cells``; null under two ratings or with one label in all.
+KAPPA = f"""CASE WHEN {RATINGS} >= 2 AND {_LABELS} >= 2
+  THEN (1D * {_AGREED} / {RATINGS} - {_CHANCE} / (1D * {RATINGS} * {RATINGS})) / (1D - {_CHANCE} / (1D * {RATINGS} * {RATINGS})) END"""
+
+
 def agreement(blocks: DataFrame, reviews: DataFrame) -> DataFrame:
     """``block``, ``n`` and Cohen's ``kappa`` of its two reviewers over the pairs that both judged; null under two pairs or with one label in all."""
-    rated = _reviewed_twice(blocks, reviews, "left").select("block", F.col("v1.status").alias("a"), F.col("v2.status").alias("b"), (F.col("v1.status").isNotNull() & F.col("v2.status").isNotNull()).alias("both"))
-    table = rated.groupBy("block", "a", "b").agg(F.count_if("both").alias("n"))
-    # At most a few cells a block: labels are few.
-    sides = table.filter("n > 0").select("block", "n", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("label")), F.struct(F.lit("b").alias("side"), F.col("b").alias("label")))))
-    margins = sides.groupBy("block", "label").agg(F.sum(F.when(F.col("side") == "a", F.col("n")).otherwise(0)).alias("na"), F.sum(F.when(F.col("side") == "b", F.col("n")).otherwise(0)).alias("nb"))
-    chance = margins.groupBy("block").agg(F.sum(F.col("na") * F.col("nb")).alias("chance"), F.count("*").alias("labels"))
-    totals = table.groupBy("block").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("agreed"))
-    po, pe = F.col("agreed") / F.col("n"), F.col("chance") / (F.col("n") * F.col("n"))
-    kappa = F.when((F.col("n") >= 2) & (F.col("labels") >= 2), (po - pe) / (1 - pe))
-    return totals.join(chance, "block", "left").select("block", F.col("n").cast("long").alias("n"), kappa.alias("kappa"))
+    rated = _reviewed_twice(blocks, reviews, "left").select("block", F.col("v1.status").alias("a"), F.col("v2.status").alias("b"))
+    tables = rated.groupBy("block").agg(F.expr(CONFUSION).alias("counts"), F.count("*").alias("total")).select("block", F.expr(CELLS).alias("cells"))
+    return tables.select("block", F.expr(RATINGS).alias("n"), F.expr(KAPPA).alias("kappa"))
 
 
 def assign_blocks(pairs: DataFrame, reviewers: list[str], seed: int = 42) -> DataFrame:

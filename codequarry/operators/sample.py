@@ -79,6 +79,18 @@ def uniform_sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(shuffle_rank("id", seed=seed), "id").limit(n)
 
 
+def nested_samples(rows: DataFrame, thresholds: list[float], n: int, seed: int = 42) -> DataFrame:
+    """``rows`` (``id``, ``similarity``) that are among the first ``n`` at random of those with at least a threshold's similarity, once each, with ``thresholds``, those they are drawn for.
+
+    Each threshold's sample is ``uniform_sample`` of its rows; one order serves all, so a row drawn for a threshold is drawn for the higher ones that it reaches too, and whatever is computed of
+    it is computed once. Ranks are limited before their shuffle; only ids and similarities are ranked. Rows without a similarity are drawn for none. ``id`` is distinct.
+    """
+    reached = F.filter(F.array(*map(F.lit, sorted(set(thresholds)))), lambda t: t <= F.col("similarity"))
+    drawn = rows.select("id", shuffle_rank("id", seed=seed).alias("draw"), F.explode(reached).alias("threshold"))
+    first = drawn.withColumn("place", F.row_number().over(Window.partitionBy("threshold").orderBy("draw", "id"))).filter(F.col("place") <= n)
+    return rows.join(first.groupBy("id").agg(F.sort_array(F.collect_list("threshold")).alias("thresholds")), "id")
+
+
 def first_of_smell(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
     return rows.withColumn("number", F.row_number().over(Window.partitionBy("smell_type").orderBy(*order))).filter(F.col("number") <= n)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.functions import registry
 from codequarry.operators import review
 from codequarry.plans.corpus import table
 
@@ -76,6 +77,16 @@ def kappa_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.agreement(_blocks(spark, sf_dir), _reviews(spark, sf_dir)).withColumn("kappa", F.round("kappa", 6))
 
 
+def kappa_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of an order's priority with a second rating, by group of customers, called from SQL."""
+    registry.register(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("codequarry_orders")
+    return spark.sql(
+        """WITH rated AS (SELECT o_custkey % 7 AS g, left(o_orderpriority, 1) AS a, CASE WHEN o_orderkey % 3 = 0 THEN left(o_orderpriority, 1) WHEN o_orderkey % 17 > 0 THEN cast(o_orderkey % 5 + 1 AS string) END AS b FROM codequarry_orders)
+           SELECT g, kappa_of(approx_top_k(rated(a, b), 1000, 10000), count(*)) AS kappa FROM rated GROUP BY g"""
+    ).withColumn("kappa", F.round("kappa", 6))
+
+
 def repo_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     repo = F.when(k % 50 > 0, F.concat("source", (k % 3).cast("string")))
@@ -103,7 +114,7 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_verdict, verdict_rules, single_review, double_review, visible_pairs, divergent_pairs, review_progress, block_assignment, kappa_by_block, repo_split, validated_pairs, validation_report,
+        latest_verdict, verdict_rules, single_review, double_review, visible_pairs, divergent_pairs, review_progress, block_assignment, kappa_by_block, kappa_in_sql, repo_split, validated_pairs, validation_report,
     )
 }
 
@@ -151,6 +162,12 @@ n AS (SELECT block, count(*) AS n, count(*) FILTER (s1 = s2) / CAST(count(*) AS
 labels_of AS (SELECT block, label, count(*) FILTER (side = 1) AS na, count(*) FILTER (side = 2) AS nb FROM (SELECT block, s1 AS label, 1 AS side FROM rated UNION ALL SELECT block, s2, 2 FROM rated) GROUP BY 1, 2),
 chance AS (SELECT block, sum(na * nb) AS c, count(*) AS k FROM labels_of GROUP BY 1)
 SELECT block, n, CASE WHEN n >= 2 AND k >= 2 THEN round((po - c / CAST(n * n AS DOUBLE)) / (1 - c / CAST(n * n AS DOUBLE)), 6) END AS kappa FROM n JOIN chance USING (block)""",
+    "kappa_in_sql": """
+WITH r AS (SELECT o_custkey % 7 AS g, left(o_orderpriority, 1) AS a, CASE WHEN o_orderkey % 3 = 0 THEN left(o_orderpriority, 1) WHEN o_orderkey % 17 > 0 THEN CAST(o_orderkey % 5 + 1 AS VARCHAR) END AS b FROM orders),
+judged AS (SELECT * FROM r WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT g, count(*) AS n, count(*) FILTER (a = b) / CAST(count(*) AS DOUBLE) AS po FROM judged GROUP BY 1),
+sides AS (SELECT g, label, count(*) FILTER (side = 1) AS na, count(*) FILTER (side = 2) AS nb FROM (SELECT g, a AS label, 1 AS side FROM judged UNION ALL SELECT g, b, 2 FROM judged) GROUP BY 1, 2),
+chance AS (SELECT g, sum(na * nb) / CAST(any_value(n) * any_value(n) AS DOUBLE) AS pe, count(*) AS k FROM sides JOIN n USING (g) GROUP BY 1)
+SELECT g, CASE WHEN n >= 2 AND k >= 2 THEN round((po - pe) / (1 - pe), 6) END AS kappa FROM (SELECT DISTINCT g FROM r) LEFT JOIN n USING (g) LEFT JOIN chance USING (g)""",
     "repo_split": """
 WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 50 > 0 AND source IS NOT NULL THEN source || (doc_id % 3) ELSE 'no repository ' || doc_id END AS g FROM documents),
 r AS (SELECT g, row_number() OVER (ORDER BY sha1('42|' || g), g) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM d))

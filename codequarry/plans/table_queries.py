@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,9 @@ from codequarry.functions.columns import KEYWORDS, SMELLS, escape_html, is_test_
 from codequarry.operators import detect, mining, sample
 from codequarry.plans.corpus import table
 from codequarry.sources import readers, sinks
+from codequarry.sources.scratch import new_path
+from codequarry.sources.sinks import BatchLog
+from codequarry.streaming import judging
 
 
 def test_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +141,44 @@ def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.judged(_answers(spark, sf_dir)).select("conv_id", "turn", "verdict", "confidence", "reason")
 
 
+def _shorter(smell: str, before: str, after: str) -> str:
+    """A judge for the query below: real is what makes code shorter."""
+    return f"REAL\nalta\n{smell}" if len(after) < len(before) else f"APARENTE\nbaixa\n{smell}"
+
+
+class _Lost(Exception):
+    """A driver that is lost, in the query below."""
+
+
+def judge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and what follows them, judged as a stream in three batches with every seventh turn in two of them; the first run is lost after its batch was written and before the stream
+    knows, the second one before it was written."""
+    turns, log = new_path(spark, "turns"), BatchLog(spark, new_path(spark, "verdict-log"))
+    k = F.col("conv_id") + F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before_code"))
+    pairs = table(spark, sf_dir, "conversations").join(rows, ["conv_id", "turn"]).select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("R"), (k % 5 + 1).cast("string")).alias("smell_type"), "before_code", F.col("text").alias("after_code"), k.alias("k"),
+    )
+    append, checkpoint = log.append, new_path(spark, "judging")
+
+    def lost_after(*batch) -> bool:
+        append(*batch)
+        raise _Lost
+
+    def lost_before(*batch) -> bool:
+        raise _Lost
+
+    for n, lost in enumerate((lost_after, lost_before, append)):
+        pairs.filter((F.col("k") % 3 == n) | ((F.col("k") % 7 == 0) & (F.col("k") % 3 == (n + 1) % 3))).drop("k").coalesce(1).write.mode("append").parquet(turns)
+        log.append = lost
+        try:
+            judging.follow(spark.readStream.schema(judging.PENDING).parquet(turns), log, checkpoint, _shorter).awaitTermination()
+        except StreamingQueryException as e:
+            if "_Lost" not in str(e):
+                raise
+    return log.read().select("id", "smell_type", "verdict", "confidence", "reason")
+
+
 def yield_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.yields(sample.judged(_answers(spark, sf_dir).withColumn("smell_type", F.concat(F.lit("R"), (F.col("conv_id") % 5 + 1).cast("string")))))
 
@@ -163,6 +205,13 @@ def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.uniform_sample(_flagged(spark, sf_dir), 50).select("id", "smell_type")
 
 
+def nested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of orders at three similarities, drawn together."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.cast("string").alias("id"), F.when(k % 19 > 0, (k % 10) / 10).alias("similarity"))
+    return sample.nested_samples(rows, [0.5, 0.7, 0.9], 40).select("id", F.array_join(F.col("thresholds").cast("array<string>"), ",").alias("thresholds"))
+
+
 def first_of_smell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.first_of_smell(_flagged(spark, sf_dir).withColumn("n", F.col("id").cast("long")), 7, ["n"]).select("id", "smell_type", F.col("number").cast("long").alias("number"))
 
@@ -234,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         test_paths, keyword_recall, pair_ids, nonblank, repo_budget, budgets_in_sql, capped_in_sql, keyed_merge, unseen_commits, request_cache, commits_by_repo, small_requests, request_shards, catalogue_rows, smell_lookup,
-        smell_rows, judge_parse, yield_report, pending_pairs, base_rates, stratified_sample, uniform_sample, first_of_smell, behaviour_precision, threshold_choice, chat_messages, backfill,
+        smell_rows, judge_parse, judge_stream, yield_report, pending_pairs, base_rates, stratified_sample, uniform_sample, nested_samples, first_of_smell, behaviour_precision, threshold_choice, chat_messages, backfill,
         backfill_counts, test_results, test_output, coverage,
     )
 }
@@ -309,6 +358,10 @@ FROM pages WHERE page_id % 4 <> 3""",
 WITH w AS (SELECT p_partkey AS k, {_SMELLS}[p_partkey % 12 + 1] AS s, p_partkey % 12 AS i FROM part)
 SELECT k, CASE WHEN i < 10 THEN 'R' || (i % 5 + 1) WHEN i = 10 THEN 'R2' END AS code, CASE WHEN i < 11 THEN {_SMELLS}[CASE WHEN i = 10 THEN 7 ELSE i % 5 + 6 END] END AS name FROM w""",
     "smell_rows": f"SELECT p_partkey AS k, {_SMELLS}[p_partkey % 10 + 1] AS smell_type FROM part WHERE p_partkey % 5 IN (1, 4)",
+    "judge_stream": """
+WITH t AS (SELECT c.conv_id || '-' || c.turn AS id, 'R' || ((c.conv_id + c.turn) % 5 + 1) AS smell_type, length(c.text) < length(p.text) AS shorter
+  FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1)
+SELECT id, smell_type, CASE WHEN coalesce(shorter, false) THEN 'real' ELSE 'aparente' END AS verdict, CASE WHEN coalesce(shorter, false) THEN 'alta' ELSE 'baixa' END AS confidence, smell_type AS reason FROM t""",
     "judge_parse": _ANSWERS
     + """SELECT conv_id, turn, CASE WHEN form IN (0, 4) THEN 'real' ELSE 'aparente' END AS verdict, CASE form WHEN 0 THEN 'alta' WHEN 1 THEN 'baixa' ELSE 'media' END AS confidence,
        CASE form WHEN 0 THEN 'ok' WHEN 1 THEN 'aparente' || chr(10) || chr(10) || '  Baixa confianca' WHEN 2 THEN 'Real, não aparente' WHEN 3 THEN '' ELSE 'porque' END AS reason FROM a""",
@@ -324,6 +377,10 @@ SELECT smell_type, n, flag_true, n - flag_true AS flag_false, CAST(floor(flag_tr
 s AS (SELECT *, row_number() OVER (PARTITION BY smell_type ORDER BY place <= 5 DESC, flag DESC, place, id) AS number FROM r)
 SELECT id, smell_type, flag, lower(smell_type) || '_' || lpad(CAST(number AS VARCHAR), 6, '0') AS sample_id FROM s WHERE number <= 10""",
     "uniform_sample": _FLAGGED + "SELECT id, smell_type FROM f ORDER BY draw, id LIMIT 50",
+    "nested_samples": """
+WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 19 > 0 THEN (o_orderkey % 10) / CAST(10 AS DOUBLE) END AS similarity FROM orders),
+p AS (SELECT id, t, row_number() OVER (PARTITION BY t ORDER BY sha1('42|' || id), id) AS place FROM r, (VALUES (CAST(0.5 AS DOUBLE)), (0.7), (0.9)) v(t) WHERE similarity >= t)
+SELECT id, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS thresholds FROM p WHERE place <= 40 GROUP BY id""",
     "first_of_smell": _FLAGGED + ", n AS (SELECT id, smell_type, row_number() OVER (PARTITION BY smell_type ORDER BY CAST(id AS BIGINT)) AS number FROM f) SELECT * FROM n WHERE number <= 7",
     "behaviour_precision": _BEHAVIOUR + "SELECT *, round(equiv / CAST(nullif(equiv + diff, 0) AS DOUBLE), 6) AS precision FROM p",
     "threshold_choice": _BEHAVIOUR + "SELECT min(threshold) FILTER (equiv / CAST(equiv + diff AS DOUBLE) > 0.5) AS threshold FROM p",

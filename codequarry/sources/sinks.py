@@ -152,6 +152,61 @@ class PairTable:
             raise RuntimeError(f"another writer has made pointer {number} of {self.root}")
 
 
+class BatchLog:
+    """Rows of a stream's batches, each batch once, whatever is lost or run again.
+
+    A batch writes a folder of its own and then a commit, a small file with the folder's name that a rename brings into place whole; only folders that a commit names are read.
+    A batch that has a commit isn't written again. Commits are named by stream and batch, so several streams may write to one log. What lost runs have left is deleted by ``vacuum``.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def has(self, stream: str, batch: int) -> bool:
+        fs, path = self._fs(f"commits/{stream}-{batch}")
+        return fs.exists(path)
+
+    def append(self, rows: DataFrame, stream: str, batch: int) -> bool:
+        """Whether the rows were written now; not if this batch has been."""
+        if self.has(stream, batch):
+            return False
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/rows/{name}")
+        self._commit(name, stream, batch)
+        return True
+
+    def _commit(self, name: str, stream: str, batch: int) -> None:
+        fs, new = self._fs(f"commits/.{name}")
+        out = fs.create(new, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        place = self._fs(f"commits/{stream}-{batch}")[1]
+        if not fs.rename(new, place):
+            raise RuntimeError(f"batch {batch} of {stream} has been written by another run")
+
+    def _committed(self) -> list[str]:
+        fs, path = self._fs("commits")
+        return [r.value for r in self.spark.read.text(f"{self.root}/commits").collect()] if fs.exists(path) else []
+
+    def read(self) -> DataFrame | None:
+        """All rows; None before the first batch."""
+        names = self._committed()
+        return self.spark.read.parquet(*(f"{self.root}/rows/{n}" for n in names)) if names else None
+
+    def vacuum(self, older_than_hours: float = 24) -> int:
+        """Delete folders that no commit names and no running batch can be writing any more; how many."""
+        fs, path = self._fs("rows")
+        named, before = set(self._committed()), (time.time() - older_than_hours * 3600) * 1000
+        gone = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName() not in named and f.getModificationTime() <= before] if fs.exists(path) else []
+        for folder in gone:
+            fs.delete(folder, True)
+        return len(gone)
+
+
 def backfill(rows: DataFrame, column: str, value: str) -> DataFrame:
     return rows.withColumn(column, F.coalesce(column, F.lit(value)))
 

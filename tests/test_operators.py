@@ -6,6 +6,7 @@ import json
 import random
 import subprocess
 import sys
+import uuid
 from datetime import datetime
 
 import pyarrow.parquet as pq
@@ -13,10 +14,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry import cli
+from codequarry.functions import registry
 from codequarry.functions.columns import smell_code, stripped
+from codequarry.functions.rowwise import with_kernel
 from codequarry.operators import crossfile, detect, mining, quality, review, sample
 from codequarry.sources import readers, sinks
-from codequarry.streaming import incremental
+from codequarry.sources.scratch import stage
+from codequarry.streaming import incremental, judging
 from tests.conftest import ROOT
 
 
@@ -255,6 +259,98 @@ def test_kappa(spark):
     assert kappa((c, c)) is None and kappa((c, c), (c, c)) is None
 
 
+def test_kappa_called_from_sql(spark):
+    registry.register(spark)
+    rows = [("x", "a/", "a/"), ("x", "b", "a/"), ("x", "b", "b"), ("x", None, "b"), ("y", "a", "a"), ("y", "a", "a"), ("z", None, None)]
+    spark.createDataFrame(rows, "g string, a string, b string").createOrReplaceTempView("ratings")
+    found = spark.sql("SELECT g, kappa_of(approx_top_k(rated(a, b), 1000, 10000), count(*)) AS k FROM ratings GROUP BY g")
+    assert "partial_approx_top_k" in found._jdf.queryExecution().executedPlan().toString()
+    k = {r.g: r.k for r in found.collect()}
+    assert k["x"] == pytest.approx((2 / 3 - 4 / 9) / (1 - 4 / 9)) and k["y"] is None and k["z"] is None
+    many = "SELECT kappa_of(approx_top_k(rated(cast(id % {} AS string), 'a'), 1000, 10000), count(*)) AS k FROM range({})"
+    assert spark.sql(many.format(999, 5000)).first().k == pytest.approx(0)
+    for labels in (1000, 7000, 50_000):
+        with pytest.raises(Exception, match="more than 999"):
+            spark.sql(many.format(labels, 200_000)).collect()
+
+
+def test_samples_of_all_thresholds_are_drawn_and_run_once(spark, tmp_path):
+    rows = stage(spark.range(300).selectExpr("cast(id AS string) AS id", "IF(id % 9 = 0, NULL, (id % 10) / 10D) AS similarity"), "rows")
+    thresholds = [0.8, 0.2, 0.5]
+    drawn = {r.id: r.thresholds for r in sample.nested_samples(rows, thresholds, 25).collect()}
+    for t in thresholds:
+        alone = {r.id for r in sample.uniform_sample(rows.filter(F.col("similarity") >= t), 25).collect()}
+        assert alone == {i for i, ts in drawn.items() if t in ts} and len(alone) == 25
+    assert len(drawn) < 75 and any(len(ts) > 1 for ts in drawn.values())
+
+    def run(i):
+        (tmp_path / f"{i}-{uuid.uuid4().hex}").touch()
+        return len(i) % 2 == 0
+
+    once = with_kernel(sample.nested_samples(rows, thresholds, 25), "equivalent", run, "boolean", "id")
+    checks = once.select(F.explode("thresholds").alias("threshold"), "equivalent", F.lit(1).alias("samples"), F.lit(None).cast("string").alias("error"))
+    assert [r.sampled for r in sample.behaviour_precision(checks).collect()] == [25] * 3
+    assert len(list(tmp_path.iterdir())) == len(drawn)
+    assert sample.nested_samples(rows.limit(0), thresholds, 25).count() == 0
+
+
+def test_verdicts_come_once(spark, tmp_path):
+    """A pair that comes again, a judge that fails, a run that is lost before and after its commit, and another stream over the same pairs."""
+    calls, pairs = tmp_path / "calls", str(tmp_path / "pairs")
+    calls.mkdir()
+
+    def judge(smell, before, after):
+        (calls / f"{before}-{uuid.uuid4().hex}").touch()
+        if before == "bad" and not after:
+            raise ValueError("no answer")
+        return f"REAL\nalta\n{smell}"
+
+    def come(*rows):
+        spark.createDataFrame([(i, "long_method", b, a) for i, b, a in rows], judging.PENDING).coalesce(1).write.mode("append").parquet(pairs)
+
+    def run(checkpoint="one"):
+        judging.follow(spark.readStream.schema(judging.PENDING).parquet(pairs), log, str(tmp_path / checkpoint), judge).awaitTermination()
+
+    log = sinks.BatchLog(spark, str(tmp_path / "log"))
+    assert log.read() is None and log.vacuum(0) == 0
+    come(("1", "a", "x"), ("1", "a", "x"), (None, "n", "x"), ("2", "bad", None), ("3", None, None))
+    commit, log._commit = log._commit, None
+    with pytest.raises(Exception):
+        run()  # lost between its rows and its commit
+    log._commit = commit
+    assert log.read() is None
+    run()
+    assert sorted(r.id for r in log.read().collect()) == ["1", "3"]
+    assert len(list(calls.glob("a-*"))) == 2, "once in the lost run, once more after it"
+    append = log.append
+
+    def lost(*batch):
+        append(*batch)
+        raise RuntimeError("lost after the commit")
+
+    come(("1", "a", "x"), ("4", "d", "x"), ("2", "bad", "x"))
+    log.append = lost
+    with pytest.raises(Exception, match="lost after"):
+        run()
+    log.append = append
+    before = len(list(calls.iterdir()))
+    run()
+    run("two")
+    assert sorted((r.id, r.smell_type, r.verdict) for r in log.read().collect()) == [(i, "R1", "real") for i in "1234"]
+    assert len(list(calls.iterdir())) == before, "nothing is asked twice"
+    assert log.vacuum(0) == 1 and log.read().count() == 4
+
+
+def test_answers_followed_by_command(spark, tmp_path, capsys):
+    answers, out = tmp_path / "answers", str(tmp_path / "verdicts")
+    answers.mkdir()
+    for k in range(2):
+        (answers / f"{k}.jsonl").write_text("".join(json.dumps({"id": str(i), "smell_type": "R2", "response": "REAL" if i % 2 else "no"}) + "\n" for i in range(k + 3)))
+        assert cli.main(["judge", str(answers), "--out", out, "--follow"], spark) == 0
+    assert "TOTAL: 1 of 3 real" in (said := capsys.readouterr().out) and "TOTAL: 2 of 4 real" in said
+    assert cli.main(["judge", str(answers), "--out", out, "--follow", "--pilot", "3"], spark) == 2
+
+
 def test_splits_need_enough(spark):
     rows = spark.createDataFrame([(str(k), f"r{k % 2}", "R1") for k in range(10)], "id string, repo string, smell_type string")
     with pytest.raises(ValueError, match="too little"):
@@ -482,8 +578,6 @@ def test_a_batch_gives_the_first_pairs_whatever_their_order():
 
 
 def test_caps_and_budgets_called_from_sql(spark):
-    from codequarry.functions import registry
-
     registry.register(spark)
     draw = random.Random(2)
     pairs = spark.createDataFrame([(str(k), f"R{draw.randrange(1, 4)}", f"r{draw.randrange(6)}", draw.randrange(50), "code") for k in range(300)], "id string, smell_type string, repo string, seq long, code string")
