@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
+from dataclasses import replace
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,20 +57,90 @@ def _mine(spark: SparkSession, a: argparse.Namespace) -> int:
     )
     only = readers.json_lines(spark, a.only, "commit_hash string") if a.only else None
     windows = spark.read.option("multiLine", "true").schema("repo string, since string, to string").json(a.windows).withColumnRenamed("to", "until") if a.windows else None
-    given = [n for n in ("since", "to", "only", "windows", "cap", "partial_threshold", "max_commits", "cross_file_threshold") if getattr(a, n)]
+    if a.created:
+        windows = mining.first_years(spark.read.option("multiLine", "true").schema("repo string, created_at string").json(a.created), a.first_years)
+    given = [n for n in ("since", "to", "only", "windows", "created", "cap", "partial_threshold", "cross_file_threshold", "requests", "waves") if getattr(a, n)]
     if a.by_rule and given:
         print(f"--by-rule looks at all commits by its own rules and takes no {', '.join('--' + n.replace('_', '-') for n in given)}", file=sys.stderr)
         return 2
+    if (a.limit_repos and not a.requests) or (a.requests and a.only) or (a.windows and a.created) or (a.waves and not a.total_cap) or (a.seen and not (a.by_rule and a.max_commits)):
+        print("--limit-repos needs --requests, which takes no --only; --windows and --created are one or the other; --waves needs --total-cap, and --seen --by-rule and --max-commits", file=sys.stderr)
+        return 2
+    if a.requests:
+        only = readers.requested(spark, a.requests, a.limit_repos)
+        options = replace(mining.REQUESTS, partial_threshold=a.partial_threshold if a.partial_threshold is not None else mining.REQUESTS.partial_threshold, caps=options.caps, since=a.since, until=a.to)
     changes = git.changes(spark, a.changes, ref=a.ref) if a.git else spark.read.parquet(a.changes)
-    pairs = mining.mine_by_rule(changes) if a.by_rule else mining.mine(changes, options, only, windows)
-    if a.total_cap:
-        pairs = mining.within_budgets(stage(pairs, "mined"), a.total_cap)
-    counts = sinks.PairTable(spark, a.out).merge(pairs)
+    table = sinks.PairTable(spark, a.out)
+    if a.waves:
+        counts = {}
+        repos = spark.createDataFrame([(name,) for name, _ in git.repositories(a.changes)], "repo string") if a.git else None
+        for counts in mining.in_waves(changes, table.merge, dict.fromkeys(SMELLS, a.total_cap), options, windows, a.waves, repos):
+            print(f"so far: {counts}")
+    elif a.by_rule and a.max_commits:
+        counts = _mine_rules(spark, changes, table, a.max_commits, a.seen)
+    else:
+        pairs = mining.mine_by_rule(changes) if a.by_rule else mining.mine(changes, options, only, windows)
+        if a.total_cap:
+            pairs = mining.within_budgets(stage(pairs, "mined"), a.total_cap)
+        counts = table.merge(pairs)
     for smell, n in sorted(counts.items()):
         print(f"{smell}: {n}")
     return 0
 
 
+def _mine_rules(spark: SparkSession, changes: DataFrame, table: sinks.PairTable, most: int, seen: str | None) -> dict[str, int]:
+    """The newest commits of each smell's rules that earlier runs haven't seen. They are noted when their pairs are in the table; after a loss they are mined again into the same pairs."""
+    log = sinks.BatchLog(spark, seen) if seen else None
+    found = stage(mining.commits_by_rule(changes, most, seen=log and log.read()), "commits")
+    for r in found.groupBy("smell").count().orderBy("smell").collect():
+        print(f"{r.smell}: {r['count']} new commits")
+    counts = table.merge(mining.mine_by_rule(changes, only=found))
+    if log:
+        log.append(found, uuid.uuid4().hex, 0)
+    release(found)
+    return counts
+
+
+def _pilot(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The newest small merged requests of a label: their pairs into a table, and the yield of those that a judge has answered."""
+    rows = readers.json_lines(spark, a.pulls, "repo string, pr_number long, merge_commit_sha string, merged_at string, label string, changed_files int")
+    some = rows.filter((F.col("label") == a.label) & F.col("merge_commit_sha").isNotNull() & F.col("merged_at").isNotNull())
+    chosen = stage(readers.small_requests(some, a.max_files, a.max_prs), "requests")
+    print(f"{chosen.count()} requests of at most {a.max_files} files")
+    changes = git.changes(spark, a.changes, ref=a.ref) if a.git else spark.read.parquet(a.changes)
+    table = sinks.PairTable(spark, a.out)
+    for smell, n in sorted(table.merge(mining.mine(changes, mining.REQUESTS, chosen.select("repo", F.col("merge_commit_sha").alias("commit_hash")))).items()):
+        print(f"{smell}: {n} candidates")
+    pairs = table.read()
+    if a.answers and pairs is not None:
+        answers = readers.json_lines(spark, a.answers, "id string, response string", key="id").dropDuplicates(["id"])
+        _yields(sample.judged(pairs.select("id", "smell_type").join(answers, "id")))
+    release(chosen)
+    return 0
+
+
+def _curator(spark: SparkSession, a: argparse.Namespace) -> int:
+    """What a reviewer sees, as JSON lines: at most ``--limit`` pairs, in the order of the files; totals first."""
+    rows, totals = curation.page(spark, a.raw, a.reviews, a.reviewer, a.adjudicate, a.smell, a.status, not a.no_assignment)
+    t = totals.first()
+    print(f"{t.total} pairs: {t.reviewed} reviewed, {t.pending} pending")
+    for r in rows.orderBy("smell_file", "line").limit(a.limit).drop("line").toJSON().collect():
+        print(r)
+    return 0
+
+
+def _verdict(spark: SparkSession, a: argparse.Namespace) -> int:
+    """One verdict into the log of a smell; 2 if it breaks a rule."""
+    row = (a.id, a.status, a.before_clean, a.after_clean, a.out_of_rule, a.reviewer, a.notes, (a.reason or "").strip() or None, a.confidence, datetime.now(UTC).isoformat())
+    given = spark.createDataFrame([row], "id string, status string, before_clean string, after_clean string, out_of_rule boolean, reviewer string, notes string, justificativa string, confianca string, timestamp string")
+    try:
+        print(f"{curation.give_verdicts(a.reviews, a.smell, given)} verdicts on {a.smell}")
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 2
+    return 0
+
+
 def _compact(spark: SparkSession, a: argparse.Namespace) -> int:
     """Each smell of a table into one folder; with ``--vacuum-hours`` what no reader of that age needs is deleted."""
     table = sinks.PairTable(spark, a.pairs)
@@ -106,11 +179,16 @@ def _curate(spark: SparkSession, a: argparse.Namespace) -> int:
     if found.kappa is not None:
         for r in found.kappa.orderBy("block").collect():
             print(f"{r.block}: kappa {r.kappa} over {r.n}")
-    return _validated(review.schema_errors(found.pairs), a)
+    return _validated(review.schema_errors(found.pairs), a, found.raw)
 
 
-def _validated(rows: DataFrame, a: argparse.Namespace) -> int:
+def _validated(rows: DataFrame, a: argparse.Namespace, raw: dict | None = None) -> int:
     checked = stage(rows, "validated")
+    if raw:
+        kept = {r.smell_type: r["count"] for r in checked.groupBy("smell_type").count().collect()}
+        for name, seen in raw.items():
+            print(f"{name}: {seen.get['rows']} pairs in the file")
+        print(f"kept: {kept}")
     print(review.validation_report(checked).first())
     valid = checked.filter(F.size("errors") == 0).drop("errors")
     sinks.write_splits(review.split_by_repo(valid, a.val, a.test, a.seed), a.out, a.force)
@@ -249,7 +327,11 @@ def parser() -> argparse.ArgumentParser:
         "mine", _mine, arg("changes"), out, arg("--since"), arg("--to"), arg("--no-require-keyword", action="store_true"), arg("--merges", action="store_true"), arg("--max-commits", type=int), arg("--cap", type=int),
         arg("--partial-threshold", type=float), arg("--cross-file-threshold", type=float), arg("--identifier-overlap-threshold", type=float, default=0.0), arg("--only"), arg("--source", default="mined_commit"),
         arg("--windows"), arg("--by-rule", action="store_true"), arg("--total-cap", type=int), arg("--git", action="store_true"), arg("--ref", default="HEAD"),
+        arg("--requests"), arg("--limit-repos", type=int), arg("--created"), arg("--first-years", type=int, default=7), arg("--waves", type=int), arg("--seen"),
     )
+    command("pilot", _pilot, arg("pulls"), arg("changes"), out, arg("--label", default="code-quality"), arg("--max-files", type=int, default=3), arg("--max-prs", type=int, default=300), arg("--answers"), arg("--git", action="store_true"), arg("--ref", default="HEAD"))
+    command("curator", _curator, arg("raw"), arg("reviews"), arg("--reviewer"), arg("--adjudicate", action="store_true"), arg("--smell"), arg("--status", default="all", choices=["all", "pending", "reviewed"]), arg("--limit", type=int, default=200), arg("--no-assignment", action="store_true"))
+    command("verdict", _verdict, arg("reviews"), arg("smell"), arg("id"), arg("status"), arg("--reviewer"), arg("--reason"), arg("--confidence"), arg("--notes", default=""), arg("--before-clean"), arg("--after-clean"), arg("--out-of-rule", action="store_true"))
     command("compact", _compact, arg("pairs"), arg("--vacuum-hours", type=float))
     command("check", _check, arg("pairs"), arg("--source"), smell, arg("--fail-on-warn", action="store_true"))
     command("split", _split, arg("pairs"), out, force, seed, arg("--val", type=float, default=0.1), arg("--test", type=float, default=0.1))

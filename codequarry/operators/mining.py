@@ -17,6 +17,7 @@ from codequarry.functions.columns import SMELLS, is_bot, is_test_path, magnitude
 from codequarry.functions.rowwise import with_kernel
 from codequarry.operators.crossfile import moved_functions
 from codequarry.operators.detect import DEFAULT, Thresholds, has_smell
+from codequarry.sources.scratch import release, stage
 
 
 @dataclass(frozen=True)
@@ -50,8 +51,8 @@ RULE_QUERIES = {
 }
 
 
-def searched(changes: DataFrame, queries: list[str]) -> DataFrame:
-    """Changes of commits whose message has all words of some query, without regard to case."""
+def _says(queries: list[str]) -> Column:
+    """Whether a message has all words of some query, without regard to case."""
     low = F.lower(F.coalesce("message", F.lit("")))
     hit = F.lit(False)
     for query in queries:
@@ -59,13 +60,39 @@ def searched(changes: DataFrame, queries: list[str]) -> DataFrame:
         for word in query.lower().split():
             every = every & F.contains(low, F.lit(word))
         hit = hit | every
-    return changes.filter(hit)
+    return hit
+
+
+def searched(changes: DataFrame, queries: list[str]) -> DataFrame:
+    """Changes of commits whose message has all words of some query, without regard to case."""
+    return changes.filter(_says(queries))
+
+
+def commits_by_rule(changes: DataFrame, most: int, queries: dict[str, list[str]] = RULE_QUERIES, seen: DataFrame | None = None) -> DataFrame:
+    """``repo``, ``commit_hash`` and ``smell`` of the newest ``most`` commits of each smell whose messages its queries find, without those in ``seen``.
+
+    A commit that several smells' queries find belongs to the first. Commits beyond ``most`` aren't seen, so a later run comes to them.
+    """
+    smell = F.coalesce(*(F.when(_says(some), F.lit(code)) for code, some in queries.items()))
+    found = changes.select("repo", "commit_hash", "committed_at", smell.alias("smell")).filter("smell is not null")
+    each = found.groupBy("repo", "commit_hash").agg(F.min("smell").alias("smell"), F.max("committed_at").alias("committed_at"))
+    if seen is not None:
+        each = each.join(seen.select("repo", "commit_hash"), ["repo", "commit_hash"], "left_anti")
+    newest = Window.partitionBy("smell").orderBy(F.desc("committed_at"), "repo", "commit_hash")
+    return each.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most).select("repo", "commit_hash", "smell")
+
+
+def first_years(repos: DataFrame, years: int = 7, last: str = "2014-12-31") -> DataFrame:
+    """Windows (``repo``, ``since``, ``until``) of the first ``years`` of repositories by ``created_at``, to ``last`` at most; those made after it, or at an unknown time, have none."""
+    created = F.col("created_at").try_cast("date")
+    end = F.least(F.add_months(created, 12 * years), F.lit(last).cast("date"))
+    return repos.filter(created <= F.lit(last).cast("date")).select("repo", created.cast("string").alias("since"), end.cast("string").alias("until"))
 
 
 def commits(changes: DataFrame, options: Options = Options(), only: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
     """The files that a run looks at, with ``file`` and ``msg_keywords``: all filters are native and reach the scan where they can.
 
-    ``windows`` (``repo``, ``since``, ``until``) limits each repository to a time of its own; others aren't looked at.
+    ``only`` has ``commit_hash``, and ``repo`` if hashes are those of a repository. ``windows`` (``repo``, ``since``, ``until``) limits each repository to a time of its own; others aren't looked at.
     """
     file = F.coalesce("new_path", "old_path")
     rows = changes.withColumn("file", file).filter(F.endswith("file", F.lit(".py")))
@@ -79,7 +106,8 @@ def commits(changes: DataFrame, options: Options = Options(), only: DataFrame |
         times = windows.select("repo", F.col("since").cast("timestamp").alias("__since"), F.col("until").cast("timestamp").alias("__until"))
         rows = rows.join(times, "repo").filter(F.col("committed_at").between(F.col("__since"), F.col("__until"))).drop("__since", "__until")
     if only is not None:
-        rows = rows.join(only.select("commit_hash").distinct(), "commit_hash", "left_semi")
+        key = [c for c in ("repo", "commit_hash") if c in only.columns]
+        rows = rows.join(only.select(*key).distinct(), key, "left_semi")
     rows = rows.withColumn("msg_keywords", matched_keywords("message"))
     if options.require_keyword:
         rows = rows.filter(F.size("msg_keywords") > 0)
@@ -213,9 +241,11 @@ def mine(changes: DataFrame, options: Options = Options(), only: DataFrame | Non
     return capped(pairs, options.caps, all_smells=True) if options.caps else first_of_each_id(pairs)
 
 
-def mine_by_rule(changes: DataFrame, queries: dict[str, list[str]] = RULE_QUERIES, options: Options = BY_RULE) -> DataFrame:
-    """Pairs of commits found by the names of rules, by the looser file filter (``changes`` has ``author`` too); keywords aren't recorded."""
+def mine_by_rule(changes: DataFrame, queries: dict[str, list[str]] = RULE_QUERIES, options: Options = BY_RULE, only: DataFrame | None = None) -> DataFrame:
+    """Pairs of commits found by the names of rules, by the looser file filter (``changes`` has ``author`` too); keywords aren't recorded. ``only``: of these commits."""
     rows = files_by_rule(searched(changes, [q for some in queries.values() for q in some]))
+    if only is not None:
+        rows = rows.join(only.select("repo", "commit_hash"), ["repo", "commit_hash"], "left_semi")
     rows = rows.withColumns({"file": F.coalesce("new_path", "old_path"), "msg_keywords": F.array().cast("array<string>")})
     return first_of_each_id(verified(candidates(rows), options))
 
@@ -265,3 +295,38 @@ def within_budgets(pairs: DataFrame, cap: int | dict[str, int]) -> DataFrame:
     allowed = budgets(available, cap).select("smell_type", "repo", "budget")
     order = Window.partitionBy("repo", "smell_type").orderBy("seq", "id")
     return unique.withColumn("place", F.row_number().over(order)).join(allowed, ["smell_type", "repo"]).filter(F.col("place") <= F.col("budget")).drop("place", "budget")
+
+
+def in_waves(changes: DataFrame, merge: Callable[[DataFrame], object], caps: dict[str, int], options: Options = Options(), windows: DataFrame | None = None, wave: int = 32, repos: DataFrame | None = None) -> Iterator[dict[str, int]]:
+    """Mine some repositories at a time, in order of their names, until every smell has its cap; after each wave the pairs so far of each smell.
+
+    A repository may give an equal share, rounded up, of what a smell still lacks, over the repositories that are left, the first by ``seq``; what it doesn't use goes to those after it.
+    So the pairs are those of mining one repository after another, whatever the size of a wave, and repositories after the last cap is reached aren't read. Each wave is
+    merged (``PairTable.merge``) before the next one begins. The driver holds a wave's names and counts. ``repos`` (``repo``) spares reading all changes for their names.
+    """
+    if wave < 1 or not set(SMELLS) <= set(caps):
+        raise ValueError("a wave has a repository at least, and each smell a cap")
+    spark = changes.sparkSession
+    listed = repos if repos is not None else windows if windows is not None else changes
+    names = stage(listed.select("repo").filter("repo is not null").distinct(), "repositories")
+    left, last, total = names.count(), None, dict.fromkeys(SMELLS, 0)
+    while left and any(total[s] < caps[s] for s in SMELLS):
+        after = names if last is None else names.filter(F.col("repo") > F.lit(last))
+        some = [r.repo for r in after.orderBy("repo").limit(wave).collect()]
+        pairs = stage(mine(changes.filter(F.col("repo").isin(some)), options, windows=windows), "wave")
+        available = {(r.repo, r.smell_type): r.n for r in pairs.groupBy("repo", "smell_type").agg(F.count("*").alias("n")).collect()}
+        shares = []
+        for repo in some:
+            for smell in SMELLS:
+                share = max(0, -(-(caps[smell] - total[smell]) // left))
+                shares.append((repo, smell, share))
+                total[smell] += min(share, available.get((repo, smell), 0))
+            left -= 1
+        first = Window.partitionBy("repo", "smell_type").orderBy("seq", "id")
+        allowed = spark.createDataFrame(shares, "repo string, smell_type string, share long")
+        kept = pairs.withColumn("place", F.row_number().over(first)).join(F.broadcast(allowed), ["repo", "smell_type"]).filter(F.col("place") <= F.col("share"))
+        merge(kept.select(*pairs.columns))
+        release(pairs)
+        last = some[-1]
+        yield dict(total)
+    release(names)

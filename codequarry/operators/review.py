@@ -157,13 +157,13 @@ def progress(seen: DataFrame) -> DataFrame:
 
 
 def schema_errors(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``errors``: every rule of the data model that a row breaks, sources included; empty for a valid one."""
+    """``pairs`` with ``errors``: every rule of the data model that a row breaks, sources included, with the line where a side stops parsing; empty for a valid one."""
     checked = with_kernel(pairs, "syntax", lambda a, b: [kernels.syntax_error(a), kernels.syntax_error(b)], "array<string>", "before_code", "after_code")
     rules = [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in ("repo", "commit_hash", "smell_type")]
     rules += [F.when(is_blank(c), F.lit(f"{c} is empty")) for c in ("before_code", "after_code")]
     rules.append(F.when(~F.col("smell_type").isin(*SMELLS), F.lit("unknown smell_type")))
     rules.append(F.when(~F.coalesce("source", F.lit(SOURCES[0])).isin(*SOURCES), F.lit("unknown source")))
-    rules += [F.when(~is_blank(c) & F.col("syntax")[k].isNotNull(), F.lit(f"{c} doesn't parse")) for k, c in enumerate(("before_code", "after_code"))]
+    rules += [F.when(~is_blank(c) & F.col("syntax")[k].isNotNull(), F.concat(F.lit(f"{c} doesn't parse"), F.coalesce(F.concat(F.lit(" at "), F.regexp_substr(F.col("syntax")[k], F.lit("^line [0-9]+"))), F.lit("")))) for k, c in enumerate(("before_code", "after_code"))]
     return checked.withColumn("errors", F.array_compact(F.array(*rules))).drop("syntax")
 
 

@@ -133,6 +133,35 @@ def mine_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("repo", "smell_type").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
+#: Pairs wanted of each smell by the query below.
+_WANTED = {"R1": 3, "R2": 10, "R3": 12, "R4": 8, "R5": 14}
+
+
+def mine_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four repositories at a time, by name, until each smell has its cap; those after that aren't mined."""
+    out = sinks.PairTable(spark, new_path(spark, "waves"))
+    *_, _ = mining.in_waves(scratch.stage(corpus.modified_files(spark, sf_dir), "changes"), out.merge, _WANTED, wave=4)
+    # Pairs of one commit are in the order of their ids, which SQL doesn't have: how many of each are taken, it knows.
+    return out.read().groupBy("repo", "seq", "smell_type").agg(F.count("*").alias("n"))
+
+
+def rule_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits that two runs take of each rule's, the second one those that the first hasn't seen."""
+    rows = scratch.stage(_authored(spark, sf_dir).select("repo", "commit_hash", "seq", "committed_at", "message"), "messages")
+    log = sinks.BatchLog(spark, new_path(spark, "seen"))
+    for run in (1, 2):
+        log.append(scratch.stage(mining.commits_by_rule(rows, 25, seen=log.read()).withColumn("run", F.lit(run)), "run"), "rule-runs", run)
+    return log.read().select("repo", "commit_hash", "smell", "run")
+
+
+def first_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each customer's repository in the two years after its first order."""
+    changes = scratch.stage(corpus.modified_files(spark, sf_dir), "changes")
+    created = changes.groupBy("repo").agg(F.min("committed_at").cast("date").cast("string").alias("created_at"))
+    made = created.withColumn("created_at", F.when(F.col("repo") != "repo_7", F.col("created_at")).otherwise("2015-01-01"))
+    return mining.mine(changes, mining.Options(require_keyword=False), windows=mining.first_years(made, 2)).select("repo", "seq", "function_name", "smell_type")
+
+
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines into a table of pairs, then those that weren't returned of three smells, then odd ones of all smells after a compaction; superseded folders are deleted before it is read."""
     lines = table(spark, sf_dir, "lineitem").select(
@@ -256,7 +285,7 @@ def behaviour_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        strict_lines, lenient_lines, raw_csv, example_functions, request_pages, decoded_files, evidence_text, rich_measures, method_bases, functions_in_sql, mine_requests, rule_files, mine_by_rule, mine_windows, mine_budgets,
+        strict_lines, lenient_lines, raw_csv, example_functions, request_pages, decoded_files, evidence_text, rich_measures, method_bases, functions_in_sql, mine_requests, rule_files, mine_by_rule, mine_windows, mine_budgets, mine_waves, rule_runs, first_years,
         pair_table, appended_results, real_pairs, report_repos, numbered_items, evidence_magnitude, stored_evidence, curated_double, curated_kappa, behaviour_check,
     )
 }
@@ -313,6 +342,25 @@ fold AS (
   FROM fold f JOIN placed p ON p.smell_type = f.smell_type AND p.place = f.place + 1
 ), ranked AS (SELECT repo, smell_type, seq, row_number() OVER (PARTITION BY repo, smell_type ORDER BY seq, function_name) AS r FROM strict WHERE keyword)
 SELECT repo, smell_type, count(*) AS n, max(seq) AS last FROM ranked JOIN (SELECT repo, smell_type, budget FROM fold) USING (repo, smell_type) WHERE r <= budget GROUP BY 1, 2""",
+    "mine_waves": CHANGES.replace("WITH l AS", "WITH RECURSIVE l AS")
+    + """, repos AS MATERIALIZED (SELECT repo, row_number() OVER (ORDER BY repo) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT 'repo_' || (o_custkey % 25) AS repo FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))),
+caps(smell_type, cap) AS (VALUES ('R1', 3), ('R2', 10), ('R3', 12), ('R4', 8), ('R5', 14)), mined AS MATERIALIZED (SELECT * FROM strict WHERE keyword),
+placed AS MATERIALIZED (SELECT smell_type, cap, repos.repo, place, n, (SELECT count(*) FROM mined m WHERE m.repo = repos.repo AND m.smell_type = caps.smell_type) AS available FROM repos, caps),
+fold AS (
+  SELECT smell_type, repo, place, CAST(ceil(cap / CAST(n AS DOUBLE)) AS BIGINT) AS budget, least(available, CAST(ceil(cap / CAST(n AS DOUBLE)) AS BIGINT)) AS total FROM placed WHERE place = 1
+  UNION ALL
+  SELECT p.smell_type, p.repo, p.place, CAST(greatest(0, ceil((p.cap - f.total) / CAST(p.n - f.place AS DOUBLE))) AS BIGINT), f.total + least(p.available, CAST(greatest(0, ceil((p.cap - f.total) / CAST(p.n - f.place AS DOUBLE))) AS BIGINT))
+  FROM fold f JOIN placed p ON p.smell_type = f.smell_type AND p.place = f.place + 1
+), ranked AS (SELECT repo, smell_type, seq, function_name, row_number() OVER (PARTITION BY repo, smell_type ORDER BY seq, function_name) AS r FROM mined)
+SELECT repo, seq, smell_type, count(*) AS n FROM ranked JOIN (SELECT repo, smell_type, budget FROM fold) USING (repo, smell_type) WHERE r <= budget GROUP BY ALL""",
+    "rule_runs": """
+WITH c AS (SELECT 'repo_' || (o_custkey % 25) AS repo, sha1(CAST(o_orderkey AS VARCHAR)) AS commit_hash, o_orderdate, CASE o_orderkey % 5 WHEN 0 THEN 'R2' WHEN 1 THEN 'R3' WHEN 3 THEN 'R4' END AS smell
+  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+p AS (SELECT *, row_number() OVER (PARTITION BY smell ORDER BY o_orderdate DESC, repo, commit_hash) AS place FROM c WHERE smell IS NOT NULL)
+SELECT repo, commit_hash, smell, CAST(1 + (place > 25)::INT AS INT) AS run FROM p WHERE place <= 50""",
+    "first_years": CHANGES
+    + """, made AS (SELECT 'repo_' || (o_custkey % 25) AS made_repo, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1)
+SELECT repo, seq, function_name, smell_type FROM strict JOIN orders ON o_orderkey = seq JOIN made ON made_repo = repo WHERE repo <> 'repo_7' AND CAST(o_orderdate AS DATE) BETWEEN d AND d + INTERVAL 2 YEAR""",
     "pair_table": """WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS id, 'R' || (l_orderkey % 5 + 1) AS smell_type, l_returnflag AS flag, l_linenumber % 2 AS odd, CAST(l_partkey AS BIGINT) AS seq FROM lineitem),
 runs AS (
   SELECT smell_type, id, seq, 1 AS run FROM l UNION ALL SELECT smell_type, id, seq, 2 FROM l WHERE flag <> 'R' AND smell_type IN ('R1', 'R2', 'R3') UNION ALL SELECT smell_type, id, seq, 3 FROM l WHERE odd = 1

@@ -103,7 +103,7 @@ def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         k.alias("k"), F.when(k % 7 > 0, F.col("source")).alias("repo"), F.lit("c").alias("commit_hash"), F.when(k % 5 == 0, "R7").otherwise("R1").alias("smell_type"),
-        F.when(k % 3 == 0, "x = ").otherwise("x = 1").alias("before_code"), F.when(k % 4 == 0, " \n").otherwise("x = 2").alias("after_code"), F.when(k % 9 == 0, "elsewhere").alias("source"),
+        F.when(k % 3 == 0, F.concat(F.repeat(F.lit("x = 1\n"), (k % 4).cast("int")), F.lit("x = "))).otherwise("x = 1").alias("before_code"), F.when(k % 4 == 0, " \n").otherwise("x = 2").alias("after_code"), F.when(k % 9 == 0, "elsewhere").alias("source"),
     )
 
 
@@ -134,7 +134,7 @@ _DRAFTS = """
 WITH e AS (
   SELECT doc_id AS k, list_filter([
     CASE WHEN doc_id % 7 = 0 OR source IS NULL THEN 'repo is missing' END, CASE WHEN doc_id % 4 = 0 THEN 'after_code is empty' END, CASE WHEN doc_id % 5 = 0 THEN 'unknown smell_type' END,
-    CASE WHEN doc_id % 9 = 0 THEN 'unknown source' END, CASE WHEN doc_id % 3 = 0 THEN 'before_code doesn''t parse' END], lambda x: x IS NOT NULL) AS errors FROM documents
+    CASE WHEN doc_id % 9 = 0 THEN 'unknown source' END, CASE WHEN doc_id % 3 = 0 THEN 'before_code doesn''t parse at line ' || (doc_id % 4 + 1) END], lambda x: x IS NOT NULL) AS errors FROM documents
 )
 """
 

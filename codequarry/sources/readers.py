@@ -163,6 +163,15 @@ def hashes_by_repo(rows: DataFrame, repo: str = "repo", commit: str = "merge_com
     return some.groupBy(F.col(repo).alias("repo")).agg(F.sort_array(F.collect_set(commit)).alias("commits"))
 
 
+def requested(spark: SparkSession, path: str, most_repos: int | None = None) -> DataFrame:
+    """``repo`` and ``commit_hash`` of a list of merged requests (JSON lines with ``repo`` and ``merge_commit_sha``), once each; of the ``most_repos`` repositories that come first in the file."""
+    rows = json_lines(spark, path, "repo string, merge_commit_sha string", key="merge_commit_sha", order=True).filter(F.coalesce("repo", F.lit("")) != "")
+    if most_repos is not None:
+        first = rows.groupBy("repo").agg(F.min("line").alias("line")).orderBy("line").limit(most_repos)
+        rows = rows.join(first.select("repo"), "repo", "left_semi")
+    return rows.select("repo", F.col("merge_commit_sha").alias("commit_hash")).distinct()
+
+
 def shards(spark: SparkSession, labels: list[str], years: list[int], first: int | None = None) -> DataFrame:
     """Each label with each year, in that order; both lists are arguments, so small."""
     rows = [(k, label, year) for k, (label, year) in enumerate((x, y) for x in labels for y in years)]
