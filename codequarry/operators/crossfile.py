@@ -47,7 +47,12 @@ def gone_and_fresh(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     moved = stage(listed.select(*info, F.inline(sides)).withColumn("uid", F.monotonically_increasing_id()), "moved-functions")
     old, new = (moved.filter(F.col("side") == side).drop("side") for side in ("before", "after"))
     on = [*COMMIT, "path", "name"]
-    return tuple(one.join(other.select(*on), on, "left_anti").drop("name") for one, other in ((old, new), (new, old)))
+    return tuple(one.join(_large(other.select(*on)), on, "left_anti").drop("name") for one, other in ((old, new), (new, old)))
+
+
+def _large(side: DataFrame) -> DataFrame:
+    """A side that is sorted and merged: code in a staged file is packed so well that the planner would send whole tables through the driver to every task."""
+    return side.hint("merge")
 
 
 def rarity(kinds: DataFrame) -> list[tuple[str, int]]:
@@ -94,12 +99,12 @@ def near_pairs(gone: DataFrame, fresh: DataFrame, shape: float = 0.5, similarity
     def rows(side: DataFrame, name: str) -> DataFrame:
         return side.select(*COMMIT, F.explode("tokens").alias("token"), F.struct("uid", "path", "nodes", "shape").alias(name))
 
-    met = rows(left, "a").join(rows(right, "b"), [*COMMIT, "token"])
+    met = rows(left, "a").join(_large(rows(right, "b")), [*COMMIT, "token"])
     sizes = F.least("a.nodes", "b.nodes") / F.greatest("a.nodes", "b.nodes")
     met = met.filter((F.col("a.path") != F.col("b.path")) & (sizes >= similarity) & (shape_distance(F.col("a.shape"), F.col("b.shape")) <= shape))
     pairs = met.select(F.col("a.uid").alias("old_uid"), F.col("b.uid").alias("new_uid")).distinct()
     for side, name in ((left, "old"), (right, "new")):
-        pairs = pairs.join(side.select(F.col("uid").alias(f"{name}_uid"), *(F.col(c).alias(f"{name}_{c}") for c in ("kinds", "identifiers", "nodes"))), f"{name}_uid")
+        pairs = pairs.join(_large(side.select(F.col("uid").alias(f"{name}_uid"), *(F.col(c).alias(f"{name}_{c}") for c in ("kinds", "identifiers", "nodes")))), f"{name}_uid")
     alike = shared_nodes(F.col("old_kinds"), F.col("new_kinds")) >= similarity * F.greatest("old_nodes", "new_nodes") - 1e-9
     found = pairs.filter(alike).withColumn("identifier_overlap", jaccard(F.col("old_identifiers"), F.col("new_identifiers")))
     return found.filter(F.col("identifier_overlap") >= overlap).select("old_uid", "new_uid", "identifier_overlap")
@@ -110,7 +115,7 @@ def candidate_pairs(gone: DataFrame, fresh: DataFrame, shape: float = 0.5, simil
     near = near_pairs(gone, fresh, shape, similarity, overlap)
     old = gone.select(F.col("uid").alias("old_uid"), *COMMIT, "parent_commit", "seq", "message", "msg_keywords", F.col("path").alias("file_before"), F.col("f").dropFields("kinds").alias("old"))
     new = fresh.select(F.col("uid").alias("new_uid"), F.col("path").alias("file"), F.col("f").dropFields("kinds").alias("new"))
-    sources = near.join(old, "old_uid").join(new, "new_uid").withColumns({"one": F.col("old.source"), "two": F.col("new.source")}).drop("old_uid", "new_uid")
+    sources = near.join(_large(old), "old_uid").join(_large(new), "new_uid").withColumns({"one": F.col("old.source"), "two": F.col("new.source")}).drop("old_uid", "new_uid")
     scored = with_kernel(sources, "similarity", partial(kernels.tree_similarity_from, least=similarity), "double", "one", "two").drop("one", "two")
     return scored.filter(F.col("similarity") >= similarity)
 

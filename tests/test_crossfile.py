@@ -88,6 +88,16 @@ def test_functions_that_stay_are_not_measured(monkeypatch):
     assert len(crossfile._side(text, text, "a.py", "b.py")["after"]) == 2
 
 
+def test_code_is_not_sent_to_every_task(spark):
+    text = "def {}(a):\n" + "    a = a + 1\n" * 20 + "    return a\n"
+    rows = [("r", str(k), None, k, "move", ["move"], *paths, *sides) for k in range(20) for paths, sides in ((("old.py", None, "old.py"), (text.format("f"), None)), ((None, "new.py", "new.py"), (None, text.format("g"))))]
+    schema = "repo string, commit_hash string, parent_commit string, seq long, message string, msg_keywords array<string>, old_path string, new_path string, file string, before string, after string"
+    found = crossfile.moved_functions(spark.createDataFrame(rows, schema))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert sorted((r.seq, r.old.qualname, r.new.qualname) for r in found.collect()) == [(k, "g", "g") for k in range(20)]
+
+
 def test_a_wide_scan_is_not_shuffled_before_a_kernel(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     files = spark.range(40 * cores).selectExpr("concat(id, '.py') as path", "concat('def f', id, '(a):\n    return 5') as text")

@@ -126,6 +126,38 @@ def test_total(text):
     assert kernels.both_sides(text, text)["before"] == kernels.both_sides(text, text)["after"]
 
 
+def test_code_that_comes_again_under_other_names_is_parsed_once(monkeypatch):
+    parsed, whole = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda x: parsed.append(x) or whole(x))
+    texts = ["\n\n".join(f"def {name}_{k}(a, b={k % 3}):\n    once_{k % 3} = a\n    return b\n" for name in ("f", "g")) for k in range(60)]
+    found = [kernels.functions_of(t)["functions"] for t in texts]
+    assert 0 < len(parsed) < 20
+    assert [[(f["name"], f["lineno"], f["dead"][0]["lineno"], f["source"].split("(")[0]) for f in fs] for fs in found] == [[(f"f_{k}", 1, 2, f"def f_{k}"), (f"g_{k}", 6, 2, f"def g_{k}")] for k in range(60)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "@a(\n    1)\ndef f(x):\n    return x\n@b\ndef f(y): return y\n",
+        "def if(a):\n    return 1\ndef g(): pass\n",
+        "x = '''\ndef f(a):\n    return 3\n'''\ndef g(a): return 4  \n\n",
+        "if x:\n    pass\ndef f(): return 1\nelse:\n    pass\n",
+        "def f(a):\n  return a\nasync\tdef g(b):\n  return b\nclass C:\n  def m(self): return 12\ndef f(c): return c or 3if c else 4\n",
+        "def f():\n    a = 1\x0c\n    return 7\r\ndef g(): return 8\r",
+        "def __debug__(a): return a\ndef __a(b): return 5\n",
+    ],
+)
+@pytest.mark.parametrize("dedent", [False, True])
+def test_parts_of_a_module_are_those_of_the_whole(monkeypatch, text, dedent):
+    found = kernels.functions_of(text, dedent)
+    monkeypatch.setattr(kernels, "ODD_LINES", kernels.re.compile(""))
+    monkeypatch.setattr(kernels, "plain_size", lambda source: None)
+    for kept in (kernels.parse, kernels._definitions, kernels._measured):
+        monkeypatch.setattr(kernels, kept.__name__, kept.__wrapped__)
+    monkeypatch.setattr(kernels, "unnamed", lambda source: (source, None))
+    assert found == kernels.functions_of(text, dedent)
+
+
 def test_the_last_definition_counts():
     before, after = "def f():\n    return 5\ndef f():\n    return 6\n", "def f():\n    return 5\n"
     sides = kernels.both_sides(before, after)
