@@ -1,4 +1,4 @@
-"""The derived commits as bare git repositories, so that the git source has something to read: packs without deltas, one for each repository and task."""
+"""The derived commits as bare git repositories, so that the git source has something to read: packs with deltas of trees, one for each repository and task."""
 
 from __future__ import annotations
 
@@ -19,6 +19,48 @@ from codequarry.sources.scratch import new_path
 WHO = "Some One <some@one>"
 
 
+#: So many deltas follow each other before an object is whole again.
+CHAIN = 31
+
+
+def _length(n: int) -> bytes:
+    """A size as deltas have it: seven bits a byte, the lowest first."""
+    out = []
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _copy(at: int, n: int) -> bytes:
+    """Instructions that copy ``n`` bytes of the base from ``at`` on."""
+    out = b""
+    while n:
+        some = min(n, 0xFFFF)
+        parts = [(1 << k, at >> 8 * k & 255) for k in range(4)] + [(16 << k, some >> 8 * k & 255) for k in range(2)]
+        out += bytes([128 | sum(bit for bit, byte in parts if byte), *(byte for _, byte in parts if byte)])
+        at, n = at + some, n - some
+    return out
+
+
+def _shared(one: bytes, two: bytes) -> int:
+    """How many bytes both begin with."""
+    low, high = 0, min(len(one), len(two))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if one[:middle] == two[:middle] else (low, middle - 1)
+    return low
+
+
+def delta(base: bytes, content: bytes) -> bytes:
+    """Git's instructions that make ``content`` of ``base``: what both begin and end with is copied."""
+    head = _shared(base, content)
+    tail = _shared(base[head:][::-1], content[head:][::-1])
+    middle = content[head : len(content) - tail]
+    put = b"".join(bytes([len(x)]) + x for x in (middle[k : k + 127] for k in range(0, len(middle), 127)))
+    return _length(len(base)) + _length(len(content)) + _copy(0, head) + put + _copy(len(base) - tail, tail)
+
+
 class _Pack:
     """Objects of one task and repository; blobs and trees that come again are written once."""
 
@@ -26,18 +68,34 @@ class _Pack:
         os.makedirs(f"{git}/objects/pack", exist_ok=True)
         os.makedirs(f"{git}/refs/heads", exist_ok=True)
         self.git, self.fresh, self.places = git, f"{git}/objects/pack/unfinished-{uuid.uuid4().hex}", {}
+        #: The last object of a series, and how many deltas it takes.
+        self._last: dict[str, tuple[bytes, bytes, int]] = {}
         self._file = open(self.fresh, "w+b")  # noqa: SIM115
         self._file.write(b"PACK" + (2).to_bytes(4, "big") + bytes(4))
 
-    def add(self, kind: str, content: bytes) -> bytes:
+    def add(self, kind: str, content: bytes, series: str | None = None) -> bytes:
+        """The object's name. Of a ``series``, whose objects differ little from the one before, most are written as deltas."""
         name = hashlib.sha1(f"{kind} {len(content)}\0".encode() + content).digest()
         if name not in self.places:
-            size, head = len(content) >> 4, [{"commit": 1, "tree": 2, "blob": 3}[kind] << 4 | len(content) & 15]
+            base, before, chain = self._last.get(series, (None, b"", CHAIN))
+            number, written, distance = {"commit": 1, "tree": 2, "blob": 3}[kind], content, b""
+            if series is not None and chain < CHAIN:
+                number, written, chain = 6, delta(before, content), chain + 1
+                far = self._file.tell() - self.places[base][0]
+                distance = bytes([far & 127])
+                while far := far >> 7:
+                    far -= 1
+                    distance = bytes([far & 127 | 128]) + distance
+            else:
+                chain = 0
+            if series is not None:
+                self._last[series] = name, content, chain
+            size, head = len(written) >> 4, [number << 4 | len(written) & 15]
             while size:
                 head[-1] |= 128
                 head.append(size & 127)
                 size >>= 7
-            entry = bytes(head) + zlib.compress(content, 1)
+            entry = bytes(head) + distance + zlib.compress(written, 1)
             self.places[name] = self._file.tell(), zlib.crc32(entry)
             self._file.write(entry)
         return name
@@ -76,7 +134,7 @@ def _tree(pack: _Pack, files: dict[str, bytes]) -> bytes:
     for path, blob in files.items():
         folder, name = path.split("/")
         folders.setdefault(folder, []).append((name.encode(), blob))
-    rows = [(folder.encode(), pack.add("tree", b"".join(b"100644 " + n + b"\0" + blob for n, blob in sorted(rows)))) for folder, rows in folders.items()]
+    rows = [(folder.encode(), pack.add("tree", b"".join(b"100644 " + n + b"\0" + blob for n, blob in sorted(rows)), series=folder)) for folder, rows in folders.items()]
     return pack.add("tree", b"".join(b"40000 " + n + b"\0" + t for n, t in sorted(rows)))
 
 

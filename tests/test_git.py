@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 import shutil
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.operators import mining
+from codequarry.plans import git_corpus
 from codequarry.sources import git as source
 
 pytestmark = pytest.mark.skipif(shutil.which("git") is None, reason="repositories are made with git")
@@ -215,3 +217,19 @@ def test_git_is_mined_like_its_snapshot(spark, refactorings, tmp_path, options,
     assert sorted(map(tuple, pairs), key=repr) == sorted(map(tuple, mining.mine(snapshot, options).collect()), key=repr)
     assert {smell: sum(p.smell_type == smell for p in pairs) for smell in n} == n
     assert {p.file for p in pairs if p.smell_type == "R1"} == {"short.py"}
+
+
+@pytest.mark.parametrize("case", [(b"", b"x" * 300), (b"a" * 70_000 + b"1" + b"b" * 9, b"a" * 70_000 + b"22" + b"b" * 9), (b"abc", b"abc"), (b"abcd", b""), (b"aaa", b"aaaaa")])
+def test_deltas_are_what_the_source_reads(case):
+    assert source._patched(case[0], git_corpus.delta(*case)) == case[1]
+
+
+def test_trees_that_differ_little_are_written_as_deltas(tmp_path):
+    pack, names = git_corpus._Pack(str(tmp_path / "r.git")), []
+    trees = [b"".join(b"100644 m_%d.py\0" % k + hashlib.sha1(b"%d" % (k if k != n % 40 else n)).digest() for k in range(40)) for n in range(200)]
+    names = [pack.add("tree", tree, series="pkg") for tree in trees]
+    pack.close("refs/heads/main", names[-1])
+    (packed,) = (tmp_path / "r.git/objects/pack").glob("*.pack")
+    assert packed.stat().st_size < sum(map(len, trees)) / 8
+    shown = subprocess.run(["git", "--git-dir", str(tmp_path / "r.git"), "verify-pack", "-v", str(packed)], capture_output=True, text=True, check=True).stdout
+    assert {n.hex() for n in names} <= set(shown.split())
