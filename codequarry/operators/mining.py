@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import kernels
-from codequarry.functions.columns import SMELLS, is_bot, is_test_path, magnitude, matched_keywords, mentions_test, pair_id, stripped
+from codequarry.functions.columns import SMELLS, has_keyword, is_bot, is_test_path, magnitude, matched_keywords, mentions_test, pair_id, stripped
 from codequarry.functions.rowwise import with_kernel
 from codequarry.operators.crossfile import moved_functions
 from codequarry.operators.detect import DEFAULT, Thresholds, has_smell
@@ -108,9 +108,9 @@ def commits(changes: DataFrame, options: Options = Options(), only: DataFrame |
     if only is not None:
         key = [c for c in ("repo", "commit_hash") if c in only.columns]
         rows = rows.join(only.select(*key).distinct(), key, "left_semi")
-    rows = rows.withColumn("msg_keywords", matched_keywords("message"))
     if options.require_keyword:
-        rows = rows.filter(F.size("msg_keywords") > 0)
+        rows = rows.filter(has_keyword("message"))
+    rows = rows.withColumn("msg_keywords", matched_keywords("message"))
     if options.max_commits is not None:
         rows = rows.join(first_commits(rows, options.max_commits), ["repo", "commit_hash"], "left_semi")
     return rows

@@ -164,6 +164,13 @@ def test_the_last_definition_counts():
     assert [f["shadowed"] for f in sides["before"]] == [True, False] and sides["after"][0]["parses"]
 
 
+def test_functions_that_are_the_same_on_both_sides_are_left_out():
+    kept = "def kept(a):\n    return a\n"
+    sides = kernels.both_sides(f"{kept}def f():\n    return 5\n", f"def g():\n    return 7\n{kept}def f():\n    return 6\n")
+    assert [[f["qualname"] for f in sides[s]] for s in ("before", "after")] == [["f"], ["g", "f"]]
+    assert [f["magic"][0]["literal"] for f in sides["after"]] == ["7", "6"]
+
+
 def test_similarity():
     a = "def f(a):\n    b = a + 1\n    return b"
     assert kernels.tree_similarity(a, a.replace("b", "other")) == 1.0

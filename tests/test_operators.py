@@ -14,10 +14,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry import cli
-from codequarry.functions import registry
+from codequarry.functions import columns, registry
 from codequarry.functions.columns import smell_code, stripped
 from codequarry.functions.rowwise import with_kernel
 from codequarry.operators import crossfile, detect, mining, quality, review, sample
+from codequarry.plans import corpus
 from codequarry.sources import readers, sinks
 from codequarry.sources.scratch import stage
 from codequarry.streaming import incremental, judging
@@ -630,3 +631,11 @@ def test_mine_from_git_by_command_and_compact(spark, tmp_path, capsys):
     assert cli.main(["compact", out, "--vacuum-hours", "0"], spark) == 0 and "2 folders deleted" in capsys.readouterr().out
     assert sinks.PairTable(spark, out).read().count() == 1
     assert cli.main(["mine", repos, "--git", "--by-rule", "--cap", "3", "--out", out], spark) == 2 and "--cap" in capsys.readouterr().err
+
+
+def test_orders_as_commits_meet_their_lines_without_the_driver_and_keywords_are_searched_once(spark, small):
+    rows = mining.commits(corpus.modified_files(spark, small))
+    plan = rows.select("seq", "before")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [o_orderkey" in plan and "BroadcastHashJoin [o_orderkey" not in plan and "lambdafunction" not in plan
+    texts = spark.createDataFrame([("Clean  up",), ("CLEAN UP",), (None,), ("a magic numbers",), ("",)], "m string")
+    assert [(r.a, r.b) for r in texts.select(columns.has_keyword("m").alias("a"), (F.size(columns.matched_keywords("m")) > 0).alias("b")).collect()] == [(x, x) for x in (False, True, False, True, False)]
