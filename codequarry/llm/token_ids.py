@@ -28,6 +28,9 @@ _WORKER: dict[str, UnitEncoder] = {}
 #: Bytes that each of the four ids of a control byte takes.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
+#: Bytes of ids that are packed or unpacked at once.
+PACKED_BYTES = 1 << 20
+
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """``control`` and ``data`` of a document."""
@@ -52,6 +55,38 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
+def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes of each document, and the place of each id among the codes of all, four a control byte."""
+    groups = -(-counts // 4)
+    skipped = 4 * (np.cumsum(groups) - groups) - (np.cumsum(counts) - counts)
+    return groups, np.arange(int(counts.sum())) + np.repeat(skipped, counts)
+
+
+def pack_all(ranks: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """``pack`` of many documents at once: their ranks in a row, ``counts`` of each."""
+    ranks = np.ascontiguousarray(ranks, "<u4")
+    used = (ranks >= 1 << 8).view(np.uint8) + (ranks >= 1 << 16).view(np.uint8) + (ranks >= 1 << 24).view(np.uint8)
+    groups, places = _places(counts)
+    codes = np.zeros(4 * int(groups.sum()), np.uint8)
+    codes[places] = used
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= used[:, None]]
+    ends = np.concatenate([[0], np.cumsum(used, dtype=np.int64) + np.arange(1, len(used) + 1)])[np.concatenate([[0], np.cumsum(counts)])]
+    return binary_column(control, groups), binary_column(data, np.diff(ends))
+
+
+def unpack_all(control: pa.Array, data: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """The ranks of many documents in a row."""
+    used = LENGTHS[np.frombuffer(b"".join(control.to_pylist()), np.uint8)].ravel()[_places(counts)[1]]
+    start = np.cumsum(used) - used
+    raw = np.frombuffer(b"".join(data.to_pylist()) + bytes(3), np.uint8)
+    ranks = raw[start].astype(np.uint32)
+    for k in range(1, int(used.max(initial=1))):
+        more = np.flatnonzero(used > k)
+        ranks[more] |= raw[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return ranks
+
+
 def _unit_encoder(path: str) -> UnitEncoder:
     if path not in _WORKER:
         import os
@@ -149,9 +184,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = [pack(rank_of[np.frombuffer(x.as_py(), kind)]) for x in batch.column("ids")]
-            same = [batch.column(c) for c in ("doc_id", "shard", "shard_start", "n_tokens")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["doc_id", "shard", "shard_start", "n_tokens", "control", "data"])
+            done = 0
+            for ids in slices(batch.column("ids"), PACKED_BYTES):
+                same = [batch.column(c).slice(done, len(ids)) for c in ("doc_id", "shard", "shard_start", "n_tokens")]
+                coded = pack_all(rank_of[np.frombuffer(b"".join(ids.to_pylist()), kind)], same[-1].to_numpy())
+                yield pa.RecordBatch.from_arrays([*same, *coded], ["doc_id", "shard", "shard_start", "n_tokens", "control", "data"])
+                done += len(ids)
 
     packed = tokens.mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, control binary, data binary")
     write_once(packed.sortWithinPartitions("shard", "shard_start"), f"{out}/tokens", "shard")
@@ -168,9 +206,13 @@ def read_token_files(spark, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = zip(batch.column("control"), batch.column("data"), batch.column("n_tokens").to_pylist(), strict=True)
-            ids = [by_rank[unpack(c.as_py(), d.as_py(), n)].tobytes() for c, d, n in cells]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), batch.column("shard_start"), batch.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+            done = 0
+            for data in slices(batch.column("data"), PACKED_BYTES):
+                same = [batch.column(c).slice(done, len(data)) for c in ("doc_id", "shard", "shard_start", "n_tokens")]
+                counts = same[-1].to_numpy()
+                ids = by_rank[unpack_all(batch.column("control").slice(done, len(data)), data, counts)]
+                yield pa.RecordBatch.from_arrays([*same, binary_column(ids, counts)], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+                done += len(data)
 
     decoded = files.select("doc_id", "shard", "shard_start", "n_tokens", "control", "data").mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids binary")
     return decoded.join(F.broadcast(shards), "shard").select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids")

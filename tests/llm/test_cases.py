@@ -212,6 +212,15 @@ def test_codes_come_back(ranks):
     assert token_ids.unpack(control, data, len(ranks)).tolist() == ranks
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=20))
+def test_codes_of_many_documents_are_those_of_each(docs):
+    flat, counts = np.array([x for d in docs for x in d], "<u4"), np.array([len(d) for d in docs], np.int64)
+    control, data = token_ids.pack_all(flat, counts)
+    assert list(zip(control.to_pylist(), data.to_pylist())) == [token_ids.pack(np.array(d, "<u4")) for d in docs]
+    assert token_ids.unpack_all(control, data, counts).tolist() == flat.tolist()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=3000))
 def test_media_come_back(raw):
