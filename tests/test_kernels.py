@@ -287,3 +287,21 @@ def test_similarity_from_a_bound_is_the_similarity():
 def test_line_changes():
     ops = kernels.line_changes("a\nb\nc", "a\nx\nc\nd")
     assert [(o["tag"], o["i1"], o["i2"], o["j1"], o["j2"]) for o in ops] == [("equal", 0, 1, 0, 1), ("replace", 1, 2, 1, 2), ("equal", 2, 3, 2, 3), ("insert", 3, 3, 3, 4)]
+
+
+def test_classes_that_differ_by_names_are_parsed_once(monkeypatch):
+    code = "class {}(Base):\n    def {}(self, a):\n        return a + 41\n\n    def other(self):\n        return {}\n"
+    kernels.functions_of(code.format("A1", "m1", "self"))
+    parsed = []
+    monkeypatch.setattr(kernels, "parse", lambda text: parsed.append(text) or (None, "parsed again"))
+    found = kernels.functions_of(code.format("A2", "m2", "self"))["functions"]
+    assert [(f["qualname"], f["name"], f["owner_class"], f["source"].split("(")[0]) for f in found] == [("A2.m2", "m2", "A2", "    def m2"), ("A2.other", "other", "A2", "    def other")]
+    assert not parsed
+
+
+def test_pairs_that_differ_by_names_are_compared_once(monkeypatch):
+    before, after = "def {}(a):\n    b = a + 43\n    return b", "@d\ndef {}(a):\n    return a + 43"
+    first = kernels.gate(before.format("f"), after.format("f"))
+    monkeypatch.setattr(kernels, "parse", None)
+    assert kernels.gate(before.format("g"), after.format("g")) == first
+    assert first[:2] == (True, True) and 0 < first[2] < 1
