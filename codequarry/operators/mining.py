@@ -6,7 +6,7 @@ Both versions of a file come in one row, so parsing and pairing need no shuffle;
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -53,14 +53,9 @@ RULE_QUERIES = {
 
 def _says(queries: list[str]) -> Column:
     """Whether a message has all words of some query, without regard to case."""
-    low = F.lower(F.coalesce("message", F.lit("")))
-    hit = F.lit(False)
-    for query in queries:
-        every = F.lit(True)
-        for word in query.lower().split():
-            every = every & F.contains(low, F.lit(word))
-        hit = hit | every
-    return hit
+    # One expression: filters also reach tables that are joined by the key they are made of, where each use of the message would make it again.
+    each = ["".join(rf"(?=.*\Q{word}\E)" for word in query.lower().split()) for query in queries]
+    return F.lower(F.coalesce("message", F.lit(""))).rlike(rf"(?s)\A(?:{'|'.join(each)})") if each else F.lit(False)
 
 
 def searched(changes: DataFrame, queries: list[str]) -> DataFrame:
@@ -233,12 +228,56 @@ def capped(pairs: DataFrame, caps: dict[str, int], all_smells: bool = False) ->
 def mine(changes: DataFrame, options: Options = Options(), only: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
     """Verified pairs of the commits in ``changes``."""
     rows = commits(changes, options, only, windows)
+    if not options.caps:
+        return first_of_each_id(_pairs(rows, options))
+    return capped(_pairs_until_full(rows, options), options.caps, all_smells=True)
+
+
+def _pairs(rows: DataFrame, options: Options) -> DataFrame:
     pairs = verified(candidates(rows.filter(~is_test_path("file"))), options)
     if options.cross_file is not None:
         moved = moved_functions(rows, similarity=options.cross_file, overlap=options.identifier_overlap)
         again = verified(moved, Options(partial_threshold=options.partial_threshold, source="cross_file", thresholds=options.thresholds))
         pairs = pairs.unionByName(again)
-    return capped(pairs, options.caps, all_smells=True) if options.caps else first_of_each_id(pairs)
+    return pairs
+
+
+#: Commits of a repository that are looked at first if there are caps, and how many times as many come next.
+FIRST, TIMES = 256, 16
+
+
+def _pairs_until_full(rows: DataFrame, options: Options) -> DataFrame:
+    """Pairs of each repository's commits in order of ``seq``, all of them or up to one by which every capped smell is full: later ones can't be among those that caps keep.
+
+    Some commits of every repository are looked at, then more of those that aren't full, so a repository that never is full is read to its end.
+    """
+    at = F.coalesce(F.col("seq").cast("long"), F.lit(-1 << 63))
+    order = stage(rows.select("repo", at.alias("at")).distinct(), "commit-order")
+    wanted = {s: n for s, n in options.caps.items() if n > 0}
+    limit = F.element_at(F.create_map(*[F.lit(x) for item in wanted.items() for x in item]), F.col("smell_type")) if wanted else F.lit(None).cast("int")
+    # A cap of none is never reached, so smells without a cap are read to the end beside it.
+    stops = len(wanted) == len(options.caps) or len(options.caps) == len(SMELLS)
+    left, n, found = order.select("repo", F.lit(None).cast("long").alias("low")).distinct(), FIRST, None
+    while True:
+        mine = left.select(F.col("repo").alias("__repo"), "low")
+        ahead = order.join(mine, F.col("repo").eqNullSafe(F.col("__repo"))).filter("low is null or at > low")
+        first = Window.partitionBy("repo").orderBy("at")
+        next_ones = ahead.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= n)
+        parts = stage(next_ones.groupBy(F.col("repo").alias("__repo")).agg(F.first("low").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")), "commit-parts")
+        top = parts.agg(F.max("high")).first()[0]
+        if top is None:
+            break
+        some = rows.filter(F.col("seq").isNull() | (F.col("seq") <= top)).join(parts.select("__repo", F.col("low").alias("__low"), F.col("high").alias("__high")), F.col("repo").eqNullSafe(F.col("__repo")))
+        new = stage(_pairs(some.filter((at <= F.col("__high")) & (F.col("__low").isNull() | (at > F.col("__low")))).select(*rows.columns), options), "pairs")
+        found = new if found is None else found.unionByName(new)
+        counted = found.groupBy("repo", "smell_type").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= limit)
+        full = counted.groupBy("repo").agg(F.count("*").alias("smells")).filter((F.col("smells") == len(wanted)) & F.lit(stops)).select("repo")
+        more = parts.filter(F.col("n") == n).select(F.col("__repo").alias("repo"), F.col("high").alias("low"))
+        left = stage(more.join(full.withColumnRenamed("repo", "__repo"), F.col("repo").eqNullSafe(F.col("__repo")), "left_anti"), "commits-left")
+        release(parts)
+        n *= TIMES
+    release(order, left)
+    return _pairs(rows.filter(F.lit(False)), options) if found is None else found
 
 
 def mine_by_rule(changes: DataFrame, queries: dict[str, list[str]] = RULE_QUERIES, options: Options = BY_RULE, only: DataFrame | None = None) -> DataFrame:
@@ -313,7 +352,11 @@ def in_waves(changes: DataFrame, merge: Callable[[DataFrame], object], caps: dic
     while left and any(total[s] < caps[s] for s in SMELLS):
         after = names if last is None else names.filter(F.col("repo") > F.lit(last))
         some = [r.repo for r in after.orderBy("repo").limit(wave).collect()]
-        pairs = stage(mine(changes.filter(F.col("repo").isin(some)), options, windows=windows), "wave")
+        # No repository may give more than what is lacking before the wave.
+        first = Window.partitionBy("repo", "smell_type").orderBy("seq", "id")
+        lacking = {s: max(0, caps[s] - total[s]) for s in SMELLS}
+        mined = mine(changes.filter(F.col("repo").isin(some)), options if options.caps else replace(options, caps=lacking), windows=windows)
+        pairs = stage(mined.withColumn("place", F.row_number().over(first)), "wave")
         available = {(r.repo, r.smell_type): r.n for r in pairs.groupBy("repo", "smell_type").agg(F.count("*").alias("n")).collect()}
         shares = []
         for repo in some:
@@ -322,10 +365,9 @@ def in_waves(changes: DataFrame, merge: Callable[[DataFrame], object], caps: dic
                 shares.append((repo, smell, share))
                 total[smell] += min(share, available.get((repo, smell), 0))
             left -= 1
-        first = Window.partitionBy("repo", "smell_type").orderBy("seq", "id")
         allowed = spark.createDataFrame(shares, "repo string, smell_type string, share long")
-        kept = pairs.withColumn("place", F.row_number().over(first)).join(F.broadcast(allowed), ["repo", "smell_type"]).filter(F.col("place") <= F.col("share"))
-        merge(kept.select(*pairs.columns))
+        kept = pairs.join(F.broadcast(allowed), ["repo", "smell_type"]).filter(F.col("place") <= F.col("share"))
+        merge(kept.select(*(c for c in pairs.columns if c != "place")))
         release(pairs)
         last = some[-1]
         yield dict(total)

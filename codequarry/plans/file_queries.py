@@ -140,7 +140,8 @@ _WANTED = {"R1": 3, "R2": 10, "R3": 12, "R4": 8, "R5": 14}
 def mine_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four repositories at a time, by name, until each smell has its cap; those after that aren't mined."""
     out = sinks.PairTable(spark, new_path(spark, "waves"))
-    *_, _ = mining.in_waves(scratch.stage(corpus.modified_files(spark, sf_dir), "changes"), out.merge, _WANTED, wave=4)
+    # What no wave looks at isn't written.
+    *_, _ = mining.in_waves(scratch.stage(mining.commits(corpus.modified_files(spark, sf_dir)), "changes"), out.merge, _WANTED, wave=4)
     # Pairs of one commit are in the order of their ids, which SQL doesn't have: how many of each are taken, it knows.
     return out.read().groupBy("repo", "seq", "smell_type").agg(F.count("*").alias("n"))
 

@@ -639,3 +639,28 @@ def test_orders_as_commits_meet_their_lines_without_the_driver_and_keywords_are_
     assert "ShuffledHashJoin [o_orderkey" in plan and "BroadcastHashJoin [o_orderkey" not in plan and "lambdafunction" not in plan
     texts = spark.createDataFrame([("Clean  up",), ("CLEAN UP",), (None,), ("a magic numbers",), ("",)], "m string")
     assert [(r.a, r.b) for r in texts.select(columns.has_keyword("m").alias("a"), (F.size(columns.matched_keywords("m")) > 0).alias("b")).collect()] == [(x, x) for x in (False, True, False, True, False)]
+
+
+def test_caps_end_the_reading_of_a_repository(spark, monkeypatch):
+    """Repositories are read in parts, up to one that fills all caps; pairs are those of a whole search."""
+    old, new = "def f(a, b, c, d, e, g):\n    return a + {}", "def f(a, o):\n    return a + {}"
+    rows = [(f"r{k % 3}", f"c{k:03}", None, k, "refactor", None, False, "m.py", "m.py", old.format(k), new.format(k)) for k in range(30) if k % 3 or k > 25]
+    changes = spark.createDataFrame(rows, "repo string, commit_hash string, parent_commit string, seq long, message string, committed_at timestamp, is_merge boolean, old_path string, new_path string, before string, after string")
+    whole = stage(mining.mine(changes), "whole")
+    looked_at = []
+    seen = mining.candidates
+    monkeypatch.setattr(mining, "candidates", lambda rows: looked_at.append(rows.count()) or seen(rows))
+    monkeypatch.setattr(mining, "FIRST", 4)
+    for caps, n in (({"R2": 3}, 4 + 4 + 1), ({"R2": 3, "R4": 0}, len(rows))):
+        looked_at.clear()
+        got = sorted(r.id for r in mining.mine(changes, mining.Options(caps=caps)).select("id").collect())
+        assert got == sorted(r.id for r in mining.capped(whole, caps, all_smells=True).select("id").collect())
+        assert sum(looked_at) == n
+
+
+def test_searches_look_at_a_message_once(spark):
+    rows = spark.createDataFrame([("PLR0913 by a\nDataclass",), ("plr0913",), (None,)], "message string")
+    found = mining.searched(rows, ["PLR0913 dataclass", "R0913 x.y"])
+    assert [r.message for r in found.collect()] == ["PLR0913 by a\nDataclass"]
+    assert found._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    assert mining.searched(rows, []).count() == 0 and mining.searched(rows, [""]).count() == 3
