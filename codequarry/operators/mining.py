@@ -264,11 +264,14 @@ def _pairs_until_full(rows: DataFrame, options: Options) -> DataFrame:
         first = Window.partitionBy("repo").orderBy("at")
         next_ones = ahead.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= n)
         parts = stage(next_ones.groupBy(F.col("repo").alias("__repo")).agg(F.first("low").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")), "commit-parts")
-        top = parts.agg(F.max("high")).first()[0]
+        top, longest = parts.agg(F.max("high"), F.max("n")).first()
         if top is None:
             break
         some = rows.filter(F.col("seq").isNull() | (F.col("seq") <= top)).join(parts.select("__repo", F.col("low").alias("__low"), F.col("high").alias("__high")), F.col("repo").eqNullSafe(F.col("__repo")))
-        new = stage(_pairs(some.filter((at <= F.col("__high")) & (F.col("__low").isNull() | (at > F.col("__low")))).select(*rows.columns), options), "pairs")
+        new = _pairs(some.filter((at <= F.col("__high")) & (F.col("__low").isNull() | (at > F.col("__low")))).select(*rows.columns), options)
+        if longest < n:  # no repository has commits behind these
+            return new if found is None else found.unionByName(new)
+        new = stage(new, "pairs")
         found = new if found is None else found.unionByName(new)
         counted = found.groupBy("repo", "smell_type").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= limit)
         full = counted.groupBy("repo").agg(F.count("*").alias("smells")).filter((F.col("smells") == len(wanted)) & F.lit(stops)).select("repo")
