@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from codequarry.functions import kernels
 from codequarry.functions.columns import SMELLS, magnitude, smell_code
@@ -28,19 +29,25 @@ DEFAULT = Thresholds()
 CANDIDATE = Thresholds(lines=75, ccn=25, statements=35, params=6, depth=4)
 
 
-def parsed(files: DataFrame, dedent: bool = False) -> DataFrame:
-    """``files`` (with ``path`` and ``text``) with ``error`` and ``functions``; the text isn't carried on."""
+#: What detectors and their findings read of a function.
+FOUND = ("qualname", "lineno", "end_lineno", "params", "nloc", "ccn", "n_statements", "max_depth", "magic", "dead")
+
+
+def parsed(files: DataFrame, dedent: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``files`` (with ``path`` and ``text``) with ``error`` and ``functions``, of which ``only`` these fields leave Python, if given; the text isn't carried on."""
+    fields = StructType.fromDDL(kernels.FUNCTION)
+    result = StructType([StructField("error", StringType()), StructField("functions", ArrayType(StructType([f for f in fields if only is None or f.name in only])))])
 
     def kernel(text: str | None) -> dict:
         return kernels.functions_of(text, dedent)
 
-    out = with_kernel(files.select("path", "text"), "parsed", kernel, f"struct<{kernels.PARSED}>", "text")
+    out = with_kernel(files.select("path", "text"), "parsed", kernel, result.simpleString(), "text", without=("text",))
     return out.select("path", "parsed.error", "parsed.functions")
 
 
-def functions(files: DataFrame, dedent: bool = False) -> DataFrame:
+def functions(files: DataFrame, dedent: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each function and method of the files that parse."""
-    return parsed(files, dedent).select("path", F.inline("functions"))
+    return parsed(files, dedent, only).select("path", F.inline("functions"))
 
 
 def parse_errors(parsed_files: DataFrame) -> DataFrame:
@@ -137,7 +144,7 @@ def counts_by_smell(found: DataFrame, smells: list[str] | None = None) -> DataFr
 
 def scan_totals(files: DataFrame, thresholds: Thresholds = DEFAULT) -> DataFrame:
     """One row: files, files that don't parse, functions, findings, and functions and files with any. One aggregation, no explode."""
-    rows = parsed(files).withColumn("hits", F.transform("functions", lambda f: _hits(f, thresholds)))
+    rows = parsed(files, only=FOUND).withColumn("hits", F.transform("functions", lambda f: _hits(f, thresholds)))
     some = F.size(F.filter("hits", lambda h: h > 0))
     return rows.agg(
         F.count("*").alias("files"),
@@ -166,7 +173,7 @@ def sweep(found: DataFrame, grid: dict[str, Thresholds]) -> DataFrame:
 
 def report(files: DataFrame, smells: list[str] | None = None, thresholds: Thresholds = DEFAULT) -> DataFrame:
     """``report_of`` for files that aren't parsed yet."""
-    return report_of(parsed(files), smells, thresholds)
+    return report_of(parsed(files, only=FOUND), smells, thresholds)
 
 
 def report_of(parsed_files: DataFrame, smells: list[str] | None = None, thresholds: Thresholds = DEFAULT) -> DataFrame:

@@ -66,7 +66,7 @@ def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.findings(detect.functions(corpus.part_files(spark, sf_dir))).select("path", "qualname", "smell", "evidence")
+    return detect.findings(detect.functions(corpus.part_files(spark, sf_dir), only=detect.FOUND)).select("path", "qualname", "smell", "evidence")
 
 
 def rich_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

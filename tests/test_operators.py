@@ -664,3 +664,12 @@ def test_searches_look_at_a_message_once(spark):
     assert [r.message for r in found.collect()] == ["PLR0913 by a\nDataclass"]
     assert found._jdf.queryExecution().analyzed().toString().count("lower(") == 1
     assert mining.searched(rows, []).count() == 0 and mining.searched(rows, [""]).count() == 3
+
+
+def test_only_the_fields_that_are_asked_for_leave_python(spark):
+    files = spark.createDataFrame([("a.py", "def f(a):\n    x = 7\n    y = a * 8\n    return a\n"), ("b.py", "def f(:")], "path string, text string")
+    some = detect.functions(files, only=detect.FOUND)
+    assert set(some.columns) == {"path", *detect.FOUND}
+    assert detect.findings(some).collect() == detect.findings(detect.functions(files)).collect() != []
+    assert detect.parse_errors(detect.parsed(files, only=detect.FOUND)).count() == 1
+    assert with_kernel(files, "n", len, "int", "text", without=("text",)).columns == ["path", "n"]
