@@ -305,3 +305,9 @@ def test_pairs_that_differ_by_names_are_compared_once(monkeypatch):
     monkeypatch.setattr(kernels, "parse", None)
     assert kernels.gate(before.format("g"), after.format("g")) == first
     assert first[:2] == (True, True) and 0 < first[2] < 1
+
+
+def test_identifiers_alone_are_those_of_all_measures():
+    for source in ("def f(a, b=c):\n    x = a.b\n    return x", "async def g():\n    return h.i", "class C:\n    def m(self):\n        return self.x", "x = 1", "def f(:", ""):
+        assert kernels.identifiers(source) == kernels.measure(source).get("identifiers"), source
+    assert kernels.identifiers("def f(a, b=c):\n    x = a.b\n    return x") == ["a", "b", "c", "x"]
