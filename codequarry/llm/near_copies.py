@@ -7,9 +7,10 @@ the radius, and texts with a common variant are candidates. Bits grow with the l
 are compared by all bits, and those left by their exact sets.
 
 For each short fingerprint a text is compared with one other, the first of its groups in an order drawn for that fingerprint, so these pairs grow with the number of texts,
-whatever the sizes of groups. Texts that then share a variant with a text of another component, by a word of further bits, are dealt out anew with all their bits:
-once more each is compared with one of another component, and at last all pairs of different components that are near by all bits are. So every pair of candidates is
-compared, or is in one component already. Equal texts are one node, so their number doesn't matter. Texts without words are copies of each other.
+whatever the sizes of groups. Texts that then share a variant with a text of another component, by a word of further bits, are dealt out anew with all their bits, for the short
+fingerprints in which they do: once more each is compared with one of another component. What is still apart but near by all bits is joined to clusters by a spanning
+forest, and clusters are compared in blocks of ``BLOCK`` texts, two of them at a time, where each text is once. So every pair of candidates is compared, or is in one
+component already. Equal texts are one node, so their number doesn't matter. Texts without words are copies of each other.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ CHECK = 24
 PAIRS = 1 << 18
 #: Shingles that are remembered while pairs are compared.
 KEPT = 1 << 21
+#: Texts, and characters of texts, in a block of a cluster.
+BLOCK, BLOCK_CHARS = 512, 1 << 22
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -189,13 +192,34 @@ def across(rows: np.ndarray, begin: np.ndarray, check: np.ndarray, root: np.ndar
         yield np.concatenate(a), np.concatenate(b)
 
 
+def forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that join trees of ``parent`` (each node's root), which are joined; fewer than there are nodes, over all calls."""
+    one, two = [a[:0]], [b[:0]]
+    while True:
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        apart = np.flatnonzero(low != high)
+        if not len(apart):
+            return np.concatenate(one), np.concatenate(two)
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        roots, first = np.unique(high, return_index=True)
+        parent[roots] = low[first]
+        one.append(a[first])
+        two.append(b[first])
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+
+
 def drawn(fp: np.ndarray, seed: int) -> np.ndarray:
     """An order of texts for each ``seed``."""
     return _mixed(fp.view(np.uint64) ^ _mixed(np.array([seed + 1], np.int64).view(np.uint64) * _BASE))
 
 
 def _words(column: pa.Array) -> np.ndarray:
-    """Numbers, or a row of words for each binary value."""
+    """Numbers, bytes of texts, or a row of words for each binary value."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        out = np.empty(len(column), object)
+        out[:] = column.cast(pa.large_binary()).to_pylist()
+        return out
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
         return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
     return column.to_numpy()
@@ -236,19 +260,24 @@ def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("fp"), *columns], ["fp", "sig", "check", "size"])
 
     def dealt(of: DataFrame, most: int, carried: list[str]) -> tuple[DataFrame, int]:
-        """A row for each short fingerprint and each value that its variants have in the key bits, of which there are enough that a key has ``most`` rows; by key."""
+        """A row for each short fingerprint (of ``bands``, if there are such) and each value that its variants have in the key bits, of which there are enough that a key has ``most`` rows; by key."""
         key_bits = max(0, math.ceil(math.log2(max(1, of.count()) / most)))
         low, flips = np.uint64((1 << key_bits) - 1), np.array([0, *(1 << k for k in range(key_bits))], np.uint64)
-        each = count * len(flips)
+        some = "bands" in of.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, len(batch), 4096):
                     part = batch.slice(at, 4096)
-                    value = bands(_words(part.column("sig")), count, bits)
-                    key = ((value & low)[:, :, None] ^ flips) | (np.arange(count, dtype=np.uint64) << np.uint64(key_bits))[None, :, None]
-                    again = pa.array(np.repeat(np.arange(len(part)), each))
-                    columns = [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(value.ravel(), len(flips)).view(np.int64)), *(part.column(c).take(again) for c in carried)]
+                    n = len(part)
+                    row, band = np.repeat(np.arange(n), count), np.tile(np.arange(count), n)
+                    if some:
+                        listed = part.column("bands")
+                        row, band = np.repeat(np.arange(n), listed.value_lengths().to_numpy()), listed.flatten().to_numpy()
+                    value = bands(_words(part.column("sig")), count, bits)[row, band]
+                    key = ((value & low)[:, None] ^ flips) | (band.astype(np.uint64) << np.uint64(key_bits))[:, None]
+                    again = pa.array(np.repeat(row, len(flips)))
+                    columns = [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(value, len(flips)).view(np.int64)), *(part.column(c).take(again) for c in carried)]
                     yield pa.RecordBatch.from_arrays(columns, ["key", "value", *carried])
 
         schema = ", ".join(["key long", "value long", *(f"{c} {'binary' if c == 'sig' else 'long'}" for c in carried)])
@@ -270,27 +299,56 @@ def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
             some = near(sig[rows], sig[first], size[rows], size[first])
             yield from _distinct(fp[rows[some]], fp[first[some]])
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (value, fp, check, root) in _by_key(batches, ["value", "fp", "check", "root"]):
+    def apart(key_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts, and the short fingerprint in which they met one of another component."""
+        for key, (value, fp, check, root) in _by_key(batches, ["value", "fp", "check", "root"]):
             seen = np.zeros(len(fp), bool)
             for rows, begin in groups(value.view(np.uint64), bits):
                 for i, j in across(rows, begin, check.view(np.uint64), root):
                     seen[i] = seen[j] = True
-            yield pa.RecordBatch.from_arrays([pa.array(fp[seen])], ["fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[seen]), pa.array(np.full(seen.sum(), key >> key_bits))], ["fp", "band"])
 
-    def near_apart(key_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Near pairs of different roots, each at the first short fingerprint that finds it."""
-        for key, (value, fp, check, root, size, sig) in _by_key(batches, ["value", "fp", "check", "root", "size", "sig"]):
+    def near_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A spanning forest of a key's near pairs of different roots."""
+        for _, (value, fp, check, root, size, sig) in _by_key(batches, ["value", "fp", "check", "root", "size", "sig"]):
+            tree = np.arange(len(fp))
             for rows, begin in groups(value.view(np.uint64), bits):
                 for i, j in across(rows, begin, check.view(np.uint64), root):
-                    i, j = np.divmod(np.unique(np.minimum(i, j) * len(fp) + np.maximum(i, j)), len(fp))
                     for at in range(0, len(i), PAIRS // 8):
                         x, y = i[at : at + PAIRS // 8], j[at : at + PAIRS // 8]
-                        some = near(sig[x], sig[y], size[x], size[y])
-                        x, y = x[some], y[some]
-                        found_by = np.bitwise_count(bands(sig[x], count, bits) ^ bands(sig[y], count, bits)) <= RADIUS
-                        own = found_by.argmax(axis=1) == key >> key_bits
-                        yield from _distinct(fp[x[own]], fp[y[own]])
+                        some = (tree[x] != tree[y]).nonzero()[0]
+                        some = some[near(sig[x[some]], sig[y[some]], size[x[some]], size[y[some]])]
+                        x, y = forest(tree, x[some], y[some])
+                        yield from _distinct(fp[x], fp[y])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between two blocks of a cluster, or within one, as far as they join components."""
+        for _, (fp, cluster, own, other, root, check, size, sig, text) in _by_key(batches, ["fp", "cluster", "own", "other", "root", "check", "size", "sig", "text"]):
+            names, tree = np.unique(root, return_inverse=True)
+            parent, sets, room, check = np.arange(len(names)), {}, KEPT, check.view(np.uint64)
+
+            def of(k: int) -> np.ndarray:
+                nonlocal room
+                if (found := sets.get(k)) is None:
+                    found = shingles(text[k], words)
+                    if (room := room - len(found)) > 0:
+                        sets[k] = found
+                return found
+
+            a, b = [], []
+            for at in range(0, len(fp), 64):
+                i = np.arange(at, min(at + 64, len(fp)))[:, None]
+                meet = (root[i] != root) & (np.arange(len(fp)) > i) & (cluster[i] == cluster) & (own[i] == other) & (other[i] == own) & (np.bitwise_count(check[i] ^ check) <= CHECK)
+                x, y = np.nonzero(meet)
+                x += at
+                some = near(sig[x], sig[y], size[x], size[y])
+                for p, q in zip(x[some].tolist(), y[some].tolist(), strict=True):
+                    if parent[tree[p]] != parent[tree[q]] and jaccard(of(p), of(q)) >= similarity:
+                        forest(parent, tree[[p]], tree[[q]])
+                        a.append(p)
+                        b.append(q)
+            if a:
+                yield from _distinct(fp[a], fp[b])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,6 +392,17 @@ def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
         release(whole)
         return found
 
+    def compared(of: DataFrame, edges: DataFrame) -> DataFrame:
+        """Links within the clusters that ``edges`` make: a text comes once for each block of its cluster that its own is compared with."""
+        cluster = stage(components(edges).select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "clusters")
+        whole = stage(of.drop("bands").join(cluster, "fp").join(distinct.join(cluster, "fp", "left_semi"), "fp"), "clustered")
+        sizes = whole.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("long").alias("n"))
+        rows = whole.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("fp"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        keyed = rows.withColumn("key", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))).drop("n")
+        found = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long"), "links")
+        release(cluster, whole)
+        return found
+
     def with_roots(of: DataFrame, edges: DataFrame) -> DataFrame:
         root = components(edges).withColumnRenamed("node", "fp")
         return stage(of.join(root, "fp", "left").select(*of.columns, F.coalesce("root", "fp").alias("root")), "rooted")
@@ -344,18 +413,17 @@ def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     tried = stage(sided(led_pairs, sigs, sig="s", size="n").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(close, "a long, b long"), "tried")
     found = confirmed(tried)
     rooted = with_roots(sigs, found)
-    by_key, _ = dealt(rooted, ROWS, ["fp", "check", "root"])
-    others = stage(by_key.mapInArrow(apart, "fp long").distinct(), "apart")
-    wide = stage(rooted.join(others, "fp", "left_semi"), "wide")
+    by_key, key_bits = dealt(rooted, ROWS, ["fp", "check", "root"])
+    others = stage(by_key.mapInArrow(partial(apart, key_bits), "fp long, band long").groupBy("fp").agg(F.collect_set("band").alias("bands")), "apart")
+    wide = stage(rooted.join(others, "fp"), "wide")
     by_key, _ = dealt(wide, WIDE_ROWS, ["fp", "check", "root", "size", "sig"])
     again = stage(by_key.mapInArrow(led_apart, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "led-apart")
     found = found.union(confirmed(again))
     rest = with_roots(wide.drop("root"), found)
-    by_key, key_bits = dealt(rest, WIDE_ROWS, ["fp", "check", "root", "size", "sig"])
-    new = by_key.mapInArrow(partial(near_apart, key_bits), "a long, b long").distinct()
-    untried = stage(new.join(tried.union(again), ["a", "b"], "left_anti"), "untried")
-    found = found.union(confirmed(untried))
-    release(distinct, sigs, led_pairs, tried, rooted, others, wide, again, rest, untried)
+    by_key, _ = dealt(rest, WIDE_ROWS, ["fp", "check", "root", "size", "sig"])
+    near_edges = stage(by_key.mapInArrow(near_apart, "a long, b long"), "near-apart")
+    found = found.union(compared(rest, near_edges))
+    release(distinct, sigs, led_pairs, tried, rooted, others, wide, again, rest, near_edges)
     return found
 
 

@@ -523,3 +523,29 @@ def test_trees_can_be_edited_after_a_lost_run(spark, frame, tmp_path, lost):
     assert token_counts.counts_over_versions(trees).count() == size(frame) == trees.current().count()
     with pytest.raises(ValueError, match="already"):
         trees.build(frame)
+
+
+def test_clusters_of_texts_that_are_just_not_alike_are_compared_in_blocks(spark, monkeypatch):
+    """A common passage makes all texts near by their bits; each pair of 0.8 must be joined, and nothing else, though blocks are small and edges fewer than texts."""
+    from codequarry.llm import components, near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(300))
+    texts = [f"{passage} " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 70)) for _ in range(60)]
+    texts += [t + " one more end" for t in texts[:12]]
+    sets = [near_copies.shingles(t.encode(), 5) for t in texts]
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if near_copies.jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(want) == 12
+    links = near_copies.links(spark.createDataFrame(list(enumerate(texts)), "fp long, text string"))
+    roots = {r.node: r.root for r in components.components(links).collect()}
+    assert sorted((max(a, b), min(a, b)) for a, b in links.collect()) == sorted(want) and len(set(roots.values())) == 12
+
+
+def test_forest_joins_with_fewer_pairs_than_nodes():
+    from codequarry.llm import near_copies
+
+    rng, parent = np.random.default_rng(3), np.arange(500)
+    a, b = rng.integers(0, 250, 5000), rng.integers(0, 250, 5000)
+    some = [near_copies.forest(parent, a[k : k + 700] + s, b[k : k + 700] + s) for s in (0, 250) for k in range(0, 5000, 700)]
+    assert sum(len(x) for x, _ in some) == 498 and len(set(parent.tolist())) == 2
