@@ -134,7 +134,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     Of definitions with one name the last counts. Both sources parse alone, differ but for white space at the ends, and the new one isn't tiny.
     """
-    sided = with_kernel(rows.filter("before is not null and after is not null"), "sides", kernels.both_sides, f"struct<{kernels.CHANGED}>", "before", "after")
+    sided = with_kernel(rows.filter("before is not null and after is not null"), "sides", kernels.both_sides, f"struct<{kernels.CHANGED}>", "before", "after", without=("before", "after"))
     last = {side: F.filter(f"sides.{side}", lambda f: ~f["shadowed"]) for side in ("before", "after")}
 
     def changed(pair: Column) -> Column:
@@ -154,7 +154,7 @@ def candidates(rows: DataFrame) -> DataFrame:
         return F.transform(m["pairs"], one)
 
     named = F.struct(last["before"].alias("olds"), last["after"].alias("news"), _by_name(last["before"]).alias("by_old"), _by_name(last["after"]).alias("by_new"))
-    keys = [c for c in sided.columns if c not in ("before", "after", "sides")]
+    keys = [c for c in sided.columns if c != "sides"]
     return sided.select(*keys, F.inline(_let(_let(named, matched), with_helpers)))
 
 
