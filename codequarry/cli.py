@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import behaviour
-from codequarry.functions.columns import REFACTORINGS, SMELLS
+from codequarry.functions.columns import KEYWORDS, REFACTORINGS, SMELLS
 from codequarry.functions.rowwise import with_kernel
 from codequarry.operators import crossfile, curation, detect, mining, quality, review, sample
 from codequarry.sources import git, readers, sinks
@@ -69,7 +69,8 @@ def _mine(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.requests:
         only = readers.requested(spark, a.requests, a.limit_repos)
         options = replace(mining.REQUESTS, partial_threshold=a.partial_threshold if a.partial_threshold is not None else mining.REQUESTS.partial_threshold, caps=options.caps, since=a.since, until=a.to)
-    changes = git.changes(spark, a.changes, ref=a.ref) if a.git else spark.read.parquet(a.changes)
+    phrases = {"phrases": "\n".join(KEYWORDS)} if options.require_keyword and not a.by_rule else {}
+    changes = git.changes(spark, a.changes, ref=a.ref, **phrases) if a.git else spark.read.parquet(a.changes)
     table = sinks.PairTable(spark, a.out)
     if a.waves:
         counts = {}

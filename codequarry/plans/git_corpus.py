@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +23,10 @@ WHO = "Some One <some@one>"
 
 #: So many deltas follow each other before an object is whole again.
 CHAIN = 31
+# Kinds of objects in packs.
+KINDS = {"commit": 1, "tree": 2, "blob": 3}
+#: Shorter objects, mostly names of others, are stored as they are.
+PLAIN = 128
 
 
 def _length(n: int) -> bytes:
@@ -34,6 +40,8 @@ def _length(n: int) -> bytes:
 
 def _copy(at: int, n: int) -> bytes:
     """Instructions that copy ``n`` bytes of the base from ``at`` on."""
+    if at + n < 1 << 16:
+        return struct.pack("<BHH", 0b10110011, at, n) if n else b""
     out = b""
     while n:
         some = min(n, 0xFFFF)
@@ -52,15 +60,24 @@ def _shared(one: bytes, two: bytes) -> int:
     return low
 
 
-def delta(base: bytes, content: bytes) -> bytes:
-    """Git's instructions that make ``content`` of ``base``: what both begin and end with is copied."""
-    head = _shared(base, content)
-    tail = _shared(base[head:][::-1], content[head:][::-1])
+def delta(base: bytes, content: bytes, known: tuple[int, int] | None = None) -> bytes:
+    """Git's instructions that make ``content`` of ``base``: what both begin and end with is copied, so many bytes as are ``known`` or as are found to be equal."""
+    head, tail = known or (_shared(base, content), 0)
+    if known is None:
+        tail = _shared(base[head:][::-1], content[head:][::-1])
     middle = content[head : len(content) - tail]
     put = b"".join(bytes([len(x)]) + x for x in (middle[k : k + 127] for k in range(0, len(middle), 127)))
     return _length(len(base)) + _length(len(content)) + _copy(0, head) + put + _copy(len(base) - tail, tail)
 
 
+def _deflated(content: bytes) -> bytes:
+    """The content as zlib writes it; small windows are set up sooner."""
+    if len(content) < PLAIN:
+        return b"\x78\x01\x01" + struct.pack("<HH", len(content), 0xFFFF ^ len(content)) + content + zlib.adler32(content).to_bytes(4, "big")
+    packer = zlib.compressobj(1, zlib.DEFLATED, 12, 5)
+    return packer.compress(content) + packer.flush()
+
+
 class _Pack:
     """Objects of one task and repository; blobs and trees that come again are written once."""
 
@@ -69,35 +86,36 @@ class _Pack:
         os.makedirs(f"{git}/refs/heads", exist_ok=True)
         self.git, self.fresh, self.places = git, f"{git}/objects/pack/unfinished-{uuid.uuid4().hex}", {}
         #: The last object of a series, and how many deltas it takes.
-        self._last: dict[str, tuple[bytes, bytes, int]] = {}
+        self._last: dict[bytes, tuple[bytes, bytes, int]] = {}
         self._file = open(self.fresh, "w+b")  # noqa: SIM115
-        self._file.write(b"PACK" + (2).to_bytes(4, "big") + bytes(4))
+        self._end = self._file.write(b"PACK" + (2).to_bytes(4, "big") + bytes(4))
 
-    def add(self, kind: str, content: bytes, series: str | None = None) -> bytes:
-        """The object's name. Of a ``series``, whose objects differ little from the one before, most are written as deltas."""
-        name = hashlib.sha1(f"{kind} {len(content)}\0".encode() + content).digest()
+    def add(self, kind: str, content: bytes, series: bytes | None = None, known: tuple[int, int] | None = None) -> bytes:
+        """The object's name. Of a ``series``, whose objects differ little from the one before, most are written as deltas; ``known`` bytes at its ends are those of the one before."""
+        name = hashlib.sha1(b"%s %d\0%s" % (kind.encode(), len(content), content)).digest()
         if name not in self.places:
             base, before, chain = self._last.get(series, (None, b"", CHAIN))
-            number, written, distance = {"commit": 1, "tree": 2, "blob": 3}[kind], content, b""
+            number, written, distance = KINDS[kind], content, b""
             if series is not None and chain < CHAIN:
-                number, written, chain = 6, delta(before, content), chain + 1
-                far = self._file.tell() - self.places[base][0]
+                number, written, chain = 6, delta(before, content, known), chain + 1
+                far = self._end - self.places[base][0]
                 distance = bytes([far & 127])
                 while far := far >> 7:
                     far -= 1
                     distance = bytes([far & 127 | 128]) + distance
             else:
                 chain = 0
-            if series is not None:
-                self._last[series] = name, content, chain
             size, head = len(written) >> 4, [number << 4 | len(written) & 15]
             while size:
                 head[-1] |= 128
                 head.append(size & 127)
                 size >>= 7
-            entry = bytes(head) + distance + zlib.compress(written, 1)
-            self.places[name] = self._file.tell(), zlib.crc32(entry)
+            entry = bytes(head) + distance + _deflated(written)
+            self.places[name] = self._end, zlib.crc32(entry), chain
             self._file.write(entry)
+            self._end += len(entry)
+        if series is not None:
+            self._last[series] = name, content, self.places[name][2]
         return name
 
     def close(self, ref: str, tip: bytes) -> None:
@@ -128,42 +146,62 @@ class _Pack:
             os.replace(fresh, path)
 
 
-def _tree(pack: _Pack, files: dict[str, bytes]) -> bytes:
-    """The tree of files in folders one deep."""
-    folders: dict[str, list[tuple[bytes, bytes]]] = {}
-    for path, blob in files.items():
-        folder, name = path.split("/")
-        folders.setdefault(folder, []).append((name.encode(), blob))
-    rows = [(folder.encode(), pack.add("tree", b"".join(b"100644 " + n + b"\0" + blob for n, blob in sorted(rows)), series=folder)) for folder, rows in folders.items()]
-    return pack.add("tree", b"".join(b"40000 " + n + b"\0" + t for n, t in sorted(rows)))
+class _Files:
+    """The files of a repository in folders one deep; of a change only the folder that it is in is written anew."""
+
+    def __init__(self, pack: _Pack):
+        self._pack = pack
+        #: Names, in order, and entries of each folder; folders and their trees.
+        self._folders: dict[bytes, tuple[list[bytes], list[bytes]]] = {}
+        self._trees: dict[bytes, bytes] = {}
+
+    def put(self, path: str, blob: bytes) -> bytes:
+        """The tree of all files with this one as ``blob``."""
+        folder, name = path.encode().split(b"/")
+        names, entries = self._folders.setdefault(folder, ([], []))
+        k, entry = bisect_left(names, name), b"100644 " + name + b"\0" + blob
+        known = None
+        if k < len(names) and names[k] == name:
+            entries[k] = entry
+            content = b"".join(entries)
+            # Only the name of one object is another.
+            tail = sum(map(len, entries[k + 1 :]))
+            known = len(content) - tail - 20, tail
+        else:
+            names.insert(k, name)
+            entries.insert(k, entry)
+            content = b"".join(entries)
+        self._trees[folder] = self._pack.add("tree", content, folder, known)
+        return self._pack.add("tree", b"".join(b"40000 " + f + b"\0" + t for f, t in sorted(self._trees.items())))
 
 
 def write_repositories(changes: DataFrame, root: str) -> None:
     """A branch for each repository and task: of every change a commit that puts the old file there, and one with the new file; merges have the older commit as second parent."""
 
-    def commit(pack: _Pack, files: dict, parents: list[bytes], time: int, message: str) -> bytes:
-        lines = [f"tree {_tree(pack, files).hex()}", *(f"parent {p.hex()}" for p in parents), f"author {WHO} {time} +0000", f"committer {WHO} {time} +0000"]
+    def commit(pack: _Pack, tree: bytes, parents: list[bytes], time: int, message: str) -> bytes:
+        lines = [f"tree {tree.hex()}", *(f"parent {p.hex()}" for p in parents), f"author {WHO} {time} +0000", f"committer {WHO} {time} +0000"]
         return pack.add("commit", ("\n".join(lines) + f"\n\n{message}\n").encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         ref = f"refs/heads/part-{TaskContext.get().partitionId()}"
-        pack, repo, files, tip, older, n = None, None, {}, None, None, 0
+        pack, repo, files, tip, older, n = None, None, None, None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["repo"] != repo:
                     if pack:
                         pack.close(ref, tip)
-                    repo, files, tip, older = row["repo"], {}, None, None
+                    repo, tip, older = row["repo"], None, None
                     pack = _Pack(f"{root}/{repo}.git")
+                    files = _Files(pack)
                 time = int(row["committed_at"].timestamp())
-                files[row["old_path"]] = pack.add("blob", row["before"].encode())
-                base = commit(pack, files, [tip] if tip else [], time, f"Before change {row['seq']}")
-                files[row["new_path"]] = pack.add("blob", row["after"].encode())
+                tree = files.put(row["old_path"], pack.add("blob", row["before"].encode()))
+                base = commit(pack, tree, [tip] if tip else [], time, f"Before change {row['seq']}")
+                tree = files.put(row["new_path"], pack.add("blob", row["after"].encode()))
                 # Without an older commit a commit of its own is the other side.
-                other = older or commit(pack, {}, [], time, "elsewhere") if row["is_merge"] else None
-                older, tip = base, commit(pack, files, [base, other] if other else [base], time, f"{row['message']}\n\nchange {row['seq']}")
+                other = older or commit(pack, pack.add("tree", b""), [], time, "elsewhere") if row["is_merge"] else None
+                older, tip = base, commit(pack, tree, [base, other] if other else [base], time, f"{row['message']}\n\nchange {row['seq']}")
                 n += 1
         if pack:
             pack.close(ref, tip)

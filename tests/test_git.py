@@ -233,3 +233,40 @@ def test_trees_that_differ_little_are_written_as_deltas(tmp_path):
     assert packed.stat().st_size < sum(map(len, trees)) / 8
     shown = subprocess.run(["git", "--git-dir", str(tmp_path / "r.git"), "verify-pack", "-v", str(packed)], capture_output=True, text=True, check=True).stdout
     assert {n.hex() for n in names} <= set(shown.split())
+
+
+def test_commits_without_a_phrase_are_not_compared(spark, refactorings, monkeypatch):
+    phrases = "EXTRACT method\nparameter object"
+    want = {(r.repo, r.commit_hash) for r in source.changes(spark, str(refactorings)).collect() if "extract method" in r.message or "parameter object" in r.message}
+    assert {(r.repo, r.commit_hash) for r in source.changes(spark, str(refactorings), phrases=phrases).collect()} == want and len(want) == 4
+    monkeypatch.setattr(source.Store, "changed", lambda *_: pytest.fail("a commit without the phrase was compared"))
+    reader = source.GitReader({"path": str(refactorings), "phrases": "no such phrase"})
+    assert [r for p in reader.partitions() for r in reader.read(p)] == []
+
+
+def test_a_name_is_found_without_a_search_of_the_index(tmp_path, monkeypatch):
+    pack = git_corpus._Pack(str(tmp_path / "r.git"))
+    names = [pack.add("blob", b"%d" % k) for k in range(3000)]
+    places = {n: at for n, (at, *_) in pack.places.items()}
+    pack.close("refs/heads/main", names[0])
+    (index,) = (tmp_path / "r.git/objects/pack").glob("*.idx")
+    read, searched = source.Pack(str(index)), []
+    monkeypatch.setattr(source.Pack, "name", lambda self, k: searched.append(k) or self._index[1032 + 20 * k : 1052 + 20 * k])
+    assert [read.offset(n) for n in names] == [places[n] for n in names] and len(searched) < len(names)
+    assert not any(read.offset(hashlib.sha1(n).digest()) for n in names)
+
+
+def test_files_that_come_back_keep_their_trees(tmp_path):
+    """Contents of a few files that come again and again, also right after each other: every tree is the one git makes of the same files."""
+    pack, chance, files, trees = git_corpus._Pack(str(tmp_path / "r.git")), random.Random(3), {}, []
+    written = git_corpus._Files(pack)
+    for _ in range(400):
+        path, content = f"{chance.choice(('pkg', 'tests'))}/m_{chance.randrange(12)}.py", b"x = %d\n" % chance.randrange(3)
+        files[path] = content
+        trees.append((written.put(path, pack.add("blob", content)), dict(files)))
+    pack.close("refs/heads/main", trees[-1][0])
+    store = source.Store(str(tmp_path / "r.git"))
+    for tree, want in trees:
+        assert {path.decode(): store.read(blob)[1] for path, _, blob in store.changed(None, tree)} == want
+    (packed,) = (tmp_path / "r.git/objects/pack").glob("*.pack")
+    subprocess.run(["git", "--git-dir", str(tmp_path / "r.git"), "verify-pack", str(packed)], check=True)
