@@ -22,13 +22,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/codequarry/{label}-{uuid.uuid4().hex}"
 
 
-def write_once(df: DataFrame, path: str, *partitions: str) -> None:
-    """Write ``df`` as Parquet; its shuffle files go when the write has ended, as nothing else reads them."""
+def write_once(df: DataFrame, path: str, *partitions: str, mode: str = "errorifexists") -> None:
+    """Write ``df`` as Parquet, or append it to what is there; its shuffle files go when the write has ended, as nothing else reads them."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*partitions).mode(mode).parquet(path)
     finally:
         conf.set(key, before)
 

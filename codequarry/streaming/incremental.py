@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -81,18 +83,53 @@ class _Capped(StatefulProcessor):
         pass
 
 
+#: So many ids of first pairs are kept by a task before it begins anew, which lets more pairs by.
+FIRST_IDS = 1 << 17
+
+
+def _may_be_first(caps: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without those behind as many other ids of their repository and smell, in the same task, as the cap has.
+
+    With ``n`` pairs kept, there is room for those that come first after at most ``n`` known ids, so they are among the first ids of a cap's number, whatever is in the state.
+    """
+    groups: dict[tuple, dict[str, tuple]] = {}
+    last: dict[tuple, tuple] = {}
+    held = 0
+    for batch in batches:
+        taken = []
+        for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("repo", "smell_type", "id", "seq")), strict=True)):
+            key, place = row[:2], (row[3] is None, row[3] or 0, row[2])
+            if held > FIRST_IDS:
+                groups, last, held = {}, {}, 0
+            ids, cap = groups.setdefault(key, {}), caps[row[1]]
+            if cap <= 0 or (place >= ids[row[2]] if row[2] in ids else len(ids) >= cap and place > last[key]):
+                continue
+            taken.append(k)
+            held += row[2] not in ids
+            ids[row[2]] = place
+            if len(ids) > cap:
+                del ids[max(ids, key=ids.get)]
+                held -= 1
+            if len(ids) == cap:
+                last[key] = max(ids.values())
+        if taken:
+            yield batch.take(pa.array(taken))
+
+
 def capped_pairs(changes: DataFrame, options: mining.Options) -> DataFrame:
     """Pairs of a stream of changed files, at most ``options.caps`` of a smell from each repository over the whole life of the stream.
 
-    Files that have been seen, in any batch, aren't mined again. Within a batch the first pairs by ``seq`` count, and batches count in the order in which they come. Smells
-    without a cap aren't limited and keep no state. What is remembered is the key of each file and up to a cap's number of ids for each repository and smell.
+    Files that have been seen, in any batch, give nothing new. Within a batch the first pairs by ``seq`` count, and batches count in the order in which they come. Smells
+    without a cap aren't limited and keep no state. What is remembered is up to a cap's number of ids for each repository and smell and, if a smell has no cap, the key of each file. Where all have
+    one, a pair that comes again is among those ids, or its cap is full, so files needn't be remembered, and no code is shuffled but that of pairs that may be kept.
     """
-    once = changes.dropDuplicates(FILE)
-    rows = mining.commits(once, options)
-    pairs = mining.verified(mining.candidates(rows.filter(~is_test_path("file"))), options)
+    rows = mining.commits(changes, options)
+    rows, unlimited = rows.filter(~is_test_path("file")), set(mining.SMELLS) - set(options.caps)
+    pairs = mining.verified(mining.candidates(rows.dropDuplicates(FILE) if unlimited else rows), options)
     limited = F.col("smell_type").isin(*options.caps)
-    kept = pairs.filter(limited).groupBy("repo", "smell_type").transformWithState(_Capped(options.caps), pairs.schema, "Append", "None")
-    return kept.unionByName(pairs.filter(~limited)) if set(mining.SMELLS) - set(options.caps) else kept
+    first = pairs.filter(limited).mapInArrow(partial(_may_be_first, options.caps), pairs.schema)
+    kept = first.groupBy("repo", "smell_type").transformWithState(_Capped(options.caps), pairs.schema, "Append", "None")
+    return kept.unionByName(pairs.filter(~limited)) if unlimited else kept
 
 
 def follow_capped(spark: SparkSession, folder: str, table: PairTable, options: mining.Options, checkpoint: str | None = None) -> StreamingQuery:

@@ -552,6 +552,36 @@ def test_seen_files_are_not_mined_again(spark, tmp_path):
     assert tables[0].read().count() == 1 and tables[1].read() is None
 
 
+def test_code_of_a_stream_is_not_shuffled_where_all_smells_have_caps(spark, tmp_path):
+    changes(spark, ("a", "refactor", "a.py", "a.py", MANY.format("f"), ONE.format("f"))).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(incremental.CHANGE).parquet(str(tmp_path / "in"))
+    plan = lambda caps: incremental.capped_pairs(stream, mining.Options(caps=caps))._jdf.queryExecution().analyzed().toString()
+    everything, some = plan(dict.fromkeys(mining.SMELLS, 2)), plan({"R2": 2})
+    assert "Repartition" not in everything + some and "Deduplicate" not in everything and "Deduplicate" in some
+    # What reaches the state has been thinned out by caps before, behind the kernel.
+    assert everything.count("MapInArrow") == 2
+
+
+@pytest.mark.parametrize("ids", [1, 1 << 17])
+def test_pairs_behind_a_task_s_caps_are_left_out(monkeypatch, ids):
+    import pyarrow as pa
+
+    monkeypatch.setattr(incremental, "FIRST_IDS", ids)
+    draw, caps = random.Random(6), {"R1": 3, "R2": 1, "R3": 0}
+    rows = [(f"r{draw.randrange(3)}", draw.choice(list(caps)), str(draw.randrange(40)), draw.choice([None, *range(30)])) for _ in range(600)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("repo", "smell_type", "id", "seq"), r, strict=True)) for r in rows[k : k + 50]]) for k in range(0, 600, 50)]
+    got = [tuple(r.values()) for b in incremental._may_be_first(caps, iter(batches)) for r in b.to_pylist()]
+    place = lambda r: (r[3] is None, r[3] or 0, r[2])
+
+    def first(of: list[tuple]) -> dict[tuple, list]:
+        best: dict[tuple, tuple] = {}
+        for r in sorted(of, key=place):
+            best.setdefault(r[:3], place(r))
+        return {(repo, s): sorted(p for k, p in best.items() if k[:2] == (repo, s))[: caps[s]] for repo in ("r0", "r1", "r2") for s in caps}
+
+    assert first(got) == first(rows) and set(got) <= set(rows) and len(got) < len(rows) / (1 if ids == 1 else 2)
+
+
 def test_a_batch_gives_the_first_pairs_whatever_their_order():
     from types import SimpleNamespace
 
