@@ -54,6 +54,32 @@ def test_no_pair_is_lost(spark, similarity):
     assert found == want and want
 
 
+@pytest.mark.parametrize("few", [0, 20, 1024])
+def test_small_commits_need_no_rare_nodes(spark, monkeypatch, few):
+    """Commits of any size, by either way, give the same pairs; rare nodes, a row each, are for large ones only."""
+    draw, looked = random.Random(5), []
+    texts = [function(f"f{k}", draw, draw.randrange(2, 7)) for k in range(7)]
+    moved = [text.replace("def f", "def g").replace(" = a", " = bb(a)", k % 2) for k, text in enumerate(texts)]
+    rows = commit(spark, texts, ["\n\n".join(moved)], "seven").unionByName(commit(spark, texts[:2], moved[:2], "two")).unionByName(commit(spark, texts[:1], [], "one"))
+    whole = crossfile.rarity
+    monkeypatch.setattr(crossfile, "rarity", lambda kinds: looked.append({r.commit_hash for r in kinds.select("commit_hash").distinct().collect()}) or whole(kinds))
+    monkeypatch.setattr(crossfile, "FEW", few)
+    gone, fresh = crossfile.gone_and_fresh(rows)
+    pairs = crossfile.candidate_pairs(gone, fresh, similarity=0.6).select("commit_hash", "old.name", "new.name", "similarity").collect()
+    want = {(c, a.split("(")[0][4:], b.split("(")[0][4:]) for c, n in (("seven", 7), ("two", 2)) for a in texts[:n] for b in moved[:n] if kernels.tree_similarity(a, b) >= 0.6}
+    assert {tuple(p)[:3] for p in pairs} <= want and len(pairs) == len({tuple(p)[:3] for p in pairs}) and {(c, f"f{k}", f"g{k}") for c, n in (("seven", 7), ("two", 2)) for k in range(n)} <= {tuple(p)[:3] for p in pairs}
+    assert looked == {0: [{"seven", "two"}], 20: [{"seven"}], 1024: []}[few]
+
+
+def test_code_is_shuffled_once_a_side_for_its_similarity(spark):
+    rows = commit(spark, ["def f(a):\n    return a"], ["def g(a):\n    return a"])
+    gone, fresh = crossfile.gone_and_fresh(rows)
+    plan = crossfile.scored(crossfile.near_pairs(gone, fresh), gone, fresh, 0.7)._jdf.queryExecution().optimizedPlan().toString()
+    # The rows that reach the kernel are those of the join: no other shuffle is between.
+    kernel = plan.index("MapInArrow")
+    assert "Join" in plan[kernel : plan.index("Repartition", kernel)]
+
+
 def test_five_thousand_functions_of_one_size(spark):
     """One commit moves 2,500 functions, all of eight statements; all pairs whose kinds of nodes allow it are kept, and they are a small part of all."""
     draw, n = random.Random(11), 2500
