@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.components import components
-from codequarry.llm.rows import join_skewed
+from codequarry.llm.rows import join_skewed, may_be_among
 from codequarry.llm.simhash import _SPACE, PIECE
 from codequarry.sources.scratch import release, stage
 
@@ -387,9 +387,10 @@ def links(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of near ``pairs`` (a table) that are links by their sets."""
         ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        whole = stage(distinct.join(ends, "fp", "left_semi"), "candidate-texts")
+        ends = stage(ends, "ends")
+        whole = stage(distinct.filter(may_be_among(ends, "fp")).join(ends, "fp", "left_semi"), "candidate-texts")
         found = stage(sided(pairs, whole, text="t").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "links")
-        release(whole)
+        release(whole, ends)
         return found
 
     def compared(of: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,22 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, t
     hot = sizes.filter(F.col("n") > total // HOT).select(key)
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     return left.join(few, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+
+
+def may_be_among(keys: DataFrame, key: str) -> Column:
+    """Whether a row's ``key`` may be one of ``keys`` (a table of distinct ones): true for all that are, and for few others, so that an exact join needs to shuffle few rows in vain.
+
+    Two bits of each key in a table of eight to sixteen bits a key (a Bloom filter), which Spark makes; only that goes to the driver and to all tasks.
+    """
+    bits = 1 << max(10, (8 * keys.count() - 1).bit_length())
+    at = [F.pmod(F.xxhash64(F.lit(seed), key), F.lit(bits)) for seed in (1, 2)]
+    word = keys.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    table, found = np.zeros(bits // 64, np.uint64), word.toArrow()
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    @F.arrow_udf("boolean")
+    def held(one: pa.Array, two: pa.Array) -> pa.Array:
+        both = [table[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1) for x in (one.to_numpy(), two.to_numpy())]
+        return pa.array((both[0] & both[1]).astype(bool))
+
+    return held(*at)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.components import components
-from codequarry.llm.rows import KEY, join_skewed, keyed, row_key, unkeyed
+from codequarry.llm.rows import KEY, join_skewed, keyed, may_be_among, row_key, unkeyed
 from codequarry.sources.scratch import release, stage
 
 BITS = 64
@@ -211,7 +211,9 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     first = _classes(nodes, near_copies.links(named.select("fp", "text"), words, similarity)).groupBy("root").agg(F.min("first").alias("first"))
     stays = stage(first.select(f"first.{KEY}"), "stays")
     goes = stage(rows.join(stays, KEY, "left_anti").select(KEY), "goes")
-    left = keyed(docs).join(goes, KEY, "left_anti")
+    # What is surely no copy stays where it is.
+    asked = keyed(docs).withColumn("asked", may_be_among(goes, KEY))
+    left = asked.filter("not asked").drop("asked").unionByName(asked.filter("asked").drop("asked").join(goes, KEY, "left_anti"))
     twice = stage(rows.filter("n > 1").join(stays, KEY, "left_semi").select(KEY), "twice")
     if not twice.isEmpty():  # repeated rows: equal in id and text, so equal in key
         left = left.join(twice, KEY, "left_anti").union(left.join(twice, KEY, "left_semi").groupBy(KEY).agg(F.any_value("row").alias("row")))

@@ -549,3 +549,14 @@ def test_forest_joins_with_fewer_pairs_than_nodes():
     a, b = rng.integers(0, 250, 5000), rng.integers(0, 250, 5000)
     some = [near_copies.forest(parent, a[k : k + 700] + s, b[k : k + 700] + s) for s in (0, 250) for k in range(0, 5000, 700)]
     assert sum(len(x) for x, _ in some) == 498 and len(set(parent.tolist())) == 2
+
+
+def test_keys_are_told_without_their_rows(spark):
+    """All keys of the table may be among it, few others may; so a join needs no shuffle of the others."""
+    from codequarry.llm import rows
+
+    keys = spark.range(0, 60_000, 3).selectExpr("md5(cast(id as string)) as k")
+    asked = spark.range(60_000).selectExpr("id", "md5(cast(id as string)) as k").withColumn("may", rows.may_be_among(keys, "k"))
+    counts = {(r.inside, r.may): r["count"] for r in asked.selectExpr("id % 3 = 0 as inside", "may").groupBy("inside", "may").count().collect()}
+    assert counts[True, True] == 20_000 and (True, False) not in counts and counts.get((False, True), 0) < 2_800
+    assert not spark.range(100).filter(rows.may_be_among(spark.range(0), "id")).count()
